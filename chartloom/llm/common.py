@@ -73,7 +73,7 @@ def sample_rows(df: DataFrame, key: str, by: str, per_class: int, seed: int) ->
     return df.filter(keep)
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text: str | int, max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece has about max_bytes of text, a longer single text alone."""
     import numpy as np
 

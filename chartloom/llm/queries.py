@@ -5,18 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import exact_dedup, mixing, records, simhash
+from chartloom.llm import exact_dedup, language_id, licenses, mixing, pieces, quality_classifier, quality_rules, records, simhash, toxicity
 from chartloom.llm.common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.segmentation_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.rate_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -27,6 +49,16 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -42,13 +74,21 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict:
-    return {
-        "op4_simhash_near_dedup": op4_simhash_near_dedup,
-        "op6_source_mix": op6_source_mix,
-        "op8_exact_dedup": op8_exact_dedup,
-        "op9_token_records": op9_token_records,
-    }
+    named = (
+        op1_sentencepiece,
+        op2_language_id,
+        op3_quality_classifier,
+        op4_simhash_near_dedup,
+        op5_quality_rules,
+        op6_source_mix,
+        op7_license_scan,
+        op8_exact_dedup,
+        op9_token_records,
+        op10_toxicity,
+        pipeline,
+    )
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op7_license_scan": licenses.oracle_sql(), "op8_exact_dedup": OP8_SQL}
