@@ -2,10 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from chartloom.plans.views import Views, with_views
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+#: Views that single modules of queries add to the shared ones.
+EXTRA_VIEWS: dict[str, str] = {}
+
+
+def query(sql: str | None, name: str | None = None):
+    """Register a function of the views as a query, with its SQL over tables and fv_ views."""
+
+    def add(f: Callable[[Views], DataFrame]):
+        key = name or f.__name__
+        if key in _QUERIES:
+            raise ValueError(f"{key} is registered twice")
+        _QUERIES[key] = f
+        if sql is not None:
+            _SQL[key] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from chartloom.plans import analytics  # noqa: F401
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return {k: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for k, f in _QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return {k: with_views(s, EXTRA_VIEWS) for k, s in _SQL.items()}
