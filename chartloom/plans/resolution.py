@@ -1 +1,225 @@
-"""Queries."""
+"""Queries on release group and release rules, buckets, evidence, overrides and multi-source scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chartloom.operators import resolution as rs
+from chartloom.operators import sources_score as sc
+from chartloom.plans.registry import EXTRA_VIEWS, query
+
+PAD = "TRY_CAST(CASE length({0}) WHEN 4 THEN {0} || '-01-01' WHEN 7 THEN {0} || '-01' ELSE {0} END AS DATE)"
+DELTA = f"date_diff('day', {PAD.format('d_single')}, {PAD.format('d_album')})"
+
+
+def sql_facts() -> str:
+    groups = {"all": "true", "soundtrack": "k = 'Soundtrack'", "album": "k = 'Album' AND NOT comp", "single": "k IN ('Single', 'EP') AND NOT comp", "live": "k = 'Live'", "nonlive": "k <> 'Live'", "fair": "allowed"}
+    picks = {g: f"{groups[g]} AND date = d_{g}" for g in ("soundtrack", "album", "single", "live", "fair")}
+    picks |= {"fair_album": "allowed AND date = d_fair AND k = 'Album'", "fair_single": "allowed AND date = d_fair AND k IN ('Single', 'EP')"}
+    mins = ", ".join(f"min(CASE WHEN {c} THEN date END) OVER w AS d_{g}" for g, c in groups.items())
+    out = ", ".join([f"any_value(d_{g}) AS d_{g}" for g in groups] + [f"count(*) FILTER ({c}) AS n_{g}, min(rg_mbid) FILTER ({c}) AS rg_{g}" for g, c in picks.items()])
+    return f"""SELECT entity_id, count(*) AS n_rgs, {out} FROM (SELECT *, {mins} FROM (SELECT *, NOT comp OR count(*) FILTER (NOT comp) OVER w = 0 AS allowed FROM fv_cand WINDOW w AS (PARTITION BY entity_id)) WINDOW w AS (PARTITION BY entity_id)) GROUP BY 1"""
+
+
+SOUNDTRACK = "CASE WHEN d_soundtrack = d_all AND n_soundtrack = 1 THEN rg_soundtrack END"
+LEAD = f"CASE WHEN {DELTA} > 0 AND {DELTA} <= 90 AND n_album = 1 THEN rg_album END"
+SINGLE = f"CASE WHEN d_single IS NOT NULL AND (d_album IS NULL OR {DELTA} > 90) AND n_single = 1 THEN rg_single END"
+LIVE = "CASE WHEN (d_nonlive IS NULL OR d_live < d_nonlive) AND n_live = 1 THEN rg_live END"
+EARLIEST = "CASE WHEN n_fair = 1 THEN rg_fair END"
+SAME = "CASE WHEN n_fair > 1 AND n_fair_album = 1 AND n_fair_single > 0 THEN rg_fair_album END"
+CHAIN = [("SOUNDTRACK_PREMIERE", SOUNDTRACK), ("ALBUM_LEAD_WINDOW", LEAD), ("SINGLE_TRUE_PREMIERE", SINGLE), ("LIVE_ONLY_PREMIERE", LIVE), ("EARLIEST_OFFICIAL", EARLIEST), ("ALBUM_SAME_DATE_TIEBREAKER", SAME)]
+
+EXTRA_VIEWS |= {
+    "fv_cand": "SELECT entity_id, rg_mbid, min(primary_type) AS k, bool_and(is_compilation) AS comp, min(first_release_date) AS date, min(artist_mbid) AS artist_mbid, min(title) AS title FROM fv_candidate GROUP BY 1, 2",
+    "fv_facts": sql_facts(),
+    "fv_crg": f"""SELECT entity_id, coalesce({", ".join(c for _, c in CHAIN)}) AS crg,
+    CASE {" ".join(f"WHEN ({c}) IS NOT NULL THEN 'CRG:{n}'" for n, c in CHAIN)} ELSE 'CRG:INDETERMINATE' END AS crg_rationale,
+    CASE WHEN coalesce({", ".join(c for _, c in CHAIN)}) IS NOT NULL THEN NULL WHEN n_fair > 1 THEN 'tie_between_' || n_fair || '_release_groups_with_same_earliest_date' ELSE 'no_release_dates' END AS crg_missing FROM fv_facts""",
+    "fv_rr": """SELECT entity_id, rr, CASE WHEN rr IS NULL THEN 'RR:INDETERMINATE' WHEN d_local IS NOT NULL THEN 'RR:ORIGIN_COUNTRY_EARLIEST' ELSE 'RR:WORLD_EARLIEST' END AS rr_rationale,
+    CASE WHEN rr IS NOT NULL THEN NULL WHEN n = 0 THEN 'no_releases_in_crg' WHEN n_usable = 0 THEN 'no_official_releases' WHEN d_local IS NOT NULL THEN 'tie_between_' || n_local || '_origin_country_releases_on_same_date'
+      WHEN d_world IS NULL THEN 'no_release_dates' ELSE 'tie_between_' || n_world || '_worldwide_releases_on_same_date' END AS rr_missing
+  FROM (SELECT *, CASE WHEN d_local IS NOT NULL THEN CASE WHEN n_local = 1 THEN rr_local END WHEN n_world = 1 THEN rr_world END AS rr
+    FROM (SELECT entity_id, count(release_mbid) AS n, count(*) FILTER (usable) AS n_usable, any_value(d_local) AS d_local, any_value(d_world) AS d_world,
+        count(*) FILTER (usable AND country = origin AND date = d_local) AS n_local, min(release_mbid) FILTER (usable AND country = origin AND date = d_local) AS rr_local,
+        count(*) FILTER (usable AND date = d_world) AS n_world, min(release_mbid) FILTER (usable AND date = d_world) AS rr_world
+      FROM (SELECT *, min(CASE WHEN usable AND country = origin THEN date END) OVER w AS d_local, min(CASE WHEN usable THEN date END) OVER w AS d_world
+        FROM (SELECT c.entity_id, a.country AS origin, r.*, coalesce(CASE WHEN bool_or(r.is_official) OVER (PARTITION BY c.entity_id) THEN r.is_official ELSE r.is_promo END, false) AS usable
+          FROM fv_crg c JOIN fv_rg g ON g.rg_mbid = c.crg LEFT JOIN fv_artist a ON a.artist_mbid = g.artist_mbid LEFT JOIN fv_release r ON r.rg_mbid = c.crg) WINDOW w AS (PARTITION BY entity_id)) GROUP BY 1))""",
+    "fv_decision": """SELECT entity_id, crg, rr, crg_rationale, coalesce(rr_rationale, 'RR:INDETERMINATE') AS rr_rationale, CASE WHEN rr IS NOT NULL THEN 'decided' ELSE 'indeterminate' END AS state,
+    concat_ws(',', crg_missing, rr_missing) AS missing_facts FROM fv_crg LEFT JOIN fv_rr USING (entity_id)""",
+    "fv_hash": """SELECT entity_id, sha256(string_agg(x, chr(10) ORDER BY x)) AS evidence_hash FROM (SELECT entity_id, '=' || rg_mbid || '|' || '=' || k || '|' || '=' || comp || '|' || coalesce('=' || date, '~') AS x FROM fv_cand) GROUP BY 1""",
+    "fv_bucketed": """SELECT *, CAST(row_number() OVER (PARTITION BY entity_id, bucket ORDER BY date NULLS LAST, CASE WHEN date IS NULL THEN title END, rg_mbid) AS INTEGER) AS place
+  FROM (SELECT *, CASE WHEN lower(k) = 'soundtrack' THEN 'soundtrack' WHEN lower(k) = 'album' AND NOT comp THEN 'studio_album' WHEN lower(k) = 'ep' THEN 'ep' WHEN lower(k) = 'single' THEN 'single' ELSE 'other' END AS bucket FROM fv_cand)""",
+}
+
+
+def decisions(v, lead_days: int = 90):
+    return rs.resolve(v.candidate, v.release, v.rg, v.artist, lead_days)
+
+
+def one_rule(name: str, sql: str, rule):
+    @query(f"SELECT entity_id, {sql} AS rg_mbid FROM fv_facts WHERE ({sql}) IS NOT NULL", name=name)
+    def run(v):
+        return rs.rule_facts(v.candidate).select("entity_id", rule().alias("rg_mbid")).filter("rg_mbid is not null")
+
+
+one_rule("crg_soundtrack", SOUNDTRACK, rs.rule_soundtrack)
+one_rule("crg_lead_window", f"coalesce({LEAD}, {SINGLE})", lambda: F.coalesce(rs.rule_album_lead(90), rs.rule_single_first(90)))
+one_rule("crg_live_origin", LIVE, rs.rule_live)
+one_rule("crg_earliest", f"coalesce({EARLIEST}, {SAME})", lambda: F.coalesce(rs.rule_earliest(), rs.rule_same_date()))
+
+
+@query("SELECT entity_id, rg_mbid FROM (SELECT *, count(*) FILTER (NOT comp) OVER (PARTITION BY entity_id) AS n FROM fv_cand) WHERE NOT comp OR n = 0")
+def crg_compilation_filter(v):
+    from pyspark.sql import Window
+
+    rows = rs.distinct_candidates(v.candidate).withColumn("n", F.count_if(~F.col("is_compilation")).over(Window.partitionBy("entity_id")))
+    return rows.filter("not is_compilation or n = 0").select("entity_id", "rg_mbid")
+
+
+@query("SELECT * FROM fv_crg")
+def crg_select(v):
+    return rs.select_crg(v.candidate)
+
+
+@query("SELECT * FROM fv_rr")
+def rr_select(v):
+    crg = rs.select_crg(v.candidate).filter("crg is not null")
+    origin = v.rg.select(F.col("rg_mbid").alias("crg"), "artist_mbid").join(v.artist.select("artist_mbid", "country"), "artist_mbid", "left")
+    return rs.select_rr(crg.join(origin, "crg"), v.release)
+
+
+@query("SELECT * FROM fv_decision")
+def resolve(v):
+    return decisions(v)
+
+
+@query("SELECT crg_rationale, rr_rationale, state, count(*) AS n FROM fv_decision GROUP BY 1, 2, 3")
+def batch_decide(v):
+    return decisions(v).groupBy("crg_rationale", "rr_rationale", "state").agg(F.count("*").alias("n"))
+
+
+@query("SELECT entity_id, min(CASE WHEN k = 'Album' AND NOT comp THEN date END) AS album_date, min(CASE WHEN k IN ('Single', 'EP') AND NOT comp THEN date END) AS single_ep_date, min(CASE WHEN k = 'Soundtrack' AND NOT comp THEN date END) AS soundtrack_date FROM fv_cand GROUP BY 1")
+def timeline_facts(v):
+    return rs.timeline_facts(v.candidate)
+
+
+@query("SELECT * FROM fv_hash")
+def evidence_hash(v):
+    return rs.evidence_hash(v.candidate)
+
+
+@query("SELECT entity_id, 'evh=' || substr(evidence_hash, 1, 8) || ';crg=' || replace(crg_rationale, 'CRG:', '') || ';rr=' || replace(rr_rationale, 'RR:', '') || ';src=' || CASE WHEN CAST(entity_id[2:] AS BIGINT) % 2 = 0 THEN 'dc,mb' ELSE 'mb' END || ';cfg=lw90,rg10' AS trace FROM fv_decision JOIN fv_hash USING (entity_id)")
+def decision_trace(v):
+    sources = v.candidate.select("entity_id", F.lit("mb").alias("source")).unionByName(v.candidate.filter("partkey % 2 = 0").select("entity_id", F.lit("dc").alias("source")))
+    return rs.compact_trace(decisions(v), rs.evidence_hash(v.candidate), sources)
+
+
+@query("SELECT entity_id, rg_mbid, bucket FROM fv_bucketed")
+def classify_bucket(v):
+    return rs.bucketed(v.candidate).select("entity_id", "rg_mbid", "bucket")
+
+
+@query("SELECT entity_id, rg_mbid, bucket, place FROM fv_bucketed")
+def bucket_sort(v):
+    return rs.bucketed(v.candidate).select("entity_id", "rg_mbid", "bucket", "place")
+
+
+@query("SELECT entity_id, arg_min(bucket, o) AS bucket, arg_min(rg_mbid, o) AS rg_mbid FROM (SELECT *, list_position(['studio_album', 'ep', 'soundtrack', 'single', 'other'], bucket) AS o FROM fv_bucketed WHERE place = 1) GROUP BY 1")
+def bucket_best(v):
+    return rs.bucket_best(v.candidate)
+
+
+@query("SELECT entity_id, n_buckets, CASE WHEN n_buckets <= 1 THEN false WHEN album IS NOT NULL THEN coalesce(rival < album, false) ELSE true END AS needs FROM (SELECT entity_id, count(DISTINCT bucket) AS n_buckets, min(date) FILTER (bucket = 'studio_album') AS album, min(date) FILTER (bucket IN ('soundtrack', 'single', 'ep')) AS rival FROM fv_bucketed GROUP BY 1)")
+def needs_adjudication(v):
+    return rs.needs_adjudication(v.candidate)
+
+
+@query("SELECT entity_id, count(DISTINCT rg_mbid) AS n_rgs, count(DISTINCT rg_mbid) >= 3 AS sufficient FROM fv_candidate GROUP BY 1")
+def local_sufficiency(v):
+    return rs.sufficient_locally(v.candidate)
+
+
+@query("SELECT entity_id, rg_mbid, count(release_mbid) AS n_releases, coalesce(string_agg(release_mbid, ',' ORDER BY release_mbid), '') AS releases FROM fv_cand LEFT JOIN fv_release USING (rg_mbid) GROUP BY 1, 2")
+def evidence_bundle(v):
+    rows = rs.evidence_bundle(v.candidate, v.release).select("entity_id", F.explode("rg_candidates").alias("g"))
+    return rows.select("entity_id", F.col("g.rg_mbid").alias("rg_mbid"), F.size("g.releases").cast("long").alias("n_releases"), F.array_join(F.col("g.releases.release_mbid"), ",").alias("releases"))
+
+
+@query("SELECT c.entity_id, 'r' || c.entity_id[2:] AS recording_mbid, c.rg_mbid, r.release_mbid, coalesce(r.is_official, true) AS is_official FROM fv_cand c JOIN fv_release r USING (rg_mbid) JOIN fv_recording_release x ON x.release_mbid = r.release_mbid AND x.recording_mbid = 'r' || c.entity_id[2:]")
+def evidence_convert(v):
+    rows = rs.distinct_candidates(v.candidate).withColumn("recording_mbid", F.concat(F.lit("r"), F.expr("substr(entity_id, 2)")))
+    pairs = v.release.select("rg_mbid", "release_mbid", F.coalesce("is_official", F.lit(True)).alias("is_official"))
+    return rows.select("entity_id", "recording_mbid", "rg_mbid").join(pairs, "rg_mbid").join(v.recording_release, ["recording_mbid", "release_mbid"])
+
+
+EXTRA_VIEWS["fv_override"] = """SELECT 'file' AS scope, 'e' || p_partkey AS scope_key, 'o' || t AS target_rg, NULL AS target_release, '' AS directive, t AS created_at FROM part CROSS JOIN (VALUES (1), (2)) x(t) WHERE p_partkey % 50 = 0
+  UNION ALL SELECT DISTINCT 'track', lower(p_brand) || ' // ' || lower(p_name), NULL, 'q' || t, 'prefer_rg=p' || t || '; prefer_release=z', t FROM part CROSS JOIN (VALUES (1), (2)) x(t) WHERE p_partkey % 70 = 0
+  UNION ALL SELECT DISTINCT 'artist', lower(p_brand), NULL, NULL, CASE WHEN CAST(p_brand[7:] AS INTEGER) % 18 = 0 THEN 'nothing' ELSE 'prefer_rg=a' || t END, t FROM part CROSS JOIN (VALUES (1), (2)) x(t) WHERE CAST(p_brand[7:] AS INTEGER) % 9 = 0"""
+
+
+def overrides(v):
+    p = v.table("part").withColumn("t", F.explode(F.array(F.lit(1), F.lit(2))))
+    n = F.substring("p_brand", 7, 10).cast("int")
+    none = F.lit(None).cast("string")
+    text = lambda letter: F.concat(F.lit(letter), F.col("t").cast("string"))
+    columns = lambda scope, key, rg, release, directive: [F.lit(scope).alias("scope"), key.alias("scope_key"), rg.alias("target_rg"), release.alias("target_release"), directive.alias("directive"), F.col("t").alias("created_at")]
+    file = p.filter("p_partkey % 50 = 0").select(columns("file", F.concat(F.lit("e"), "p_partkey"), text("o"), none, F.lit("")))
+    track = p.filter("p_partkey % 70 = 0").select(columns("track", F.concat_ws(" // ", F.lower("p_brand"), F.lower("p_name")), none, text("q"), F.concat(F.lit("prefer_rg="), text("p"), F.lit("; prefer_release=z")))).distinct()
+    artist = p.filter(n % 9 == 0).select(columns("artist", F.lower("p_brand"), none, none, F.when(n % 18 == 0, "nothing").otherwise(F.concat(F.lit("prefer_rg="), text("a"))))).distinct()
+    return file.unionByName(track).unionByName(artist)
+
+
+EXTRA_VIEWS["fv_rule"] = """SELECT scope, scope_key, arg_max(rg, created_at) AS rg, arg_max(coalesce(rel, '~'), created_at) AS rel FROM (SELECT *, coalesce(target_rg, nullif(regexp_extract(directive, 'prefer_rg=([^;\\s]+)', 1), '')) AS rg,
+  coalesce(target_release, nullif(regexp_extract(directive, 'prefer_release=([^;\\s]+)', 1), '')) AS rel FROM fv_override) WHERE rg IS NOT NULL GROUP BY 1, 2"""
+
+
+@query("""SELECT entity_id, coalesce(f.rg, t.rg, a.rg, d.crg) AS crg, coalesce(nullif(CASE WHEN f.rg IS NOT NULL THEN f.rel WHEN t.rg IS NOT NULL THEN t.rel ELSE a.rel END, '~'), d.rr) AS rr,
+  CASE WHEN f.rg IS NOT NULL THEN 'file' WHEN t.rg IS NOT NULL THEN 'track' WHEN a.rg IS NOT NULL THEN 'artist' END AS scope, CASE WHEN coalesce(f.rg, t.rg, a.rg) IS NOT NULL THEN 'CRG:MANUAL_OVERRIDE' ELSE crg_rationale END AS crg_rationale
+FROM fv_decision d JOIN part p ON 'e' || p_partkey = entity_id
+LEFT JOIN fv_rule f ON f.scope = 'file' AND f.scope_key = entity_id LEFT JOIN fv_rule t ON t.scope = 'track' AND t.scope_key = lower(p_brand) || ' // ' || lower(p_name) LEFT JOIN fv_rule a ON a.scope = 'artist' AND a.scope_key = lower(p_brand)""")
+def override_apply(v):
+    keys = v.table("part").select(F.concat(F.lit("e"), "p_partkey").alias("entity_id"), F.concat_ws(" // ", F.lower("p_brand"), F.lower("p_name")).alias("track_key"), F.lower("p_brand").alias("artist_key"))
+    rows = decisions(v).join(keys, "entity_id").withColumn("file_key", F.col("entity_id"))
+    return rs.apply_overrides(rows, overrides(v)).select("entity_id", "crg", "rr", "scope", "crg_rationale")
+
+
+EXTRA_VIEWS |= {
+    "fv_h1": """SELECT *, CASE WHEN popularity >= 70 THEN least(0.99, confidence + 0.05) WHEN popularity >= 50 THEN least(0.99, confidence + 0.03) WHEN popularity >= 30 THEN least(0.99, confidence + 0.01) ELSE confidence END AS c1,
+    CASE WHEN popularity >= 70 THEN 'very_popular' WHEN popularity >= 50 THEN 'popular' WHEN popularity >= 30 THEN 'moderate' END AS tier, lower(trim(artist_name)) || '|' || lower(trim(title)) AS key, split_part(source, '_', 1) AS prefix,
+    trim(replace(replace(replace(replace(replace(lower(label), ' records', ''), ' music', ''), ' entertainment', ''), ' inc.', ''), ' ltd.', '')) AS lab FROM fv_hit""",
+    "fv_h2": """SELECT *, CASE WHEN n < 2 OR y1 IS NULL THEN c1 WHEN y2 - y1 <= 1 THEN least(0.99, c1 + 0.05) ELSE greatest(0.0, c1 - 0.10) END AS c2, CASE WHEN n >= 2 AND y2 - y1 > 1 THEN y1 || '-' || y2 END AS date_range
+  FROM (SELECT *, count(*) OVER w AS n, min(CAST(year AS INTEGER)) OVER w AS y1, max(CAST(year AS INTEGER)) OVER w AS y2 FROM fv_h1 WINDOW w AS (PARTITION BY key))""",
+    "fv_h3": """SELECT h.*, CASE WHEN lab IS NOT NULL AND n_src >= 2 AND n_lab = 1 THEN least(0.99, c2 + 0.03) ELSE c2 END AS c3
+  FROM fv_h2 h LEFT JOIN (SELECT key, count(*) AS n_src, count(DISTINCT last_label) AS n_lab FROM (SELECT key, prefix, arg_max(lab, hit_id) AS last_label FROM fv_h2 WHERE lab IS NOT NULL GROUP BY 1, 2) GROUP BY 1) USING (key)""",
+}
+
+
+@query("SELECT hit_id, source, isrc, confidence FROM fv_hit")
+def source_union(v):
+    return v.hit.select("hit_id", "source", "isrc", "confidence")
+
+
+@query("SELECT hit_id, tier, round(c1, 6) AS confidence FROM fv_h1")
+def popularity_boost(v):
+    return sc.popularity_boost(v.hit).select("hit_id", "tier", F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT hit_id, date_range, round(c2, 6) AS confidence FROM fv_h2")
+def date_validation(v):
+    return sc.date_validation(sc.popularity_boost(v.hit)).select("hit_id", "date_range", F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT hit_id, round(c3, 6) AS confidence FROM fv_h3")
+def label_validation(v):
+    return sc.label_validation(sc.date_validation(sc.popularity_boost(v.hit))).select("hit_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT hit_id, n_sources, round(CASE WHEN n_sources >= 3 THEN least(0.99, c3 + 0.15) WHEN n_sources >= 2 THEN least(0.99, c3 + 0.10) ELSE c3 END, 6) AS confidence FROM fv_h3 JOIN (SELECT key, count(DISTINCT prefix) AS n_sources FROM fv_h1 GROUP BY 1) USING (key)")
+def multi_source_boost(v):
+    return sc.score_hits(v.hit).select("hit_id", "n_sources", F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT h.hit_id, h.isrc, min(r.recording_mbid) AS recording_mbid, CAST(0.95 AS DOUBLE) AS confidence FROM fv_hit h JOIN (SELECT recording_mbid, unnest(isrcs) AS isrc FROM fv_recording) r USING (isrc) WHERE h.source = 'streambase_isrc' AND h.isrc NOT IN (SELECT isrc FROM fv_hit WHERE source = 'musicbase_isrc' AND isrc IS NOT NULL) GROUP BY 1, 2")
+def isrc_cross_link(v):
+    return sc.isrc_cross_link(v.hit, v.recording)
