@@ -1,4 +1,9 @@
-"""Fuzzy search of many queries at once: blocking first, similarity only within blocks."""
+"""Fuzzy search of many queries at once: blocking first, similarity only within blocks.
+
+Queries are rows (query_id, artist, title, length_ms), normalized; recordings are rows (recording_mbid, artist_normalized, title_normalized,
+length_ms). No plan compares all with all: a text that contains a query holds the query's first trigram, and fuzzy matches share
+at least one word of the artist and one trigram of the title.
+"""
 
 from __future__ import annotations
 
@@ -11,3 +16,90 @@ from chartloom.functions import similarity as sim
 def blocked_pairs(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column) -> DataFrame:
     """Pairs of rows with the same key: an equi-join, so that no plan compares all with all."""
     return left.withColumn("_block", left_key).join(right.withColumn("_block", right_key), "_block").drop("_block")
+
+
+def trigrams(text: Column) -> Column:
+    """Distinct trigrams; a shorter text is its own."""
+    return F.when(F.length(text) < 3, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substr(text, i, F.lit(3)))))
+
+
+def like(rows: DataFrame, column: str, text: str, key: str, limit: int = 10) -> DataFrame:
+    """Rows whose column contains a text in any case, the first ones by name and key."""
+    return rows.filter(F.contains(F.lower(column), F.lit(text.lower()))).orderBy(column, key).limit(limit)
+
+
+def length_fits(asked: Column, length: Column, tolerance: float) -> Column:
+    """Within a share of the asked length, bounds cut to whole numbers; no length asked fits all, an unknown one never does."""
+    return asked.isNull() | length.between((asked * (1 - tolerance)).cast("int"), (asked * (1 + tolerance)).cast("int"))
+
+
+def containing(queries: DataFrame, recordings: DataFrame, tolerance: float = 0.1, limit: int = 50) -> DataFrame:
+    """(query_id, recording_mbid): recordings whose title and artist contain the query's, of a fitting length; the first by id."""
+    titles = recordings.select("title_normalized").distinct().withColumn("_t", F.explode(trigrams(F.col("title_normalized"))))
+    asked = queries.withColumn("_t", F.substring("title", 1, 3))
+    named = asked.join(titles, "_t").filter(F.contains("title_normalized", "title")).drop("_t")
+    hits = named.join(recordings.withColumnRenamed("length_ms", "rec_ms"), "title_normalized").filter(F.contains("artist_normalized", "artist") & length_fits(F.col("length_ms"), F.col("rec_ms"), tolerance))
+    w = Window.partitionBy("query_id").orderBy("recording_mbid")
+    return hits.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).select("query_id", "recording_mbid")
+
+
+def similar(queries: DataFrame, recordings: DataFrame, title_at_least: float = 80.0, artist_at_least: float = 80.0, limit: int = 50) -> DataFrame:
+    """(query_id, recording_mbid, score): the smaller of both ratios, best first.
+
+    Names are compared once for each distinct pair. Pairs that share no artist word or no title trigram aren't seen.
+    """
+    names = recordings.select("artist_normalized", "title_normalized").distinct()
+    asked = queries.select("artist", "title").distinct()
+    left = asked.withColumn("_w", F.explode(F.array_distinct(F.split("artist", r"\s+")))).withColumn("_t", F.explode(trigrams(F.col("title"))))
+    right = names.withColumn("_w", F.explode(F.array_distinct(F.split("artist_normalized", r"\s+")))).withColumn("_t", F.explode(trigrams(F.col("title_normalized"))))
+    fits = sim.can_reach(F.col("artist"), F.col("artist_normalized"), artist_at_least) & sim.can_reach(F.col("title"), F.col("title_normalized"), title_at_least)
+    pairs = left.join(right, ["_w", "_t"]).filter(fits).select("artist", "title", "artist_normalized", "title_normalized").distinct()
+    scored = pairs.withColumns({"_a": sim.ratio("artist", "artist_normalized"), "_r": sim.ratio("title", "title_normalized")}).filter((F.col("_a") >= artist_at_least) & (F.col("_r") >= title_at_least))
+    scored = scored.select("artist", "title", "artist_normalized", "title_normalized", F.least("_a", "_r").alias("score"))
+    hits = queries.join(scored, ["artist", "title"]).join(recordings.drop("length_ms"), ["artist_normalized", "title_normalized"])
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "recording_mbid")
+    return hits.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).select("query_id", "recording_mbid", "score")
+
+
+def search_fuzzy(queries: DataFrame, recordings: DataFrame) -> DataFrame:
+    """Recordings that contain the query; for queries without any, similar ones with a score of 80 or more."""
+    first = containing(queries, recordings)
+    rest = queries.join(first.select("query_id").distinct(), "query_id", "left_anti")
+    return first.withColumns({"score": F.lit(100.0), "tier": F.lit(1)}).unionByName(similar(rest, recordings).withColumn("tier", F.lit(2)))
+
+
+def dedupe_first(hits: DataFrame, by: list[str], order: list) -> DataFrame:
+    return hits.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def search_stages(queries: DataFrame, recordings: DataFrame, enough: int = 5) -> DataFrame:
+    """(query_id, recording_mbid, stage): stages add up until a query has enough distinct recordings; the first stage of a recording wins.
+
+    Stage 1 contains the query at +-10% length, stage 2 is similar (title 70, artist 60), stage 3 is any recording of a similar artist
+    whose title is similar at 70. Each later stage runs only for the queries that still lack results.
+    """
+    found = containing(queries, recordings).withColumn("stage", F.lit(1))
+    for stage, artist in ((2, 60.0), (3, 50.0)):
+        counts = found.groupBy("query_id").agg(F.count_distinct("recording_mbid").alias("n"))
+        lacking = queries.join(counts.filter(F.col("n") >= enough), "query_id", "left_anti")
+        found = found.unionByName(similar(lacking, recordings, 70.0, artist, 100).select("query_id", "recording_mbid").withColumn("stage", F.lit(stage)))
+    return dedupe_first(found, ["query_id", "recording_mbid"], ["stage"])
+
+
+def stage_summary(hits: DataFrame, stages: DataFrame) -> DataFrame:
+    """Results of each stage, with zero where there are none."""
+    return stages.join(hits.groupBy("stage").agg(F.count("*").alias("n")), "stage", "left").select("stage", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def song_lookup(queries: DataFrame, songs: DataFrame, least: float = 0.7) -> DataFrame:
+    """(query_id, song_id, score): the song of exactly these names, else the best of 0.4 artist + 0.6 title among songs that share a title trigram."""
+    exact = queries.join(songs.select(F.col("artist_canonical").alias("artist"), F.col("title_canonical").alias("title"), "song_id"), ["artist", "title"])
+    rest = queries.join(exact.select("query_id"), "query_id", "left_anti")
+    left = rest.withColumn("_t", F.explode(trigrams(F.col("title"))))
+    right = songs.withColumn("_t", F.explode(trigrams(F.col("title_canonical"))))
+    pairs = left.join(right, "_t").select("query_id", "artist", "title", "song_id", "artist_canonical", "title_canonical").distinct()
+    titles = pairs.select("title", "title_canonical").distinct().withColumn("_r", sim.ratio("title", "title_canonical") / 100)
+    artists = pairs.select("artist", "artist_canonical").distinct().withColumn("_a", sim.ratio("artist", "artist_canonical") / 100)
+    scored = pairs.join(titles, ["title", "title_canonical"]).join(artists, ["artist", "artist_canonical"]).withColumn("score", F.round(0.4 * F.col("_a") + 0.6 * F.col("_r"), 6)).filter(F.col("score") >= least)
+    best = dedupe_first(scored, ["query_id"], [F.desc("score"), "song_id"])
+    return exact.select("query_id", "song_id", F.lit(1.0).alias("score")).unionByName(best.select("query_id", "song_id", "score"))

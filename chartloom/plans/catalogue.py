@@ -1 +1,278 @@
-"""Queries."""
+"""Queries on sources, the catalogue and search."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chartloom.operators import catalogue as ct
+from chartloom.operators import resolution as rs
+from chartloom.operators import search
+from chartloom.plans.registry import EXTRA_VIEWS, query
+from chartloom.sources import snapshots as sn
+
+EXTRA_VIEWS |= {
+    "fv_version": """SELECT page_id, url, 1000 + page_id % 50 AS cached_at, 1000 + page_id % 50 + CASE WHEN page_id % 3 = 0 THEN 10 ELSE 100 END AS expires_at, CASE WHEN page_id % 11 = 0 THEN 404 ELSE 200 END AS status
+  FROM (SELECT page_id, split_part(url, '?', 1) AS url FROM pages)""",
+    "fv_rec": "SELECT 'r' || p_partkey AS recording_mbid, lower(p_brand) AS artist_normalized, lower(p_name) AS title_normalized, p_size * 1000 AS length_ms FROM part",
+    "fv_query": """SELECT DISTINCT 'q' || (p_partkey % 97) AS query_id, lower(p_brand) AS artist, CASE WHEN p_partkey % 2 = 0 THEN lower(p_name) ELSE lower(p_name[3:]) END AS title, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size * 1000 END AS length_ms
+  FROM part WHERE p_partkey < 97""",
+    "fv_work": "SELECT recording_mbid, title AS work_id, artist_mbid FROM fv_recording",
+}
+
+
+def versions(v):
+    p = v.table("pages")
+    cached = F.col("page_id") % 50 + 1000
+    return p.select("page_id", F.split("url", r"\?")[0].alias("url"), cached.alias("cached_at"), (cached + F.when(F.col("page_id") % 3 == 0, 10).otherwise(100)).alias("expires_at"), F.when(F.col("page_id") % 11 == 0, 404).otherwise(200).alias("status"))
+
+
+def recs(v):
+    return v.table("part").select(F.concat(F.lit("r"), "p_partkey").alias("recording_mbid"), F.lower("p_brand").alias("artist_normalized"), F.lower("p_name").alias("title_normalized"), (F.col("p_size") * 1000).alias("length_ms"))
+
+
+def asked(v):
+    k = F.col("p_partkey")
+    title = F.when(k % 2 == 0, F.lower("p_name")).otherwise(F.lower(F.expr("substr(p_name, 3)")))
+    return v.table("part").filter("p_partkey < 97").select(F.concat(F.lit("q"), (k % 97).cast("string")).alias("query_id"), F.lower("p_brand").alias("artist"), title.alias("title"), F.when(k % 5 != 0, F.col("p_size") * 1000).alias("length_ms")).distinct()
+
+
+LI = "regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)"
+
+
+def sql_plain(x: str) -> str:
+    out = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    for entity, to in sn.ENTITIES:
+        out = f"replace({out}, '{entity}', '{to.replace(chr(39), chr(39) * 2)}')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, CAST(rank AS INTEGER) AS rank, {sql_plain('h')} AS title_raw FROM (SELECT page_id, unnest({LI}) AS h, unnest(range(1, len({LI}) + 1)) AS rank FROM pages) WHERE {sql_plain('h')} <> ''")
+def pages_list_items(v):
+    return sn.list_items(v.table("pages").select("page_id", "html"))
+
+
+@query("SELECT page_id, url, cached_at, expires_at, status FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY cached_at DESC, page_id DESC) AS n FROM fv_version WHERE expires_at > 1050) WHERE n = 1 AND status <> 404")
+def pages_latest_valid(v):
+    return sn.latest_valid(versions(v), F.lit(1050))
+
+
+@query("SELECT count(*) FILTER (expires_at <= 1050) AS purged, count(*) FILTER (expires_at > 1050) AS kept FROM fv_version")
+def purge_expired(v):
+    return versions(v).agg(F.count_if(F.col("expires_at") <= 1050).alias("purged"), F.count_if(F.col("expires_at") > 1050).alias("kept"))
+
+
+def songs_by_year(v):
+    """Each song with a map of its best rank in every year, some of them no numbers."""
+    best = v.entry.groupBy("artist_raw", "title_raw", F.substring("period", 1, 4).alias("year")).agg(F.min("rank").alias("rank"))
+    value = F.when(F.col("year") == "1997", "new").otherwise(F.col("rank").cast("string"))
+    return best.groupBy("artist_raw", "title_raw").agg(F.map_from_entries(F.collect_list(F.struct("year", value))).alias("years"))
+
+
+UNPIVOTED = "SELECT artist_raw, title_raw, substr(period, 1, 4) AS year, min(rank) AS rank FROM fv_entry WHERE substr(period, 1, 4) <> '1997' GROUP BY 1, 2, 3 HAVING min(rank) <= 30"
+
+
+@query(UNPIVOTED)
+def unpivot_years(v):
+    return sn.unpivot_years(songs_by_year(v), "years", 30)
+
+
+@query("SELECT artist_raw, title_raw, substr(period, 1, 4) AS year, min(rank) AS rank FROM fv_entry WHERE substr(period, 1, 4) <> '1997' GROUP BY 1, 2, 3")
+def src_pivoted_years_json(v):
+    docs = songs_by_year(v).select(F.to_json(F.array(F.struct(F.col("artist_raw").alias("artist"), F.col("title_raw").alias("title"), "years"))).alias("json"))
+    return sn.pivoted_json(docs)
+
+
+@query("SELECT run_id, rank, artist_raw, title_raw FROM fv_entry")
+def src_entries_json(v):
+    docs = v.entry.groupBy("run_id").agg(F.to_json(F.collect_list(F.array(F.col("rank").cast("string"), "artist_raw", "title_raw"))).alias("json"))
+    return sn.entries_json(docs)
+
+
+@query("SELECT run_id, rank, previous_position, artist_raw, title_raw FROM fv_entry WHERE rank <> 7")
+def src_positions_json(v):
+    position = F.struct(F.when(F.col("rank") != 7, F.col("rank").cast("string")).otherwise("x").alias("current"), F.col("previous_position").alias("previous"))
+    item = F.struct(position.alias("position"), F.struct(F.col("artist_raw").alias("artist"), F.col("title_raw").alias("title")).alias("track"))
+    docs = v.entry.groupBy("run_id").agg(F.to_json(F.struct(F.collect_list(item).alias("positions"))).alias("json"))
+    return sn.positions_json(docs)
+
+
+def chart_pages(v):
+    """Runs as pages: tables, list items or lines, by the last digit of the month."""
+    kind = F.substring("period", 7, 1).cast("int") % 3
+    cell = lambda c: F.concat(F.lit("<td>"), F.col(c).cast("string"), F.lit("</td>"))
+    line = F.concat_ws("", F.col("rank").cast("string"), F.lit(". "), "artist_raw", F.lit(" - "), "title_raw")
+    row = F.when(kind == 0, F.concat(F.lit("<tr>"), cell("rank"), cell("artist_raw"), cell("title_raw"), F.lit("</tr>"))).when(kind == 1, F.concat(F.lit("<li>"), line, F.lit("</li>"))).otherwise(line)
+    return v.entry.groupBy("run_id").agg(F.array_join(F.collect_list(row), "\n").alias("html"))
+
+
+@query("SELECT run_id, rank, artist_raw, title_raw, CAST(substr(period, 7, 1) AS INTEGER) % 3 AS way FROM fv_entry")
+def pages_strategy_fallback(v):
+    return sn.first_that_works(chart_pages(v), "run_id")
+
+
+@query("SELECT run_id, rank, artist_raw, title_raw FROM fv_entry WHERE CAST(substr(period, 7, 1) AS INTEGER) % 3 = 0")
+def pages_table_rows(v):
+    return sn.table_rows(chart_pages(v))
+
+
+@query("SELECT run_id, rank, artist_raw, title_raw FROM fv_entry WHERE CAST(substr(period, 7, 1) AS INTEGER) % 3 = 2")
+def pages_text_lines(v):
+    return sn.text_lines(chart_pages(v).filter(~F.col("html").contains("<")))
+
+
+@query("SELECT hit_id, split_part(source, '_', 1) || '-release-' || split_part(hit_id, '-', 2) AS release_id, split_part(source, '_', 1) || '-recording-' || split_part(hit_id, '-', 2) AS recording_id, split_part(source, '_', 1) || '-artist-' || lower(artist_name) AS artist_id FROM fv_hit")
+def synthetic_ids(v):
+    return ct.synthetic_ids(v.hit)
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_partkey + 1 AS VARCHAR) END AS master_id, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) END AS release_id, CASE WHEN p_partkey % 5 = 0 THEN 'Q' || p_partkey END AS item_id FROM part")
+def discogs_ids_from_urls(v):
+    k = F.col("p_partkey")
+    rel = lambda kind, prefix, n, when: F.when(when, F.struct(F.lit(kind).alias("type"), F.concat(F.lit(prefix), n.cast("string")).alias("url")))
+    rows = F.array_compact(F.array(
+        rel("discogs", "https://d.example/master/", k, k % 4 != 0), rel("discogs", "https://d.example/master/", k + 1, k % 4 != 0), rel("discogs", "https://d.example/release/", k, k % 3 == 0),
+        rel("wikidata", "https://w.example/wiki/Q", k, k % 5 == 0), rel("wikidata", "https://w.example/wiki/Q9", k, k % 5 == 0), rel("other", "https://d.example/master/7", k, F.lit(True)),
+    ))
+    return ct.ids_from_urls(v.table("part").select(k.alias("id"), rows.alias("relations")))
+
+
+@query("SELECT 'a' || s_suppkey AS artist_mbid, CASE WHEN s_suppkey % 4 = 0 THEN n_name WHEN s_suppkey % 4 = 1 THEN 'ISO-' || s_nationkey WHEN s_suppkey % 4 = 2 THEN 'P27-' || s_nationkey WHEN s_suppkey % 8 = 3 THEN 'P740-' || s_nationkey END AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def origin_country(v):
+    s = v.table("supplier").join(v.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).withColumn("artist_mbid", F.concat(F.lit("a"), "s_suppkey"))
+    key = F.col("s_suppkey")
+    artists = s.select("artist_mbid", F.when(key % 4 == 0, F.col("n_name")).alias("area_country"), F.when(key % 4 == 1, F.array(F.concat(F.lit("ISO-"), "s_nationkey"), F.lit("XX"))).alias("iso_codes"))
+    claim = lambda p, when: s.filter(when).select("artist_mbid", F.lit(p).alias("property"), F.lit(0).alias("place"), F.concat_ws("-", F.lit(p), F.col("s_nationkey").cast("string")).alias("country"))
+    return ct.origin_country(artists, claim("P740", key % 8 != 7).unionByName(claim("P27", key % 4 == 2)))
+
+
+@query("SELECT artist_mbid, name FROM fv_artist WHERE contains(lower(name), '00001') ORDER BY name, artist_mbid LIMIT 10")
+def like_search(v):
+    return search.like(v.artist, "name", "00001", "artist_mbid").select("artist_mbid", "name")
+
+
+@query("SELECT query_id, recording_mbid FROM fv_query JOIN fv_rec ON title = title_normalized AND contains(artist_normalized, artist)")
+def exact_title_artist_search(v):
+    return asked(v).drop("length_ms").join(recs(v), F.col("title") == F.col("title_normalized")).filter(F.contains("artist_normalized", "artist")).select("query_id", "recording_mbid")
+
+
+@query("SELECT query_id, recording_mbid FROM fv_query q JOIN fv_rec r ON title = title_normalized AND (q.length_ms IS NULL OR r.length_ms BETWEEN CAST(trunc(q.length_ms * 0.9) AS INTEGER) AND CAST(trunc(q.length_ms * 1.1) AS INTEGER))")
+def length_range(v):
+    rows = recs(v).withColumnRenamed("length_ms", "rec_ms")
+    return asked(v).join(rows, F.col("title") == F.col("title_normalized")).filter(search.length_fits(F.col("length_ms"), F.col("rec_ms"), 0.1)).select("query_id", "recording_mbid")
+
+
+CONTAINING = "SELECT query_id, recording_mbid FROM (SELECT query_id, recording_mbid, row_number() OVER (PARTITION BY query_id ORDER BY recording_mbid) AS n FROM fv_query q JOIN fv_rec r ON contains(title_normalized, title) AND contains(artist_normalized, artist) AND (q.length_ms IS NULL OR r.length_ms BETWEEN CAST(trunc(q.length_ms * 0.9) AS INTEGER) AND CAST(trunc(q.length_ms * 1.1) AS INTEGER))) WHERE n <= 50"
+
+
+@query(CONTAINING)
+def search_contains(v):
+    return search.containing(asked(v), recs(v))
+
+
+@query(None)
+def search_fuzzy(v):
+    return search.search_fuzzy(asked(v), recs(v))
+
+
+@query(None)
+def search_stages(v):
+    return search.search_stages(asked(v), recs(v))
+
+
+@query(f"SELECT s AS stage, CASE WHEN s = 1 THEN (SELECT count(*) FROM ({CONTAINING})) ELSE 0 END AS n FROM (VALUES (1), (2), (3), (4)) t(s)")
+def stage_summary(v):
+    stages = v.spark.range(1, 5).select(F.col("id").cast("int").alias("stage"))
+    return search.stage_summary(search.containing(asked(v), recs(v)).withColumn("stage", F.lit(1)), stages)
+
+
+@query(None)
+def song_lookup(v):
+    return search.song_lookup(asked(v), v.song)
+
+
+@query("SELECT key, min(hit_id) AS hit_id FROM (SELECT lower(artist_name) || '|' || lower(title) AS key, hit_id FROM fv_hit) GROUP BY 1")
+def dedupe_first(v):
+    rows = v.hit.select(F.concat_ws("|", F.lower("artist_name"), F.lower("title")).alias("key"), "hit_id")
+    return search.dedupe_first(rows, ["key"], ["hit_id"])
+
+
+@query("SELECT event_id, value / 100 AS score FROM events WHERE value / 100 >= 0.1 AND (event_id % 7 = 0 OR abs(event_id % 60 - user_id % 60) <= 2)")
+def fingerprint_filter(v):
+    rows = v.table("events").select("event_id", (F.col("value") / 100).alias("score"), F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 60).alias("duration"), (F.col("user_id") % 60).alias("file_duration"))
+    return ct.fingerprint_filter(rows, 0.1).select("event_id", "score")
+
+
+RGS = "SELECT DISTINCT recording_mbid, rg_mbid FROM fv_recording_release JOIN fv_release USING (release_mbid) JOIN fv_rg USING (rg_mbid)"
+
+
+@query(RGS)
+def rgs_for_recordings(v):
+    return ct.rgs_for_recordings(v.recording_release, v.release, v.rg)
+
+
+@query("SELECT artist_mbid, rg_mbid, first_release_date, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY artist_mbid ORDER BY first_release_date NULLS LAST, rg_mbid) AS INTEGER) AS place FROM fv_rg WHERE artist_mbid IN (SELECT artist_mbid FROM fv_artist)) WHERE place <= 5")
+def rgs_for_artists(v):
+    return ct.rgs_for_artists(v.artist, v.rg, 5)
+
+
+@query(f"SELECT rg_mbid, count(*) AS n_recordings FROM ({RGS}) GROUP BY 1")
+def recordings_for_rgs(v):
+    return ct.rgs_for_recordings(v.recording_release, v.release, v.rg).groupBy("rg_mbid").agg(F.count("*").alias("n_recordings"))
+
+
+@query("SELECT rg_mbid, release_mbid, date FROM fv_release WHERE rg_mbid IN (SELECT rg_mbid FROM fv_rg WHERE type = 'EP')")
+def releases_in_rg(v):
+    return v.release.join(v.rg.filter("type = 'EP'"), "rg_mbid", "left_semi").select("rg_mbid", "release_mbid", "date")
+
+
+@query("SELECT recording_mbid, rg_mbid, min(CAST(substr(date, 1, 4) AS INTEGER)) AS first_year FROM fv_recording_release JOIN fv_release USING (release_mbid) GROUP BY 1, 2")
+def rgs_for_recording_pg(v):
+    return ct.first_year_by_group(v.recording_release, v.release)
+
+
+@query("SELECT seed, recording_mbid, place FROM (SELECT s.recording_mbid AS seed, w.recording_mbid, CAST(row_number() OVER (PARTITION BY s.recording_mbid ORDER BY w.recording_mbid <> s.recording_mbid, w.recording_mbid) AS INTEGER) AS place FROM fv_work s JOIN fv_work w ON s.work_id = w.work_id AND s.artist_mbid = w.artist_mbid) WHERE place <= 100")
+def work_siblings(v):
+    work = v.recording.select("recording_mbid", F.col("title").alias("work_id"), "artist_mbid")
+    return ct.work_siblings(work.select("recording_mbid"), work)
+
+
+CODES = "SELECT DISTINCT 'ISRC' || (p_partkey % 50) AS isrc FROM part"
+
+
+@query(f"SELECT DISTINCT isrc, recording_mbid FROM ({CODES}) JOIN (SELECT recording_mbid, unnest(isrcs) AS isrc FROM fv_recording) USING (isrc)")
+def isrc_lookup(v):
+    return ct.by_isrc(v.table("part").select(F.concat(F.lit("ISRC"), (F.col("p_partkey") % 50).cast("string")).alias("isrc")).distinct(), v.recording)
+
+
+@query(f"SELECT DISTINCT isrc, recording_mbid, rg_mbid FROM ({CODES}) JOIN (SELECT recording_mbid, unnest(isrcs) AS isrc FROM fv_recording) USING (isrc) JOIN ({RGS}) USING (recording_mbid)")
+def discover_by_isrc(v):
+    codes = v.table("part").select(F.concat(F.lit("ISRC"), (F.col("p_partkey") % 50).cast("string")).alias("isrc")).distinct()
+    return ct.by_isrc(codes, v.recording).join(ct.rgs_for_recordings(v.recording_release, v.release, v.rg), "recording_mbid")
+
+
+@query(f"SELECT DISTINCT query_id, recording_mbid, rg_mbid FROM ({CONTAINING}) JOIN ({RGS}) USING (recording_mbid)")
+def discover_by_title_artist_length(v):
+    return search.containing(asked(v), recs(v)).join(ct.rgs_for_recordings(v.recording_release, v.release, v.rg), "recording_mbid").select("query_id", "recording_mbid", "rg_mbid").distinct()
+
+
+@query(f"SELECT bucket, count(*) AS n FROM (SELECT DISTINCT query_id, rg_mbid, type, secondary_type IS NOT NULL AS comp, CASE WHEN lower(type) = 'soundtrack' THEN 'soundtrack' WHEN lower(type) = 'album' AND secondary_type IS NULL THEN 'studio_album' WHEN lower(type) = 'ep' THEN 'ep' WHEN lower(type) = 'single' THEN 'single' ELSE 'other' END AS bucket FROM ({CONTAINING}) JOIN ({RGS}) USING (recording_mbid) JOIN fv_rg USING (rg_mbid)) GROUP BY 1")
+def bucketed_from_search(v):
+    found = search.containing(asked(v), recs(v)).join(ct.rgs_for_recordings(v.recording_release, v.release, v.rg), "recording_mbid").join(v.rg, "rg_mbid")
+    candidates = found.select(F.col("query_id").alias("entity_id"), "rg_mbid", F.col("type").alias("primary_type"), F.col("secondary_type").isNotNull().alias("is_compilation"), "first_release_date", "artist_mbid", "title")
+    return rs.bucketed(candidates).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+EXTRA_VIEWS["fv_library"] = "SELECT 'f' || p_partkey AS file_id, CASE WHEN p_partkey % 6 = 0 THEN 'r' || p_partkey END AS recording_mbid, p_brand AS artist, upper(p_name) AS title FROM part WHERE p_partkey % 3 = 0"
+
+
+def library(v):
+    k = F.col("p_partkey")
+    return v.table("part").filter(k % 3 == 0).select(F.concat(F.lit("f"), k).alias("file_id"), F.when(k % 6 == 0, F.concat(F.lit("r"), k)).alias("recording_mbid"), F.col("p_brand").alias("artist"), F.upper("p_name").alias("title"))
+
+
+@query("""SELECT entry_id, arg_min(file_id, way) AS file_id, min(way) AS way FROM (
+  SELECT entry_id, l.file_id, 1 AS way FROM fv_entry JOIN fv_library l ON l.recording_mbid = 'r' || partkey
+  UNION ALL SELECT entry_id, min(l.file_id), 2 FROM fv_entry JOIN fv_library l ON lower(artist) = lower(artist_raw) AND lower(title) = lower(title_raw) GROUP BY 1) GROUP BY 1""")
+def library_match(v):
+    entries = v.entry.select("entry_id", F.concat(F.lit("r"), "partkey").alias("recording_mbid"), F.col("artist_raw").alias("artist"), F.col("title_raw").alias("title"))
+    return ct.library_match(entries, library(v))

@@ -1 +1,338 @@
-"""Queries."""
+"""Queries on ingest, linking, stored decisions, review and exports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chartloom.functions import ids
+from chartloom.functions import normalize as nz
+from chartloom.operators import aggregates as agg
+from chartloom.operators import decisions as dc
+from chartloom.operators import ingest as ig
+from chartloom.operators import resolution as rs
+from chartloom.plans.analytics import POSITIONS, WORK_SCORE
+from chartloom.plans.registry import EXTRA_VIEWS, query
+from chartloom.plans.resolution import decisions
+from chartloom.plans.text import titles
+
+
+@query("SELECT substr(sha256(chart_id || ':' || period), 1, 16) AS run_id, substr(sha256(string_agg(x, chr(10) ORDER BY x)), 1, 16) AS source_hash, count(*) AS n_entries FROM (SELECT chart_id, period, lpad(CAST(rank AS VARCHAR), 6, '0') || '|' || artist_raw || '|' || title_raw AS x FROM fv_entry) GROUP BY chart_id, period")
+def ingest_run(v):
+    return ig.content_hash(v.entry).select(ids.run_id(F.col("chart_id"), F.col("period")).alias("run_id"), "source_hash", "n_entries")
+
+
+@query("SELECT run_id, rank, substr(sha256(run_id || ':' || rank), 1, 16) AS plain, substr(sha256(run_id || ':' || rank || ':A'), 1, 16) AS sided FROM fv_entry")
+def entry_id(v):
+    return v.entry.select("run_id", "rank", ids.entry_id(F.col("run_id"), F.col("rank")).alias("plain"), ids.entry_id(F.col("run_id"), F.col("rank"), F.lit("A")).alias("sided"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name || '!' ELSE p_name END AS name, CAST(1 AS INTEGER) AS created_at FROM part UNION ALL SELECT p_partkey + 1000000, p_name, 2 FROM part WHERE p_partkey % 5 = 0")
+def upsert(v):
+    p = v.table("part")
+    target = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit(1).alias("created_at"))
+    changed = p.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("!")).alias("name"), F.lit(2).alias("created_at"))
+    added = p.filter("p_partkey % 5 = 0").select((F.col("p_partkey") + 1000000).alias("id"), F.col("p_name").alias("name"), F.lit(2).alias("created_at"))
+    return ig.merge_upsert(target, changed.unionByName(added), ["id"], ["created_at"])
+
+
+@query("SELECT song_id, coalesce(CASE WHEN length(title_canonical) % 2 = 0 THEN 'x-' || title_canonical END, recording_mbid) AS recording_mbid FROM fv_song")
+def update_song_ids(v):
+    new = v.song.select("song_id", F.when(F.length("title_canonical") % 2 == 0, F.concat(F.lit("x-"), "title_canonical")).alias("new_id"))
+    return v.song.join(new, "song_id", "left").select("song_id", F.coalesce("new_id", "recording_mbid").alias("recording_mbid"))
+
+
+@query("SELECT DISTINCT substr(sha256(lower(artist_raw) || ' // ' || lower(title_raw)), 1, 16) AS song_id, lower(artist_raw) AS artist_canonical, lower(title_raw) AS title_canonical FROM fv_entry WHERE lower(artist_raw) NOT LIKE '%1%'")
+def songs_get_or_create(v):
+    return ig.new_songs(v.entry, v.song.filter("artist_canonical like '%1%'"))
+
+
+EXTRA_VIEWS["fv_alias"] = "SELECT DISTINCT p_brand AS raw, 'alias ' || lower(p_brand) AS normalized FROM part WHERE CAST(p_brand[7:] AS INTEGER) % 5 = 0"
+
+
+def with_alias(v):
+    names = v.table("part").select(F.col("p_brand").alias("raw"), F.lower("p_brand").alias("core")).distinct()
+    aliases = v.table("part").filter(F.substring("p_brand", 7, 10).cast("int") % 5 == 0).select(F.col("p_brand").alias("raw"), F.concat(F.lit("alias "), F.lower("p_brand")).alias("normalized")).distinct()
+    return ig.with_aliases(names, aliases)
+
+
+@query("SELECT raw, coalesce(normalized, lower(raw)) AS core, CASE WHEN normalized IS NULL THEN 'auto' ELSE 'alias' END AS method FROM (SELECT DISTINCT p_brand AS raw FROM part) LEFT JOIN fv_alias USING (raw)")
+def alias_override(v):
+    return with_alias(v)
+
+
+@query("SELECT entry_id, 0 AS song_idx, substr(sha256(coalesce(normalized, lower(artist_raw)) || ' // ' || lower(title_raw)), 1, 16) AS song_id, CASE WHEN normalized IS NULL THEN 'auto' ELSE 'alias' END AS link_method, CAST(0.85 AS DOUBLE) AS link_confidence FROM fv_entry LEFT JOIN fv_alias ON raw = artist_raw")
+def link_entries_to_songs(v):
+    rows = v.entry.filter(~nz.has_tag(nz.normalize_title(F.col("title_raw"))["tags"], "karaoke")).join(with_alias(v), F.col("artist_raw") == F.col("raw"))
+    return rows.select("entry_id", F.lit(0).alias("song_idx"), ids.short_hash(F.concat_ws(" // ", "core", F.lower("title_raw"))).alias("song_id"), F.col("method").alias("link_method"), F.lit(0.85).alias("link_confidence"))
+
+
+EXTRA_VIEWS["fv_conf"] = """SELECT partkey, CASE WHEN len(list_filter(tags, lambda x: x LIKE 'karaoke/%' OR x LIKE '%/karaoke/%')) > 0 THEN 0.0
+  ELSE round(0.85 - CASE WHEN len(list_filter(tags, lambda x: x LIKE 'medley/%')) > 0 THEN 0.10 ELSE 0 END - CASE WHEN len(list_filter(tags, lambda x: x LIKE 'live/%')) > 0 THEN 0.05 ELSE 0 END
+    - 0.10 * len(list_filter(tags, lambda x: x LIKE 're_recording/%')) - CASE WHEN tags[1] LIKE 'medley%' THEN 0.15 ELSE 0 END, 6) END AS confidence FROM fv_title_norm"""
+
+
+@query("SELECT partkey, CAST(confidence AS DOUBLE) AS confidence FROM fv_conf")
+def link_confidence(v):
+    return titles(v).select("partkey", F.round(ig.entry_confidence(F.col("t.tags"), nz.entry_unit(F.col("t.tags"))), 6).alias("confidence"))
+
+
+@query("SELECT partkey, CASE WHEN c >= 0.6 THEN k END AS work_key, CAST(c AS DOUBLE) AS confidence FROM (SELECT partkey, k, CASE WHEN k IS NULL THEN 0.0 ELSE confidence END AS c FROM (SELECT partkey, CASE WHEN trim(a.core) <> '' AND trim(t.core) <> '' THEN substr(sha256(a.core || ' // ' || t.core), 1, 16) END AS k, confidence FROM fv_artist_norm a JOIN fv_title_norm t USING (partkey) JOIN fv_conf USING (partkey)))")
+def link_work(v):
+    from chartloom.plans.text import texts
+
+    return ig.link_works(texts(v)).select("partkey", "work_key", "confidence")
+
+
+@query("SELECT p_partkey AS partkey, crg AS release_anchor_id, CAST(CASE WHEN state = 'decided' THEN CASE WHEN p_partkey % 10 > 0 THEN (p_partkey % 10) / 10.0 ELSE 0.9 END WHEN state = 'indeterminate' THEN 0.5 ELSE 0.6 END AS DOUBLE) AS confidence, CASE WHEN state = 'decided' THEN 'multi_source' ELSE 'fallback' END AS link_method FROM part LEFT JOIN fv_decision ON entity_id = 'e' || p_partkey")
+def link_from_decisions(v):
+    own = decisions(v).withColumn("own_confidence", (F.expr("cast(substr(entity_id, 2) as bigint)") % 10) / 10.0)
+    entries = v.table("part").select(F.col("p_partkey").alias("partkey"), F.concat(F.lit("e"), "p_partkey").alias("entity_id"))
+    return ig.link_decisions(entries, own).select("partkey", "release_anchor_id", "confidence", "link_method")
+
+
+@query("SELECT chart_id, artist_core, title_core, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY chart_id ORDER BY score DESC, artist_core, title_core) AS INTEGER) AS place FROM (SELECT chart_id, lower(artist_raw) AS artist_core, lower(title_raw) AS title_core, CAST(sum(n - rank + 1) AS BIGINT) AS score FROM (SELECT *, count(*) OVER (PARTITION BY run_id) AS n FROM fv_entry) GROUP BY 1, 2, 3)) WHERE place <= 20")
+def link_priority(v):
+    return agg.top_per_group(agg.entry_scores(v.entry), ["chart_id"], [F.desc("score"), "artist_core", "title_core"], 20)
+
+
+@query("SELECT c.chart_id, strftime(m, '%Y-%m') AS period FROM fv_chart c CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '1994-11-01', TIMESTAMP '2001-12-01', INTERVAL 1 MONTH)) AS m) WHERE NOT EXISTS (SELECT 1 FROM fv_run r WHERE r.chart_id = c.chart_id AND r.period = strftime(m, '%Y-%m'))")
+def missing_periods(v):
+    return ig.missing_months(v.run, v.chart, "1994-11-01", "2001-12-01")
+
+
+@query("SELECT c.chart_id, y || '-W' || lpad(CAST(w AS VARCHAR), 2, '0') AS period FROM fv_chart c CROSS JOIN (SELECT y, unnest(range(1, week(make_date(y, 12, 28)) + 1)) AS w FROM (SELECT CAST(unnest(range(1995, 1999)) AS INTEGER) AS y)) WHERE w % 2 = 1 OR w > 40")
+def missing_weeks(v):
+    have = v.chart.select("chart_id", F.explode(F.sequence(F.lit(1995), F.lit(1998))).alias("y")).select("chart_id", "y", F.explode(F.sequence(F.lit(2), F.lit(40), F.lit(2))).alias("w"))
+    return ig.missing_weeks(have.select("chart_id", F.format_string("%04d-W%02d", "y", "w").alias("period")), v.chart, 1995, 1998)
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 AND p_brand <> 'Brand#0' THEN p_brand ELSE 'Brand#0' END AS artist, p_name AS title, CASE WHEN p_partkey % 2 = 0 AND p_brand <> 'Brand#0' THEN 'Brand#0' END AS original_artist, CASE WHEN p_partkey % 2 = 0 THEN 'w' || p_partkey END AS work_id, concat_ws(',', CASE WHEN p_partkey % 2 = 0 AND p_brand <> 'Brand#0' THEN 'artist' END, CASE WHEN p_partkey % 2 = 0 THEN 'work_id' END) AS written FROM part")
+def tag_merge(v):
+    p = v.table("part")
+    existing = p.select(F.col("p_partkey").alias("id"), F.lit("Brand#0").alias("artist"), F.col("p_name").alias("title"), F.lit(None).cast("string").alias("original_artist"), F.lit(None).cast("string").alias("work_id"))
+    new = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("artist"), F.lit(None).cast("string").alias("title"), F.concat(F.lit("w"), "p_partkey").alias("work_id"))
+    return ig.merge_tags(existing, new, "id", ["artist", "title"], ["work_id"], True)
+
+
+@query("SELECT entity_id, crg, rr, 'evh=' || substr(evidence_hash, 1, 8) AS tag FROM fv_decision JOIN fv_hash USING (entity_id) WHERE state = 'decided'")
+def assemble_tags(v):
+    return decisions(v).filter("state = 'decided'").join(rs.evidence_hash(v.candidate), "entity_id").select("entity_id", "crg", "rr", F.concat(F.lit("evh="), F.substring("evidence_hash", 1, 8)).alias("tag"))
+
+
+@query("SELECT partkey, coalesce(CASE WHEN partkey % 2 = 0 THEN 'kept' END, core) AS normalized FROM fv_title_norm")
+def backfill_normalized(v):
+    return titles(v).select("partkey", F.coalesce(F.when(F.col("partkey") % 2 == 0, "kept"), F.col("t.core")).alias("normalized"))
+
+
+@query("SELECT p_partkey AS partkey, coalesce(fix, p_name) AS title FROM part LEFT JOIN (SELECT DISTINCT lower(p_name) AS k, upper(p_name) AS fix FROM part WHERE p_name LIKE 'b%') ON k = lower(trim(p_name))")
+def title_corrections(v):
+    p = v.table("part")
+    fixes = p.filter("p_name like 'b%'").select(F.lower("p_name").alias("k"), F.upper("p_name").alias("fix")).distinct()
+    return p.join(fixes, F.lower(F.trim("p_name")) == F.col("k"), "left").select(F.col("p_partkey").alias("partkey"), F.coalesce("fix", "p_name").alias("title"))
+
+
+def blobs(v):
+    return ig.charts_blob(agg.work_chart_score(v.entry, v.link).withColumn("frequency", F.lit("m")), agg.work_chart_positions(v.link))
+
+
+BLOB_PARTS = f"SELECT work_key, chart_id, score, highest, positions FROM ({WORK_SCORE}) JOIN ({POSITIONS}) USING (work_key, chart_id)"
+BLOB = f"""SELECT work_key, CASE WHEN strlen(a) <= 3072 THEN a ELSE b END AS blob FROM (SELECT work_key,
+  '{{"v":1,"c":[' || string_agg('["' || chart_id || '",' || score || ',' || highest || ',"m",' || positions || ']', ',' ORDER BY score DESC, highest, chart_id) || ']}}' AS a,
+  '{{"v":1,"c":[' || string_agg('["' || chart_id || '",' || score || ',' || highest || ',"m"]', ',' ORDER BY score DESC, highest, chart_id) || ']}}' AS b FROM ({BLOB_PARTS}) GROUP BY 1)"""
+
+
+@query(BLOB)
+def charts_blob(v):
+    return blobs(v)
+
+
+@query(f"SELECT p.work_key, p.chart_id, p.score, p.highest, 'm' AS frequency, CASE WHEN contains(blob, '{{\"1') THEN p.positions END AS positions FROM ({BLOB_PARTS}) p JOIN ({BLOB}) USING (work_key)")
+def charts_blob_parse(v):
+    return ig.parse_blob(blobs(v))
+
+
+@query("SELECT run_id, rank, part, CASE WHEN part = 0 THEN '#EXTINF:' || points % 300 || ',' || artist_raw || ' - ' || title_raw ELSE '/music/' || partkey || '.mp3' END AS line FROM fv_entry CROSS JOIN (VALUES (0), (1)) t(part) WHERE partkey % 3 = 0")
+def playlist_rows(v):
+    rows = v.entry.filter("partkey % 3 = 0").select("run_id", "rank", (F.col("points") % 300).alias("seconds"), F.col("artist_raw").alias("artist"), F.col("title_raw").alias("title"), F.concat(F.lit("/music/"), "partkey", F.lit(".mp3")).alias("path"))
+    return ig.playlist_lines(rows)
+
+
+EXTRA_VIEWS["fv_stored"] = "SELECT entity_id AS file_id, crg, rr, state, CAST(100 AS INTEGER) AS created_at FROM fv_decision WHERE CAST(entity_id[2:] AS BIGINT) % 3 <> 0"
+
+
+def stored(v):
+    n = F.expr("cast(substr(file_id, 2) as bigint)")
+    return decisions(v).select(F.col("entity_id").alias("file_id"), "crg", "rr", "state").filter(n % 3 != 0).withColumn("created_at", F.lit(100))
+
+
+def fresh(v):
+    n = F.expr("cast(substr(file_id, 2) as bigint)")
+    return decisions(v).select(F.col("entity_id").alias("file_id"), F.when(n % 5 == 0, "changed").otherwise(F.col("crg")).alias("crg"), "rr", "state").filter(n % 2 == 0)
+
+
+FRESH = "(SELECT entity_id AS file_id, CASE WHEN CAST(entity_id[2:] AS BIGINT) % 5 = 0 THEN 'changed' ELSE crg END AS crg, rr, state FROM fv_decision WHERE CAST(entity_id[2:] AS BIGINT) % 2 = 0)"
+
+
+@query(f"SELECT coalesce(s.file_id, n.file_id) AS file_id, CASE WHEN n.file_id IS NULL THEN s.crg ELSE n.crg END AS crg, CASE WHEN n.file_id IS NULL THEN s.rr ELSE n.rr END AS rr, CASE WHEN n.file_id IS NULL THEN s.state ELSE n.state END AS state, CAST(coalesce(s.created_at, 200) AS INTEGER) AS created_at, CAST(CASE WHEN n.file_id IS NOT NULL THEN 200 END AS INTEGER) AS updated_at FROM fv_stored s FULL JOIN {FRESH} n ON s.file_id = n.file_id")
+def decision_upsert(v):
+    return dc.store(stored(v), fresh(v), F.lit(200))[0]
+
+
+@query(f"SELECT s.file_id, s.crg, s.rr, s.state, s.created_at, CAST(200 AS INTEGER) AS archived_at, 'refresh' AS reason FROM fv_stored s JOIN {FRESH} n USING (file_id)")
+def decision_history(v):
+    return dc.store(stored(v), fresh(v), F.lit(200))[1]
+
+
+@query("SELECT file_id, CASE WHEN CAST(file_id[2:] AS BIGINT) % 4 = 1 THEN 'stale_rules' ELSE state END AS state, CAST(file_id[2:] AS BIGINT) % 7 = 1 AS pinned FROM fv_stored")
+def pin_decision(v):
+    n = F.expr("cast(substr(file_id, 2) as bigint)")
+    changes = stored(v).select("file_id", F.when(n % 4 == 1, "stale_rules").alias("new_state"), (n % 7 == 1).alias("pinned"))
+    return stored(v).join(changes, "file_id").select("file_id", F.coalesce("new_state", "state").alias("state"), "pinned")
+
+
+DRIFT = """SELECT n.entity_id, d IS NOT NULL AS drifted, d AS state FROM (SELECT n.entity_id, CASE WHEN o.entity_id IS NULL THEN 'DECIDED' WHEN n.crg IS NOT DISTINCT FROM o.crg AND n.rr IS NOT DISTINCT FROM o.rr THEN NULL
+  WHEN o.h AND o.v THEN 'STALE-BOTH' WHEN o.h THEN 'STALE-EVIDENCE' WHEN o.v THEN 'STALE-RULES' ELSE 'STALE-NONDETERMINISTIC' END AS d
+  FROM fv_decision n LEFT JOIN (SELECT entity_id, CASE WHEN k % 5 = 0 THEN 'other' ELSE crg END AS crg, rr, k % 3 = 0 AS h, k % 4 = 0 AS v FROM (SELECT *, CAST(entity_id[2:] AS BIGINT) AS k FROM fv_decision) WHERE k % 11 <> 0) o USING (entity_id)) n"""
+
+
+def drifted(v):
+    n = F.expr("cast(substr(entity_id, 2) as bigint)")
+    new = decisions(v).join(rs.evidence_hash(v.candidate), "entity_id").withColumn("ruleset_version", F.lit("2"))
+    old = new.filter(n % 11 != 0).select(
+        "entity_id", F.when(n % 5 == 0, "other").otherwise(F.col("crg")).alias("crg"), "rr",
+        F.when(n % 3 == 0, "before").otherwise(F.col("evidence_hash")).alias("evidence_hash"), F.when(n % 4 == 0, "1").otherwise(F.col("ruleset_version")).alias("ruleset_version"),
+    )
+    return dc.drift(old, new)
+
+
+@query(DRIFT)
+def detect_drift(v):
+    return drifted(v)
+
+
+@query(f"SELECT state, n, place, entity_id FROM (SELECT state, entity_id, count(*) OVER (PARTITION BY state) AS n, CAST(row_number() OVER (PARTITION BY state ORDER BY entity_id) AS INTEGER) AS place FROM ({DRIFT}) WHERE state LIKE 'STALE%') WHERE place <= 10")
+def drift_summary(v):
+    stale = drifted(v).filter("state like 'STALE%'")
+    return agg.top_per_group(stale, ["state"], ["entity_id"], 10).join(stale.groupBy("state").agg(F.count("*").alias("n")), "state").select("state", "n", "place", "entity_id")
+
+
+@query(f"SELECT entity_id, state FROM ({DRIFT}) WHERE state LIKE 'STALE%'")
+def stale_decisions(v):
+    return drifted(v).filter("state like 'STALE%'").select("entity_id", "state")
+
+
+@query("SELECT entity_id, missing_facts FROM fv_decision WHERE state = 'indeterminate'")
+def indeterminate_list(v):
+    return decisions(v).filter("state = 'indeterminate'").select("entity_id", "missing_facts")
+
+
+@query("SELECT p_partkey AS partkey, CASE WHEN p_partkey % 2 = 0 THEN sha256(p_name || ':' || p_size) ELSE sha256('fallback:' || p_brand || ':' || p_size || ':' || p_partkey) END AS file_id FROM part")
+def file_id(v):
+    k = F.col("p_partkey")
+    return v.table("part").select(k.alias("partkey"), ids.file_id(F.when(k % 2 == 0, F.col("p_name")), F.col("p_size"), F.col("p_brand"), F.col("p_size"), k + 0.5).alias("file_id"))
+
+
+@query("SELECT scope, scope_key, coalesce(target_rg, '') AS target_rg, created_at, CAST(row_number() OVER (PARTITION BY scope ORDER BY created_at DESC, scope_key) AS INTEGER) AS place FROM fv_override WHERE NOT (scope = 'file' AND created_at = 1)")
+def override_rules(v):
+    from chartloom.operators.joins import numbered
+    from chartloom.plans.resolution import overrides
+
+    kept = overrides(v).filter("not (scope = 'file' and created_at = 1)")
+    return numbered(kept, ["scope"], [F.desc("created_at"), "scope_key"]).select("scope", "scope_key", F.coalesce("target_rg", F.lit("")).alias("target_rg"), "created_at", "place")
+
+
+EXTRA_VIEWS |= {
+    "fv_answer": """SELECT entity_id, CASE WHEN k % 10 = 0 THEN 'g-unknown' ELSE rg END AS rg_mbid, CASE WHEN k % 4 = 0 THEN 'l-unknown' END AS release_mbid, (k % 100) / 100.0 AS confidence, k
+  FROM (SELECT entity_id, max(rg_mbid) AS rg, CAST(entity_id[2:] AS BIGINT) AS k FROM fv_candidate GROUP BY 1)""",
+    "fv_outcome": """SELECT entity_id, rg_mbid, release_mbid, confidence, CASE WHEN rg_mbid = 'g-unknown' OR release_mbid IS NOT NULL THEN 'error' WHEN confidence >= 0.85 THEN 'accepted' WHEN confidence >= 0.6 THEN 'review' ELSE 'rejected' END AS outcome FROM fv_answer""",
+    "fv_review": """SELECT entity_id AS review_id, entity_id, rg_mbid, CASE WHEN k % 2 = 0 THEN 't' || k END AS track_key, CASE WHEN k % 3 = 0 THEN 'llm' ELSE 'rules' END AS source, CAST(CASE WHEN k % 5 = 0 THEN 50 END AS INTEGER) AS reviewed_at, k FROM fv_answer""",
+}
+
+
+def answers(v):
+    k = F.expr("cast(substr(entity_id, 2) as bigint)")
+    rows = v.candidate.groupBy("entity_id").agg(F.max("rg_mbid").alias("rg"))
+    return rows.select("entity_id", F.when(k % 10 == 0, "g-unknown").otherwise(F.col("rg")).alias("rg_mbid"), F.when(k % 4 == 0, "l-unknown").alias("release_mbid"), ((k % 100) / 100.0).alias("confidence"), k.alias("k"))
+
+
+def outcomes(v):
+    return dc.outcome(answers(v).drop("k"), v.candidate, v.release)
+
+
+def reviews(v):
+    k = F.col("k")
+    return answers(v).select(F.col("entity_id").alias("review_id"), "entity_id", "rg_mbid", F.when(k % 2 == 0, F.concat(F.lit("t"), k)).alias("track_key"), F.when(k % 3 == 0, "llm").otherwise("rules").alias("source"), F.when(k % 5 == 0, 50).alias("reviewed_at"), "k")
+
+
+def actions(v):
+    return reviews(v).filter("k % 4 = 1").select("review_id", F.when(F.col("k") % 3 == 0, "accept").otherwise("skip").alias("action"), F.lit(90).alias("at"))
+
+
+@query("SELECT * FROM fv_outcome")
+def adjudication_outcome(v):
+    return outcomes(v)
+
+
+@query("SELECT d.entity_id, CASE WHEN hit THEN o.rg_mbid ELSE crg END AS crg, CASE WHEN hit THEN 'CRG:LLM_ADJUDICATION' ELSE crg_rationale END AS crg_rationale, CASE WHEN hit THEN 'decided' ELSE state END AS state FROM (SELECT d.*, o.rg_mbid, d.state = 'indeterminate' AND coalesce(o.outcome = 'accepted', false) AS hit FROM fv_decision d LEFT JOIN fv_outcome o USING (entity_id)) d LEFT JOIN fv_outcome o USING (entity_id)")
+def adjudication_apply(v):
+    return dc.apply_outcomes(decisions(v), outcomes(v)).select("entity_id", "crg", "crg_rationale", "state")
+
+
+@query("SELECT CASE WHEN track_key IS NOT NULL THEN 'track' ELSE 'file' END AS scope, coalesce(track_key, entity_id) AS scope_key, rg_mbid AS target_rg FROM fv_review WHERE reviewed_at IS NULL AND k % 4 = 1 AND k % 3 = 0")
+def review_complete(v):
+    return dc.complete_reviews(reviews(v), actions(v))[2]
+
+
+@query("SELECT review_id, source FROM fv_review WHERE reviewed_at IS NULL AND source = 'llm'")
+def pending_reviews(v):
+    return reviews(v).filter("reviewed_at is null and source = 'llm'").select("review_id", "source")
+
+
+@query("SELECT review_id FROM (SELECT review_id FROM fv_review WHERE starts_with(review_id, 'e1') ORDER BY k, review_id LIMIT 20)")
+def id_prefix_search(v):
+    return reviews(v).filter(F.col("review_id").startswith("e1")).orderBy("k", "review_id").limit(20).select("review_id")
+
+
+@query("SELECT entity_id FROM fv_decision WHERE state = 'indeterminate' AND entity_id NOT IN (SELECT entity_id FROM fv_outcome WHERE outcome = 'review')")
+def pending_batch(v):
+    return decisions(v).filter("state = 'indeterminate'").join(outcomes(v).filter("outcome = 'review'"), "entity_id", "left_anti").select("entity_id")
+
+
+EXTRA_VIEWS["fv_reviewed"] = """SELECT coalesce(reviewed_at, CASE WHEN k % 4 = 1 THEN 90 END) IS NOT NULL AS done, source, CASE WHEN k % 4 = 1 THEN CASE WHEN k % 3 = 0 THEN 'accept' ELSE 'skip' END END AS action FROM fv_review"""
+
+
+@query("SELECT done, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS action, count(*) AS n FROM fv_reviewed GROUP BY 1 UNION ALL SELECT done, source, NULL, count(*) FROM fv_reviewed WHERE NOT done GROUP BY 1, 2 UNION ALL SELECT done, NULL, action, count(*) FROM fv_reviewed WHERE done GROUP BY 1, 3")
+def review_stats(v):
+    return dc.review_stats(dc.complete_reviews(reviews(v), actions(v))[0])
+
+
+@query("SELECT 's' || (k % 5) AS session_id, count(*) FILTER (outcome = 'accepted') AS accepted, count(*) FILTER (outcome = 'review') AS review, count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'error') AS error, count(*) AS processed, round(count(*) FILTER (outcome = 'accepted') * 100.0 / count(*), 6) AS success_pct FROM fv_outcome JOIN (SELECT entity_id, k FROM fv_answer) USING (entity_id) GROUP BY 1")
+def batch_session_stats(v):
+    return dc.session_stats(outcomes(v).withColumn("session_id", F.concat(F.lit("s"), F.expr("cast(substr(entity_id, 2) as bigint)") % 5)))
+
+
+SIDES = "SELECT entry_id, side, round(0.40 * (partkey % 3 / 2.0) + 0.25 * (points % 3 / 2.0) + 0.20 + 0.10 * (partkey % 2) + 0.05 * CASE WHEN side = 'A' THEN 1 ELSE 0 END, 6) AS confidence FROM fv_entry CROSS JOIN (VALUES ('A'), ('B')) t(side)"
+
+
+@query(f"SELECT entry_id, side, CAST(confidence AS DOUBLE) AS confidence, CASE WHEN confidence >= 0.85 THEN 'auto' WHEN confidence >= 0.6 THEN 'review' ELSE 'reject' END AS band, best >= 0.6 AND (confidence = best OR (best >= 0.85 AND best - confidence <= 0.05 + 1e-9)) AS chosen FROM (SELECT *, max(confidence) OVER (PARTITION BY entry_id) AS best FROM ({SIDES}))")
+def side_mapping(v):
+    rows = v.entry.withColumn("side", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    return dc.side_scores(rows.select("entry_id", "side", (F.col("partkey") % 3 / 2.0).alias("e1"), (F.col("points") % 3 / 2.0).alias("e2"), F.lit(1.0).alias("e3"), (F.col("partkey") % 2).alias("e4"), F.when(F.col("side") == "A", 1).otherwise(0).alias("e5")))
+
+
+EXTRA_VIEWS["fv_titled"] = "SELECT release_mbid, rg_mbid, date, orderkey, CASE WHEN orderkey % 4 = 0 THEN 'X Deluxe' ELSE 'X' END AS title, CASE orderkey % 3 WHEN 0 THEN 'beta' WHEN 1 THEN 'alpha' ELSE 'gamma' END AS label, CASE WHEN orderkey % 5 > 0 THEN lpad(CAST(orderkey % 50 AS VARCHAR), 3, '0') END AS catno FROM fv_release"
+
+
+def titled(v):
+    k = F.col("orderkey")
+    return v.release.select("release_mbid", "rg_mbid", "date", "orderkey", F.when(k % 4 == 0, "X Deluxe").otherwise("X").alias("title"), F.when(k % 3 == 0, "beta").when(k % 3 == 1, "alpha").otherwise("gamma").alias("label"), F.when(k % 5 > 0, F.lpad((k % 50).cast("string"), 3, "0")).alias("catno"))
+
+
+@query("SELECT release_mbid FROM (SELECT *, count(*) FILTER (NOT again) OVER (PARTITION BY rg_mbid) AS fresh FROM (SELECT *, regexp_matches(lower(title), 'remaster|reissue|anniversary|deluxe') OR coalesce(CAST(substr(date, 1, 4) AS INTEGER) - min(CAST(substr(date, 1, 4) AS INTEGER)) OVER (PARTITION BY rg_mbid) >= 3, false) AS again FROM fv_titled)) WHERE NOT again OR fresh = 0")
+def rr_reissue_guard(v):
+    return dc.reissue_guard(titled(v), 3).select("release_mbid")
+
+
+@query("SELECT release_mbid FROM (SELECT *, row_number() OVER (PARTITION BY rg_mbid, date ORDER BY CASE label WHEN 'alpha' THEN 1 WHEN 'beta' THEN 2 ELSE 3 END, catno NULLS LAST, release_mbid) AS n FROM fv_titled) WHERE n = 1")
+def rr_tiebreak(v):
+    return dc.break_ties(titled(v), ["alpha", "beta"]).select("release_mbid")

@@ -30,7 +30,7 @@ def query(sql: str | None, name: str | None = None):
 
 
 def _load() -> None:
-    from chartloom.plans import analytics, resolution, text  # noqa: F401
+    from chartloom.plans import analytics, catalogue, ingest, resolution, text  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
