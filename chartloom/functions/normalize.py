@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -219,3 +220,19 @@ def redact_secrets(values: Column, words: tuple[str, ...] = ("token", "secret",
     """A map whose values under secret-like keys keep four characters."""
     secret = lambda k: F.lower(k).rlike("|".join(words))
     return F.transform_values(values, lambda k, v: F.when(secret(k), F.concat(F.substring(v, 1, 4), F.lit("***"))).otherwise(v))
+
+
+def marks_of(text: str | None) -> str | None:
+    """`position:character` of every mark or letter that doesn't decompose, in the fully decomposed text."""
+    if text is None:
+        return None
+    return ",".join(f"{i}:{c}" for i, c in enumerate(unicodedata.normalize("NFD", text)) if unicodedata.category(c) == "Mn" or c.lower() in LETTERS)
+
+
+def _marks(text: pd.Series) -> pd.Series:
+    return text.map(marks_of)
+
+
+def diacritics_signature(text: Column | str) -> Column:
+    """Where the marks of a text are. Decomposition isn't a function of Spark's SQL, so this goes by Arrow batches."""
+    return F.pandas_udf(_marks, "string")(text)

@@ -33,7 +33,7 @@ def timeline_facts(candidates: DataFrame) -> DataFrame:
     return distinct_candidates(candidates).groupBy("entity_id").agg(first("Album").alias("album_date"), first("Single", "EP").alias("single_ep_date"), first("Soundtrack").alias("soundtrack_date"))
 
 
-def rule_facts(candidates: DataFrame, intent: bool = False) -> DataFrame:
+def rule_facts(candidates: DataFrame) -> DataFrame:
     """One row per entity with all dates, counts and choices that the rules use."""
     w = Window.partitionBy("entity_id")
     kind, comp, date = F.col("primary_type"), F.col("is_compilation"), F.col("date")
@@ -94,6 +94,14 @@ def rule_same_date() -> Column:
     return F.when((F.col("n_fair") > 1) & (F.col("n_fair_album") == 1) & (F.col("n_fair_single") > 0), F.col("rg_fair_album"))
 
 
+def rule_intent(candidates: DataFrame, wanted: str) -> DataFrame:
+    """The earliest group that fits a file's intent, `single` or `remix`, alone at its date. Off in the chain of rules unless asked for."""
+    kinds = F.col("primary_type").isin("Single", "EP") if wanted == "single" else F.col("primary_type").isin("Remix", "DJ-mix")
+    w = Window.partitionBy("entity_id")
+    fit = distinct_candidates(candidates).filter(kinds & F.col("date").isNotNull()).withColumn("first", F.min("date").over(w)).filter("date = first")
+    return fit.groupBy("entity_id").agg(F.count("*").alias("n"), F.min("rg_mbid").alias("rg_mbid")).filter("n = 1").select("entity_id", "rg_mbid")
+
+
 def select_crg(candidates: DataFrame, lead_days: int = 90) -> DataFrame:
     """(entity_id, crg, rationale, missing): the first rule that fits; missing says why none does."""
     chain = [

@@ -103,3 +103,13 @@ def song_lookup(queries: DataFrame, songs: DataFrame, least: float = 0.7) -> Dat
     scored = pairs.join(titles, ["title", "title_canonical"]).join(artists, ["artist", "artist_canonical"]).withColumn("score", F.round(0.4 * F.col("_a") + 0.6 * F.col("_r"), 6)).filter(F.col("score") >= least)
     best = dedupe_first(scored, ["query_id"], [F.desc("score"), "song_id"])
     return exact.select("query_id", "song_id", F.lit(1.0).alias("score")).unionByName(best.select("query_id", "song_id", "score"))
+
+
+def artist_browse(queries: DataFrame, recordings: DataFrame, title_at_least: float = 70.0, limit: int = 100) -> DataFrame:
+    """Recordings of a query's artist whose title is similar; titles that contain the query's count as similar."""
+    rows = recordings.withColumnRenamed("length_ms", "rec_ms").join(queries, recordings["artist_normalized"] == queries["artist"])
+    pairs = rows.select("title", "title_normalized").distinct()
+    close = F.contains("title_normalized", "title") | (sim.ratio("title", "title_normalized") >= title_at_least)
+    kept = rows.join(pairs.withColumn("_ok", close).filter("_ok"), ["title", "title_normalized"])
+    w = Window.partitionBy("query_id").orderBy((~F.contains("title_normalized", "title")).cast("int"), "recording_mbid")
+    return kept.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_ok", "_n")

@@ -8,7 +8,9 @@ from chartloom.operators import catalogue as ct
 from chartloom.operators import resolution as rs
 from chartloom.operators import search
 from chartloom.plans.registry import EXTRA_VIEWS, query
+from chartloom.sources import catalogue_docs as cd
 from chartloom.sources import snapshots as sn
+from chartloom.sources.shared import shared_folder
 
 EXTRA_VIEWS |= {
     "fv_version": """SELECT page_id, url, 1000 + page_id % 50 AS cached_at, 1000 + page_id % 50 + CASE WHEN page_id % 3 = 0 THEN 10 ELSE 100 END AS expires_at, CASE WHEN page_id % 11 = 0 THEN 404 ELSE 200 END AS status
@@ -276,3 +278,64 @@ def library(v):
 def library_match(v):
     entries = v.entry.select("entry_id", F.concat(F.lit("r"), "partkey").alias("recording_mbid"), F.col("artist_raw").alias("artist"), F.col("title_raw").alias("title"))
     return ct.library_match(entries, library(v))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'Q' || p_partkey END AS item_id FROM part")
+def wikidata_qid_from_urls(v):
+    return discogs_ids_from_urls(v).select("id", "item_id")
+
+
+def year_pages(v):
+    """One page per chart and year asked for: a table with a column for every year, a row for every place in January."""
+    january = v.entry.filter("period like '%-01'").withColumn("year", F.substring("period", 1, 4))
+    years = F.array_sort(F.collect_set("year"))
+    cell = F.struct("year", F.concat(F.lit("<td><a href='x'>"), F.col("rank").cast("string"), F.lit(". </a>"), "artist_raw", F.lit(" - "), "title_raw", F.lit("</td>")).alias("html"))
+    head = january.groupBy("chart_id").agg(years.alias("years"))
+    rows = january.groupBy("chart_id", "rank").agg(F.map_from_entries(F.collect_list(cell)).alias("cells")).join(head, "chart_id")
+    lines = rows.select("chart_id", "years", F.concat(F.lit("<tr>"), F.array_join(F.transform("years", lambda y: F.coalesce(F.try_element_at("cells", y), F.lit("<td></td>"))), ""), F.lit("</tr>")).alias("line"))
+    tables = lines.groupBy("chart_id", "years").agg(F.array_join(F.collect_list("line"), "").alias("body"))
+    html = F.concat(F.lit("<table><tr>"), F.array_join(F.transform("years", lambda y: F.concat(F.lit("<th>List "), y, F.lit("</th>"))), ""), F.lit("</tr>"), "body", F.lit("</table>"))
+    return tables.select("chart_id", html.alias("html"), F.explode("years").alias("year"))
+
+
+@query("SELECT chart_id, substr(period, 1, 4) AS year, rank, artist_raw, title_raw FROM fv_entry WHERE period LIKE '%-01'")
+def pages_year_column(v):
+    return sn.year_column(year_pages(v))
+
+
+@query("SELECT entry_id, CASE WHEN rank % 4 <> 0 THEN '/wiki/A_' || partkey END AS artist_url, CASE WHEN rank % 4 <> 0 AND rank % 3 = 0 THEN '/wiki/T_' || partkey END AS title_url FROM fv_entry")
+def wiki_link_enrich(v):
+    link = lambda letter: F.concat(F.lit(f'<a href="/wiki/{letter}_'), "partkey", F.lit('">x</a>'))
+    row = F.concat(F.lit("<tr><td>"), F.col("rank").cast("string"), F.lit("</td><td>"), link("A"), F.when(F.col("rank") % 3 == 0, link("T")).otherwise(""), F.lit('<a href="/other">y</a></td></tr>'))
+    pages = v.entry.filter("rank % 4 <> 0").groupBy("run_id").agg(F.array_join(F.collect_list(row), "").alias("html"))
+    return sn.with_links(v.entry.select("entry_id", "run_id", "rank"), sn.wiki_links(pages), ["run_id", "rank"]).select("entry_id", "artist_url", "title_url")
+
+
+@query("SELECT chart_id, period, count(*) AS n, min(rank) AS first_rank FROM fv_entry GROUP BY 1, 2")
+def sink_snapshot(v):
+    path = shared_folder(v.spark)
+    sn.write_snapshots(v.entry.select("chart_id", "period", "rank", "artist_raw", "title_raw"), path)
+    back = v.spark.read.schema("rank int, artist_raw string, title_raw string, chart_id string, period string").parquet(path)
+    return back.groupBy("chart_id", "period").agg(F.count("*").alias("n"), F.min("rank").alias("first_rank"))
+
+
+def api_docs(v):
+    """Recording documents as a catalogue service gives them, made from the tables."""
+    group = F.struct(F.col("rg_mbid").alias("id"), F.lit("t").alias("title"), F.lit("Album").alias("primary-type"), F.lit(None).cast("string").alias("first-release-date"))
+    one = F.struct(F.col("release_mbid").alias("id"), F.lit("t").alias("title"), "date", "country", F.when(F.col("is_official"), "Official").otherwise("Promotion").alias("status"), group.alias("release-group"))
+    nested = v.recording_release.join(v.release, "release_mbid").groupBy("recording_mbid").agg(F.collect_list(one).alias("releases"))
+    credit = F.array(F.struct(F.struct(F.col("artist_mbid").alias("id"), F.col("artist_mbid").alias("name")).alias("artist")))
+    return v.recording.join(nested, "recording_mbid").select(F.to_json(F.struct(F.col("recording_mbid").alias("id"), "title", F.col("length_ms").alias("length"), "isrcs", credit.alias("artist-credit"), "releases")).alias("json"))
+
+
+@query("SELECT x.recording_mbid, r.title, r.artist_mbid, l.release_mbid, l.rg_mbid, l.date, l.country, l.is_official FROM fv_recording_release x JOIN fv_recording r USING (recording_mbid) JOIN fv_release l USING (release_mbid)")
+def catalogue_from_api_docs(v):
+    t = cd.flatten(api_docs(v))
+    rows = t["recording_release"].join(t["recording"].select("recording_mbid", "title", "artist_mbid"), "recording_mbid").join(t["release"], "release_mbid")
+    return rows.join(t["release_group"].select("rg_mbid"), "rg_mbid").join(t["artist"].select("artist_mbid"), "artist_mbid").select("recording_mbid", "title", "artist_mbid", "release_mbid", "rg_mbid", "date", "country", "is_official")
+
+
+@query("SELECT query_id, recording_mbid, title_normalized FROM (SELECT q.query_id, r.recording_mbid, r.title_normalized, row_number() OVER (PARTITION BY q.query_id ORDER BY r.recording_mbid) AS n FROM fv_query q JOIN fv_rec r ON r.artist_normalized = q.artist WHERE contains(r.title_normalized, q.title)) WHERE n <= 100")
+def artist_browse(v):
+    rows = search.artist_browse(asked(v), recs(v))
+    return rows.filter(F.contains("title_normalized", "title")).select("query_id", "recording_mbid", "title_normalized")

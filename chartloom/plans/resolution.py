@@ -77,6 +77,11 @@ def crg_compilation_filter(v):
     return rows.filter("not is_compilation or n = 0").select("entity_id", "rg_mbid")
 
 
+@query("SELECT entity_id, min(rg_mbid) AS rg_mbid FROM (SELECT *, min(date) OVER (PARTITION BY entity_id) AS first FROM fv_cand WHERE k IN ('Single', 'EP') AND date IS NOT NULL) WHERE date = first GROUP BY 1 HAVING count(*) = 1")
+def crg_intent(v):
+    return rs.rule_intent(v.candidate, "single")
+
+
 @query("SELECT * FROM fv_crg")
 def crg_select(v):
     return rs.select_crg(v.candidate)

