@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartloom.functions import similarity as sim
+from chartloom.sources.shared import materialize
 
 
 def blocked_pairs(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column) -> DataFrame:
@@ -78,11 +79,12 @@ def search_stages(queries: DataFrame, recordings: DataFrame, enough: int = 5) ->
     Stage 1 contains the query at +-10% length, stage 2 is similar (title 70, artist 60), stage 3 is any recording of a similar artist
     whose title is similar at 70. Each later stage runs only for the queries that still lack results.
     """
-    found = containing(queries, recordings).withColumn("stage", F.lit(1))
+    found = materialize(containing(queries, recordings).withColumn("stage", F.lit(1)))
     for stage, artist in ((2, 60.0), (3, 50.0)):
         counts = found.groupBy("query_id").agg(F.count_distinct("recording_mbid").alias("n"))
         lacking = queries.join(counts.filter(F.col("n") >= enough), "query_id", "left_anti")
-        found = found.unionByName(similar(lacking, recordings, 70.0, artist, 100).select("query_id", "recording_mbid").withColumn("stage", F.lit(stage)))
+        more = materialize(similar(lacking, recordings, 70.0, artist, 100).select("query_id", "recording_mbid").withColumn("stage", F.lit(stage)))
+        found = found.unionByName(more)
     return dedupe_first(found, ["query_id", "recording_mbid"], ["stage"])
 
 

@@ -60,7 +60,7 @@ def multi_source_boost(hits: DataFrame) -> DataFrame:
     """More sources for one song raise all its hits."""
     w = Window.partitionBy("song_key")
     n = F.size(F.collect_set(F.split("source", "_")[0]).over(w))
-    rows = hits.withColumn("song_key", song_key()).withColumn("n_sources", n)
+    rows = hits.withColumn("song_key", song_key()).withColumn("n_sources", n.cast("long"))
     return rows.withColumn("confidence", F.when(F.col("n_sources") >= 3, _raise(0.15)).when(F.col("n_sources") >= 2, _raise(0.10)).otherwise(F.col("confidence")))
 
 

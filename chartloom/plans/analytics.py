@@ -268,7 +268,7 @@ def entry_issues(v):
     return quality.issue_counts(dirty(v))
 
 
-@query("SELECT run_id, g.rank FROM (SELECT run_id, unnest(range(1, max(rank) + 1)) AS rank FROM fv_entry WHERE rank % 9 <> 0 GROUP BY 1) g WHERE NOT EXISTS (SELECT 1 FROM fv_entry e WHERE e.run_id = g.run_id AND e.rank = g.rank AND e.rank % 9 <> 0)")
+@query("SELECT run_id, CAST(g.rank AS INTEGER) AS rank FROM (SELECT run_id, unnest(range(1, max(rank) + 1)) AS rank FROM fv_entry WHERE rank % 9 <> 0 GROUP BY 1) g WHERE NOT EXISTS (SELECT 1 FROM fv_entry e WHERE e.run_id = g.run_id AND e.rank = g.rank AND e.rank % 9 <> 0)")
 def rank_gaps(v):
     return quality.rank_gaps(v.entry.filter("rank % 9 <> 0"))
 
