@@ -146,7 +146,7 @@ def charts_blob(v):
     return blobs(v)
 
 
-@query(f"SELECT p.work_key, p.chart_id, p.score, p.highest, 'm' AS frequency, CASE WHEN contains(blob, '{{\"1') THEN p.positions END AS positions FROM ({BLOB_PARTS}) p JOIN ({BLOB}) USING (work_key)")
+@query(f"""SELECT p.work_key, p.chart_id, p.score, p.highest, 'm' AS frequency, CASE WHEN contains(blob, ',"m",{{') THEN p.positions END AS positions FROM ({BLOB_PARTS}) p JOIN ({BLOB}) USING (work_key)""")
 def charts_blob_parse(v):
     return ig.parse_blob(blobs(v))
 
