@@ -12,7 +12,6 @@ from chartloom.operators import ingest as ig
 from chartloom.operators import resolution as rs
 from chartloom.plans.analytics import POSITIONS, WORK_SCORE
 from chartloom.plans.registry import EXTRA_VIEWS, query
-from chartloom.plans.resolution import decisions
 from chartloom.plans.text import titles
 
 
@@ -85,7 +84,7 @@ def link_work(v):
 
 @query("SELECT p_partkey AS partkey, crg AS release_anchor_id, CAST(CASE WHEN state = 'decided' THEN CASE WHEN p_partkey % 10 > 0 THEN (p_partkey % 10) / 10.0 ELSE 0.9 END WHEN state = 'indeterminate' THEN 0.5 ELSE 0.6 END AS DOUBLE) AS confidence, CASE WHEN state = 'decided' THEN 'multi_source' ELSE 'fallback' END AS link_method FROM part LEFT JOIN fv_decision ON entity_id = 'e' || p_partkey")
 def link_from_decisions(v):
-    own = decisions(v).withColumn("own_confidence", (F.expr("cast(substr(entity_id, 2) as bigint)") % 10) / 10.0)
+    own = v.decision.withColumn("own_confidence", (F.expr("cast(substr(entity_id, 2) as bigint)") % 10) / 10.0)
     entries = v.table("part").select(F.col("p_partkey").alias("partkey"), F.concat(F.lit("e"), "p_partkey").alias("entity_id"))
     return ig.link_decisions(entries, own).select("partkey", "release_anchor_id", "confidence", "link_method")
 
@@ -116,7 +115,7 @@ def tag_merge(v):
 
 @query("SELECT entity_id, crg, rr, 'evh=' || substr(evidence_hash, 1, 8) AS tag FROM fv_decision JOIN fv_hash USING (entity_id) WHERE state = 'decided'")
 def assemble_tags(v):
-    return decisions(v).filter("state = 'decided'").join(rs.evidence_hash(v.candidate), "entity_id").select("entity_id", "crg", "rr", F.concat(F.lit("evh="), F.substring("evidence_hash", 1, 8)).alias("tag"))
+    return v.decision.filter("state = 'decided'").join(rs.evidence_hash(v.candidate), "entity_id").select("entity_id", "crg", "rr", F.concat(F.lit("evh="), F.substring("evidence_hash", 1, 8)).alias("tag"))
 
 
 @query("SELECT partkey, coalesce(CASE WHEN partkey % 2 = 0 THEN 'kept' END, core) AS normalized FROM fv_title_norm")
@@ -162,12 +161,12 @@ EXTRA_VIEWS["fv_stored"] = "SELECT entity_id AS file_id, crg, rr, state, CAST(10
 
 def stored(v):
     n = F.expr("cast(substr(file_id, 2) as bigint)")
-    return decisions(v).select(F.col("entity_id").alias("file_id"), "crg", "rr", "state").filter(n % 3 != 0).withColumn("created_at", F.lit(100))
+    return v.decision.select(F.col("entity_id").alias("file_id"), "crg", "rr", "state").filter(n % 3 != 0).withColumn("created_at", F.lit(100))
 
 
 def fresh(v):
     n = F.expr("cast(substr(file_id, 2) as bigint)")
-    return decisions(v).select(F.col("entity_id").alias("file_id"), F.when(n % 5 == 0, "changed").otherwise(F.col("crg")).alias("crg"), "rr", "state").filter(n % 2 == 0)
+    return v.decision.select(F.col("entity_id").alias("file_id"), F.when(n % 5 == 0, "changed").otherwise(F.col("crg")).alias("crg"), "rr", "state").filter(n % 2 == 0)
 
 
 FRESH = "(SELECT entity_id AS file_id, CASE WHEN CAST(entity_id[2:] AS BIGINT) % 5 = 0 THEN 'changed' ELSE crg END AS crg, rr, state FROM fv_decision WHERE CAST(entity_id[2:] AS BIGINT) % 2 = 0)"
@@ -197,7 +196,7 @@ DRIFT = """SELECT n.entity_id, d IS NOT NULL AS drifted, d AS state FROM (SELECT
 
 def drifted(v):
     n = F.expr("cast(substr(entity_id, 2) as bigint)")
-    new = decisions(v).join(rs.evidence_hash(v.candidate), "entity_id").withColumn("ruleset_version", F.lit("2"))
+    new = v.decision.join(rs.evidence_hash(v.candidate), "entity_id").withColumn("ruleset_version", F.lit("2"))
     old = new.filter(n % 11 != 0).select(
         "entity_id", F.when(n % 5 == 0, "other").otherwise(F.col("crg")).alias("crg"), "rr",
         F.when(n % 3 == 0, "before").otherwise(F.col("evidence_hash")).alias("evidence_hash"), F.when(n % 4 == 0, "1").otherwise(F.col("ruleset_version")).alias("ruleset_version"),
@@ -223,7 +222,7 @@ def stale_decisions(v):
 
 @query("SELECT entity_id, missing_facts FROM fv_decision WHERE state = 'indeterminate'")
 def indeterminate_list(v):
-    return decisions(v).filter("state = 'indeterminate'").select("entity_id", "missing_facts")
+    return v.decision.filter("state = 'indeterminate'").select("entity_id", "missing_facts")
 
 
 @query("SELECT p_partkey AS partkey, CASE WHEN p_partkey % 2 = 0 THEN sha256(p_name || ':' || p_size) ELSE sha256('fallback:' || p_brand || ':' || p_size || ':' || p_partkey) END AS file_id FROM part")
@@ -275,7 +274,7 @@ def adjudication_outcome(v):
 
 @query("SELECT d.entity_id, CASE WHEN hit THEN o.rg_mbid ELSE crg END AS crg, CASE WHEN hit THEN 'CRG:LLM_ADJUDICATION' ELSE crg_rationale END AS crg_rationale, CASE WHEN hit THEN 'decided' ELSE state END AS state FROM (SELECT d.*, o.rg_mbid, d.state = 'indeterminate' AND coalesce(o.outcome = 'accepted', false) AS hit FROM fv_decision d LEFT JOIN fv_outcome o USING (entity_id)) d LEFT JOIN fv_outcome o USING (entity_id)")
 def adjudication_apply(v):
-    return dc.apply_outcomes(decisions(v), outcomes(v)).select("entity_id", "crg", "crg_rationale", "state")
+    return dc.apply_outcomes(v.decision, outcomes(v)).select("entity_id", "crg", "crg_rationale", "state")
 
 
 @query("SELECT CASE WHEN track_key IS NOT NULL THEN 'track' ELSE 'file' END AS scope, coalesce(track_key, entity_id) AS scope_key, rg_mbid AS target_rg FROM fv_review WHERE reviewed_at IS NULL AND k % 4 = 1 AND k % 3 = 0")
@@ -295,7 +294,7 @@ def id_prefix_search(v):
 
 @query("SELECT entity_id FROM fv_decision WHERE state = 'indeterminate' AND entity_id NOT IN (SELECT entity_id FROM fv_outcome WHERE outcome = 'review')")
 def pending_batch(v):
-    return decisions(v).filter("state = 'indeterminate'").join(outcomes(v).filter("outcome = 'review'"), "entity_id", "left_anti").select("entity_id")
+    return v.decision.filter("state = 'indeterminate'").join(outcomes(v).filter("outcome = 'review'"), "entity_id", "left_anti").select("entity_id")
 
 
 EXTRA_VIEWS["fv_reviewed"] = """SELECT coalesce(reviewed_at, CASE WHEN k % 4 = 1 THEN 90 END) IS NOT NULL AS done, source, CASE WHEN k % 4 = 1 THEN CASE WHEN k % 3 = 0 THEN 'accept' ELSE 'skip' END END AS action FROM fv_review"""

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chartloom.functions.ids import short_hash
+from chartloom.sources.shared import materialize
 
 DATE_FORMATS = ["yyyy", "yyyy-MM", "yyyy-MM-dd"]
 
@@ -25,7 +26,10 @@ class Views:
 
     @cached_property
     def entry(self) -> DataFrame:
-        """Ranked entries of monthly charts, one chart per market segment: the 40 parts of most revenue."""
+        """Ranked entries of monthly charts, one chart per market segment: the 40 parts of most revenue.
+
+        Most queries use it several times, so it is computed once and written.
+        """
         orders = self.table("orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("period"))
         customers = self.table("customer").select("c_custkey", F.lower("c_mktsegment").alias("chart_id"))
         lines = self.table("lineitem").select("l_orderkey", "l_partkey", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100).cast("long").alias("points"))
@@ -39,7 +43,7 @@ class Views:
         w = Window.partitionBy("chart_id", "period").orderBy(F.desc("points"), "partkey")
         ranked = sums.withColumn("rank", F.row_number().over(w)).filter("rank <= 40").join(parts, F.col("partkey") == F.col("p_partkey"))
         run_id = short_hash(F.concat_ws(":", "chart_id", "period"))
-        return ranked.select(
+        made = ranked.select(
             short_hash(F.concat_ws(":", run_id, F.col("rank").cast("string"))).alias("entry_id"),
             run_id.alias("run_id"),
             "chart_id",
@@ -51,6 +55,7 @@ class Views:
             F.col("p_name").alias("title_raw"),
             F.when(F.col("partkey") % 3 == 0, F.col("rank") + 1).when(F.col("partkey") % 3 == 1, F.col("rank")).alias("previous_position"),
         )
+        return materialize(made)
 
     @cached_property
     def run(self) -> DataFrame:
@@ -163,6 +168,13 @@ class Views:
             "artist_mbid",
         )
 
+    @cached_property
+    def decision(self) -> DataFrame:
+        """What the rules decide for the candidates, written once."""
+        from chartloom.operators.resolution import resolve
+
+        return materialize(resolve(self.candidate, self.release, self.rg, self.artist))
+
     @cached_property
     def hit(self) -> DataFrame:
         """Search hits of three sources for the parts that they know."""
