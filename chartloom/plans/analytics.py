@@ -136,9 +136,9 @@ def rank_range(v):
     return joins.rank_range(v.entry, 5, 10)
 
 
-@query("SELECT 'furniture:1996-05' AS ref, run_id, chart_id, period FROM fv_run WHERE chart_id = 'furniture' AND period = '1996-05' UNION ALL SELECT run_id, run_id, chart_id, period FROM fv_run WHERE period = '1997-01'")
+@query("SELECT chart_id || ':' || period AS ref, run_id, chart_id, period FROM fv_run UNION ALL SELECT run_id, run_id, chart_id, period FROM fv_run")
 def resolve_run_ref(v):
-    refs = v.run.filter("period = '1997-01'").select(F.col("run_id").alias("ref")).unionByName(v.run.filter("chart_id = 'furniture' and period = '1996-05'").select(F.concat_ws(":", "chart_id", "period").alias("ref")))
+    refs = v.run.select(F.col("run_id").alias("ref")).unionByName(v.run.select(F.concat_ws(":", "chart_id", "period").alias("ref")))
     return joins.resolve_run_refs(refs, v.run)
 
 
@@ -268,9 +268,9 @@ def entry_issues(v):
     return quality.issue_counts(dirty(v))
 
 
-@query("SELECT run_id, CAST(g.rank AS INTEGER) AS rank FROM (SELECT run_id, unnest(range(1, max(rank) + 1)) AS rank FROM fv_entry WHERE rank % 9 <> 0 GROUP BY 1) g WHERE NOT EXISTS (SELECT 1 FROM fv_entry e WHERE e.run_id = g.run_id AND e.rank = g.rank AND e.rank % 9 <> 0)")
+@query("SELECT run_id, CAST(g.rank AS INTEGER) AS rank FROM (SELECT run_id, unnest(range(1, max(rank) + 1)) AS rank FROM fv_link GROUP BY 1) g WHERE NOT EXISTS (SELECT 1 FROM fv_link e WHERE e.run_id = g.run_id AND e.rank = g.rank)")
 def rank_gaps(v):
-    return quality.rank_gaps(v.entry.filter("rank % 9 <> 0"))
+    return quality.rank_gaps(v.link)
 
 
 @query("SELECT run_id, chart_id, period FROM fv_run WHERE make_date(CAST(substr(period, 1, 4) AS INTEGER), 12, 25) <= DATE '1998-12-26'")
@@ -278,7 +278,7 @@ def future_edition_guard(v):
     return quality.available_editions(v.run, "1998-12-26")
 
 
-@query("SELECT 'link_without_entry' AS problem, count(*) AS n FROM fv_entry_song WHERE entry_id NOT IN (SELECT entry_id FROM fv_entry WHERE rank <= 20) UNION ALL SELECT 'link_without_song', count(*) FROM fv_entry_song WHERE song_id NOT IN (SELECT song_id FROM fv_song) UNION ALL SELECT 'repeated_run_rank', count(*) FROM (SELECT 1 FROM fv_entry WHERE rank <= 20 GROUP BY run_id, rank HAVING count(*) > 1)")
+@query("SELECT 'entry_without_song' AS problem, count(*) AS n FROM fv_entry WHERE entry_id NOT IN (SELECT entry_id FROM fv_entry_song) UNION ALL SELECT 'link_without_song', count(*) FROM fv_entry_song WHERE song_id NOT IN (SELECT song_id FROM fv_song) UNION ALL SELECT 'repeated_song_in_run', count(*) FROM (SELECT 1 FROM fv_entry GROUP BY run_id, artist_raw, title_raw HAVING count(*) > 1)")
 def integrity_check(v):
-    some = v.entry.filter("rank <= 20")
-    return quality.integrity([("link_without_entry", v.entry_song, some, ["entry_id"]), ("link_without_song", v.entry_song, v.song, ["song_id"])], [("repeated_run_rank", some, ["run_id", "rank"])])
+    references = [("entry_without_song", v.entry, v.entry_song, ["entry_id"]), ("link_without_song", v.entry_song, v.song, ["song_id"])]
+    return quality.integrity(references, [("repeated_song_in_run", v.entry, ["run_id", "artist_raw", "title_raw"])])

@@ -16,8 +16,9 @@ EXTRA_VIEWS |= {
     "fv_version": """SELECT page_id, url, 1000 + page_id % 50 AS cached_at, 1000 + page_id % 50 + CASE WHEN page_id % 3 = 0 THEN 10 ELSE 100 END AS expires_at, CASE WHEN page_id % 11 = 0 THEN 404 ELSE 200 END AS status
   FROM (SELECT page_id, split_part(url, '?', 1) AS url FROM pages)""",
     "fv_rec": "SELECT 'r' || p_partkey AS recording_mbid, lower(p_brand) AS artist_normalized, lower(p_name) AS title_normalized, p_size * 1000 AS length_ms FROM part",
-    "fv_query": """SELECT DISTINCT 'q' || (p_partkey % 97) AS query_id, lower(p_brand) AS artist, CASE WHEN p_partkey % 2 = 0 THEN lower(p_name) ELSE lower(p_name[3:]) END AS title, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size * 1000 END AS length_ms
-  FROM part WHERE p_partkey < 97""",
+    "fv_query": """SELECT song_id AS query_id, artist_canonical AS artist, CASE WHEN song_id < '6' THEN title_canonical WHEN song_id < 'a' THEN title_canonical[3:] ELSE title_canonical[1:2] || title_canonical[4:] END AS title,
+    CASE WHEN song_id[16] < 'd' THEN length_ms END AS length_ms
+  FROM fv_song JOIN (SELECT lower(p_brand) AS artist_canonical, lower(p_name) AS title_canonical, min(p_size) * 1000 AS length_ms FROM part GROUP BY 1, 2) USING (artist_canonical, title_canonical)""",
     "fv_work": "SELECT recording_mbid, title AS work_id, artist_mbid FROM fv_recording",
 }
 
@@ -33,9 +34,12 @@ def recs(v):
 
 
 def asked(v):
-    k = F.col("p_partkey")
-    title = F.when(k % 2 == 0, F.lower("p_name")).otherwise(F.lower(F.expr("substr(p_name, 3)")))
-    return v.table("part").filter("p_partkey < 97").select(F.concat(F.lit("q"), (k % 97).cast("string")).alias("query_id"), F.lower("p_brand").alias("artist"), title.alias("title"), F.when(k % 5 != 0, F.col("p_size") * 1000).alias("length_ms")).distinct()
+    """A query for every song: its names as they are, without the title's first two letters, or without the third; some with a length."""
+    sizes = v.table("part").groupBy(F.lower("p_brand").alias("artist_canonical"), F.lower("p_name").alias("title_canonical")).agg((F.min("p_size") * 1000).alias("ms"))
+    whole, key = F.col("title_canonical"), F.col("song_id")
+    title = F.when(key < "6", whole).when(key < "a", F.expr("substr(title_canonical, 3)")).otherwise(F.concat(F.substring(whole, 1, 2), F.expr("substr(title_canonical, 4)")))
+    songs = v.song.join(sizes, ["artist_canonical", "title_canonical"])
+    return songs.select(key.alias("query_id"), F.col("artist_canonical").alias("artist"), title.alias("title"), F.when(F.substring(key, 16, 1) < "d", F.col("ms")).alias("length_ms"))
 
 
 LI = "regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)"
@@ -212,9 +216,9 @@ def rgs_for_recordings(v):
     return ct.rgs_for_recordings(v.recording_release, v.release, v.rg)
 
 
-@query("SELECT artist_mbid, rg_mbid, first_release_date, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY artist_mbid ORDER BY first_release_date NULLS LAST, rg_mbid) AS INTEGER) AS place FROM fv_rg WHERE artist_mbid IN (SELECT artist_mbid FROM fv_artist)) WHERE place <= 5")
+@query("SELECT artist_mbid, rg_mbid, first_release_date, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY artist_mbid ORDER BY first_release_date NULLS LAST, rg_mbid) AS INTEGER) AS place FROM fv_rg WHERE artist_mbid IN (SELECT artist_mbid FROM fv_artist)) WHERE place <= 100")
 def rgs_for_artists(v):
-    return ct.rgs_for_artists(v.artist, v.rg, 5)
+    return ct.rgs_for_artists(v.artist, v.rg)
 
 
 @query(f"SELECT rg_mbid, count(*) AS n_recordings FROM ({RGS}) GROUP BY 1")
@@ -222,9 +226,9 @@ def recordings_for_rgs(v):
     return ct.rgs_for_recordings(v.recording_release, v.release, v.rg).groupBy("rg_mbid").agg(F.count("*").alias("n_recordings"))
 
 
-@query("SELECT rg_mbid, release_mbid, date FROM fv_release WHERE rg_mbid IN (SELECT rg_mbid FROM fv_rg WHERE type = 'EP')")
+@query("SELECT rg_mbid, release_mbid, date FROM fv_release WHERE rg_mbid IN (SELECT rg_mbid FROM fv_rg)")
 def releases_in_rg(v):
-    return v.release.join(v.rg.filter("type = 'EP'"), "rg_mbid", "left_semi").select("rg_mbid", "release_mbid", "date")
+    return v.release.join(v.rg, "rg_mbid", "left_semi").select("rg_mbid", "release_mbid", "date")
 
 
 @query("SELECT recording_mbid, rg_mbid, min(CAST(substr(date, 1, 4) AS INTEGER)) AS first_year FROM fv_recording_release JOIN fv_release USING (release_mbid) GROUP BY 1, 2")
@@ -238,17 +242,17 @@ def work_siblings(v):
     return ct.work_siblings(work.select("recording_mbid"), work)
 
 
-CODES = "SELECT DISTINCT 'ISRC' || (p_partkey % 50) AS isrc FROM part"
+CODES = "SELECT DISTINCT 'ISRC' || (p_partkey % 500) AS isrc FROM part"
 
 
 @query(f"SELECT DISTINCT isrc, recording_mbid FROM ({CODES}) JOIN (SELECT recording_mbid, unnest(isrcs) AS isrc FROM fv_recording) USING (isrc)")
 def isrc_lookup(v):
-    return ct.by_isrc(v.table("part").select(F.concat(F.lit("ISRC"), (F.col("p_partkey") % 50).cast("string")).alias("isrc")).distinct(), v.recording)
+    return ct.by_isrc(v.table("part").select(F.concat(F.lit("ISRC"), (F.col("p_partkey") % 500).cast("string")).alias("isrc")).distinct(), v.recording)
 
 
 @query(f"SELECT DISTINCT isrc, recording_mbid, rg_mbid FROM ({CODES}) JOIN (SELECT recording_mbid, unnest(isrcs) AS isrc FROM fv_recording) USING (isrc) JOIN ({RGS}) USING (recording_mbid)")
 def discover_by_isrc(v):
-    codes = v.table("part").select(F.concat(F.lit("ISRC"), (F.col("p_partkey") % 50).cast("string")).alias("isrc")).distinct()
+    codes = v.table("part").select(F.concat(F.lit("ISRC"), (F.col("p_partkey") % 500).cast("string")).alias("isrc")).distinct()
     return ct.by_isrc(codes, v.recording).join(ct.rgs_for_recordings(v.recording_release, v.release, v.rg), "recording_mbid")
 
 
