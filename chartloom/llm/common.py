@@ -88,3 +88,15 @@ def slices(batches: Iterable[pa.RecordBatch], text: str | int, max_bytes: int =
             stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def spans(texts: list[str], max_chars: int = 500_000) -> Iterator[slice]:
+    """Slices of a list of texts that hold about max_chars characters each, a longer single text alone."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > max_chars:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield slice(start, len(texts))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.common import held_out, sample_rows, slices
+from chartloom.llm.common import held_out, sample_rows, slices, spans
 
 _letters: np.ndarray | None = None
 
@@ -61,8 +61,8 @@ def fit(texts: list[str], langs: list[str], bits: int = 16, smoothing: float = 0
     counts = np.full((1 << bits, max(1, len(names))), smoothing)
     for k, name in enumerate(names):
         own = [t for t, x in zip(texts, langs, strict=True) if x == name]
-        for i in range(0, len(own), 100):
-            for column, _ in gram_rows(own[i : i + 100], bits):
+        for part in spans(own):
+            for column, _ in gram_rows(own[part], bits):
                 counts[:, k] += np.bincount(column, minlength=1 << bits)
     return names, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
