@@ -27,6 +27,8 @@ HEAD = struct.Struct("<QI")
 MASK = 0xA282EAD8
 #: Words between white space as the tokenizer's rules see it: no token crosses it.
 SPACED = regex.compile(r"\S+")
+#: Characters that str.split takes for white space and the tokenizer doesn't.
+ODD = regex.compile(r"[\x1c-\x1f]")
 CACHE_WORDS = 400_000
 _cache: dict[tuple[str, str], bytes] = {}
 _tokenizers: dict = {}
@@ -88,20 +90,18 @@ def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
         _tokenizers[path] = Tokenizer.from_file(path)
     tokenizer = _tokenizers[path]
     cache = _cache.setdefault(path, {})
-    split = [SPACED.findall(t) for t in texts]
-    new = list({w for words in split for w in words} - cache.keys())
-    extra = {}
+    split = [SPACED.findall(t) if ODD.search(t) else t.split() for t in texts]
+    new = list(set().union(*split).difference(cache))
     if new:
         encoded = tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids, of = np.array(encoded.ids, "<u4"), np.array(encoded.word_ids, np.int64)
-        data = ids.tobytes()
-        cuts = (np.searchsorted(of, np.arange(len(new) + 1)) * 4).tolist()
-        extra = {w: data[a:b] for w, a, b in zip(new, cuts, cuts[1:], strict=False)}
-        room = CACHE_WORDS - len(cache)
-        if room > 0:
-            cache.update(list(extra.items())[:room])
-    known, rare = cache.get, extra.get
-    return [np.frombuffer(b"".join([known(w) or rare(w, b"") for w in words]), "<u4") for words in split]
+        data = np.array(encoded.ids, "<u4").tobytes()
+        cuts = (np.searchsorted(np.array(encoded.word_ids, np.int64), np.arange(len(new) + 1)) * 4).tolist()
+        cache.update(zip(new, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+    out = [np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4") for words in split]
+    # Words are kept in the order in which they came; the latest beyond the bound go.
+    for w in new[max(0, len(new) - max(0, len(cache) - CACHE_WORDS)) :]:
+        del cache[w]
+    return out
 
 
 def write_records(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, shards: int | None = None, level: int = 3) -> DataFrame:
@@ -120,7 +120,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str
         compress = zstandard.ZstdCompressor(level=level, write_content_size=True)
         shard, index, at, tokens = None, [], 0, 0
         out = None
-        for b in slices(batches, "text", 1_000_000):
+        for b in slices(batches, "text", 2_000_000):
             if out is None:
                 shard = b.column("shard")[0].as_py()
                 store.create_dir(root, recursive=True)
