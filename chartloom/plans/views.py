@@ -152,7 +152,6 @@ class Views:
         pairs = (
             self.table("lineitem").select("l_orderkey", "l_partkey")
             .join(self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .filter("(l_partkey + o_custkey) % 6 = 0")
             .groupBy("l_partkey", "o_custkey")
             .agg(F.min("o_orderdate").alias("d"))
         )
