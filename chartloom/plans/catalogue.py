@@ -8,6 +8,7 @@ from chartloom.operators import catalogue as ct
 from chartloom.operators import resolution as rs
 from chartloom.operators import search
 from chartloom.plans.registry import EXTRA_VIEWS, query
+from chartloom.plans.views import by_blocks
 from chartloom.sources import catalogue_docs as cd
 from chartloom.sources import snapshots as sn
 from chartloom.sources.shared import shared_folder
@@ -90,7 +91,7 @@ def src_pivoted_years_json(v):
 
 @query("SELECT run_id, rank, artist_raw, title_raw FROM fv_entry")
 def src_entries_json(v):
-    docs = v.entry.groupBy("run_id").agg(F.to_json(F.collect_list(F.array(F.col("rank").cast("string"), "artist_raw", "title_raw"))).alias("json"))
+    docs = by_blocks(v.entry, "run_id").agg(F.to_json(F.collect_list(F.array(F.col("rank").cast("string"), "artist_raw", "title_raw"))).alias("json")).drop("block")
     return sn.entries_json(docs)
 
 
@@ -98,17 +99,17 @@ def src_entries_json(v):
 def src_positions_json(v):
     position = F.struct(F.when(F.col("rank") != 7, F.col("rank").cast("string")).otherwise("x").alias("current"), F.col("previous_position").alias("previous"))
     item = F.struct(position.alias("position"), F.struct(F.col("artist_raw").alias("artist"), F.col("title_raw").alias("title")).alias("track"))
-    docs = v.entry.groupBy("run_id").agg(F.to_json(F.struct(F.collect_list(item).alias("positions"))).alias("json"))
+    docs = by_blocks(v.entry, "run_id").agg(F.to_json(F.struct(F.collect_list(item).alias("positions"))).alias("json")).drop("block")
     return sn.positions_json(docs)
 
 
 def chart_pages(v):
-    """Runs as pages: tables, list items or lines, by the last digit of the month."""
+    """Runs as pages, long ones as several: tables, list items or lines, by the last digit of the month."""
     kind = F.substring("period", 7, 1).cast("int") % 3
     cell = lambda c: F.concat(F.lit("<td>"), F.col(c).cast("string"), F.lit("</td>"))
     line = F.concat_ws("", F.col("rank").cast("string"), F.lit(". "), "artist_raw", F.lit(" - "), "title_raw")
     row = F.when(kind == 0, F.concat(F.lit("<tr>"), cell("rank"), cell("artist_raw"), cell("title_raw"), F.lit("</tr>"))).when(kind == 1, F.concat(F.lit("<li>"), line, F.lit("</li>"))).otherwise(line)
-    return v.entry.groupBy("run_id").agg(F.array_join(F.collect_list(row), "\n").alias("html"))
+    return by_blocks(v.entry.withColumn("_row", row), "run_id").agg(F.array_join(F.collect_list("_row"), "\n").alias("html")).drop("block")
 
 
 @query("SELECT run_id, rank, artist_raw, title_raw, CAST(substr(period, 7, 1) AS INTEGER) % 3 AS way FROM fv_entry")
@@ -290,14 +291,14 @@ def wikidata_qid_from_urls(v):
 
 
 def year_pages(v):
-    """One page per chart and year asked for: a table with a column for every year, a row for every place in January."""
+    """One page per chart, block of ranks and year asked for: a table with a column for every year, a row for every place in January."""
     january = v.entry.filter("period like '%-01'").withColumn("year", F.substring("period", 1, 4))
     years = F.array_sort(F.collect_set("year"))
     cell = F.struct("year", F.concat(F.lit("<td><a href='x'>"), F.col("rank").cast("string"), F.lit(". </a>"), "artist_raw", F.lit(" - "), "title_raw", F.lit("</td>")).alias("html"))
     head = january.groupBy("chart_id").agg(years.alias("years"))
     rows = january.groupBy("chart_id", "rank").agg(F.map_from_entries(F.collect_list(cell)).alias("cells")).join(head, "chart_id")
-    lines = rows.select("chart_id", "years", F.concat(F.lit("<tr>"), F.array_join(F.transform("years", lambda y: F.coalesce(F.try_element_at("cells", y), F.lit("<td></td>"))), ""), F.lit("</tr>")).alias("line"))
-    tables = lines.groupBy("chart_id", "years").agg(F.array_join(F.collect_list("line"), "").alias("body"))
+    lines = rows.select("chart_id", "years", "rank", F.concat(F.lit("<tr>"), F.array_join(F.transform("years", lambda y: F.coalesce(F.try_element_at("cells", y), F.lit("<td></td>"))), ""), F.lit("</tr>")).alias("line"))
+    tables = by_blocks(lines, "chart_id", "years").agg(F.array_join(F.collect_list("line"), "").alias("body"))
     html = F.concat(F.lit("<table><tr>"), F.array_join(F.transform("years", lambda y: F.concat(F.lit("<th>List "), y, F.lit("</th>"))), ""), F.lit("</tr>"), "body", F.lit("</table>"))
     return tables.select("chart_id", html.alias("html"), F.explode("years").alias("year"))
 
@@ -311,7 +312,7 @@ def pages_year_column(v):
 def wiki_link_enrich(v):
     link = lambda letter: F.concat(F.lit(f'<a href="/wiki/{letter}_'), "partkey", F.lit('">x</a>'))
     row = F.concat(F.lit("<tr><td>"), F.col("rank").cast("string"), F.lit("</td><td>"), link("A"), F.when(F.col("rank") % 3 == 0, link("T")).otherwise(""), F.lit('<a href="/other">y</a></td></tr>'))
-    pages = v.entry.filter("rank % 4 <> 0").groupBy("run_id").agg(F.array_join(F.collect_list(row), "").alias("html"))
+    pages = by_blocks(v.entry.filter("rank % 4 <> 0"), "run_id").agg(F.array_join(F.collect_list(row), "").alias("html")).drop("block")
     return sn.with_links(v.entry.select("entry_id", "run_id", "rank"), sn.wiki_links(pages), ["run_id", "rank"]).select("entry_id", "artist_url", "title_url")
 
 

@@ -26,7 +26,7 @@ class Views:
 
     @cached_property
     def entry(self) -> DataFrame:
-        """Ranked entries of monthly charts, one chart per market segment: the 40 parts of most revenue.
+        """Ranked entries of monthly charts, one chart per market segment: all parts sold, by revenue.
 
         Most queries use it several times, so it is computed once and written.
         """
@@ -41,7 +41,7 @@ class Views:
             .agg(F.sum("points").alias("points"))
         )
         w = Window.partitionBy("chart_id", "period").orderBy(F.desc("points"), "partkey")
-        ranked = sums.withColumn("rank", F.row_number().over(w)).filter("rank <= 40").join(parts, F.col("partkey") == F.col("p_partkey"))
+        ranked = sums.withColumn("rank", F.row_number().over(w)).join(parts, F.col("partkey") == F.col("p_partkey"))
         run_id = short_hash(F.concat_ws(":", "chart_id", "period"))
         made = ranked.select(
             short_hash(F.concat_ws(":", run_id, F.col("rank").cast("string"))).alias("entry_id"),
@@ -203,6 +203,15 @@ class Views:
         )
 
 
+#: Ranks of a run that go into one document or page, so that what is gathered is bounded however long a chart gets.
+BLOCK = 1000
+
+
+def by_blocks(entries: DataFrame, *keys: str):
+    """Entries grouped by the keys and blocks of ranks."""
+    return entries.groupBy(*keys, F.floor((F.col("rank") - 1) / BLOCK).alias("block"))
+
+
 def partial_date(d, key):
     """A date text whose precision (year, month, day) follows from the key."""
     return F.when(key % 3 == 0, F.date_format(d, "yyyy")).when(key % 3 == 1, F.date_format(d, "yyyy-MM")).otherwise(F.date_format(d, "yyyy-MM-dd"))
