@@ -1,8 +1,8 @@
 """Fuzzy search of many queries at once: blocking first, similarity only within blocks.
 
 Queries are rows (query_id, artist, title, length_ms), normalized; recordings are rows (recording_mbid, artist_normalized, title_normalized,
-length_ms). No plan compares all with all: a text that contains a query holds the query's first trigram, and fuzzy matches share
-at least one word of the artist and one trigram of the title.
+length_ms). No plan compares all with all: a text that contains a query holds the query's first trigram, and names whose ratio
+reaches a threshold share one of their rarest characters, so that both joins find all matches.
 """
 
 from __future__ import annotations
@@ -44,18 +44,36 @@ def containing(queries: DataFrame, recordings: DataFrame, tolerance: float = 0.1
     return hits.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).select("query_id", "recording_mbid")
 
 
-def similar(queries: DataFrame, recordings: DataFrame, title_at_least: float = 80.0, artist_at_least: float = 80.0, limit: int = 50) -> DataFrame:
-    """(query_id, recording_mbid, score): the smaller of both ratios, best first.
+#: Characters from frequent to rare; others count as rarer than all of these. Any order gives the same pairs, this one gives fewer candidates.
+FREQUENT = " etaoinshrdlcumwfgypbvkjxqz"
+
+
+def rare_characters(text: Column, at_least: float) -> Column:
+    """The rarest characters of a text, numbered where they recur: two texts whose ratio is at_least or more share one of these.
 
-    Names are compared once for each distinct pair. Pairs that share no artist word or no title trigram aren't seen.
+    Such texts have a common subsequence of at least n * at_least / (200 - at_least) characters, n being the length of either; so of
+    their characters in a fixed order, all but as many and one more hold a common one. An empty text has a mark of its own.
     """
+    chars = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(1)))
+    numbered = F.transform(chars, lambda c, i: F.struct((-F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c))).alias("n"), F.when(F.instr(F.lit(FREQUENT), c) == 0, -99).otherwise(-F.instr(F.lit(FREQUENT), c)).alias("o"), c.alias("c")))
+    common = F.greatest(F.lit(1), F.ceil(F.length(text) * at_least / (200.0 - at_least) - 1e-9)).cast("int")
+    empty = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("o"), F.lit("").alias("c")))
+    return F.when(F.length(text) == 0, empty).otherwise(F.slice(F.array_sort(numbered), F.lit(1), F.length(text) - common + 1))
+
+
+def close_pairs(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:
+    """(a, b, ratio): all pairs of a name a of left and a name b of right whose ratio is at_least or more; both have one column."""
+    names = lambda df, name: df.toDF(name).distinct().withColumn("_c", F.explode(rare_characters(F.col(name), at_least)))
+    pairs = names(left, "a").join(names(right, "b"), "_c").filter(sim.can_reach(F.col("a"), F.col("b"), at_least)).select("a", "b").distinct()
+    return pairs.withColumn("ratio", sim.ratio("a", "b")).filter(F.col("ratio") >= at_least)
+
+
+def similar(queries: DataFrame, recordings: DataFrame, title_at_least: float = 80.0, artist_at_least: float = 80.0, limit: int = 50) -> DataFrame:
+    """(query_id, recording_mbid, score): the smaller of both ratios, best first. Names are compared once for each distinct pair."""
+    titles = close_pairs(queries.select("title"), recordings.select("title_normalized"), title_at_least).toDF("title", "title_normalized", "_r")
+    artists = close_pairs(queries.select("artist"), recordings.select("artist_normalized"), artist_at_least).toDF("artist", "artist_normalized", "_a")
     names = recordings.select("artist_normalized", "title_normalized").distinct()
-    asked = queries.select("artist", "title").distinct()
-    left = asked.withColumn("_w", F.explode(F.array_distinct(F.split("artist", r"\s+")))).withColumn("_t", F.explode(trigrams(F.col("title"))))
-    right = names.withColumn("_w", F.explode(F.array_distinct(F.split("artist_normalized", r"\s+")))).withColumn("_t", F.explode(trigrams(F.col("title_normalized"))))
-    fits = sim.can_reach(F.col("artist"), F.col("artist_normalized"), artist_at_least) & sim.can_reach(F.col("title"), F.col("title_normalized"), title_at_least)
-    pairs = left.join(right, ["_w", "_t"]).filter(fits).select("artist", "title", "artist_normalized", "title_normalized").distinct()
-    scored = pairs.withColumns({"_a": sim.ratio("artist", "artist_normalized"), "_r": sim.ratio("title", "title_normalized")}).filter((F.col("_a") >= artist_at_least) & (F.col("_r") >= title_at_least))
+    scored = queries.select("artist", "title").distinct().join(titles, "title").join(names, "title_normalized").join(artists, ["artist", "artist_normalized"])
     scored = scored.select("artist", "title", "artist_normalized", "title_normalized", F.least("_a", "_r").alias("score"))
     hits = queries.join(scored, ["artist", "title"]).join(recordings.drop("length_ms"), ["artist_normalized", "title_normalized"])
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "recording_mbid")
@@ -94,15 +112,16 @@ def stage_summary(hits: DataFrame, stages: DataFrame) -> DataFrame:
 
 
 def song_lookup(queries: DataFrame, songs: DataFrame, least: float = 0.7) -> DataFrame:
-    """(query_id, song_id, score): the song of exactly these names, else the best of 0.4 artist + 0.6 title among songs that share a title trigram."""
+    """(query_id, song_id, score): the song of exactly these names, else the best of 0.4 artist + 0.6 title, if that is enough.
+
+    With an equal artist the title must still reach (least - 0.4) / 0.6, so only titles that close are joined.
+    """
     exact = queries.join(songs.select(F.col("artist_canonical").alias("artist"), F.col("title_canonical").alias("title"), "song_id"), ["artist", "title"])
     rest = queries.join(exact.select("query_id"), "query_id", "left_anti")
-    left = rest.withColumn("_t", F.explode(trigrams(F.col("title"))))
-    right = songs.withColumn("_t", F.explode(trigrams(F.col("title_canonical"))))
-    pairs = left.join(right, "_t").select("query_id", "artist", "title", "song_id", "artist_canonical", "title_canonical").distinct()
-    titles = pairs.select("title", "title_canonical").distinct().withColumn("_r", sim.ratio("title", "title_canonical") / 100)
+    titles = close_pairs(rest.select("title"), songs.select("title_canonical"), 100 * (least - 0.4) / 0.6 - 1e-3).toDF("title", "title_canonical", "_r").withColumn("_r", F.col("_r") / 100)
+    pairs = rest.join(titles, "title").join(songs, "title_canonical").select("query_id", "artist", "title", "song_id", "artist_canonical", "title_canonical", "_r")
     artists = pairs.select("artist", "artist_canonical").distinct().withColumn("_a", sim.ratio("artist", "artist_canonical") / 100)
-    scored = pairs.join(titles, ["title", "title_canonical"]).join(artists, ["artist", "artist_canonical"]).withColumn("score", F.round(0.4 * F.col("_a") + 0.6 * F.col("_r"), 6)).filter(F.col("score") >= least)
+    scored = pairs.join(artists, ["artist", "artist_canonical"]).withColumn("score", F.round(0.4 * F.col("_a") + 0.6 * F.col("_r"), 6)).filter(F.col("score") >= least)
     best = dedupe_first(scored, ["query_id"], [F.desc("score"), "song_id"])
     return exact.select("query_id", "song_id", F.lit(1.0).alias("score")).unionByName(best.select("query_id", "song_id", "score"))
 
