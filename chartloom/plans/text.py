@@ -195,7 +195,8 @@ def ratio(v):
 
 @query(f"SELECT a, b FROM ({LCS}) WHERE ratio >= 80")
 def fuzzy_match(v):
-    return name_pairs(v).filter(sim.can_reach(F.col("a"), F.col("b"), 80)).filter(sim.ratio("a", "b") >= 80).select("a", "b")
+    names = v.table("part").select("p_name")
+    return search.close_pairs(names, names, 80).select("a", "b")
 
 
 @query(None)

@@ -4,6 +4,7 @@ import random
 
 from chartloom.functions import similarity as sim
 from chartloom.operators import search
+from chartloom.plans import registry
 
 TITLES = ["love", "lave", "lov", "a", "b", "", "hello", "hallo", "yellow moon", "yelow mon", "mellow moon", "cold bolt", "old bolt", "new widget", "red widget", "song song", "gnos gnos"]
 ARTISTS = ["brand#1", "brand#10", "brand#21", "abba", "aba", "abbas", "the doors", "doors", "teh doors", "x", "ünder", "under"]
@@ -46,3 +47,11 @@ def test_song_lookup(spark):
         if -min(scores)[0] >= 0.7:
             want[q] = min(scores)[1]
     assert {r["query_id"]: r["song_id"] for r in got} == want
+
+
+def test_fuzzy_match(spark):
+    sf = "/root/testdata/sf0.001"
+    names = {r[0] for r in spark.read.parquet(f"{sf}/part.parquet").select("p_name").collect()}
+    got = registry.queries()["fuzzy_match"](spark, sf).collect()
+    assert sorted(map(tuple, got)) == sorted((a, b) for a in names for b in names if sim.indel_ratio(a, b) >= 80)
+    assert any(a[0] != b[0] for a, b in got)
