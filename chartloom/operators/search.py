@@ -68,14 +68,19 @@ def close_pairs(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame
     return pairs.withColumn("ratio", sim.ratio("a", "b")).filter(F.col("ratio") >= at_least)
 
 
-def similar(queries: DataFrame, recordings: DataFrame, title_at_least: float = 80.0, artist_at_least: float = 80.0, limit: int = 50) -> DataFrame:
-    """(query_id, recording_mbid, score): the smaller of both ratios, best first. Names are compared once for each distinct pair."""
+def similar(queries: DataFrame, recordings: DataFrame, title_at_least: float = 80.0, artist_at_least: float = 80.0, limit: int = 50, tolerance: float | None = None) -> DataFrame:
+    """(query_id, recording_mbid, score): the smaller of both ratios, best first; with a tolerance, only of a fitting length.
+
+    Names are compared once for each distinct pair.
+    """
     titles = close_pairs(queries.select("title"), recordings.select("title_normalized"), title_at_least).toDF("title", "title_normalized", "_r")
     artists = close_pairs(queries.select("artist"), recordings.select("artist_normalized"), artist_at_least).toDF("artist", "artist_normalized", "_a")
     names = recordings.select("artist_normalized", "title_normalized").distinct()
     scored = queries.select("artist", "title").distinct().join(titles, "title").join(names, "title_normalized").join(artists, ["artist", "artist_normalized"])
     scored = scored.select("artist", "title", "artist_normalized", "title_normalized", F.least("_a", "_r").alias("score"))
-    hits = queries.join(scored, ["artist", "title"]).join(recordings.drop("length_ms"), ["artist_normalized", "title_normalized"])
+    hits = queries.join(scored, ["artist", "title"]).join(recordings.withColumnRenamed("length_ms", "rec_ms"), ["artist_normalized", "title_normalized"])
+    if tolerance is not None:
+        hits = hits.filter(length_fits(F.col("length_ms"), F.col("rec_ms"), tolerance))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "recording_mbid")
     return hits.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).select("query_id", "recording_mbid", "score")
 
@@ -94,14 +99,14 @@ def dedupe_first(hits: DataFrame, by: list[str], order: list) -> DataFrame:
 def search_stages(queries: DataFrame, recordings: DataFrame, enough: int = 5) -> DataFrame:
     """(query_id, recording_mbid, stage): stages add up until a query has enough distinct recordings; the first stage of a recording wins.
 
-    Stage 1 contains the query at +-10% length, stage 2 is similar (title 70, artist 60), stage 3 is any recording of a similar artist
+    Stage 1 contains the query at +-10% length, stage 2 is similar (title 70, artist 60) at +-20% length, stage 3 is any recording of a similar artist
     whose title is similar at 70. Each later stage runs only for the queries that still lack results.
     """
     found = materialize(containing(queries, recordings).withColumn("stage", F.lit(1)))
-    for stage, artist in ((2, 60.0), (3, 50.0)):
+    for stage, artist, tolerance in ((2, 60.0, 0.2), (3, 50.0, None)):
         counts = found.groupBy("query_id").agg(F.count_distinct("recording_mbid").alias("n"))
         lacking = queries.join(counts.filter(F.col("n") >= enough), "query_id", "left_anti")
-        more = materialize(similar(lacking, recordings, 70.0, artist, 100).select("query_id", "recording_mbid").withColumn("stage", F.lit(stage)))
+        more = materialize(similar(lacking, recordings, 70.0, artist, 100, tolerance).select("query_id", "recording_mbid").withColumn("stage", F.lit(stage)))
         found = found.unionByName(more)
     return dedupe_first(found, ["query_id", "recording_mbid"], ["stage"])
 
@@ -126,11 +131,19 @@ def song_lookup(queries: DataFrame, songs: DataFrame, least: float = 0.7) -> Dat
     return exact.select("query_id", "song_id", F.lit(1.0).alias("score")).unionByName(best.select("query_id", "song_id", "score"))
 
 
-def artist_browse(queries: DataFrame, recordings: DataFrame, title_at_least: float = 70.0, limit: int = 100) -> DataFrame:
-    """Recordings of a query's artist whose title is similar; titles that contain the query's count as similar."""
-    rows = recordings.withColumnRenamed("length_ms", "rec_ms").join(queries, recordings["artist_normalized"] == queries["artist"])
-    pairs = rows.select("title", "title_normalized").distinct()
-    close = F.contains("title_normalized", "title") | (sim.ratio("title", "title_normalized") >= title_at_least)
-    kept = rows.join(pairs.withColumn("_ok", close).filter("_ok"), ["title", "title_normalized"])
+def containing_titles(asked: DataFrame, titles: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a text a of asked and a text b of titles that contains it; both have one column. b holds the first three letters of a, or fewer."""
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("b"))), lambda i: F.array(*[F.substr("b", i, F.lit(n)) for n in (1, 2, 3)])))))
+    left = asked.toDF("a").distinct().withColumn("_t", F.substring("a", 1, 3))
+    return left.join(titles.toDF("b").distinct().withColumn("_t", F.explode(grams)), "_t").filter(F.contains("b", "a")).select("a", "b")
+
+
+def artist_browse(queries: DataFrame, recordings: DataFrame, title_at_least: float = 70.0, limit: int = 100, artist_at_least: float = 60.0) -> DataFrame:
+    """Recordings of artists like a query's whose title is similar; titles that contain the query's count as similar, and come first."""
+    asked, known = queries.select("title"), recordings.select("title_normalized")
+    titles = close_pairs(asked, known, title_at_least).select("a", "b").union(containing_titles(asked, known)).distinct().toDF("title", "title_normalized")
+    artists = close_pairs(queries.select("artist"), recordings.select("artist_normalized"), artist_at_least).select("a", "b").toDF("artist", "artist_normalized")
+    wanted = queries.join(titles, "title").join(artists, "artist")
+    kept = wanted.join(recordings.withColumnRenamed("length_ms", "rec_ms"), ["title_normalized", "artist_normalized"])
     w = Window.partitionBy("query_id").orderBy((~F.contains("title_normalized", "title")).cast("int"), "recording_mbid")
-    return kept.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_ok", "_n")
+    return kept.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")

@@ -189,7 +189,7 @@ def search_stages(v):
 @query(f"SELECT s AS stage, CASE WHEN s = 1 THEN (SELECT count(*) FROM ({CONTAINING})) ELSE 0 END AS n FROM (VALUES (1), (2), (3), (4)) t(s)")
 def stage_summary(v):
     stages = v.spark.range(1, 5).select(F.col("id").cast("int").alias("stage"))
-    return search.stage_summary(search.containing(asked(v), recs(v)).withColumn("stage", F.lit(1)), stages)
+    return search.stage_summary(search.search_stages(asked(v), recs(v)), stages)
 
 
 @query(None)
@@ -342,5 +342,4 @@ def catalogue_from_api_docs(v):
 
 @query("SELECT query_id, recording_mbid, title_normalized FROM (SELECT q.query_id, r.recording_mbid, r.title_normalized, row_number() OVER (PARTITION BY q.query_id ORDER BY r.recording_mbid) AS n FROM fv_query q JOIN fv_rec r ON r.artist_normalized = q.artist WHERE contains(r.title_normalized, q.title)) WHERE n <= 100")
 def artist_browse(v):
-    rows = search.artist_browse(asked(v), recs(v))
-    return rows.filter(F.contains("title_normalized", "title")).select("query_id", "recording_mbid", "title_normalized")
+    return search.artist_browse(asked(v), recs(v)).select("query_id", "recording_mbid", "title_normalized")

@@ -55,3 +55,27 @@ def test_fuzzy_match(spark):
     got = registry.queries()["fuzzy_match"](spark, sf).collect()
     assert sorted(map(tuple, got)) == sorted((a, b) for a in names for b in names if sim.indel_ratio(a, b) >= 80)
     assert any(a[0] != b[0] for a, b in got)
+
+
+def test_length_of_stage_two(spark):
+    """Similar names of a wrong length are found in stage 3, not in stage 2."""
+    asked = [("q", "abba", "yellow moon", 100_000)]
+    recs = [("near", "abbas", "yelow mon", 119_000), ("far", "abbas", "yelow mon", 121_000), ("none", "abbas", "yelow mon", None)]
+    got = search.search_stages(spark.createDataFrame(asked, QUERY), spark.createDataFrame(recs, REC)).collect()
+    assert {r["recording_mbid"]: r["stage"] for r in got} == {"near": 2, "far": 3, "none": 3}
+
+
+def test_stage_summary(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r["stage"]: r["n"] for r in registry.queries()["stage_summary"](spark, sf).collect()}
+    found = {r["stage"]: r["count"] for r in registry.queries()["search_stages"](spark, sf).groupBy("stage").count().collect()}
+    assert got == {s: found.get(s, 0) for s in (1, 2, 3, 4)} and got[2] > 0
+
+
+def test_artist_browse(spark):
+    names = [(a, t) for a in ARTISTS for t in TITLES]
+    asked = [(f"q{i}", a, t, None) for i, (a, t) in enumerate(names)]
+    recs = [(f"r{i}", a, t, 1) for i, (a, t) in enumerate(names)]
+    got = search.artist_browse(spark.createDataFrame(asked, QUERY), spark.createDataFrame(recs, REC), limit=10**6).collect()
+    want = [(q, r) for q, a, t, _ in asked for r, b, u, _ in recs if (t in u or sim.indel_ratio(t, u) >= 70) and sim.indel_ratio(a, b) >= 60]
+    assert sorted((r["query_id"], r["recording_mbid"]) for r in got) == sorted(want)
