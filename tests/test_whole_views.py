@@ -52,7 +52,7 @@ def duck_long():
     return con
 
 
-LONG = "rank_range src_entries_json src_positions_json src_pivoted_years_json pages_strategy_fallback pages_year_column wiki_link_enrich coverage_report entry_scores work_chart_positions overlap_pct position_xref integrity_check ingest_run".split()
+LONG = "rank_range src_entries_json src_positions_json src_pivoted_years_json pages_strategy_fallback pages_year_column wiki_link_enrich coverage_report entry_scores work_chart_positions overlap_pct position_xref integrity_check ingest_run charts_blob charts_blob_parse pages_table_rows pages_text_lines".split()
 
 
 @pytest.mark.parametrize("name", LONG)
