@@ -7,7 +7,9 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from chartloom.llm import language_id, licenses, pieces, quality_classifier, quality_rules, toxicity
 from tests.llm.test_dedup_mix_records import EDGE, SCHEMA
@@ -225,13 +227,37 @@ def test_pieces_follow_the_lattice(model):
         assert abs(seen[way] / n - share) < 0.02
 
 
+def test_pieces_are_the_same_however_held(model, monkeypatch):
+    """Long words by plain numbers and others in numpy, held or forgotten lattices, one text at a time or all: one sample."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdeé 日\n") for _ in range(rng.randrange(1, 900))) for _ in range(60)] + ["x" * 5000 + " " + "日本" * 900]
+    keys = [str(i) for i in range(len(texts))]
+    want = [x.tolist() for x in model.encode(texts, keys)]
+    monkeypatch.setattr(pieces, "LONG", 5)
+    monkeypatch.setattr(pieces, "HELD_WORDS", 40)
+    other = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    for _ in range(2):
+        assert [other.encode([t], [k])[0].tolist() for t, k in zip(texts, keys, strict=True)] == want
+    assert len(other.number) < 500 and [other.decode(x) for x in want] == texts
+
+
+def test_pieces_that_do_not_come_back(model):
+    texts = ["ab cd", None, "ef", ""]
+    ids, ends = model.encode_flat(pa.array(texts), list("1234"))
+    assert model.come_back(ids, ends, pa.array(texts)).all()
+    wrong = ids.copy()
+    wrong[-1] = model.encode(["z"], ["0"])[0][-1]
+    assert model.come_back(wrong, ends, pa.array(texts)).tolist() == [True, True, False, True]
+
+
 def test_pieces_of_documents(spark, model):
-    docs = spark.createDataFrame([r for r in EDGE if r[0] is not None], SCHEMA)
+    docs = spark.createDataFrame(EDGE, SCHEMA).withColumn("piece_ids", F.lit("old"))
     path = public_tokenizers.path("piece_bpe_32k.model")
     coded = pieces.encode_documents(docs, path)
-    assert coded.columns == [*docs.columns, "piece_ids"]
+    assert coded.columns == docs.columns and len(docs.columns) == len(set(docs.columns))
     rows = coded.collect()
     again = {(r.doc_id, r.text): r.piece_ids for r in pieces.encode_documents(docs.repartition(3), path).collect()}
+    assert len(rows) == len(EDGE)
     assert all(again[r.doc_id, r.text] == r.piece_ids for r in rows)
     back = {r.doc_id: r.text for r in pieces.decode_documents(coded, path).collect()}
     assert all(back[r.doc_id] == (r.text or "") for r in rows)
