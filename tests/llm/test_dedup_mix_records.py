@@ -212,27 +212,51 @@ def test_frames_find_damage():
     assert doc == -5 and ids.tolist() == [1, 70_000]
 
 
+def test_encoding_by_parts_equals_whole_texts(monkeypatch):
+    """Random texts of odd characters, with few parts held: the ids of the library for whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, rng = Tokenizer.from_file(path), random.Random(11)
+    letters = list("aAbBeEtTsSéÉñüÜяЯß") * 6 + list("'’.,;:!?-*#&|<>()[]\"$%@/_1234567890 \t\n\u00a0\u0301\u0331\u200bΣσ日本🙂\x1c\x85")
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 200))) for _ in range(400)]
+    monkeypatch.setattr(records, "HELD_PARTS", 300)
+    for i in range(0, 400, 20):
+        got = records.encode_texts(path, texts[i : i + 20])
+        assert [x.tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[i : i + 20]]
+
+
 def test_records_round_trip(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    rows = [r for r in EDGE if r[0] is not None] + [
+    rows = EDGE + [
         (20, "It's the <|endoftext|> 12,5 é̀ x y z ᲀ ΑΣ Σ. I'LL don't\x1c\x85b İ", "en", "s", 1, 1, ""),
         (21, "日本語 text🙂🙂 naïve--<|startoftext|>--Ǆ", "en", "s", 1, 1, ""),
         (-3, "  The the THE  \n\n the, 'the' ", "en", "s", 1, 1, ""),
+        (22, "(Word) \"word\", 'sword's it's --dash--x a.b A/B ***Ok*** ÉTÉ, état! Привет, ПРИВЕТ? <|EndOfText|> <|endoftext|>, x", "en", "s", 1, 1, ""),
+        (23, "H\u0331 h\u0331 E\u0301t E\u0301T\u0301. ΟΔΟΣ. ΟΔΟΣ ΟΔΟΣα ǅ, ﬁ ß ẞ İI ıi 1st 2ND $3.50 ½ ² \u00a0x\u3000Y", "en", "s", 1, 1, ""),
     ]
     docs = spark.createDataFrame(rows, SCHEMA)
     folder = f"file://{tmp_path}/rec"
     manifest = records.write_records(docs, path, folder, shards=3).cache()
     got = records.record_digests(manifest).orderBy("start").collect()
     start = 0
-    for (doc_id, text), r in zip(sorted((r[0], r[1] or "") for r in rows), got, strict=True):
+    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda x: (x[0] is not None, x[0] or 0))
+    for (doc_id, text), r in zip(order, got, strict=True):
         ids = tokenizer.encode(text, add_special_tokens=False).ids + [1]
         assert (r.doc_id, r.start, r.n_tokens) == (doc_id, start, len(ids)), text
         assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
         start += len(ids)
     whole = {(r.doc_id, r.start): r.ids for r in records.read_records(manifest).collect()}
     assert len(whole) == len(rows) and sum(map(len, whole.values())) == start
+    # Rows with one id may be split; without a number of shards it follows from the bytes.
+    hot = spark.createDataFrame([(5, f"t {i}") for i in range(400)] + [(None, f"n {i}") for i in range(400)], "doc_id long, text string")
+    assert records.n_shards(hot, "text", 100) > 20
+    many = records.write_records(hot, path, f"file://{tmp_path}/hot", shard_bytes=100).cache()
+    assert max(r.documents for r in many.collect()) < 200
+    assert [r.doc_id for r in records.record_digests(many).orderBy("start").collect()] == [None] * 400 + [5] * 400
     assert records.record_digests(records.write_records(spark.createDataFrame([], SCHEMA), path, f"file://{tmp_path}/none")).count() == 0
