@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartloom.sources.shared import materialize, shared_folder  # noqa: F401
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,25 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is missing (tests in one process) is it a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="chartloom-")
-    return f"{base.rstrip('/')}/chartloom-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)
@@ -100,3 +81,43 @@ def spans(texts: list[str], max_chars: int = 500_000) -> Iterator[slice]:
         size += len(t)
     if start < len(texts):
         yield slice(start, len(texts))
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that aren't taken."""
+    out, known = [], {t.lower() for t in taken}
+    for name in wanted:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
+def one_label(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, label): one row per id that isn't held out; of several labels of an id the largest. Null ids and labels are left out."""
+    rows = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label")).filter("id is not null and label is not null")
+    return rows.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
+
+
+def keep_by_key(docs: DataFrame, keys: dict[str, Column], losers: DataFrame, repeated: DataFrame) -> DataFrame:
+    """docs without the rows whose keys are among the losers, and with one row of each repeated key; all columns of docs stay.
+
+    keys are expressions over docs; losers and repeated have them as columns of the same names. Null equals null. Rows are sent only
+    to where Spark's join needs them: it broadcasts losers whose size is below its bound, and then nothing else moves.
+    """
+    names = docs.columns
+    own = free_names(names, *[f"_key_{k}" for k in keys])
+    keyed = docs.withColumns(dict(zip(own, keys.values(), strict=True)))
+
+    def equal(other: DataFrame) -> Column:
+        on = F.lit(True)
+        for mine, k in zip(own, keys, strict=True):
+            on = on & F.col(mine).eqNullSafe(other[k])
+        return on
+
+    kept = keyed.join(losers, equal(losers), "left_anti")
+    if not repeated.isEmpty():
+        again = kept.join(repeated, equal(repeated), "left_semi").dropDuplicates(own)
+        kept = kept.join(repeated, equal(repeated), "left_anti").unionByName(again)
+    return kept.select(*[F.col(f"`{n}`") for n in names])

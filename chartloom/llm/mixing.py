@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 Everything is a DataFrame expression. The tokens of a source are laid on circles, one per shard, in an
-order that a seeded hash of the id gives. Blocks of equal length are handed to the sources by highest
+order that a seeded hash of id and text gives; rows equal in both are one item with their words together, so that many of
+them are no burden for a shard. Blocks of equal length are handed to the sources by highest
 quotients, then to groups of shards and to shards in the same way, and each shard takes its blocks
 from a seeded starting point of its circle; more than one turn repeats documents.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartloom.llm.common import materialize, n_words, unit_hash
+from chartloom.llm.common import free_names, materialize, n_words, unit_hash
 
 
 def source_targets(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
@@ -79,27 +80,40 @@ def mix(
     A size is the number of words; null and empty texts have 0 and take nothing. The words taken from a source are a
     whole number of blocks nearest its target in the sense of Sainte-Lague, and no document is taken
     more than max_repeats times. Reruns agree: only the seed and the rows decide.
-    Null ids and repeated rows are documents like others. An empty table gives none.
+    Null ids and repeated rows are documents like others; rows equal in id, source and text share what is taken of them evenly, in whole
+    words. A null source is a source. An empty table gives none.
     """
-    rows = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    )
-    by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    rows = _sized(docs, id_col, text_col, source_col)
+    items = _mixed_items(rows, block_words, max_repeats, docs_per_shard, seed)
+    same = F.col("r.id").eqNullSafe(F.col("i.id")) & F.col("r.source").eqNullSafe(F.col("i.source")) & (F.col("r.h") == F.col("i.h"))
+    share = F.when(F.col("n") == 1, F.col("taken")).otherwise(F.floor(F.col("taken") / F.greatest("words", F.lit(1)) * F.col("size"))).cast("long")
+    return rows.alias("r").join(items.alias("i"), same).select(F.col("r.id").alias(id_col), "size", "source_size", "target", share.alias("taken"))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(id, source, h, size) of each document, written once; h is a hash of the text."""
+    return materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("h"), n_words(F.col(text_col)).alias("size")))
+
+
+def _mixed_items(rows: DataFrame, block_words: int, max_repeats: int, docs_per_shard: int, seed: int) -> DataFrame:
+    """(id, source, h, n, words, source_size, target, taken): rows equal in id, source and text as one."""
+    items = materialize(rows.groupBy("id", "source", "h").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    by_source = items.groupBy("source").agg(F.sum("words").alias("source_size"), F.count("*").alias("n"))
     # A key that equals itself for null, and the two levels of shards: about sqrt(n) groups of sqrt(n) shards.
+    source_key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     sources = materialize(
         source_targets(by_source.select("source", "source_size"), max_repeats)
         .join(by_source.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2")))
         .drop("s2")
-        .withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+        .withColumn("key", source_key)
         .withColumn("wide", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n") / docs_per_shard))).cast("int"))
     )
-    source_key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     # The sources are a small dimension; Spark broadcasts them if their size allows.
-    spread = rows.withColumn("key", source_key).join(sources.select("key", "source_size", "target", "wide"), "key")
-    h = lambda k: F.xxhash64(F.col("doc_id"), F.lit(seed + k))
+    spread = items.withColumn("key", source_key).join(sources.select("key", "source_size", "target", "wide"), "key")
+    h = lambda k: F.xxhash64(F.col("id"), F.col("h"), F.lit(seed + k))
     spread = spread.withColumns({"grp": F.pmod(h(1), F.col("wide")).cast("int"), "shard": F.pmod(h(2), F.col("wide")).cast("int")})
     shards = materialize(
-        spread.groupBy("key", "grp", "shard").agg(F.sum("size").alias("length")).withColumn("cap", F.floor(F.col("length") * max_repeats / block_words))
+        spread.groupBy("key", "grp", "shard").agg(F.sum("words").alias("length")).withColumn("cap", F.floor(F.col("length") * max_repeats / block_words))
     )
     groups = shards.groupBy("key", "grp").agg(F.sum("length").alias("length"), F.sum("cap").alias("cap"))
     caps = groups.groupBy("key").agg(F.sum("cap").alias("cap"))
@@ -108,18 +122,13 @@ def mix(
     source_quota = apportion(top, [], "key", "target", "seats", "cap", "quota").select("key", F.col("quota").alias("seats"))
     group_quota = apportion(groups.join(source_quota, "key"), ["key"], "grp", "length", "seats", "cap", "quota").select("key", "grp", F.col("quota").alias("seats"))
     shard_quota = materialize(apportion(shards.join(group_quota, ["key", "grp"]), ["key", "grp"], "shard", "length", "seats", "cap", "quota").select("key", "grp", "shard", "length", "quota"))
-    circle = Window.partitionBy("key", "grp", "shard").orderBy(h(3), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = spread.join(shard_quota, ["key", "grp", "shard"], "left").withColumn("end", F.sum("size").over(circle)).withColumn("start", F.col("end") - F.col("size"))
-    words = F.col("quota") * block_words
-    turns, rest = F.floor(words / F.col("length")).cast("long"), words % F.col("length")
+    circle = Window.partitionBy("key", "grp", "shard").orderBy(h(3), "id", "h").rowsBetween(Window.unboundedPreceding, 0)
+    placed = spread.join(shard_quota, ["key", "grp", "shard"], "left").withColumn("end", F.sum("words").over(circle)).withColumn("start", F.col("end") - F.col("words"))
+    wanted = F.col("quota") * block_words
+    turns, rest = F.floor(wanted / F.col("length")).cast("long"), wanted % F.col("length")
     begin = F.floor(unit_hash(F.concat_ws("/", "key", "grp", "shard"), seed) * F.col("length")).cast("long")
-    return placed.withColumns({"turns": turns, "begin": begin, "stop": begin + rest}).select(
-        F.col("doc_id").alias(id_col),
-        "size",
-        "source_size",
-        "target",
-        F.coalesce(F.col("turns") * F.col("size") + _overlap(F.lit(0)) + _overlap(F.col("length")), F.lit(0)).cast("long").alias("taken"),
-    )
+    taken = F.coalesce(F.col("turns") * F.col("words") + _overlap(F.lit(0)) + _overlap(F.col("length")), F.lit(0)).cast("long")
+    return placed.withColumns({"turns": turns, "begin": begin, "stop": begin + rest}).select("id", "source", "h", "n", "words", "source_size", "target", taken.alias("taken"))
 
 
 def _overlap(shift: Column) -> Column:
@@ -127,15 +136,21 @@ def _overlap(shift: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.col("end") + shift, F.col("stop")) - F.greatest(F.col("start") + shift, F.col("begin")))
 
 
-def mixed_documents(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    block_words: int = 16, max_repeats: int = 3, docs_per_shard: int = 256, seed: int = 7,
+) -> DataFrame:
     """The mix as rows: a document appears as often as it was taken, a part of it by a seeded draw.
 
-    All columns of docs stay; documents that aren't taken go. Documents are told apart by doc_id; a null
-    id takes part under no number and goes.
+    All columns of docs stay; documents of which nothing is taken go, those without words among them. Rows are told apart by id, source and
+    text, any of which may be null; rows equal in all three are drawn alike. An empty table gives no rows.
     """
     names = docs.columns
-    taken = mix(docs, seed=seed, **options).filter("size > 0 and doc_id is not null").groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    exact = F.col("taken") / F.col("size")
-    copies = (F.floor(exact) + (unit_hash(F.col("doc_id"), seed + 9) < exact - F.floor(exact)).cast("int")).cast("int")
-    plan = taken.select(F.col("doc_id").alias("_chartloom_id"), copies.alias("_chartloom_copies")).filter("_chartloom_copies > 0")
-    return docs.join(plan, docs["doc_id"] == plan["_chartloom_id"]).withColumn("_chartloom_turn", F.explode(F.sequence(F.lit(1), F.col("_chartloom_copies")))).select(*[docs[c] for c in names])
+    items = _mixed_items(_sized(docs, id_col, text_col, source_col), block_words, max_repeats, docs_per_shard, seed)
+    exact = F.col("taken") / F.col("words")
+    drawn = (unit_hash(F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("-")), F.col("h").cast("string")), seed + 9) < exact - F.floor(exact)).cast("int")
+    ident, source, h, copies = free_names(names, "_id", "_source", "_h", "_copies")
+    plan = items.filter("words > 0").select(F.col("id").alias(ident), F.col("source").alias(source), F.col("h").alias(h), (F.floor(exact) + drawn).cast("int").alias(copies)).filter(F.col(copies) > 0)
+    same = F.col(id_col).eqNullSafe(F.col(ident)) & F.col(source_col).eqNullSafe(F.col(source)) & (F.xxhash64(F.col(text_col)) == F.col(h))
+    (turn,) = free_names([*names, ident, source, h, copies], "_turn")
+    return docs.join(plan, same).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{n}`") for n in names])

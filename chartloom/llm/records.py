@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartloom.llm.common import materialize, scratch_dir, slices
+from chartloom.llm.common import materialize, shared_folder, slices
 
 HEAD = struct.Struct("<QI")
 MASK = 0xA282EAD8
@@ -311,6 +311,6 @@ def record_digests(manifest: DataFrame) -> DataFrame:
 
 def token_records(docs: DataFrame, tokenizer_path: str, folder: str | None = None) -> DataFrame:
     """Write all documents as records, read the files back and return their digests."""
-    folder = folder or scratch_dir(docs.sparkSession)
+    folder = folder or shared_folder(docs.sparkSession)
     manifest = materialize(write_records(docs, tokenizer_path, folder))
     return record_digests(manifest)

@@ -3,11 +3,11 @@
 Distinct fingerprints are the leaves of a binary trie. The join walks pairs of nodes together from
 the top, adds up the bits in which their paths differ and drops a pair as soon as the sum is above the budget.
 
-To spread the walk, the trie is built in as many rotations as the budget plus one: of so many blocks of bits one
-at least is equal in two fingerprints within the budget, so in the rotation that puts this block on top the walk
-may start at the nodes below it, each paired with itself only. Such a node is an item of work. One
-with many leaves is cut into chunks, and each pair of chunks is an item; so no item is large
-and none is left out. An item returns a forest of its links, not all pairs, with few edges at each vertex.
+To spread the walk, the trie is built once for each pair of blocks of bits, of which there are the budget plus two: two of so many
+blocks at least are equal in two fingerprints within the budget, so in the trie that puts these two on top the walk
+may start at the nodes below them, each paired with itself only. Such a node, some 21 bits deep, is an item of work: with 10^9
+distinct fingerprints it has some 500 leaves, and a fingerprint stands in 15 items. A node with very many leaves is cut into chunks, and each
+pair of chunks is an item; so no item is large and none is left out. An item returns a forest of its links, not all pairs, with few edges at each vertex.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chartloom.llm.common import materialize, slices
+from chartloom.llm.common import keep_by_key, materialize, slices
 from chartloom.llm.components import connected_components
 
 BITS = 64
@@ -48,15 +49,16 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42, piece: int = 65_5
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp long): one row per input row; a null text has no words."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, keep: list[str] = ()) -> DataFrame:
+    """(id, columns to keep, fp long): one row per input row; a null text has no words."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *keep, F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             fps = np.array([fingerprint(t or b"", shingle) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", *keep)), pa.array(fps.view(np.int64))], ["id", *keep, "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, fp long")
+    return rows.mapInArrow(run, T.StructType([*rows.drop("text").schema.fields, T.StructField("fp", T.LongType())]))
 
 
 def trie_join(item: np.ndarray, side: np.ndarray, fp: np.ndarray, skip: int, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,40 +133,60 @@ def local_forest(n: int, i: np.ndarray, j: np.ndarray, fan: int = 8) -> tuple[np
     return order[child], order[head[child] + (place[child] - 1) // fan]
 
 
-def near_links(classes: DataFrame, budget: int = 4, chunk: int = 512, block_rows: int = 8192) -> DataFrame:
-    """(fp, rep) of distinct fingerprints -> (src, dst): reps whose connected parts are those of all links."""
-    width = -(-BITS // (budget + 1))
-    heads = [(r, r * width, min(width, BITS - r * width)) for r in range(budget + 1)]
-    turned = F.array(*[
-        F.struct(
-            F.lit(r).alias("r"),
-            (F.shiftleft("fp", s).bitwiseOR(F.shiftrightunsigned("fp", BITS - s)) if s else F.col("fp")).alias("turned"),
-        )
-        for r, s, _ in heads
-    ])
-    least = min(w for *_, w in heads)
-    top = F.coalesce(*[F.when(F.col("x.r") == r, F.shiftrightunsigned("x.turned", BITS - w)) for r, _, w in heads])
-    leaves = classes.select("fp", "rep", F.explode(turned).alias("x")).select("fp", "rep", F.col("x.turned").alias("turned"), (F.col("x.r") * F.lit(1 << width) + top).alias("node"))
+def block_pairs(budget: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """For each pair of budget + 2 blocks: the blocks (first bit, width) in the trie's order, that pair first, and its width."""
+    n = budget + 2
+    widths = [BITS // n + (i < BITS % n) for i in range(n)]
+    blocks = [(sum(widths[:i]), w) for i, w in enumerate(widths)]
+    return [([blocks[i], blocks[j], *(b for k, b in enumerate(blocks) if k not in (i, j))], widths[i] + widths[j]) for i in range(n) for j in range(i + 1, n)]
+
+
+def turned(fp: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    """Fingerprints with their blocks of bits in another order."""
+    out = np.zeros(len(fp), np.uint64)
+    for at, width in order:
+        out = (out << np.uint64(width)) | ((fp >> np.uint64(BITS - at - width)) & np.uint64((1 << width) - 1))
+    return out
+
+
+def work_items(fps: DataFrame, budget: int = 4, chunk: int = 4096) -> DataFrame:
+    """(item, side, trie, fp): each distinct fingerprint once per trie, and more often only in nodes of over `chunk` leaves."""
+    pairs = block_pairs(budget)
+    bits = lambda at, width: F.shiftrightunsigned(F.shiftleft("fp", at) if at else F.col("fp"), BITS - width)
+    top = [F.shiftleft(bits(*order[0]), order[1][1]).bitwiseOR(bits(*order[1])) for order, _ in pairs]
+    # A node as one number: its trie above its top bits.
+    nodes = F.array(*[F.lit(k << 24) + t for k, t in enumerate(top)])
+    leaves = fps.select("fp", F.posexplode(nodes).alias("trie", "node"))
     chunks = leaves.groupBy("node").count().filter(F.col("count") > chunk).select("node", F.ceil(F.col("count") / chunk).alias("k"))
     cut = leaves.join(chunks, "node", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k")))
-    work = cut.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select(
-        ((F.col("node") * (1 << 22) + F.least("c", "o")) * (1 << 22) + F.greatest("c", "o")).alias("item"),
+    return cut.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select(
+        ((F.col("node") * (1 << 17) + F.least("c", "o")) * (1 << 17) + F.greatest("c", "o")).alias("item"),
         (F.col("c") > F.col("o")).cast("int").alias("side"),
-        "turned",
-        "rep",
+        "trie",
+        "fp",
     )
 
+
+def near_links(fps: DataFrame, budget: int = 4, chunk: int = 4096, block_rows: int = 8192) -> DataFrame:
+    """Distinct fingerprints (fp) -> (src, dst): pairs of them whose connected parts are those of all links."""
+    pairs = block_pairs(budget)
+    least = min(w for _, w in pairs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(item, side, fp, rep):
+        def solve(item, side, trie, fp):
+            bits = np.empty(len(fp), np.uint64)
+            for t in np.unique(trie):
+                at = trie == t
+                bits[at] = turned(fp[at].view(np.uint64), pairs[t][0])
             _, where = np.unique(item, return_inverse=True)
-            order, i, j = trie_join(where, side, fp, least, budget)
+            order, i, j = trie_join(where, side, bits, least, budget)
             child, parent = local_forest(len(fp), i, j)
-            rep = rep[order]
-            return pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(rep[parent])], ["src", "dst"])
+            fp = fp[order]
+            return pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[parent])], ["src", "dst"])
 
         held = None
         for b in batches:
-            new = [b.column("item").to_numpy(), b.column("side").to_numpy(), b.column("turned").to_numpy().view(np.uint64), b.column("rep").to_numpy()]
+            new = [b.column(c).to_numpy() for c in ("item", "side", "trie", "fp")]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             while len(held[0]) >= 2 * block_rows:
                 # Cut where an item ends.
@@ -176,25 +198,43 @@ def near_links(classes: DataFrame, budget: int = 4, chunk: int = 512, block_rows
         if held is not None and len(held[0]):
             yield solve(*held)
 
-    return work.repartition("item").sortWithinPartitions("item").mapInArrow(run, "src long, dst long")
+    return work_items(fps, budget, chunk).repartition("item").sortWithinPartitions("item").mapInArrow(run, "src long, dst long")
+
+
+def fingerprint_classes(fps: DataFrame, budget: int) -> DataFrame:
+    """(fp, class): for each distinct fingerprint of a table the least one that it is linked with, itself included."""
+    distinct = materialize(fps.select("fp").distinct())
+    linked = connected_components(near_links(distinct, budget))
+    return materialize(distinct.join(linked, distinct["fp"] == linked["v"], "left").select("fp", F.coalesce("component", "fp").alias("class")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4, shingle: int = 4) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id.
 
     Fingerprints link at `budget` or fewer differing bits; component_id is the smallest id reachable. A null or empty
-    text has fingerprint zero and links like any other. A row with a null id has a fingerprint, takes the
-    component of equal fingerprints, and links nothing itself. An empty table gives no rows.
+    text has fingerprint zero and links like any other. Rows with one id are rows like others, each with its own fingerprint. A row
+    without an id links too, but its own id is never the smallest; if no row that it reaches has an id, component_id is null. An empty table gives no rows.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle))
-    classes = materialize(fps.filter("id is not null").groupBy("fp").agg(F.min("id").alias("rep")))
-    linked = connected_components(near_links(classes, budget))
-    found = materialize(classes.join(linked, classes["rep"] == linked["v"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return fps.join(found, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = fingerprint_classes(fps, budget)
+    least = fps.groupBy("fp").agg(F.min("id").alias("id")).join(classes, "fp").groupBy("class").agg(F.min("id").alias("component_id"))
+    found = materialize(classes.join(least, "class").select("fp", "component_id"))
+    return fps.join(found, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep of each group the document with the smallest id; rows with a null id stay. All columns stay."""
-    names = docs.columns
-    gone = near_duplicates(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_chartloom_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_chartloom_id"], "left_anti").select(*names)
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4, shingle: int = 4) -> DataFrame:
+    """One row of each group of linked fingerprints stays, with all its columns: the one with the smallest id.
+
+    A row without an id stays only where none of its group has one. Among rows with that id the one with the smallest hash of the
+    text stays; of rows equal in id and text one. Null and empty texts are one group. An empty table gives no rows.
+    """
+    digest = F.xxhash64(F.col(text_col))
+    named = docs.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest"), F.col(text_col).cast("binary").alias("text"))
+    fps = materialize(fingerprints(named, "id", "text", shingle, ["digest"]))
+    classes = fingerprint_classes(fps, budget)
+    keys = fps.groupBy("id", "digest", "fp").agg(F.count("*").alias("n")).join(classes, "fp")
+    ranked = F.struct(F.col("id").isNull().alias("none"), "id", "digest", "fp")
+    winners = materialize(keys.groupBy("class").agg(F.min_by(F.struct("id", "digest", "fp", "n"), ranked).alias("w")))
+    best = winners.select("class", "w.*")
+    losers = materialize(keys.join(best.select("class", F.col("id").alias("wid"), F.col("digest").alias("wdigest")), "class").filter(~(F.col("id").eqNullSafe(F.col("wid")) & F.col("digest").eqNullSafe(F.col("wdigest")))).select("id", "digest").distinct())
+    return keep_by_key(docs, {"id": F.col(id_col).cast("long"), "digest": digest}, losers, best.filter("n > 1").select("id", "digest"))

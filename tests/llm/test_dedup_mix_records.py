@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from chartloom.llm import exact_dedup, mixing, records, simhash
 from chartloom.llm.components import connected_components
@@ -47,7 +48,8 @@ def test_merge_summaries_keeps_heavy():
 def test_exact_groups(spark):
     rng = random.Random(1)
     rows = EDGE + [(i, rng.choice(["x y", "X Y", f"t {i % 40}", "HOT copy", "hot COPY"]), None, "s", 1, 1, "") for i in range(100, 600)]
-    got = exact_dedup.exact_groups(spark.createDataFrame(rows, SCHEMA).repartition(7), counters=3).collect()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    got = exact_dedup.exact_groups(docs, counters=50, least_share=0.05).collect()
     groups = defaultdict(list)
     for r in rows:
         groups[hashlib.sha256(lower(r[1]).encode()).hexdigest()].append(r[0])
@@ -60,9 +62,32 @@ def test_exact_groups(spark):
         if r.kept:
             assert r.doc_id == r.keep_id
     assert set(kept.values()) == {1}
-    left = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, SCHEMA))
-    assert left.columns == spark.createDataFrame([], SCHEMA).columns and left.count() == len(groups)
-    assert exact_dedup.exact_groups(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert sorted(map(tuple, exact_dedup.exact_groups(docs, counters=3, least_share=1.0).drop("kept").collect()), key=str) == sorted(map(tuple, docs.sparkSession.createDataFrame(got).drop("kept").collect()), key=str)
+    clash = docs.withColumn("_digest", F.lit("mine")).withColumn("_key_id", F.lit(1))
+    for share in (0.05, 1.0):
+        left = exact_dedup.drop_exact_copies(clash, counters=50, least_share=share)
+        kept = left.collect()
+        assert left.columns == clash.columns and {r._digest for r in kept} == {"mine"}
+        # One row of each group, the one with the largest id.
+        best = Counter((hashlib.sha256(lower(r.text).encode()).hexdigest(), r.doc_id) for r in kept)
+        assert best == {(k, max((x for x in g if x is not None), default=None)): 1 for k, g in groups.items()}
+    empty = spark.createDataFrame([], SCHEMA)
+    assert exact_dedup.exact_groups(empty).count() == 0 and exact_dedup.drop_exact_copies(empty).count() == 0
+
+
+def test_heavy_digests_are_those_with_a_share(spark):
+    rows = [(i, "hot") for i in range(60)] + [(100 + i, "warm") for i in range(20)] + [(200 + i, f"t{i}") for i in range(120)]
+    table = spark.createDataFrame(rows, "_id long, digest string").withColumn("_row", F.monotonically_increasing_id())
+    assert {r.digest: r.group_size for r in exact_dedup.heavy_groups(table, 50, 0.2).collect()} == {"hot": 60}
+    assert {r.digest: r.group_size for r in exact_dedup.heavy_groups(table, 50, 0.1).collect()} == {"hot": 60, "warm": 20}
+    with pytest.raises(ValueError):
+        exact_dedup.heavy_groups(table, 5, 0.1)
+
+
+def test_repeated_ids_in_a_heavy_group(spark):
+    rows = [(i % 10, "hot") for i in range(40)] + [(None, "hot"), (77, "x"), (77, "x"), (77, "y"), (None, "z"), (None, "z")]
+    kept = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string"), counters=50, least_share=0.1).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(9, "hot"), (77, "x"), (77, "y"), (None, "z")], key=str)
 
 
 def brute_fingerprint(text):
@@ -93,7 +118,7 @@ def brute_components(nodes, linked):
     return {v: find(v) for v in nodes}
 
 
-@pytest.mark.parametrize("chunk", [16, 512])
+@pytest.mark.parametrize("chunk", [1, 16, 4096])
 def test_near_links_equal_all_pairs(spark, chunk):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
@@ -104,13 +129,37 @@ def test_near_links_equal_all_pairs(spark, chunk):
             fps.add(int(b ^ flip))
     fps = sorted(fps)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    edges = simhash.near_links(spark.createDataFrame([(f, i) for i, f in enumerate(signed)], "fp long, rep long"), chunk=chunk)
+    edges = simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), chunk=chunk)
     got = {r.v: r.component for r in connected_components(edges).collect()}
-    links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
-    want = brute_components(range(len(fps)), links)
+    links = [(signed[i], signed[j]) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    want = brute_components(signed, links)
     assert {v: got.get(v, v) for v in want} == want
 
 
+def test_blocks_of_bits_find_every_link():
+    """Any two fingerprints within the budget agree on the top of one trie at least; turning keeps all bits."""
+    rng = random.Random(1)
+    pairs = simhash.block_pairs(4)
+    assert len(pairs) == 15 and min(w for _, w in pairs) >= 20
+    for _ in range(2000):
+        flip = sum(1 << b for b in rng.sample(range(64), 4))
+        turned = [(int(simhash.turned(np.array([flip], np.uint64), order)[0]), w) for order, w in pairs]
+        assert all(t.bit_count() == 4 for t, _ in turned) and any(t >> (64 - w) == 0 for t, w in turned)
+
+
+def test_work_of_a_fingerprint_is_bounded(spark):
+    """15 rows for each fingerprint, however many there are; in a node of over `chunk` leaves a row for each of its chunks."""
+    fps = spark.range(200_000).select(F.xxhash64("id").alias("fp")).distinct()
+    work = simhash.work_items(fps)
+    assert work.count() == 15 * fps.count()
+    assert work.groupBy("item").count().agg(F.max("count")).first()[0] < 100
+    node = spark.range(3000).select((F.shiftrightunsigned(F.xxhash64("id"), 24)).alias("fp")).distinct()
+    n = node.count()
+    cut = simhash.work_items(node, chunk=1000)
+    assert cut.groupBy("item").count().agg(F.max("count")).first()[0] < 2500
+    assert cut.count() < 15 * 4 * n
+
+
 def test_near_duplicates(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(3000)]
@@ -125,14 +174,40 @@ def test_near_duplicates(spark):
     got = simhash.near_duplicates(docs).collect()
     fps = [(r[0], brute_fingerprint(r[1])) for r in rows]
     assert sorted((str(r.doc_id), r.fingerprint) for r in got) == sorted((str(i), f"{f:016x}") for i, f in fps)
-    known = [(i, f) for i, f in fps if i is not None]
-    links = [(a, b) for a, f in known for b, g in known if a < b and (f ^ g).bit_count() <= 4]
-    want = brute_components({i for i, _ in known}, links)
-    assert all(r.component_id == want[r.doc_id] for r in got if r.doc_id is not None)
-    assert len(set(want.values())) < len(want)
-    assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    links = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a][1] ^ fps[b][1]).bit_count() <= 4]
+    parts = brute_components(range(len(fps)), links)
+    least = {}
+    for k, (i, _) in enumerate(fps):
+        least[parts[k]] = min((x for x in (i, least.get(parts[k])) if x is not None), default=None)
+    want = sorted(((i, f"{f:016x}", least[parts[k]]) for k, (i, f) in enumerate(fps)), key=str)
+    assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in got), key=str) == want
+    assert len(set(parts.values())) < len(rows)
     left = simhash.drop_near_copies(docs)
-    assert {r.doc_id for r in left.collect()} == set(want.values()) | {None}
+    kept = left.collect()
+    assert left.columns == docs.columns
+    assert Counter(r.doc_id for r in kept) == Counter(least[p] for p in set(parts.values()))
+    empty = spark.createDataFrame([], SCHEMA)
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_copies(empty).count() == 0
+
+
+def test_near_copies_with_repeated_ids(spark):
+    """Rows go by id and text, not by id alone: a text that resembles nothing stays whatever id it shares."""
+    rng = random.Random(9)
+    text = [f"w{rng.randrange(9000)}" for _ in range(300)]
+    a, near, b = " ".join(text), " ".join([*text[:299], "other"]), " ".join(f"v{rng.randrange(9000)}" for _ in range(300))
+    for rows, want in (
+        ([(3, a), (7, near), (7, b)], [(3, a), (7, b)]),
+        ([(3, b), (7, near), (7, a), (7, a), (3, b)], [(3, b), (7, min(a, near, key=lambda t: xxhash.xxh64_intdigest(t.encode(), 42) - (2**64 if xxhash.xxh64_intdigest(t.encode(), 42) >= 2**63 else 0)))]),
+        ([(None, a), (None, near), (None, b)], None),
+        ([(None, a), (5, near), (None, None), (None, "")], [(5, near), None]),
+    ):
+        got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        if want is None:
+            assert len(got) == 2 and b in {r.text for r in got}
+        elif None in want:
+            assert len(got) == 2 and {r.text or "" for r in got} == {near, ""}
+        else:
+            assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_components_of_a_path(spark):
@@ -177,10 +252,48 @@ def test_mix(spark):
         taken[s] += r.taken
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 48 + 0.002 * want[s], (s, taken[s], want[s])
-    mixed = mixing.mixed_documents(docs)
-    assert mixed.columns == docs.columns
-    assert max(Counter(r.doc_id for r in mixed.collect()).values()) <= 3
-    assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+    mixed = mixing.mixed_documents(docs.withColumn("_copies", F.lit(5)))
+    assert mixed.columns == [*docs.columns, "_copies"]
+    assert max(Counter((r.doc_id, r.text) for r in mixed.collect()).values()) <= 3
+    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    empty = spark.createDataFrame([], SCHEMA)
+    assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+def test_mix_of_rows_without_ids_and_of_repeats(spark):
+    """Rows without an id, and repeats, are documents like others: the mix takes its share of them, spread over shards."""
+    rows = [(None, f"a b c d e f g h {i}", "s1") for i in range(3000)] + [(i % 50, f"x y z w {i}", "s2") for i in range(2000)] + [(1, "one two three four", "s3")] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(docs, docs_per_shard=32).collect()
+    assert len(got) == len(rows)
+    sizes, taken, target = Counter(), Counter(), {}
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size
+        sizes[r.source_size] += r.size
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+    for s, n in sizes.items():
+        assert s == n and abs(taken[s] - target[s]) <= 48 + 0.01 * target[s] + (1000 if s == 4000 else 0)
+    mixed = mixing.mixed_documents(docs, docs_per_shard=32).collect()
+    by = Counter(r.source for r in mixed)
+    assert abs(by["s1"] * 9 - target[27000]) < 0.1 * target[27000] and by["s2"] > 0 and by["s3"] > 0
+
+
+def test_mix_takes_blocks_of_the_circle(spark):
+    """What a document takes, against blocks laid by hand on the one circle of each source."""
+    rows = [(i, "w " * (1 + i % 7), "ab"[i % 2]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix(docs, block_words=4, docs_per_shard=100).collect()}
+    for source in "ab":
+        own = [got[i] for i, _, s in rows if s == source]
+        length, taken = own[0].source_size, sum(r.taken for r in own)
+        assert taken % 4 == 0 and abs(taken - own[0].target) <= 4
+        # One contiguous stretch beyond whole turns: at most two documents take a part of what whole turns leave.
+        turns, rest = divmod(taken, length)
+        part = [r.taken - turns * r.size for r in own]
+        assert sum(part) == rest and all(0 <= p <= r.size for p, r in zip(part, own, strict=True))
+        assert sum(0 < p < r.size for p, r in zip(part, own, strict=True)) <= 2
 
 
 def test_apportion_is_sainte_lague(spark):
