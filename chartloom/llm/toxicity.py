@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word's input is a learned vector of the hashed word beside the mean of learned vectors of its hashed character
-trigrams. A text is cut into overlapping windows of words; each window is read in both directions, attention weighs
+trigrams and beginnings; the first number of each vector starts from how surely the word or piece stands in toxic texts of the sample more often than in others. A text is cut into overlapping windows of words; each window is read in both directions, attention weighs
 its words, and the text's score is that of its most toxic window. The network learns from whole texts' labels: the
 loss of a text is that of its highest window.
 """
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.common import held_out, sample_rows, slices
+from chartloom.llm.common import held_out, one_label, sample_rows, slices
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 STRIP = b".,;:!?()[]{}\"'<>*#$%&|-_=+/\\`~"
@@ -27,7 +27,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def hashed_words(words: list[bytes], word_bits: int, gram_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket of each word, buckets of all character trigrams, where each word's trigrams begin)."""
+    """(bucket of each word, buckets of all character pieces, where each word's pieces begin): trigrams, and the first 4 and 6 letters."""
     line = np.frombuffer(b"".join([b"^^" + w + b"$" for w in words]), np.uint8).astype(np.uint64)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 3
     begin = np.concatenate(([0], np.cumsum(size)))[:-1]
@@ -36,9 +36,17 @@ def hashed_words(words: list[bytes], word_bits: int, gram_bits: int) -> tuple[np
     word = np.add.reduceat((line + np.uint64(1)) * power[place & 63], begin) if len(words) else np.zeros(0, np.uint64)
     bucket = ((word * GOLDEN) >> np.uint64(64 - word_bits)).astype(np.int64)
     h = (line[:-2] * np.uint64(65_599) + line[1:-1]) * np.uint64(65_599) + line[2:] if len(line) > 2 else np.zeros(0, np.uint64)
-    inside = (place < np.repeat(size - 2, size))[: len(h)]
-    grams = ((h * GOLDEN) >> np.uint64(64 - gram_bits)).astype(np.int64)[inside]
-    return bucket, grams, np.concatenate(([0], np.cumsum(size - 2)))[:-1]
+    if not len(words):
+        return bucket, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # A word's pieces: at its first two places its beginnings, then the trigrams at each place.
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((line + np.uint64(1)) * power[place & 63])))
+    out = np.empty(int(size.sum()), np.uint64)
+    first = np.concatenate(([0], np.cumsum(size)))[:-1]
+    for k, letters in enumerate((4, 6)):
+        out[first + k] = (sums[begin + np.minimum(letters + 2, size)] - sums[begin]) * np.uint64(2 * k + 3)
+    inside = np.flatnonzero((place < np.repeat(size - 2, size))[: len(h)])
+    out[np.repeat(first + 2 - np.concatenate(([0], np.cumsum(size - 2)))[:-1], size - 2) + np.arange(len(inside))] = h[inside]
+    return bucket, ((out * GOLDEN) >> np.uint64(64 - gram_bits)).astype(np.int64), first
 
 
 def window_starts(n: int, width: int, stride: int) -> np.ndarray:
@@ -64,11 +72,15 @@ class Network:
             self.p |= {f"{d}x": normal(2 * dim, 3 * hidden), f"{d}h": normal(hidden, 3 * hidden), f"{d}c": np.zeros(3 * hidden, np.float32)}
         self.p |= {"att": normal(2 * hidden, hidden), "att_v": normal(hidden), "out": normal(2 * hidden), "bias": np.array([-2.0], np.float32)}
 
-    def vectors(self, words: list[bytes]) -> tuple[np.ndarray, tuple]:
+    def inputs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bucket of each word, buckets of all pieces, number of each word's pieces)."""
         bucket, grams, begin = hashed_words(words, self.word_bits, self.gram_bits)
-        count = np.diff(np.append(begin, len(grams)))
-        mean = np.add.reduceat(self.p["gram"][grams], begin, axis=0) / count[:, None].astype(np.float32)
-        return np.concatenate((self.p["word"][bucket], mean), axis=1), (bucket, grams, count)
+        return bucket, grams, np.diff(np.append(begin, len(grams)))
+
+    def vectors(self, inputs: tuple) -> np.ndarray:
+        bucket, grams, count = inputs
+        mean = np.add.reduceat(self.p["gram"][grams], np.cumsum(count) - count, axis=0) / count[:, None].astype(np.float32)
+        return np.concatenate((self.p["word"][bucket], mean), axis=1)
 
     def run(self, direction: str, table: np.ndarray, at: np.ndarray, mask: np.ndarray | None, keep: bool):
         """Hidden states [time, window, hidden] over table rows `at` [time, window]."""
@@ -105,9 +117,9 @@ class Network:
         states = np.concatenate([self.run(d, vectors @ self.p[f"{d}x"] + self.p[f"{d}c"], at, mask, False)[0] for d in "fb"], axis=2)
         return self.pool(states, mask)[0]
 
-    def gradients(self, words: list[bytes], at: np.ndarray, mask: np.ndarray, choose) -> tuple[float, dict]:
+    def gradients(self, inputs: tuple, at: np.ndarray, mask: np.ndarray, choose) -> tuple[float, dict]:
         """Loss and gradients; choose(logits) gives the loss and its slope for each window."""
-        x, (bucket, grams, count) = self.vectors(words)
+        x, (bucket, grams, count) = self.vectors(inputs), inputs
         runs = {d: self.run(d, x @ self.p[f"{d}x"] + self.p[f"{d}c"], at, mask, True) for d in "fb"}
         states = np.concatenate([runs[d][0] for d in "fb"], axis=2)
         logit, (u, a, pooled) = self.pool(states, mask)
@@ -172,7 +184,7 @@ class Network:
         """Probability of toxicity of each whole text."""
         best = np.full(len(texts), -np.inf, np.float32)
         words, at, mask, owner = self.windows([words_of(t) for t in texts])
-        vectors, _ = self.vectors(words)
+        vectors = self.vectors(self.inputs(words))
         short = mask.min(axis=0) == 0
         for part in (np.flatnonzero(~short), np.flatnonzero(short)):
             for i in range(0, len(part), piece):
@@ -182,62 +194,103 @@ class Network:
         return 1 / (1 + np.exp(-best.astype(np.float64)))
 
 
-def fit(texts: list[str], labels: list[int], network: Network | None = None, epochs: int = 8, batch: int = 48, rate: float = 0.04, seed: int = 9) -> Network:
+def highest(score: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The window with the highest score of each text, the last of equal ones."""
+    order = np.lexsort((score, owner))
+    return order[np.append(owner[order][1:] != owner[order][:-1], True)]
+
+
+class Sample:
+    """The windows of labelled texts, made once; words are hashed once for all of them."""
+
+    def __init__(self, net: Network, texts: list[str]):
+        words, self.at, self.mask, self.owner = net.windows([words_of(t) for t in texts])
+        self.inputs = net.inputs(words)
+        self.begin = np.cumsum(self.inputs[2]) - self.inputs[2]
+        self.ends = np.searchsorted(self.owner, np.arange(len(texts) + 1))
+
+    def of(self, windows: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray]:
+        """(inputs of the words in some windows, their numbers [time, window], mask)."""
+        words, at = np.unique(self.at[:, windows], return_inverse=True)
+        bucket, grams, count = self.inputs
+        n = count[words]
+        picked = np.repeat(self.begin[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return (bucket[words], grams[picked], n), at.reshape(self.at.shape[0], len(windows)), self.mask[:, windows]
+
+
+def start_from_words(net: Network, sample: Sample, y: np.ndarray) -> np.ndarray:
+    """Set the first number of the vectors of word and piece buckets: by how many standard deviations a bucket stands in more toxic
+    texts than chance has it. A bucket in few texts is close to 0 by this measure, so a rare word of one toxic text says little.
+
+    Returns for each window the highest such number of its words.
+    """
+    bucket, grams, count = sample.inputs
+    share = y.mean()
+    sure = {}
+    for name, bits in (("word", net.word_bits), ("gram", net.gram_bits)):
+        in_texts = np.zeros((2, 1 << bits))
+        for k, label in enumerate(y.astype(int)):
+            words = np.unique(sample.at[:, sample.ends[k] : sample.ends[k + 1]])
+            n = count[words]
+            picked = bucket[words] if name == "word" else grams[np.repeat(sample.begin[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            in_texts[label, np.unique(picked)] += 1
+        n = in_texts.sum(axis=0)
+        sure[name] = np.clip((in_texts[1] - n * share) / np.sqrt(n * share * (1 - share) + 1.0), -3, 10)
+        net.p[name][:, 0] = (0.5 if name == "word" else 2.0) * sure[name]
+    of_word = sure["word"][bucket] + np.maximum.reduceat(sure["gram"][grams], sample.begin)
+    return np.where(sample.mask > 0, of_word[sample.at], -np.inf).max(axis=0)
+
+
+def fit(texts: list[str], labels: list[int], network: Network | None = None, steps: int = 600, batch: int = 48, rate: float = 0.04, seed: int = 9, piece: int = 1024) -> Network:
     """Adam over labelled texts; in the vectors' tables all entries share one scale, so that rare words move less.
-    In the first half of the epochs each window of a text has its label, later only its highest one. A step takes the windows of `batch` texts; if these are very many, the
-    highest one of each text and others by chance, anew each time.
+
+    A step takes `batch` texts, and of each text the window that says most: in the first third of the steps by its words alone (see
+    start_from_words) and one by chance, later the one with the highest logit among all its windows.
     """
     net, rng = network or Network(), np.random.default_rng(seed)
-    tokens = [words_of(t) for t in texts]
+    sample = Sample(net, texts)
     y = np.array(labels, np.float32)
+    telling = start_from_words(net, sample, y)
     weight = np.where(y > 0, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean())).astype(np.float32) ** 0.5
     m, v = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}
-    steps = 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(tokens))
-        for i in range(0, len(order), batch):
-            chosen = order[i : i + batch]
-            words, at, mask, owner = net.windows([tokens[k] for k in chosen])
-            target, share = y[chosen], weight[chosen]
-            if at.shape[1] > 12 * batch:
-                vectors, _ = net.vectors(words)
-                now = net.logits(vectors, at, mask)
-                top = np.array([np.flatnonzero(owner == k)[now[owner == k].argmax()] for k in range(len(chosen))])
-                keep = np.union1d(top, rng.choice(at.shape[1], 10 * batch, replace=False))
-                at, mask, owner = at[:, keep], mask[:, keep], owner[keep]
-
-            def choose(logit, owner=owner, target=target, share=share, early=epoch < epochs / 2):
-                p = sigmoid(logit)
-                cost = -np.where(target[owner] > 0, np.log(p + 1e-9), np.log(1 - p + 1e-9))
-                if early:
-                    part = share[owner] / np.bincount(owner, minlength=len(target))[owner]
-                else:
-                    order = np.lexsort((logit, owner))
-                    part = np.zeros_like(logit)
-                    part[order[np.append(owner[order][1:] != owner[order][:-1], True)]] = 1.0
-                    part *= share[owner]
-                part = (part / len(target)).astype(np.float32)
-                return float((part * cost).sum()), part * (p - target[owner])
-
-            _, g = net.gradients(words, at, mask, choose)
-            steps += 1
-            pace = rate * min(1.0, steps / 20) * (0.3 if epoch >= epochs * 0.7 else 1.0)
-            for k in net.p:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v[k] = 0.99 * v[k] + 0.01 * (np.square(g[k]).max() if k in ("word", "gram") else g[k] * g[k])
-                net.p[k] -= (pace * (m[k] / (1 - 0.9**steps)) / (np.sqrt(v[k] / (1 - 0.99**steps)) + 1e-7)).astype(np.float32)
+    order = np.zeros(0, np.int64)
+    for step in range(1, steps + 1):
+        if len(order) < min(batch, len(texts)):
+            order = np.concatenate((order, rng.permutation(len(texts))))
+        chosen, order = order[:batch], order[batch:]
+        windows = np.concatenate([np.arange(sample.ends[k], sample.ends[k + 1]) for k in chosen])
+        owner = np.repeat(np.arange(len(chosen)), sample.ends[chosen + 1] - sample.ends[chosen])
+        if step <= steps / 3:
+            top = np.concatenate((highest(telling[windows], owner), highest(rng.random(len(windows)), owner)))
+        else:
+            inputs, at, mask = sample.of(windows)
+            vectors = net.vectors(inputs)
+            top = highest(np.concatenate([net.logits(vectors, at[:, i : i + piece], mask[:, i : i + piece]) for i in range(0, len(windows), piece)]), owner)
+        goal, part = y[chosen][owner[top]], (weight[chosen][owner[top]] / len(top)).astype(np.float32)
+
+        def choose(logit, goal=goal, part=part):
+            p = sigmoid(logit)
+            cost = -np.where(goal > 0, np.log(p + 1e-9), np.log(1 - p + 1e-9))
+            return float((part * cost).sum()), part * (p - goal)
+
+        _, g = net.gradients(*sample.of(windows[top]), choose)
+        pace = rate * min(1.0, step / 20) * (0.3 if step > steps * 0.7 else 1.0)
+        for k in net.p:
+            m[k] = 0.9 * m[k] + 0.1 * g[k]
+            v[k] = 0.99 * v[k] + 0.01 * (np.square(g[k]).max() if k in ("word", "gram") else g[k] * g[k])
+            net.p[k] -= (pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     return net
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1000, threshold: float = 0.3, seed: int = 23) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1000, threshold: float = 0.3, seed: int = 23, label_id_col: str = "doc_id") -> DataFrame:
     """(id, held_out, score, predicted), one row per input row.
 
     The network learns from about per_label rows of each label, chosen by a hash of the id among labelled rows that aren't
     held out; every window of every whole text is scored. Null and empty texts are one window without words and get the score
-    that the network gives it. Without both labels all scores are 0.
+    that the network gives it. Of several labels of an id the largest counts; a null id teaches nothing. Without both labels all scores are 0. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    marks = labels.filter(F.col(label_col).isin(0, 1)).select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).alias("label")).filter(~held_out(F.col("id"))).dropDuplicates(["id"])
+    marks = one_label(labels.filter(F.col(label_col).isin(0, 1)), label_col, label_id_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     # The sample has a fixed size, so it can be broadcast whatever the corpus is.
     taught = rows.filter(F.col("text").isNotNull()).join(F.broadcast(sample_rows(marks, "id", "label", per_label, seed)), "id").select("id", "text", "label").orderBy("id").toArrow()

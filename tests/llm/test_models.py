@@ -1,5 +1,6 @@
 """Language, quality, rules, toxicity, licences and pieces: brute force, held-out accuracy, round trips, edge rows."""
 
+import pathlib
 import random
 import re
 import zlib
@@ -80,11 +81,60 @@ def test_quality(spark, rows):
     left = quality_classifier.drop_low_quality(docs, marks)
     assert left.columns == docs.columns
     assert Counter(r.doc_id for r in left.collect()) == Counter(r.doc_id for r in docs.collect() if got[r.doc_id].kept)
+    empty = spark.createDataFrame([], SCHEMA)
+    assert quality_classifier.drop_low_quality(empty, marks).count() == 0
+    # Repeated and conflicting labels: the largest of an id counts, and rows are rated as before.
+    more = marks.unionByName(marks.filter("quality = 1").withColumn("quality", F.lit(0)))
+    assert {r.doc_id: r.tail_prob for r in quality_classifier.rate_quality(docs, more).collect()} == {i: r.tail_prob for i, r in got.items()}
     none = quality_classifier.rate_quality(docs, spark.createDataFrame([], LABELS)).collect()
     assert len(none) == docs.count() and all(r.kept and r.tail_prob is None for r in none)
     assert quality_classifier.rate_quality(spark.createDataFrame([], SCHEMA), marks).count() == 0
 
 
+def test_ordinal_fit_is_maximum_likelihood():
+    """The fitted likelihood, written out text by text, is a maximum: moving any threshold or a used weight lowers it."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc"]) for _ in range(12)) for _ in range(60)]
+    grades = [min(2, max(0, t.count("aa") - 3 + rng.randrange(2))) for t in texts]
+    ridge = 1e-2
+    link = quality_classifier.fit(texts, grades, bits=8, steps=3000, rate=0.05, ridge=ridge)
+    n = Counter(grades)
+
+    def loss(weights, thresholds):
+        total = ridge / 2 * float((weights.astype(float) ** 2).sum())
+        for t, g in zip(texts, grades, strict=True):
+            column, weight, _ = quality_classifier.hashed_text([t], 8)
+            f = sum(float(w) * float(weights[c]) for c, w in zip(column, weight, strict=True))
+            below = [0.0, *(1 / (1 + np.exp(f - x)) for x in thresholds), 1.0]
+            total -= np.log(below[g + 1] - below[g]) / (n[g] * len(n))
+        return total
+
+    least = loss(link.weights, link.thresholds)
+    used = np.argsort(-np.abs(link.weights))[:3]
+    for step in (-0.3, 0.3):
+        for k in range(len(link.thresholds)):
+            moved = link.thresholds.copy()
+            moved[k] += step
+            assert loss(link.weights, moved) > least
+        for c in used:
+            moved = link.weights.copy()
+            moved[c] += 5 * step
+            assert loss(moved, link.thresholds) > least
+
+
+def test_best_cut_against_every_cut():
+    rng = random.Random(2)
+    good = Counter(min(9999, int(rng.betavariate(6, 1) * 10_000)) for _ in range(500))
+    bad = Counter(int(rng.betavariate(1, 4) * 10_000) for _ in range(200))
+    cut = quality_classifier.best_cut(good, bad, 0.99)
+    gain = lambda at: sum(n for b, n in bad.items() if b < at) / 200 - sum(n for b, n in good.items() if b < at) / 500
+    allowed = [at for at in range(5001) if sum(n for b, n in good.items() if b < at) <= 6]
+    assert gain(round(cut * 10_000)) == pytest.approx(max(map(gain, allowed))) and cut <= 0.5
+    # Two wrong labels among many good rows don't pull the cut down.
+    assert quality_classifier.best_cut({9000: 1000, 0: 2}, {5: 100, 3000: 100}, 0.998) > 0.3
+    assert quality_classifier.best_cut({}, bad, 0.99) == 0.5
+
+
 def test_ordinal_fit_orders_three_grades():
     rng = random.Random(3)
     texts, grades = [], []
@@ -127,6 +177,32 @@ def test_rules(spark, rows):
     assert np.mean([by[i].kept for i, q in unseen if q]) > 0.95
     assert np.mean([by[i].kept for i, q in unseen if not q]) < 0.1
     assert quality_rules.apply_rules(spark.createDataFrame([], SCHEMA), marks).count() == 0
+    # Without labels the forest rejects nothing; with conflicting or repeated ones the largest counts, once.
+    none = quality_rules.apply_rules(docs, spark.createDataFrame([], LABELS)).collect()
+    assert all(r.kept == (not r.base_failed) for r in none)
+    more = marks.unionByName(marks).unionByName(marks.filter("quality = 1").withColumn("quality", F.lit(0)))
+    assert {(r.doc_id, r.odd_score) for r in quality_rules.apply_rules(docs, more).collect()} == {(r.doc_id, r.odd_score) for r in got}
+
+
+def test_rules_behave_alike_at_every_size(spark):
+    """The forest learns from labelled rows only, so rows without labels, however many, don't change a verdict."""
+    few = corpus(120, seed=3)
+    docs, marks = frames(spark, few)
+    more = docs.unionByName(spark.createDataFrame([(9000 + i, f"### {i} " * 30, None, None, None, 1, "") for i in range(2000)], SCHEMA))
+    a = {r.doc_id: (r.odd_score, r.kept) for r in quality_rules.apply_rules(docs, marks).collect() if r.doc_id}
+    b = {r.doc_id: (r.odd_score, r.kept) for r in quality_rules.apply_rules(more, marks).collect() if r.doc_id}
+    assert all(b[i] == x for i, x in a.items())
+
+
+def test_calibrate_against_every_cut():
+    rng = np.random.default_rng(3)
+    score, good = np.round(rng.random(300), 2), rng.random(300) < 0.8
+    score[~good] += 0.3
+    cut = quality_rules.calibrate(score, good, 0.95)
+    gain = lambda c: (score[good] <= c).mean() - (score[~good] <= c).mean()
+    assert (score[good] <= cut).mean() >= 0.95
+    assert gain(cut) == pytest.approx(max(gain(c) for c in np.unique(score) if (score[good] <= c).mean() >= 0.95))
+    assert quality_rules.calibrate(score, np.ones(300, bool), 0.95) == 1.0 and quality_rules.calibrate(score, np.zeros(300, bool), 0.95) == 1.0
 
 
 def test_forest_scores_by_walking():
@@ -150,18 +226,63 @@ def test_toxicity_gradients():
     words, at, mask, _ = net.windows([b"a bc def gh i jk lm n".split(), b"x y".split(), []])
     choose = lambda logit: (float((logit**2).sum()), 2 * logit)
     mask = mask.astype(np.float64)
-    _, g = net.gradients(words, at, mask, choose)
+    inputs = net.inputs(words)
+    _, g = net.gradients(inputs, at, mask, choose)
     for k, value in net.p.items():
         spot = tuple(np.argwhere(np.abs(g[k]) == np.abs(g[k]).max())[0])
         old = value[spot]
         sides = []
         for e in (1e-2, -1e-2):
             value[spot] = old + e
-            sides.append(net.gradients(words, at, mask, choose)[0])
+            sides.append(net.gradients(inputs, at, mask, choose)[0])
         value[spot] = old
         assert g[k][spot] == pytest.approx((sides[0] - sides[1]) / 2e-2, rel=1e-2), k
 
 
+def brute_logit(net, words):
+    """The network's logit of one window, number by number."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    p, hid = net.p, net.hidden
+    x = []
+    for w in words:
+        bucket, grams, _ = toxicity.hashed_words([w], net.word_bits, net.gram_bits)
+        x.append(np.concatenate((p["word"][bucket[0]], np.mean([p["gram"][g] for g in grams], axis=0))))
+    states = [[], []]
+    for side, d in enumerate("fb"):
+        h = np.zeros(hid)
+        for v in x if d == "f" else x[::-1]:
+            a, b = v @ p[f"{d}x"] + p[f"{d}c"], h @ p[f"{d}h"]
+            z, r = sig(a[:hid] + b[:hid]), sig(a[hid : 2 * hid] + b[hid : 2 * hid])
+            h = z * h + (1 - z) * np.tanh(a[2 * hid :] + r * b[2 * hid :])
+            states[side].append(h)
+    both = [np.concatenate(s) for s in zip(states[0], states[1][::-1], strict=True)]
+    e = np.array([np.tanh(s @ p["att"]) @ p["att_v"] for s in both])
+    a = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+    return sum(k * s for k, s in zip(a, both, strict=True)) @ p["out"] + p["bias"][0]
+
+
+def test_toxicity_scores_by_hand():
+    net = toxicity.Network(hidden=4, dim=3, width=5, stride=3, word_bits=7, gram_bits=7, seed=1)
+    texts = ["One two, three four five six seven EIGHT nine ten eleven", "a b", "Émile (x)", "", None, "!!! ???"]
+    for text, score in zip(texts, net.scores(texts), strict=True):
+        words = toxicity.words_of(text)
+        windows = [words[i : i + 5] for i in toxicity.window_starts(len(words), 5, 3)] if words else [[b""]]
+        best = max(brute_logit(net, w) for w in windows)
+        assert score == pytest.approx(1 / (1 + np.exp(-best)), abs=1e-4), text
+
+
+def test_hashed_pieces_of_words():
+    """Trigrams and beginnings: equal beginnings share buckets, equal words all of them, wherever they stand."""
+    words = [b"achlichein", b"achlichung", b"ach", b"a", b"achlichein"]
+    bucket, grams, begin = toxicity.hashed_words(words, 15, 15)
+    parts = np.split(grams, begin[1:])
+    assert [len(x) for x in parts] == [len(w) + 3 for w in words]
+    assert parts[0].tolist() == parts[4].tolist() and bucket[0] == bucket[4] and bucket[0] != bucket[1]
+    assert parts[0][:2].tolist() == parts[1][:2].tolist() and parts[0][0] != parts[0][1]
+    alone = toxicity.hashed_words([b"achlichung"], 15, 15)
+    assert alone[1].tolist() == parts[1].tolist() and alone[0][0] == bucket[1]
+
+
 def test_toxicity(spark, rows):
     docs, marks = frames(spark, rows)
     buried = " ".join(["kato miru"] * 900 + ["zounds gadzook zwounds"] + ["nesoka"] * 900)
@@ -175,6 +296,14 @@ def test_toxicity(spark, rows):
     assert toxicity.score_toxicity(spark.createDataFrame([], SCHEMA), marks).count() == 0
 
 
+def test_toxicity_with_conflicting_labels(spark):
+    few = corpus(120, seed=6)
+    docs, marks = frames(spark, few)
+    more = marks.unionByName(marks).unionByName(marks.filter("toxic = 1").withColumn("toxic", F.lit(0)))
+    a, b = ({(r.doc_id, r.score) for r in toxicity.score_toxicity(docs, x).collect()} for x in (marks, more))
+    assert a == b and len({i for i, _ in a}) == len({r[0] for r in EDGE}) + 120
+
+
 def test_windows_cover_texts():
     for n in range(1, 200):
         starts = toxicity.window_starts(n, 32, 24)
@@ -182,17 +311,47 @@ def test_windows_cover_texts():
 
 
 def test_licenses(spark):
-    mit = "Copyright (c) 2020 Somebody\n\n" + licenses.MIT.upper().replace("SUBLICENSE", "sub-license").replace(", ", " ,\n")
-    extra = [(70, mit, None, None, None, 1, ""), (71, mit + " more", None, None, None, 1, ""), (72, "Text.\n  * released under the MIT Licence\nLicensed under CC BY 4.0\nreleased under the mit license!", None, None, None, 1, "")]
-    docs = spark.createDataFrame(EDGE + extra, SCHEMA)
+    mit = "Copyright (c) 2020 Somebody\nAll rights reserved.\n\n" + licenses.MIT.upper().replace("SUBLICENSE", "sub-license").replace(", ", " ,\n")
+    bsd = "BSD 3-Clause Licence\n\n(c) 1999, X\n" + licenses.BSD_GRANT + "\n" + "".join(f" - {c}\n" for c in (licenses.BSD_1, licenses.BSD_2, licenses.BSD_3)) + licenses.BSD_DISCLAIMER.replace(" ", "\n  ")
+    extra = [
+        (70, mit), (71, mit + " more"), (72, "Text.\n  * released under the MIT Licence\nLicensed under CC BY 4.0\nreleased under the mit license!"),
+        (73, "Released under the MIT License. " + "*" * 400), (74, "x\n" + "=" * 5000 + " Released under the MIT License.\ny"), (75, "Released under the MIT License. " + "a" * 400),
+        (76, bsd), (77, licenses.UNLICENSE.lower() + "\n\nFor more information — please refer to http://unlicense.org"), (78, "Boost Software License – Version 1.0 – August 17th, 2003\n" + licenses.BOOST), (79, "Copyright 2001 A\nB"),
+    ]
+    docs = spark.createDataFrame(EDGE + [(i, t, None, None, None, 1, "") for i, t in extra], SCHEMA).withColumn("lines", F.lit(1)).withColumn("digest", F.lit(2))
     got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
     assert (got[70].license, got[71].license) == ("MIT", None)
     assert (got[72].license, got[72].notices, got[72].n_notices) == (None, "CC-BY-4.0,MIT", 3)
+    assert [(got[i].notices, got[i].n_notices) for i in (73, 74, 75)] == [("MIT", 1), ("MIT", 1), ("", 0)]
+    assert [got[i].license for i in (76, 77, 78, 79)] == ["BSD-3-Clause", "Unlicense", "BSL-1.0", None]
     assert got[3].notices == "" and got[3].text_digest == got[4].text_digest
     assert licenses.scan_licenses(docs).count() == docs.count()
     plan = licenses.scan_licenses(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert licenses.scan_licenses(spark.createDataFrame([], SCHEMA)).count() == 0
+    many = spark.createDataFrame([("X", "notice", f"n {i}") for i in range(30)], "license string, kind string, body string")
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(docs, licenses.known_licenses(spark, [tuple(r) for r in many.collect()]), most_notices=20)
+
+
+def test_long_licenses(spark, tmp_path):
+    """Whole texts of long licences, set in other cases, lines, dashes and spellings, by digest and from a folder of files."""
+    folder = pathlib.Path("/usr/share/common-licenses")
+    names = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    if not all((folder / n).exists() for n in names):
+        pytest.skip("no licence texts here")
+    texts = {n: (folder / n).read_text() for n in names}
+    other = lambda t: "\n\n".join(p.replace("\n", "  \n * ") for p in t.upper().replace("LICENSE", "Licence").replace('"', "“").replace("-", "–").split("\n\n"))
+    rows = [(i, t) for i, t in enumerate(texts.values())] + [(100 + i, other(t)) for i, t in enumerate(texts.values())] + [(200, texts["GPL-3"] + "\nand more")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    want = dict(enumerate(names.values()))
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(docs).collect()}
+    assert {i: got[i] for i in want} == want and got[200] is None
+    assert sum(got[100 + i] == want[i] for i in want) >= 5
+    for n, t in texts.items():
+        (tmp_path / n).write_text(t)
+    own = licenses.licenses_of_files(spark, f"file://{tmp_path}/*")
+    assert {r.doc_id: r.license for r in licenses.scan_licenses(docs, own).collect() if r.doc_id < 100} == dict(enumerate(names))
 
 
 @pytest.fixture(scope="module")
