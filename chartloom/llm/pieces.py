@@ -36,7 +36,7 @@ STEP = np.uint64(0xD1B54A32D192ED03)
 #: Words with more characters are filtered one by one and not held; so few walks are taken one by one.
 LONG, FEW = 200, 4
 #: Bounds of what a worker holds: words, and edges of 16 bytes.
-HELD_WORDS, HELD_EDGES = 400_000, 12_000_000
+HELD_WORDS, HELD_EDGES = 160_000, 4_000_000
 
 
 class PieceModel:
@@ -360,7 +360,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path, alpha)
-        for b in slices(batches, place, 3_000_000):
+        for b in slices(batches, place, 2_000_000):
             ids, ends = model.encode_flat(b.column(place), [f"{seed}:{i}" for i in b.column(ident).to_pylist()])
             column = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*b.columns, column], [*names, "piece_ids"])
@@ -388,7 +388,7 @@ def segmentation_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path, alpha)
-        for b in slices(batches, "text", 3_000_000):
+        for b in slices(batches, "text", 2_000_000):
             ids = b.column("id").to_pylist()
             texts = b.column("text")
             coded, ends = model.encode_flat(texts, [f"{seed}:{i}" for i in ids])
