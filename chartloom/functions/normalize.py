@@ -12,8 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words before guests, artists that keep their article, artists that keep their punctuation.
-GUEST_WORDS = ["feat", "featuring", "ft", "met", "with", "con"]
+#: Artists that keep their article, artists that keep their punctuation.
 KEEP_ARTICLE = ["the the", "the 1975", "the weeknd", "de dijk", "de jeugd van tegenwoordig", "het goede doel"]
 KEEP_PUNCTUATION = ["p!nk", "fun.", "blink-182", "will.i.am", "!!!", "(hed) p.e.", "mø", "björk"]
 STOPWORDS = ["the", "a", "an", "and", "or", "but"]
@@ -36,12 +35,13 @@ SUFFIXES = [
     ("session", "sub", r"(peel)\s+session"),
 ]
 PATTERNS = [rf"(?i)\s*[(\[]\s*{inner}\s*[)\]]$" for *_, inner in SUFFIXES] + [r"(?i)\s*-\s*(remaster(?:ed)?\s+\d{4}|live\s+at\s+.+|radio\s+edit|single\s+version)$"]
-#: What stands before a film's name in quotes.
-FILM_WORDS = ["from", "uit", "van de film"]
+#: Patterns of guests after an artist, of guests in a title's brackets, and of a film's name in quotes before a title.
 GUESTS = r"(?i)\s+(?:feat\.?|featuring|ft\.?|met|with|con)\s+"
 TITLE_GUESTS = r"(?i)\s*[(\[]\s*(?:feat\.?|featuring|ft\.?|met|with)\s+([^)\]]+)[)\]]"
 FILM = r"""(?i)^(?:from\s+"([^"]+)"|from\s+'([^']+)'|uit\s+"([^"]+)"|van de film\s+"([^"]+)")"""
 MAX_PASSES = 5
+#: Letters whose case folding isn't their lower case: sharp and final s, ligatures.
+FOLDS = {"ß": "ss", "ς": "σ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ŉ": "ʼn"}
 
 
 def _plain_letters() -> tuple[str, str]:
@@ -64,7 +64,10 @@ def squeeze(text: Column) -> Column:
 
 
 def fold_case(text: Column) -> Column:
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    out = F.lower(text)
+    for letter, to in FOLDS.items():
+        out = F.replace(out, F.lit(letter), F.lit(to))
+    return out
 
 
 def plain_punctuation(text: Column) -> Column:
@@ -92,7 +95,7 @@ def _bare(text: Column) -> Column:
 
 def artist_guests(artist: Column) -> Column:
     parts = F.split(squeeze(artist), GUESTS)
-    named = F.filter(F.transform(F.slice(parts, 2, 1000), lambda g: F.trim(g)), lambda g: g != "")
+    named = F.filter(F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda g: F.trim(g)), lambda g: g != "")
     return F.transform(named, _bare)
 
 
@@ -102,7 +105,7 @@ def artist_core(artist: Column, every_x: bool = True) -> Column:
     core = strip_diacritics(plain_punctuation(fold_case(F.trim(F.split(s, GUESTS)[0]))))
     core = F.regexp_replace(core, r"\s*[&+x×/,]\s*" if every_x else r"\s*[&+×/,]\s*|\s+x\s+", " • ")
     several = F.size(F.split(F.trim(core), r"\s+")) > 1
-    core = F.when(~F.lower(artist).isin(KEEP_ARTICLE) & core.startswith("the ") & several, F.substring(core, 5, 1_000_000)).otherwise(core)
+    core = F.when(~F.lower(artist).isin(KEEP_ARTICLE) & core.startswith("the ") & several, F.substr(core, F.lit(5))).otherwise(core)
     return F.when(F.lower(s).isin(KEEP_PUNCTUATION), F.lower(s)).otherwise(compact(core))
 
 
@@ -209,6 +212,7 @@ def strip_notes(text: Column) -> Column:
     return squeeze(F.regexp_replace(F.regexp_replace(text, r"\(\([^)]*\)\)", ""), r"\[[^\]]*\]", ""))
 
 
+#: Fixed value: what counts as an address.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 
 
@@ -216,10 +220,23 @@ def redact_emails(text: Column) -> Column:
     return F.regexp_replace(text, EMAIL, "[EMAIL]")
 
 
-def redact_secrets(values: Column, words: tuple[str, ...] = ("token", "secret", "password", "key")) -> Column:
-    """A map whose values under secret-like keys keep four characters."""
+#: A key that contains one of these, in any case, names a secret.
+SECRETS = ["password", "secret", "token", "api_key", "apikey", "auth", "authorization", "credential", "access_token", "refresh_token", "client_secret", "private_key"]
+
+
+def redact_secrets(values: Column, words: tuple[str, ...] = tuple(SECRETS)) -> Column:
+    """A map whose values under secret-like keys keep four characters; values of up to four keep none."""
     secret = lambda k: F.lower(k).rlike("|".join(words))
-    return F.transform_values(values, lambda k, v: F.when(secret(k), F.concat(F.substring(v, 1, 4), F.lit("***"))).otherwise(v))
+    hidden = lambda v: F.when(F.length(v) <= 4, "***").otherwise(F.concat(F.substring(v, 1, 4), F.lit("***")))
+    return F.transform_values(values, lambda k, v: F.when(secret(k), hidden(v)).otherwise(v))
+
+
+def redact_json(text: Column, words: tuple[str, ...] = tuple(SECRETS)) -> Column:
+    """JSON text in which strings under secret-like keys are redacted like in redact_secrets, however deep they stand."""
+    key = r'(?i)("[^"\\]*(?:' + "|".join(words) + r')[^"\\]*"\s*:\s*")'
+    letter = r'(?:[^"\\]|\\u[0-9a-fA-F]{4}|\\[^u])'
+    short = F.regexp_replace(text, key + letter + '{0,4}"', '$1***"')
+    return F.regexp_replace(short, key + "(" + letter + "{4})" + letter + '+"', '$1$2***"')
 
 
 def marks_of(text: str | None) -> str | None:

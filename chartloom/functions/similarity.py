@@ -31,39 +31,36 @@ def indel_ratio(a: str | None, b: str | None) -> float | None:
     return 100.0 if a == b else 200.0 * lcs_length(a, b) / (len(a) + len(b))
 
 
-def token_set(a: str | None, b: str | None) -> float | None:
-    """Ratio of the sets of words: 100 if one holds the other and they meet; 0 if either has no word."""
-    if a is None or b is None:
-        return None
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    common, only_x, only_y = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
-    if common and (not only_x or not only_y):
-        return 100.0
-    joint = len(common) + bool(common)
-    size_x, size_y = joint + len(only_x), joint + len(only_y)
-    distance = len(only_x) + len(only_y) - 2 * lcs_length(only_x, only_y)
-    best = 100.0 * (1 - distance / (size_x + size_y))
-    if common:
-        best = max(best, 100.0 * (1 - (size_x - len(common)) / (len(common) + size_x)), 100.0 * (1 - (size_y - len(common)) / (len(common) + size_y)))
-    return best
-
-
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def _token_sets(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def _common(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([lcs_length(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:
     return pandas_udf(_ratios, "double")(a, b)
 
 
-def token_set_ratio(a: Column | str, b: Column | str) -> Column:
-    return pandas_udf(_token_sets, "double")(a, b)
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """Ratio of the sets of words: 100 if one holds the other and they meet; 0 if either has no word; null for null.
+
+    Sets and scores are expressions; only the common subsequence of the words that differ goes by Arrow batches.
+    """
+    words = lambda t: F.array_distinct(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""))
+    line = lambda ws: F.coalesce(F.array_join(F.array_sort(ws), " "), F.lit(""))
+    x, y = words(a), words(b)
+    common, only_x, only_y = line(F.array_intersect(x, y)), line(F.array_except(x, y)), line(F.array_except(y, x))
+    shared = F.length(common)
+    joint = shared + F.when(shared > 0, 1).otherwise(0)
+    size_x, size_y = joint + F.length(only_x), joint + F.length(only_y)
+    distance = F.length(only_x) + F.length(only_y) - 2 * pandas_udf(_common, "int")(only_x, only_y)
+    both = 100.0 * (1 - distance / (size_x + size_y))
+    one = lambda size: 100.0 * (1 - (size - shared) / (shared + size))
+    best = F.when(shared > 0, F.greatest(both, one(size_x), one(size_y))).otherwise(both)
+    inside = (shared > 0) & ((only_x == "") | (only_y == ""))
+    return F.when(a.isNull() | b.isNull(), None).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(inside, 100.0).otherwise(best)
 
 
 def can_reach(a: Column, b: Column, threshold: float) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartloom.functions.normalize import artist_core, normalize_title
+
 
 def pct(part: Column, whole: Column) -> Column:
     """A percentage with six digits; 0 of nothing."""
@@ -44,9 +46,13 @@ def _points(entries: DataFrame) -> DataFrame:
 
 
 def entry_scores(entries: DataFrame) -> DataFrame:
-    """Sum of n - rank + 1 of each song over all runs of a chart; blank names are left out."""
-    cores = entries.withColumns({"artist_core": F.lower(F.trim("artist_raw")), "title_core": F.lower(F.trim("title_raw"))}).filter("artist_core <> '' and title_core <> ''")
-    return _points(entries).select("entry_id", "score").join(cores, "entry_id").groupBy("chart_id", "artist_core", "title_core").agg(F.sum("score").alias("score"))
+    """Sum of n - rank + 1 of each song, told apart by its normalized names, over all runs of a chart; blank names are left out.
+
+    Raw names are summed first, so that each is normalized once for a chart.
+    """
+    raw = _points(entries).groupBy("chart_id", "artist_raw", "title_raw").agg(F.sum("score").alias("score"))
+    cores = raw.withColumns({"artist_core": artist_core(F.col("artist_raw")), "title_core": normalize_title(F.col("title_raw"))["core"]}).filter("artist_core <> '' and title_core <> ''")
+    return cores.groupBy("chart_id", "artist_core", "title_core").agg(F.sum("score").alias("score"))
 
 
 def work_chart_score(entries: DataFrame, links: DataFrame, least: float = 0.60) -> DataFrame:

@@ -53,7 +53,10 @@ def apply_outcomes(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def complete_reviews(pending: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(queue, history, overrides) after actions (review_id, action): only open items are completed; accepting one makes an override of its track, else its file."""
+    """(queue, history, overrides) after actions (review_id, action, at): only open items are completed, by the earliest action on them;
+    accepting one makes an override of its track, else its file.
+    """
+    actions = actions.groupBy("review_id").agg(F.min(F.struct("at", "action")).alias("_first")).select("review_id", "_first.action", "_first.at")
     open_items = pending.filter("reviewed_at is null")
     done = open_items.join(actions, "review_id")
     queue = pending.join(actions.select("review_id", "action", F.col("at").alias("_at")), "review_id", "left").withColumn("reviewed_at", F.coalesce("reviewed_at", "_at")).drop("_at")
@@ -61,6 +64,22 @@ def complete_reviews(pending: DataFrame, actions: DataFrame) -> tuple[DataFrame,
     return queue, done.select("review_id", "action", F.col("at").alias("completed_at")), overrides
 
 
+def pin(decisions: DataFrame, changes: DataFrame, key: str = "file_id") -> DataFrame:
+    """Decisions with the state that changes (key, new_state, pinned) give them, where they give one, and whether they are pinned."""
+    return decisions.join(changes, key).withColumn("state", F.coalesce("new_state", "state")).drop("new_state")
+
+
+def pending_batch(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Entities that the rules left open and that no review waits for."""
+    return decisions.filter("state = 'indeterminate'").join(outcomes.filter("outcome = 'review'"), "entity_id", "left_anti").select("entity_id")
+
+
+def pending_reviews(queue: DataFrame, source: str | None = None, prefix: str = "") -> DataFrame:
+    """Open items of the queue, of one source if one is named, whose id begins with a prefix."""
+    rows = queue.filter(F.col("reviewed_at").isNull() & F.col("review_id").startswith(prefix))
+    return rows if source is None else rows.filter(F.col("source") == source)
+
+
 def review_stats(queue: DataFrame) -> DataFrame:
     """Counts of open items by source and of done ones by action, each with its total, in one pass of grouping sets."""
     rows = queue.withColumn("done", F.col("reviewed_at").isNotNull())

@@ -27,10 +27,57 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str], keep: li
     return merged.select(*[F.col(c) if c in keys else value(c).alias(c) for c in columns])
 
 
+def canonical_names(entries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(artist_raw, title_raw, artist_canonical, title_canonical, method, karaoke) of each distinct pair of raw names: normalized, or
+    as an alias of the raw artist has it. aliases (raw, normalized) has one row per raw.
+    """
+    pairs = entries.select("artist_raw", "title_raw").distinct().withColumn("_t", normalize_title(F.col("title_raw")))
+    rows = pairs.select("artist_raw", "title_raw", artist_core(F.col("artist_raw")).alias("core"), F.col("_t.core").alias("title_canonical"), has_tag(F.col("_t.tags"), "karaoke").alias("karaoke"))
+    if aliases is None:
+        return rows.withColumnRenamed("core", "artist_canonical").withColumn("method", F.lit("auto"))
+    named = with_aliases(rows.select(F.col("artist_raw").alias("raw"), "core").distinct(), aliases).select(F.col("raw").alias("artist_raw"), F.col("core").alias("artist_canonical"), "method")
+    return rows.drop("core").join(named, "artist_raw")
+
+
 def new_songs(entries: DataFrame, songs: DataFrame) -> DataFrame:
-    """Songs of the entries that the registry lacks; ids are hashes of the names, so those that exist keep theirs."""
-    pairs = entries.select(F.lower("artist_raw").alias("artist_canonical"), F.lower("title_raw").alias("title_canonical")).distinct()
-    return pairs.join(songs, ["artist_canonical", "title_canonical"], "left_anti").select(ids.short_hash(F.concat_ws(" // ", "artist_canonical", "title_canonical")).alias("song_id"), "artist_canonical", "title_canonical")
+    """Songs of the entries that the registry lacks; ids are hashes of the normalized names, so those that exist keep theirs."""
+    pairs = canonical_names(entries).select("artist_canonical", "title_canonical").distinct()
+    lacking = pairs.join(songs, ["artist_canonical", "title_canonical"], "left_anti")
+    return lacking.select(song_id().alias("song_id"), "artist_canonical", "title_canonical")
+
+
+def song_id() -> Column:
+    return ids.short_hash(F.concat_ws(" // ", "artist_canonical", "title_canonical"))
+
+
+def link_entries(entries: DataFrame, aliases: DataFrame | None = None, confidence: float = 0.85) -> DataFrame:
+    """(entry_id, song_idx, song_id, link_method, link_confidence): each entry with the song of its normalized names; karaoke has none."""
+    names = canonical_names(entries, aliases).filter(~F.col("karaoke"))
+    rows = entries.join(names, (entries["artist_raw"].eqNullSafe(names["artist_raw"])) & (entries["title_raw"].eqNullSafe(names["title_raw"])))
+    return rows.select("entry_id", F.lit(0).alias("song_idx"), song_id().alias("song_id"), F.col("method").alias("link_method"), F.lit(confidence).alias("link_confidence"))
+
+
+def update_song_ids(songs: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
+    """songs with the ids that new (song_id, columns) has; where it has none the old ones stay."""
+    rows = songs.join(new.select("song_id", *[F.col(c).alias(f"_new_{c}") for c in columns]), "song_id", "left")
+    return rows.withColumns({c: F.coalesce(f"_new_{c}", c) for c in columns}).drop(*[f"_new_{c}" for c in columns])
+
+
+def correct_titles(rows: DataFrame, fixes: DataFrame, column: str = "title_raw") -> DataFrame:
+    """rows whose title is replaced where fixes (title, fix) know it, in any case and without space around it."""
+    known = fixes.groupBy(F.lower(F.trim("title")).alias("_k")).agg(F.min("fix").alias("_fix"))
+    return rows.join(known, F.lower(F.trim(column)) == F.col("_k"), "left").withColumn(column, F.coalesce("_fix", column)).drop("_k", "_fix")
+
+
+def backfill_normalized(rows: DataFrame, raw: str = "title_raw", column: str = "normalized") -> DataFrame:
+    """rows whose normalized title is filled in where it is missing; others stay."""
+    return rows.withColumn(column, F.coalesce(column, normalize_title(F.col(raw))["core"]))
+
+
+def decision_tags(decisions: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Tags to write for decided entities: both choices and the beginning of the evidence's hash."""
+    tag = F.concat(F.lit("evh="), F.substring("evidence_hash", 1, 8))
+    return decisions.filter("state = 'decided'").join(hashes, "entity_id").select("entity_id", "crg", "rr", tag.alias("tag"))
 
 
 def content_hash(entries: DataFrame) -> DataFrame:
@@ -101,7 +148,12 @@ def charts_blob(scores: DataFrame, positions: DataFrame | None = None, max_bytes
     rows = scores.join(positions, ["work_key", "chart_id"], "left") if positions is not None else scores.withColumn("positions", F.lit(None).cast("string"))
     head = F.concat(F.lit('["'), F.col("chart_id"), F.lit('",'), F.col("score").cast("string"), F.lit(","), F.col("highest").cast("string"), F.lit(',"'), F.col("frequency"), F.lit('"'))
     item = F.struct((-F.col("score")).alias("s"), F.col("highest").alias("h"), F.col("chart_id").alias("c"), head.alias("head"), "positions")
-    body = lambda full: F.concat(F.lit('{"v":1,"c":['), F.array_join(F.transform("items", lambda x: F.concat(x["head"], F.concat(F.lit(","), x["positions"], F.lit("]")) if full else F.lit("]")) if not full else F.concat(x["head"], F.coalesce(F.concat(F.lit(","), x["positions"]), F.lit("")), F.lit("]"))), ","), F.lit("]}"))
+    tail = lambda x, full: F.coalesce(F.concat(F.lit(","), x["positions"]), F.lit("")) if full else F.lit("")
+
+    def body(full: bool) -> Column:
+        tuples = F.transform("items", lambda x: F.concat(x["head"], tail(x, full), F.lit("]")))
+        return F.concat(F.lit('{"v":1,"c":['), F.array_join(tuples, ","), F.lit("]}"))
+
     lists = rows.groupBy("work_key").agg(F.array_sort(F.collect_list(item)).alias("items"))
     long, short = body(True), body(False)
     return lists.select("work_key", F.when(F.octet_length(long) <= max_bytes, long).otherwise(short).alias("blob"))
@@ -112,7 +164,15 @@ def parse_blob(blobs: DataFrame) -> DataFrame:
     d = F.from_json("blob", "struct<v:int,c:array<array<string>>>")
     checked = F.when(d["v"] == 1, d["c"]).otherwise(F.raise_error(F.lit("unknown version of a charts blob")))
     rows = blobs.select("work_key", F.explode(checked).alias("t"))
-    return rows.select("work_key", F.get("t", F.lit(0)).alias("chart_id"), F.get("t", F.lit(1)).cast("long").alias("score"), F.get("t", F.lit(2)).cast("int").alias("highest"), F.get("t", F.lit(3)).alias("frequency"), F.get("t", F.lit(4)).alias("positions"))
+    part = lambda i: F.get("t", F.lit(i))
+    return rows.select(
+        "work_key",
+        part(0).alias("chart_id"),
+        part(1).cast("long").alias("score"),
+        part(2).cast("int").alias("highest"),
+        part(3).alias("frequency"),
+        part(4).alias("positions"),
+    )
 
 
 def playlist_lines(matched: DataFrame) -> DataFrame:

@@ -57,8 +57,7 @@ def rule_facts(candidates: DataFrame) -> DataFrame:
     out = [F.first(f"d_{g}").alias(f"d_{g}") for g in groups]
     for g, c in picks.items():
         out += [F.count_if(c).alias(f"n_{g}"), F.min(F.when(c, F.col("rg_mbid"))).alias(f"rg_{g}")]
-    tied = F.array_sort(F.collect_list(F.when(at("fair"), F.col("rg_mbid"))))
-    return rows.groupBy("entity_id").agg(F.count("*").alias("n_rgs"), tied.alias("tied"), *out)
+    return rows.groupBy("entity_id").agg(F.count("*").alias("n_rgs"), *out)
 
 
 def delta_days() -> Column:
@@ -155,6 +154,32 @@ def resolve(candidates: DataFrame, releases: DataFrame, groups: DataFrame, artis
     return crg.join(rr, "entity_id", "left").select("entity_id", "crg", "rr", "crg_rationale", F.coalesce("rr_rationale", F.lit("RR:INDETERMINATE")).alias("rr_rationale"), state.alias("state"), missing.alias("missing_facts"))
 
 
+def bundle_errors(candidates: DataFrame) -> DataFrame:
+    """(entity_id, error): what keeps an entity's candidates from being judged, the first by name; entities without a fault have no row."""
+    date = F.nullif("first_release_date", F.lit(""))
+    fault = (
+        F.when(F.col("rg_mbid").isNull(), "candidate_without_release_group")
+        .when(F.col("primary_type").isNull() | F.col("is_compilation").isNull(), "candidate_without_type")
+        .when(date.isNotNull() & (~date.rlike(r"^[0-9]{4}(-[0-9]{2}(-[0-9]{2})?)?$") | padded(date).isNull()), "date_not_readable")
+    )
+    return candidates.withColumn("_e", fault).filter("_e is not null").groupBy("entity_id").agg(F.min("_e").alias("error"))
+
+
+def decide_batch(candidates: DataFrame, releases: DataFrame, groups: DataFrame, artists: DataFrame, lead_days: int = 90, continue_on_error: bool = True) -> DataFrame:
+    """What resolve gives for every entity, with a column error; faulty entities have an error and no decision, or, if the batch is to stop, make the job fail."""
+    errors = bundle_errors(candidates)
+    sound = candidates.join(errors.select("entity_id"), "entity_id", "left_anti")
+    decided = resolve(sound, releases, groups, artists, lead_days).withColumn("error", F.lit(None).cast("string"))
+    if not continue_on_error:
+        errors = errors.withColumn("error", F.raise_error(F.concat_ws(": ", "entity_id", "error")).cast("string"))
+    return decided.unionByName(errors, allowMissingColumns=True)
+
+
+def batch_summary(decided: DataFrame) -> DataFrame:
+    """Numbers of decisions by rationale and state, and of errors by kind."""
+    return decided.groupBy("crg_rationale", "rr_rationale", "state", "error").agg(F.count("*").alias("n"))
+
+
 def evidence_hash(candidates: DataFrame) -> DataFrame:
     """A digest of what is known of each entity: fields in a fixed order, groups sorted, null unlike empty; nothing volatile."""
     field = lambda c: F.when(F.col(c).isNull(), "~").otherwise(F.concat(F.lit("="), F.col(c).cast("string")))

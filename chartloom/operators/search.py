@@ -1,7 +1,7 @@
 """Fuzzy search of many queries at once: blocking first, similarity only within blocks.
 
 Queries are rows (query_id, artist, title, length_ms), normalized; recordings are rows (recording_mbid, artist_normalized, title_normalized,
-length_ms). No plan compares all with all: a text that contains a query holds the query's first trigram, and names whose ratio
+length_ms). No plan compares all with all: a text that contains a query holds the query's rarest trigram, and names whose ratio
 reaches a threshold share one of their rarest characters, so that both joins find all matches.
 """
 
@@ -14,16 +14,6 @@ from chartloom.functions import similarity as sim
 from chartloom.sources.shared import materialize
 
 
-def blocked_pairs(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column) -> DataFrame:
-    """Pairs of rows with the same key: an equi-join, so that no plan compares all with all."""
-    return left.withColumn("_block", left_key).join(right.withColumn("_block", right_key), "_block").drop("_block")
-
-
-def trigrams(text: Column) -> Column:
-    """Distinct trigrams; a shorter text is its own."""
-    return F.when(F.length(text) < 3, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substr(text, i, F.lit(3)))))
-
-
 def like(rows: DataFrame, column: str, text: str, key: str, limit: int = 10) -> DataFrame:
     """Rows whose column contains a text in any case, the first ones by name and key."""
     return rows.filter(F.contains(F.lower(column), F.lit(text.lower()))).orderBy(column, key).limit(limit)
@@ -34,14 +24,41 @@ def length_fits(asked: Column, length: Column, tolerance: float) -> Column:
     return asked.isNull() | length.between((asked * (1 - tolerance)).cast("int"), (asked * (1 + tolerance)).cast("int"))
 
 
+def exact_names(queries: DataFrame, recordings: DataFrame) -> DataFrame:
+    """(query_id, recording_mbid): recordings of the query's title whose artist contains the query's."""
+    hits = queries.select("query_id", "artist", "title").join(recordings.withColumnRenamed("title_normalized", "title"), "title")
+    return hits.filter(F.contains("artist_normalized", "artist")).select("query_id", "recording_mbid")
+
+
+def by_title_and_length(queries: DataFrame, recordings: DataFrame, tolerance: float = 0.1) -> DataFrame:
+    """(query_id, recording_mbid): recordings of the query's title and of a fitting length."""
+    hits = queries.join(recordings.select("recording_mbid", F.col("title_normalized").alias("title"), F.col("length_ms").alias("rec_ms")), "title")
+    return hits.filter(length_fits(F.col("length_ms"), F.col("rec_ms"), tolerance)).select("query_id", "recording_mbid")
+
+
+def containing_texts(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a text a of asked and a text b of texts that contains it; both have one column.
+
+    They meet at one piece of a: its trigram that the fewest texts hold, or itself if it is shorter.
+    """
+    pieces = F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("b"))), lambda i: F.array(*[F.substr("b", i, F.lit(n)) for n in (1, 2, 3)])))))
+    right = texts.toDF("b").distinct().withColumn("_t", F.explode(pieces))
+    held = right.groupBy("_t").agg(F.count("*").alias("_n"))
+    grams = F.when(F.length("a") < 3, F.array("a")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("a") - 2)), lambda i: F.substr("a", i, F.lit(3))))
+    rarest = asked.toDF("a").distinct().withColumn("_t", F.explode(grams)).join(held, "_t").groupBy("a").agg(F.min_by("_t", F.struct("_n", "_t")).alias("_t"))
+    return rarest.join(right, "_t").filter(F.contains("b", "a")).select("a", "b")
+
+
 def containing(queries: DataFrame, recordings: DataFrame, tolerance: float = 0.1, limit: int = 50) -> DataFrame:
     """(query_id, recording_mbid): recordings whose title and artist contain the query's, of a fitting length; the first by id."""
-    titles = recordings.select("title_normalized").distinct().withColumn("_t", F.explode(trigrams(F.col("title_normalized"))))
-    asked = queries.withColumn("_t", F.substring("title", 1, 3))
-    named = asked.join(titles, "_t").filter(F.contains("title_normalized", "title")).drop("_t")
+    named = queries.join(containing_texts(queries.select("title"), recordings.select("title_normalized")).toDF("title", "title_normalized"), "title")
     hits = named.join(recordings.withColumnRenamed("length_ms", "rec_ms"), "title_normalized").filter(F.contains("artist_normalized", "artist") & length_fits(F.col("length_ms"), F.col("rec_ms"), tolerance))
-    w = Window.partitionBy("query_id").orderBy("recording_mbid")
-    return hits.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).select("query_id", "recording_mbid")
+    return dedupe_to(hits, "query_id", ["recording_mbid"], limit).select("query_id", "recording_mbid")
+
+
+def dedupe_to(hits: DataFrame, by: str, order: list, limit: int) -> DataFrame:
+    """The first `limit` rows of each group."""
+    return hits.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_n") <= limit).drop("_n")
 
 
 #: Characters from frequent to rare; others count as rarer than all of these. Any order gives the same pairs, this one gives fewer candidates.
@@ -81,36 +98,51 @@ def similar(queries: DataFrame, recordings: DataFrame, title_at_least: float = 8
     hits = queries.join(scored, ["artist", "title"]).join(recordings.withColumnRenamed("length_ms", "rec_ms"), ["artist_normalized", "title_normalized"])
     if tolerance is not None:
         hits = hits.filter(length_fits(F.col("length_ms"), F.col("rec_ms"), tolerance))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "recording_mbid")
-    return hits.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).select("query_id", "recording_mbid", "score")
+    return dedupe_to(hits, "query_id", [F.desc("score"), "recording_mbid"], limit).select("query_id", "recording_mbid", "score")
 
 
-def search_fuzzy(queries: DataFrame, recordings: DataFrame) -> DataFrame:
-    """Recordings that contain the query; for queries without any, similar ones with a score of 80 or more."""
-    first = containing(queries, recordings)
+def search_fuzzy(queries: DataFrame, recordings: DataFrame, tolerance: float = 0.1, limit: int = 50) -> DataFrame:
+    """(query_id, recording_mbid, score, tier): recordings that contain the query; for queries without any, similar ones with a score of 80 or
+    more. Both tiers keep to the length that is asked, if one is.
+    """
+    first = containing(queries, recordings, tolerance, limit)
     rest = queries.join(first.select("query_id").distinct(), "query_id", "left_anti")
-    return first.withColumns({"score": F.lit(100.0), "tier": F.lit(1)}).unionByName(similar(rest, recordings).withColumn("tier", F.lit(2)))
+    second = similar(rest, recordings, limit=limit, tolerance=tolerance)
+    return first.withColumns({"score": F.lit(100.0), "tier": F.lit(1)}).unionByName(second.withColumn("tier", F.lit(2)))
 
 
 def dedupe_first(hits: DataFrame, by: list[str], order: list) -> DataFrame:
     return hits.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
-def search_stages(queries: DataFrame, recordings: DataFrame, enough: int = 5) -> DataFrame:
+def search_stages(queries: DataFrame, recordings: DataFrame, browse: tuple[DataFrame, DataFrame, DataFrame] | None = None, fingerprints: DataFrame | None = None, enough: int = 5) -> DataFrame:
     """(query_id, recording_mbid, stage): stages add up until a query has enough distinct recordings; the first stage of a recording wins.
 
-    Stage 1 contains the query at +-10% length, stage 2 is similar (title 70, artist 60) at +-20% length, stage 3 is any recording of a similar artist
-    whose title is similar at 70. Each later stage runs only for the queries that still lack results.
+    Stage 1 is search_fuzzy at +-10% length, stage 2 at +-20% for word sets that are alike (title 70, artist 60), stage 3 browses
+    the catalogue of the artist (artists, groups and their recordings, see artist_browse), stage 4 takes the recordings that fingerprints
+    (query_id, recording_mbid) name. Each later stage runs only for the queries that still lack results.
     """
-    found = materialize(containing(queries, recordings).withColumn("stage", F.lit(1)))
-    for stage, artist, tolerance in ((2, 60.0, 0.2), (3, 50.0, None)):
+    found = materialize(search_fuzzy(queries, recordings, 0.1, 100).select("query_id", "recording_mbid", F.lit(1).alias("stage")))
+
+    def lacking() -> DataFrame:
         counts = found.groupBy("query_id").agg(F.count_distinct("recording_mbid").alias("n"))
-        lacking = queries.join(counts.filter(F.col("n") >= enough), "query_id", "left_anti")
-        more = materialize(similar(lacking, recordings, 70.0, artist, 100, tolerance).select("query_id", "recording_mbid").withColumn("stage", F.lit(stage)))
-        found = found.unionByName(more)
+        return queries.join(counts.filter(F.col("n") >= enough), "query_id", "left_anti")
+
+    names = recordings.select("recording_mbid", "artist_normalized", "title_normalized")
+    wider = search_fuzzy(lacking(), recordings, 0.2, 100).join(queries.select("query_id", "artist", "title"), "query_id").join(names, "recording_mbid")
+    close = (alike(F.col("title"), F.col("title_normalized"), 70.0)) & (alike(F.col("artist"), F.col("artist_normalized"), 60.0))
+    found = materialize(found.unionByName(wider.filter(close).select("query_id", "recording_mbid", F.lit(2).alias("stage"))))
+    if browse is not None:
+        found = materialize(found.unionByName(artist_browse(lacking(), *browse).select("query_id", "recording_mbid", F.lit(3).alias("stage"))))
+    if fingerprints is not None:
+        found = found.unionByName(fingerprints.join(lacking().select("query_id"), "query_id", "left_semi").select("query_id", "recording_mbid", F.lit(4).alias("stage")))
     return dedupe_first(found, ["query_id", "recording_mbid"], ["stage"])
 
 
+def alike(a: Column, b: Column, at_least: float) -> Column:
+    return sim.token_set_ratio(a, b) >= at_least
+
+
 def stage_summary(hits: DataFrame, stages: DataFrame) -> DataFrame:
     """Results of each stage, with zero where there are none."""
     return stages.join(hits.groupBy("stage").agg(F.count("*").alias("n")), "stage", "left").select("stage", F.coalesce("n", F.lit(0)).alias("n"))
@@ -131,19 +163,26 @@ def song_lookup(queries: DataFrame, songs: DataFrame, least: float = 0.7) -> Dat
     return exact.select("query_id", "song_id", F.lit(1.0).alias("score")).unionByName(best.select("query_id", "song_id", "score"))
 
 
-def containing_titles(asked: DataFrame, titles: DataFrame) -> DataFrame:
-    """(a, b): all pairs of a text a of asked and a text b of titles that contains it; both have one column. b holds the first three letters of a, or fewer."""
-    grams = F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("b"))), lambda i: F.array(*[F.substr("b", i, F.lit(n)) for n in (1, 2, 3)])))))
-    left = asked.toDF("a").distinct().withColumn("_t", F.substring("a", 1, 3))
-    return left.join(titles.toDF("b").distinct().withColumn("_t", F.explode(grams)), "_t").filter(F.contains("b", "a")).select("a", "b")
+def artist_browse(queries: DataFrame, artists: DataFrame, groups: DataFrame, tracks: DataFrame, title_at_least: float = 70.0, artist_at_least: float = 60.0, n_artists: int = 5, limit: int = 100) -> DataFrame:
+    """(query_id, recording_mbid, title_normalized, title_score): recordings in the release groups of artists whose name contains the query's and is alike, if
+    their title is alike too; the first by id.
 
-
-def artist_browse(queries: DataFrame, recordings: DataFrame, title_at_least: float = 70.0, limit: int = 100, artist_at_least: float = 60.0) -> DataFrame:
-    """Recordings of artists like a query's whose title is similar; titles that contain the query's count as similar, and come first."""
-    asked, known = queries.select("title"), recordings.select("title_normalized")
-    titles = close_pairs(asked, known, title_at_least).select("a", "b").union(containing_titles(asked, known)).distinct().toDF("title", "title_normalized")
-    artists = close_pairs(queries.select("artist"), recordings.select("artist_normalized"), artist_at_least).select("a", "b").toDF("artist", "artist_normalized")
-    wanted = queries.join(titles, "title").join(artists, "artist")
-    kept = wanted.join(recordings.withColumnRenamed("length_ms", "rec_ms"), ["title_normalized", "artist_normalized"])
-    w = Window.partitionBy("query_id").orderBy((~F.contains("title_normalized", "title")).cast("int"), "recording_mbid")
-    return kept.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
+    artists (artist_mbid, name), groups (artist_mbid, rg_mbid), tracks (rg_mbid, recording_mbid, title_normalized). Of each query the first n_artists artists by name
+    count; a query with a column artist_raw is looked up by that where its artist finds none.
+    """
+    names = artists.select("artist_mbid", "name", F.lower("name").alias("name_lower"))
+
+    def named(asked: DataFrame, column: str) -> DataFrame:
+        texts = containing_texts(asked.select(F.lower(column)), names.select("name_lower")).toDF("_asked", "name_lower")
+        hits = asked.join(texts, F.lower(column) == F.col("_asked")).join(names, "name_lower")
+        return dedupe_to(hits, "query_id", ["name", "artist_mbid"], n_artists).select("query_id", "artist", "title", "artist_mbid", "name_lower")
+
+    known = named(queries, "artist")
+    if "artist_raw" in queries.columns:
+        known = materialize(known)
+        known = known.unionByName(named(queries.join(known.select("query_id"), "query_id", "left_anti"), "artist_raw"))
+    chosen = known.filter(alike(F.col("artist"), F.col("name_lower"), artist_at_least))
+    found = chosen.join(groups.select("artist_mbid", "rg_mbid"), "artist_mbid").join(tracks.select("rg_mbid", "recording_mbid", "title_normalized"), "rg_mbid").select("query_id", "title", "recording_mbid", "title_normalized").distinct()
+    pairs = found.select("title", "title_normalized").distinct().withColumn("title_score", F.round(sim.token_set_ratio(F.col("title"), F.col("title_normalized")), 6))
+    kept = found.join(pairs.filter(F.col("title_score") >= title_at_least), ["title", "title_normalized"])
+    return dedupe_to(kept, "query_id", ["recording_mbid"], limit).select("query_id", "recording_mbid", "title_normalized", "title_score")

@@ -5,16 +5,40 @@ The steps run in a fixed order, as each caps what the ones before left. All of t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOP = 0.99
 #: Popularity from which a tier begins, and what it adds.
 TIERS = [(70, "very_popular", 0.05), (50, "popular", 0.03), (30, "moderate", 0.01)]
+#: Base confidence by source and by what was matched. A fingerprint's is its score.
+BASE = {
+    ("musicbase", "isrc"): 0.95,
+    ("streambase", "isrc"): 0.90,
+    ("discbase", "linked"): 0.90,
+    ("discbase", "barcode"): 0.85,
+    ("musicbase", "text"): 0.70,
+    ("streambase", "text"): 0.68,
+    ("discbase", "text"): 0.65,
+}
 #: Endings that don't tell labels apart.
 LABEL_ENDINGS = [" records", " music", " entertainment", " inc.", " ltd."]
 
 
+def source_union(hits: list[DataFrame]) -> DataFrame:
+    """Hits of all sources in one table, missing columns null, with a column source (source_match) and the base confidence.
+
+    Each table has origin, match (isrc, linked, barcode, text or fingerprint) and, for fingerprints, score. A pair that isn't known has no confidence.
+    """
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), hits)
+    base = F.coalesce(*[F.when((F.col("origin") == o) & (F.col("match") == m), F.lit(c)) for (o, m), c in BASE.items()])
+    score = F.col("score") if "score" in rows.columns else F.lit(None)
+    confidence = F.when(F.col("match") == "fingerprint", score.cast("double")).otherwise(base)
+    return rows.withColumns({"source": F.concat_ws("_", "origin", "match"), "confidence": confidence})
+
+
 def song_key() -> Column:
     return F.concat_ws("|", F.lower(F.trim(F.coalesce("artist_name", F.lit("")))), F.lower(F.trim(F.coalesce("title", F.lit("")))))
 

@@ -8,6 +8,7 @@ from chartloom.operators import aggregates as agg
 from chartloom.operators import analytics as an
 from chartloom.operators import joins, quality
 from chartloom.plans.registry import EXTRA_VIEWS, query
+from chartloom.plans.text import styled
 
 EXTRA_VIEWS |= {
     "fv_rank": """SELECT run_id, chart_id, period, lower(trim(artist_raw)) AS artist_key, lower(trim(title_raw)) AS title_key, max(rank) AS rank FROM fv_entry GROUP BY ALL""",
@@ -178,9 +179,13 @@ def coverage_by_confidence(v):
 SCORED = "(SELECT *, count(*) OVER (PARTITION BY run_id) - rank + 1 AS score FROM fv_entry)"
 
 
-@query(f"SELECT chart_id, lower(trim(artist_raw)) AS artist_core, lower(trim(title_raw)) AS title_core, CAST(sum(score) AS BIGINT) AS score FROM {SCORED} GROUP BY 1, 2, 3")
+ENTRY_SCORES = """SELECT chart_id, artist_core, title_core, CAST(sum(score) AS BIGINT) AS score FROM (SELECT *, count(*) OVER (PARTITION BY run_id) - rank + 1 AS score FROM fv_styled)
+WHERE artist_core <> '' AND title_core <> '' GROUP BY 1, 2, 3"""
+
+
+@query(ENTRY_SCORES)
 def entry_scores(v):
-    return agg.entry_scores(v.entry)
+    return agg.entry_scores(styled(v))
 
 
 WORK_SCORE = f"SELECT work_key, e.chart_id, CAST(sum(score) AS BIGINT) AS score, min(rank) AS highest, count(*) AS n_entries FROM {SCORED} e JOIN fv_link l USING (run_id, rank) WHERE confidence >= 0.6 AND work_key IS NOT NULL GROUP BY 1, 2"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chartloom.operators import catalogue as ct
 from chartloom.operators import resolution as rs
 from chartloom.operators import search
+from chartloom.plans import fuzzy_sql
 from chartloom.plans.registry import EXTRA_VIEWS, query
 from chartloom.plans.views import by_blocks
 from chartloom.sources import catalogue_docs as cd
@@ -17,9 +18,15 @@ EXTRA_VIEWS |= {
     "fv_version": """SELECT page_id, url, 1000 + page_id % 50 AS cached_at, 1000 + page_id % 50 + CASE WHEN page_id % 3 = 0 THEN 10 ELSE 100 END AS expires_at, CASE WHEN page_id % 11 = 0 THEN 404 ELSE 200 END AS status
   FROM (SELECT page_id, split_part(url, '?', 1) AS url FROM pages)""",
     "fv_rec": "SELECT 'r' || p_partkey AS recording_mbid, lower(p_brand) AS artist_normalized, lower(p_name) AS title_normalized, p_size * 1000 AS length_ms FROM part",
-    "fv_query": """SELECT song_id AS query_id, artist_canonical AS artist, CASE WHEN song_id < '6' THEN title_canonical WHEN song_id < 'a' THEN title_canonical[3:] ELSE title_canonical[1:2] || title_canonical[4:] END AS title,
+    "fv_query": """SELECT song_id AS query_id, CASE WHEN song_id[15] < '3' THEN artist_canonical[1:2] || artist_canonical[4:] WHEN song_id[15] < '6' THEN artist_canonical[1:7] ELSE artist_canonical END AS artist,
+    CASE WHEN song_id < '2' THEN title_canonical[1:2] WHEN song_id < '6' THEN title_canonical WHEN song_id < 'a' THEN title_canonical[3:] WHEN song_id < 'd' THEN split_part(title_canonical, ' ', 2) || ' ' || split_part(title_canonical, ' ', 1) ELSE title_canonical[1:2] || title_canonical[4:] END AS title,
     CASE WHEN song_id[16] < 'd' THEN length_ms END AS length_ms
   FROM fv_song JOIN (SELECT lower(p_brand) AS artist_canonical, lower(p_name) AS title_canonical, min(p_size) * 1000 AS length_ms FROM part GROUP BY 1, 2) USING (artist_canonical, title_canonical)""",
+    "fv_band": "SELECT DISTINCT lower(p_brand) AS artist_mbid, p_brand AS name FROM part",
+    "fv_band_group": "SELECT DISTINCT lower(p_brand) AS artist_mbid, p_brand || '/' || p_size // 10 AS rg_mbid FROM part",
+    "fv_track": "SELECT p_brand || '/' || p_size // 10 AS rg_mbid, 'r' || p_partkey AS recording_mbid, lower(p_name) AS title_normalized FROM part",
+    "fv_heard": "SELECT song_id AS query_id, fv_rec.recording_mbid FROM fv_song JOIN fv_rec ON artist_canonical = artist_normalized AND title_canonical = title_normalized WHERE song_id[14] < '4'",
+    **fuzzy_sql.VIEWS,
     "fv_work": "SELECT recording_mbid, title AS work_id, artist_mbid FROM fv_recording",
 }
 
@@ -35,12 +42,31 @@ def recs(v):
 
 
 def asked(v):
-    """A query for every song: its names as they are, without the title's first two letters, or without the third; some with a length."""
+    """A query for every song. Some artists lack their third letter or end early; some titles are their first two letters, lack the first two or
+    the third, or have their words the other way round; some have a length.
+    """
     sizes = v.table("part").groupBy(F.lower("p_brand").alias("artist_canonical"), F.lower("p_name").alias("title_canonical")).agg((F.min("p_size") * 1000).alias("ms"))
-    whole, key = F.col("title_canonical"), F.col("song_id")
-    title = F.when(key < "6", whole).when(key < "a", F.expr("substr(title_canonical, 3)")).otherwise(F.concat(F.substring(whole, 1, 2), F.expr("substr(title_canonical, 4)")))
+    whole, key, band = F.col("title_canonical"), F.col("song_id"), F.col("artist_canonical")
+    digit = lambda i: F.substring(key, i, 1)
+    artist = F.when(digit(15) < "3", F.concat(F.substring(band, 1, 2), F.expr("substr(artist_canonical, 4)"))).when(digit(15) < "6", F.substring(band, 1, 7)).otherwise(band)
+    turned = F.concat_ws(" ", F.split_part(whole, F.lit(" "), F.lit(2)), F.split_part(whole, F.lit(" "), F.lit(1)))
+    cut = F.concat(F.substring(whole, 1, 2), F.expr("substr(title_canonical, 4)"))
+    title = F.when(key < "2", F.substring(whole, 1, 2)).when(key < "6", whole).when(key < "a", F.expr("substr(title_canonical, 3)")).when(key < "d", turned).otherwise(cut)
     songs = v.song.join(sizes, ["artist_canonical", "title_canonical"])
-    return songs.select(key.alias("query_id"), F.col("artist_canonical").alias("artist"), title.alias("title"), F.when(F.substring(key, 16, 1) < "d", F.col("ms")).alias("length_ms"))
+    return songs.select(key.alias("query_id"), artist.alias("artist"), title.alias("title"), F.when(digit(16) < "d", F.col("ms")).alias("length_ms"))
+
+
+def shelves(v):
+    """(artists, their release groups, the tracks of these): a brand's parts of about one size are a group."""
+    group = F.concat_ws("/", "p_brand", F.floor(F.col("p_size") / 10).cast("string"))
+    rows = v.table("part").select(F.lower("p_brand").alias("artist_mbid"), F.col("p_brand").alias("name"), group.alias("rg_mbid"), F.concat(F.lit("r"), "p_partkey").alias("recording_mbid"), F.lower("p_name").alias("title_normalized"))
+    return rows.select("artist_mbid", "name").distinct(), rows.select("artist_mbid", "rg_mbid").distinct(), rows.select("rg_mbid", "recording_mbid", "title_normalized")
+
+
+def heard(v):
+    """Recordings that fingerprints find for some queries."""
+    songs = v.song.filter(F.substring("song_id", 14, 1) < "4").drop("recording_mbid")
+    return songs.join(recs(v), (F.col("artist_canonical") == F.col("artist_normalized")) & (F.col("title_canonical") == F.col("title_normalized"))).select(F.col("song_id").alias("query_id"), "recording_mbid")
 
 
 LI = "regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)"
@@ -54,18 +80,40 @@ def sql_plain(x: str) -> str:
 
 
 @query(f"SELECT page_id, CAST(rank AS INTEGER) AS rank, {sql_plain('h')} AS title_raw FROM (SELECT page_id, unnest({LI}) AS h, unnest(range(1, len({LI}) + 1)) AS rank FROM pages) WHERE {sql_plain('h')} <> ''")
-def pages_list_items(v):
+def pages_item_texts(v):
     return sn.list_items(v.table("pages").select("page_id", "html"))
 
 
+def item_pages(v):
+    """Runs as list pages whose items have a class for each field; some items lack one, or say that they are new."""
+    element = lambda tag, name, inner: F.concat(F.lit(f'<{tag} class="x {name}">'), inner, F.lit(f"</{tag}>"))
+    k = F.col("partkey")
+    rank = F.when(k % 10 != 9, F.concat(F.lit(" "), F.col("rank").cast("string"), F.lit(". "))).otherwise("-")
+    title = F.concat(F.lit('<a href="/t">'), F.when(k % 10 != 8, F.col("title_raw")).otherwise(" "), F.lit("</a>"))
+    before = F.when(F.col("previous_position").isNull(), "Nieuw").otherwise(F.concat(F.lit("vorige week: "), F.col("previous_position").cast("string")))
+    fields = [element("span", "position", rank), element("h2", "the-title", title), element("h3", "artist", F.col("artist_raw")), element("span", "last-week", before), element("span", "weken", F.concat((k % 4).cast("string"), F.lit(" weken")))]
+    item = F.concat(F.lit("<li class='list-item'>\n"), *fields, F.lit("</li>"))
+    return by_blocks(v.entry.withColumn("_row", item), "run_id").agg(F.concat(F.lit("<ul><li>menu</li>"), F.array_join(F.collect_list("_row"), ""), F.lit("</ul>")).alias("html")).drop("block")
+
+
+@query("SELECT run_id, rank, artist_raw, title_raw, previous_position, CAST(nullif(partkey % 4, 0) AS INTEGER) AS weeks_on_chart FROM fv_entry WHERE partkey % 10 < 8")
+def pages_list_items(v):
+    return sn.chart_items(item_pages(v))
+
+
 @query("SELECT page_id, url, cached_at, expires_at, status FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY cached_at DESC, page_id DESC) AS n FROM fv_version WHERE expires_at > 1050) WHERE n = 1 AND status <> 404")
 def pages_latest_valid(v):
     return sn.latest_valid(versions(v), F.lit(1050))
 
 
-@query("SELECT count(*) FILTER (expires_at <= 1050) AS purged, count(*) FILTER (expires_at > 1050) AS kept FROM fv_version")
+@query("SELECT page_id, url, cached_at, expires_at, status FROM fv_version WHERE expires_at > 1050")
 def purge_expired(v):
-    return versions(v).agg(F.count_if(F.col("expires_at") <= 1050).alias("purged"), F.count_if(F.col("expires_at") > 1050).alias("kept"))
+    return sn.purge_expired(versions(v), F.lit(1050))[0]
+
+
+@query("SELECT count(*) FILTER (expires_at <= 1050) AS purged, count(*) FILTER (expires_at > 1050) AS kept FROM fv_version")
+def purge_report(v):
+    return sn.purge_expired(versions(v), F.lit(1050))[1]
 
 
 def songs_by_year(v):
@@ -104,12 +152,18 @@ def src_positions_json(v):
 
 
 def chart_pages(v):
-    """Runs as pages, long ones as several: tables, list items or lines, by the last digit of the month."""
+    """Runs as pages, long ones as several: tables, list items or lines, by the last digit of the month. Tables of odd years have a column more."""
     kind = F.substring("period", 7, 1).cast("int") % 3
-    cell = lambda c: F.concat(F.lit("<td>"), F.col(c).cast("string"), F.lit("</td>"))
+    wide = F.substring("period", 4, 1).cast("int") % 2 == 1
+    td = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
+    place = F.concat(F.substring("rank", 1, 1), F.lit("<b>"), F.expr("substr(rank, 2)"), F.lit("</b>."))
+    before = F.concat(F.lit("("), F.coalesce(F.col("previous_position").cast("string"), F.lit("-")), F.lit(")"))
+    cells = F.concat(td(place), F.when(wide, td(before)).otherwise(""), td(F.concat(F.lit(" "), "artist_raw", F.lit(" [note]"))), td(F.col("title_raw")))
     line = F.concat_ws("", F.col("rank").cast("string"), F.lit(". "), "artist_raw", F.lit(" - "), "title_raw")
-    row = F.when(kind == 0, F.concat(F.lit("<tr>"), cell("rank"), cell("artist_raw"), cell("title_raw"), F.lit("</tr>"))).when(kind == 1, F.concat(F.lit("<li>"), line, F.lit("</li>"))).otherwise(line)
-    return by_blocks(v.entry.withColumn("_row", row), "run_id").agg(F.array_join(F.collect_list("_row"), "\n").alias("html")).drop("block")
+    row = F.when(kind == 0, F.concat(F.lit("<tr>"), cells, F.lit("</tr>"))).when(kind == 1, F.concat(F.lit("<li>"), line, F.lit("</li>"))).otherwise(line)
+    head = F.when(kind == 0, "<table><tr><th>No</th><th>Artist</th><th>Title</th></tr>\n").otherwise("")
+    pages = by_blocks(v.entry.withColumns({"_row": row, "_head": head}), "run_id", "_head").agg(F.array_join(F.collect_list("_row"), "\n").alias("body"))
+    return pages.select("run_id", F.concat("_head", "body", F.when(F.col("_head") != "", "\n<tr><td>x</td></tr></table>").otherwise("")).alias("html"))
 
 
 @query("SELECT run_id, rank, artist_raw, title_raw, CAST(substr(period, 7, 1) AS INTEGER) % 3 AS way FROM fv_entry")
@@ -117,14 +171,17 @@ def pages_strategy_fallback(v):
     return sn.first_that_works(chart_pages(v), "run_id")
 
 
-@query("SELECT run_id, rank, artist_raw, title_raw FROM fv_entry WHERE CAST(substr(period, 7, 1) AS INTEGER) % 3 = 0")
+TABLED = "FROM fv_entry WHERE CAST(substr(period, 7, 1) AS INTEGER) % 3 = 0"
+
+
+@query(f"SELECT run_id, rank, artist_raw, title_raw, CASE WHEN CAST(period[4] AS INTEGER) % 2 = 1 THEN previous_position END AS previous_position {TABLED}")
 def pages_table_rows(v):
     return sn.table_rows(chart_pages(v))
 
 
 @query("SELECT run_id, rank, artist_raw, title_raw FROM fv_entry WHERE CAST(substr(period, 7, 1) AS INTEGER) % 3 = 2")
 def pages_text_lines(v):
-    return sn.text_lines(chart_pages(v).filter(~F.col("html").contains("<")))
+    return sn.text_lines(chart_pages(v))
 
 
 @query("SELECT hit_id, split_part(source, '_', 1) || '-release-' || split_part(hit_id, '-', 2) AS release_id, split_part(source, '_', 1) || '-recording-' || split_part(hit_id, '-', 2) AS recording_id, split_part(source, '_', 1) || '-artist-' || lower(artist_name) AS artist_id FROM fv_hit")
@@ -159,16 +216,15 @@ def like_search(v):
 
 @query("SELECT query_id, recording_mbid FROM fv_query JOIN fv_rec ON title = title_normalized AND contains(artist_normalized, artist)")
 def exact_title_artist_search(v):
-    return asked(v).drop("length_ms").join(recs(v), F.col("title") == F.col("title_normalized")).filter(F.contains("artist_normalized", "artist")).select("query_id", "recording_mbid")
+    return search.exact_names(asked(v), recs(v))
 
 
 @query("SELECT query_id, recording_mbid FROM fv_query q JOIN fv_rec r ON title = title_normalized AND (q.length_ms IS NULL OR r.length_ms BETWEEN CAST(trunc(q.length_ms * 0.9) AS INTEGER) AND CAST(trunc(q.length_ms * 1.1) AS INTEGER))")
 def length_range(v):
-    rows = recs(v).withColumnRenamed("length_ms", "rec_ms")
-    return asked(v).join(rows, F.col("title") == F.col("title_normalized")).filter(search.length_fits(F.col("length_ms"), F.col("rec_ms"), 0.1)).select("query_id", "recording_mbid")
+    return search.by_title_and_length(asked(v), recs(v))
 
 
-CONTAINING = "SELECT query_id, recording_mbid FROM (SELECT query_id, recording_mbid, row_number() OVER (PARTITION BY query_id ORDER BY recording_mbid) AS n FROM fv_query q JOIN fv_rec r ON contains(title_normalized, title) AND contains(artist_normalized, artist) AND (q.length_ms IS NULL OR r.length_ms BETWEEN CAST(trunc(q.length_ms * 0.9) AS INTEGER) AND CAST(trunc(q.length_ms * 1.1) AS INTEGER))) WHERE n <= 50"
+CONTAINING = fuzzy_sql.containing("fv_query")
 
 
 @query(CONTAINING)
@@ -176,23 +232,26 @@ def search_contains(v):
     return search.containing(asked(v), recs(v))
 
 
-@query(None)
+@query(fuzzy_sql.search("fv_query"))
 def search_fuzzy(v):
     return search.search_fuzzy(asked(v), recs(v))
 
 
-@query(None)
+@query("SELECT * FROM fv_stage")
 def search_stages(v):
-    return search.search_stages(asked(v), recs(v))
+    return search.search_stages(asked(v), recs(v), shelves(v), heard(v))
 
 
-@query(f"SELECT s AS stage, CASE WHEN s = 1 THEN (SELECT count(*) FROM ({CONTAINING})) ELSE 0 END AS n FROM (VALUES (1), (2), (3), (4)) t(s)")
+@query("SELECT s AS stage, (SELECT count(*) FROM fv_stage WHERE stage = s) AS n FROM (VALUES (1), (2), (3), (4)) t(s)")
 def stage_summary(v):
     stages = v.spark.range(1, 5).select(F.col("id").cast("int").alias("stage"))
-    return search.stage_summary(search.search_stages(asked(v), recs(v)), stages)
+    return search.stage_summary(search_stages(v), stages)
 
 
-@query(None)
+@query("""SELECT query_id, song_id, CAST(1 AS DOUBLE) AS score FROM fv_query JOIN fv_song ON artist_canonical = artist AND title_canonical = title
+UNION ALL SELECT query_id, song_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, song_id) AS n FROM (
+  SELECT query_id, song_id, CAST(round(0.4 * a.ratio / 100 + 0.6 * t.ratio / 100, 6) AS DOUBLE) AS score FROM fv_query q JOIN fv_title_ratio t ON t.a = q.title JOIN fv_song s ON s.title_canonical = t.b JOIN fv_artist_ratio a ON a.a = q.artist AND a.b = s.artist_canonical
+  WHERE query_id NOT IN (SELECT query_id FROM fv_query JOIN fv_song ON artist_canonical = artist AND title_canonical = title)) WHERE score >= 0.7) WHERE n = 1""")
 def song_lookup(v):
     return search.song_lookup(asked(v), v.song)
 
@@ -257,15 +316,28 @@ def discover_by_isrc(v):
     return ct.by_isrc(codes, v.recording).join(ct.rgs_for_recordings(v.recording_release, v.release, v.rg), "recording_mbid")
 
 
-@query(f"SELECT DISTINCT query_id, recording_mbid, rg_mbid FROM ({CONTAINING}) JOIN ({RGS}) USING (recording_mbid)")
+DISCOVERED = f"SELECT query_id, recording_mbid FROM ({fuzzy_sql.search('fv_query', 0.1, 100)})"
+
+
+def discovered(v):
+    found = search.search_fuzzy(asked(v), recs(v), 0.1, 100).select("query_id", "recording_mbid")
+    return found.join(ct.rgs_for_recordings(v.recording_release, v.release, v.rg), "recording_mbid")
+
+
+@query(f"SELECT DISTINCT query_id, recording_mbid, rg_mbid FROM ({DISCOVERED}) JOIN ({RGS}) USING (recording_mbid)")
 def discover_by_title_artist_length(v):
-    return search.containing(asked(v), recs(v)).join(ct.rgs_for_recordings(v.recording_release, v.release, v.rg), "recording_mbid").select("query_id", "recording_mbid", "rg_mbid").distinct()
+    return discovered(v).select("query_id", "recording_mbid", "rg_mbid").distinct()
+
+
+BUCKET = """CASE WHEN lower(type) = 'soundtrack' THEN 'soundtrack' WHEN lower(type) = 'album' AND secondary_type IS NULL THEN 'studio_album' WHEN lower(type) = 'ep' THEN 'ep'
+  WHEN lower(type) = 'single' THEN 'single' ELSE 'other' END"""
 
 
-@query(f"SELECT bucket, count(*) AS n FROM (SELECT DISTINCT query_id, rg_mbid, type, secondary_type IS NOT NULL AS comp, CASE WHEN lower(type) = 'soundtrack' THEN 'soundtrack' WHEN lower(type) = 'album' AND secondary_type IS NULL THEN 'studio_album' WHEN lower(type) = 'ep' THEN 'ep' WHEN lower(type) = 'single' THEN 'single' ELSE 'other' END AS bucket FROM ({CONTAINING}) JOIN ({RGS}) USING (recording_mbid) JOIN fv_rg USING (rg_mbid)) GROUP BY 1")
+@query(f"SELECT bucket, count(*) AS n FROM (SELECT DISTINCT query_id, rg_mbid, {BUCKET} AS bucket FROM ({DISCOVERED}) JOIN ({RGS}) USING (recording_mbid) JOIN fv_rg USING (rg_mbid)) GROUP BY 1")
 def bucketed_from_search(v):
-    found = search.containing(asked(v), recs(v)).join(ct.rgs_for_recordings(v.recording_release, v.release, v.rg), "recording_mbid").join(v.rg, "rg_mbid")
-    candidates = found.select(F.col("query_id").alias("entity_id"), "rg_mbid", F.col("type").alias("primary_type"), F.col("secondary_type").isNotNull().alias("is_compilation"), "first_release_date", "artist_mbid", "title")
+    found = discovered(v).join(v.rg, "rg_mbid")
+    compilation = F.col("secondary_type").isNotNull().alias("is_compilation")
+    candidates = found.select(F.col("query_id").alias("entity_id"), "rg_mbid", F.col("type").alias("primary_type"), compilation, "first_release_date", "artist_mbid", "title")
     return rs.bucketed(candidates).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
@@ -340,6 +412,6 @@ def catalogue_from_api_docs(v):
     return rows.join(t["release_group"].select("rg_mbid"), "rg_mbid").join(t["artist"].select("artist_mbid"), "artist_mbid").select("recording_mbid", "title", "artist_mbid", "release_mbid", "rg_mbid", "date", "country", "is_official")
 
 
-@query("SELECT query_id, recording_mbid, title_normalized FROM (SELECT q.query_id, r.recording_mbid, r.title_normalized, row_number() OVER (PARTITION BY q.query_id ORDER BY r.recording_mbid) AS n FROM fv_query q JOIN fv_rec r ON r.artist_normalized = q.artist WHERE contains(r.title_normalized, q.title)) WHERE n <= 100")
+@query(fuzzy_sql.browse("fv_query"))
 def artist_browse(v):
-    return search.artist_browse(asked(v), recs(v)).select("query_id", "recording_mbid", "title_normalized")
+    return search.artist_browse(asked(v), *shelves(v))

@@ -10,9 +10,9 @@ from chartloom.operators import aggregates as agg
 from chartloom.operators import decisions as dc
 from chartloom.operators import ingest as ig
 from chartloom.operators import resolution as rs
-from chartloom.plans.analytics import POSITIONS, WORK_SCORE
+from chartloom.plans.analytics import ENTRY_SCORES, POSITIONS, WORK_SCORE
 from chartloom.plans.registry import EXTRA_VIEWS, query
-from chartloom.plans.text import titles
+from chartloom.plans.text import styled, texts, titles
 
 
 @query("SELECT substr(sha256(chart_id || ':' || period), 1, 16) AS run_id, substr(sha256(string_agg(x, chr(10) ORDER BY x)), 1, 16) AS source_hash, count(*) AS n_entries FROM (SELECT chart_id, period, lpad(CAST(rank AS VARCHAR), 6, '0') || '|' || artist_raw || '|' || title_raw AS x FROM fv_entry) GROUP BY chart_id, period")
@@ -36,15 +36,16 @@ def upsert(v):
 
 @query("SELECT song_id, coalesce(CASE WHEN length(title_canonical) % 2 = 0 THEN 'x-' || title_canonical END, recording_mbid) AS recording_mbid FROM fv_song")
 def update_song_ids(v):
-    new = v.song.select("song_id", F.when(F.length("title_canonical") % 2 == 0, F.concat(F.lit("x-"), "title_canonical")).alias("new_id"))
-    return v.song.join(new, "song_id", "left").select("song_id", F.coalesce("new_id", "recording_mbid").alias("recording_mbid"))
+    new = v.song.filter(F.length("title_canonical") % 2 == 0).select("song_id", F.concat(F.lit("x-"), "title_canonical").alias("recording_mbid"))
+    return ig.update_song_ids(v.song, new, ["recording_mbid"]).select("song_id", "recording_mbid")
 
 
-@query("SELECT DISTINCT substr(sha256(lower(artist_raw) || ' // ' || lower(title_raw)), 1, 16) AS song_id, lower(artist_raw) AS artist_canonical, lower(title_raw) AS title_canonical FROM fv_entry WHERE lower(artist_raw) NOT LIKE '%1%'")
+@query("SELECT DISTINCT substr(sha256(artist_core || ' // ' || title_core), 1, 16) AS song_id, artist_core AS artist_canonical, title_core AS title_canonical FROM fv_styled WHERE (artist_core, title_core) NOT IN (SELECT (artist_canonical, title_canonical) FROM fv_song WHERE artist_canonical LIKE '%1%')")
 def songs_get_or_create(v):
-    return ig.new_songs(v.entry, v.song.filter("artist_canonical like '%1%'"))
+    return ig.new_songs(styled(v), v.song.filter("artist_canonical like '%1%'"))
 
 
+EXTRA_VIEWS["fv_styled_alias"] = "SELECT DISTINCT artist_raw AS raw, 'alias ' || lower(artist_raw) AS normalized FROM fv_text WHERE partkey % 5 = 0"
 EXTRA_VIEWS["fv_alias"] = "SELECT DISTINCT p_brand AS raw, 'alias ' || lower(p_brand) AS normalized FROM part WHERE CAST(p_brand[7:] AS INTEGER) % 5 = 0"
 
 
@@ -59,10 +60,11 @@ def alias_override(v):
     return with_alias(v)
 
 
-@query("SELECT entry_id, 0 AS song_idx, substr(sha256(coalesce(normalized, lower(artist_raw)) || ' // ' || lower(title_raw)), 1, 16) AS song_id, CASE WHEN normalized IS NULL THEN 'auto' ELSE 'alias' END AS link_method, CAST(0.85 AS DOUBLE) AS link_confidence FROM fv_entry LEFT JOIN fv_alias ON raw = artist_raw")
+@query("""SELECT entry_id, 0 AS song_idx, substr(sha256(coalesce(normalized, artist_core) || ' // ' || title_core), 1, 16) AS song_id, CASE WHEN normalized IS NULL THEN 'auto' ELSE 'alias' END AS link_method, CAST(0.85 AS DOUBLE) AS link_confidence
+FROM fv_styled LEFT JOIN fv_styled_alias ON raw = artist_raw WHERE len(list_filter(tags, lambda x: x LIKE 'karaoke/%' OR x LIKE '%/karaoke/%')) = 0""")
 def link_entries_to_songs(v):
-    rows = v.entry.filter(~nz.has_tag(nz.normalize_title(F.col("title_raw"))["tags"], "karaoke")).join(with_alias(v), F.col("artist_raw") == F.col("raw"))
-    return rows.select("entry_id", F.lit(0).alias("song_idx"), ids.short_hash(F.concat_ws(" // ", "core", F.lower("title_raw"))).alias("song_id"), F.col("method").alias("link_method"), F.lit(0.85).alias("link_confidence"))
+    aliases = texts(v).filter("partkey % 5 = 0").select(F.col("artist_raw").alias("raw"), F.concat(F.lit("alias "), F.lower("artist_raw")).alias("normalized")).distinct()
+    return ig.link_entries(styled(v), aliases)
 
 
 EXTRA_VIEWS["fv_conf"] = """SELECT partkey, CASE WHEN len(list_filter(tags, lambda x: x LIKE 'karaoke/%' OR x LIKE '%/karaoke/%')) > 0 THEN 0.0
@@ -77,8 +79,6 @@ def link_confidence(v):
 
 @query("SELECT partkey, CASE WHEN c >= 0.6 THEN k END AS work_key, CAST(c AS DOUBLE) AS confidence FROM (SELECT partkey, k, CASE WHEN k IS NULL THEN 0.0 ELSE confidence END AS c FROM (SELECT partkey, CASE WHEN trim(a.core) <> '' AND trim(t.core) <> '' THEN substr(sha256(a.core || ' // ' || t.core), 1, 16) END AS k, confidence FROM fv_artist_norm a JOIN fv_title_norm t USING (partkey) JOIN fv_conf USING (partkey)))")
 def link_work(v):
-    from chartloom.plans.text import texts
-
     return ig.link_works(texts(v)).select("partkey", "work_key", "confidence")
 
 
@@ -89,9 +89,9 @@ def link_from_decisions(v):
     return ig.link_decisions(entries, own).select("partkey", "release_anchor_id", "confidence", "link_method")
 
 
-@query("SELECT chart_id, artist_core, title_core, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY chart_id ORDER BY score DESC, artist_core, title_core) AS INTEGER) AS place FROM (SELECT chart_id, lower(artist_raw) AS artist_core, lower(title_raw) AS title_core, CAST(sum(n - rank + 1) AS BIGINT) AS score FROM (SELECT *, count(*) OVER (PARTITION BY run_id) AS n FROM fv_entry) GROUP BY 1, 2, 3)) WHERE place <= 20")
+@query(f"SELECT chart_id, artist_core, title_core, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY chart_id ORDER BY score DESC, artist_core, title_core) AS INTEGER) AS place FROM ({ENTRY_SCORES})) WHERE place <= 20")
 def link_priority(v):
-    return agg.top_per_group(agg.entry_scores(v.entry), ["chart_id"], [F.desc("score"), "artist_core", "title_core"], 20)
+    return agg.top_per_group(agg.entry_scores(styled(v)), ["chart_id"], [F.desc("score"), "artist_core", "title_core"], 20)
 
 
 @query("SELECT c.chart_id, strftime(m, '%Y-%m') AS period FROM fv_chart c CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '1994-11-01', TIMESTAMP '2001-12-01', INTERVAL 1 MONTH)) AS m) WHERE NOT EXISTS (SELECT 1 FROM fv_run r WHERE r.chart_id = c.chart_id AND r.period = strftime(m, '%Y-%m'))")
@@ -115,19 +115,19 @@ def tag_merge(v):
 
 @query("SELECT entity_id, crg, rr, 'evh=' || substr(evidence_hash, 1, 8) AS tag FROM fv_decision JOIN fv_hash USING (entity_id) WHERE state = 'decided'")
 def assemble_tags(v):
-    return v.decision.filter("state = 'decided'").join(rs.evidence_hash(v.candidate), "entity_id").select("entity_id", "crg", "rr", F.concat(F.lit("evh="), F.substring("evidence_hash", 1, 8)).alias("tag"))
+    return ig.decision_tags(v.decision, rs.evidence_hash(v.candidate))
 
 
 @query("SELECT partkey, coalesce(CASE WHEN partkey % 2 = 0 THEN 'kept' END, core) AS normalized FROM fv_title_norm")
 def backfill_normalized(v):
-    return titles(v).select("partkey", F.coalesce(F.when(F.col("partkey") % 2 == 0, "kept"), F.col("t.core")).alias("normalized"))
+    return ig.backfill_normalized(texts(v).withColumn("normalized", F.when(F.col("partkey") % 2 == 0, "kept"))).select("partkey", "normalized")
 
 
 @query("SELECT p_partkey AS partkey, coalesce(fix, p_name) AS title FROM part LEFT JOIN (SELECT DISTINCT lower(p_name) AS k, upper(p_name) AS fix FROM part WHERE p_name LIKE 'b%') ON k = lower(trim(p_name))")
 def title_corrections(v):
     p = v.table("part")
-    fixes = p.filter("p_name like 'b%'").select(F.lower("p_name").alias("k"), F.upper("p_name").alias("fix")).distinct()
-    return p.join(fixes, F.lower(F.trim("p_name")) == F.col("k"), "left").select(F.col("p_partkey").alias("partkey"), F.coalesce("fix", "p_name").alias("title"))
+    fixes = p.filter("p_name like 'b%'").select(F.col("p_name").alias("title"), F.upper("p_name").alias("fix")).distinct()
+    return ig.correct_titles(p.select(F.col("p_partkey").alias("partkey"), F.col("p_name").alias("title")), fixes, "title")
 
 
 def blobs(v):
@@ -186,7 +186,7 @@ def decision_history(v):
 def pin_decision(v):
     n = F.expr("cast(substr(file_id, 2) as bigint)")
     changes = stored(v).select("file_id", F.when(n % 4 == 1, "stale_rules").alias("new_state"), (n % 7 == 1).alias("pinned"))
-    return stored(v).join(changes, "file_id").select("file_id", F.coalesce("new_state", "state").alias("state"), "pinned")
+    return dc.pin(stored(v), changes).select("file_id", "state", "pinned")
 
 
 DRIFT = """SELECT n.entity_id, d IS NOT NULL AS drifted, d AS state FROM (SELECT n.entity_id, CASE WHEN o.entity_id IS NULL THEN 'DECIDED' WHEN n.crg IS NOT DISTINCT FROM o.crg AND n.rr IS NOT DISTINCT FROM o.rr THEN NULL
@@ -264,7 +264,10 @@ def reviews(v):
 
 
 def actions(v):
-    return reviews(v).filter("k % 4 = 1").select("review_id", F.when(F.col("k") % 3 == 0, "accept").otherwise("skip").alias("action"), F.lit(90).alias("at"))
+    """One action on some reviews, and a later one on half of these, which comes too late."""
+    first = reviews(v).filter("k % 4 = 1").select("review_id", F.when(F.col("k") % 3 == 0, "accept").otherwise("skip").alias("action"), F.lit(90).alias("at"), "k")
+    late = first.filter("k % 8 = 1").withColumn("action", F.lit("accept")).withColumn("at", F.lit(95))
+    return first.unionByName(late).drop("k")
 
 
 @query("SELECT * FROM fv_outcome")
@@ -284,7 +287,7 @@ def review_complete(v):
 
 @query("SELECT review_id, source FROM fv_review WHERE reviewed_at IS NULL AND source = 'llm'")
 def pending_reviews(v):
-    return reviews(v).filter("reviewed_at is null and source = 'llm'").select("review_id", "source")
+    return dc.pending_reviews(reviews(v), "llm").select("review_id", "source")
 
 
 @query("SELECT review_id FROM (SELECT review_id FROM fv_review WHERE starts_with(review_id, 'e1') ORDER BY k, review_id LIMIT 20)")
@@ -294,7 +297,7 @@ def id_prefix_search(v):
 
 @query("SELECT entity_id FROM fv_decision WHERE state = 'indeterminate' AND entity_id NOT IN (SELECT entity_id FROM fv_outcome WHERE outcome = 'review')")
 def pending_batch(v):
-    return v.decision.filter("state = 'indeterminate'").join(outcomes(v).filter("outcome = 'review'"), "entity_id", "left_anti").select("entity_id")
+    return dc.pending_batch(v.decision, outcomes(v))
 
 
 EXTRA_VIEWS["fv_reviewed"] = """SELECT coalesce(reviewed_at, CASE WHEN k % 4 = 1 THEN 90 END) IS NOT NULL AS done, source, CASE WHEN k % 4 = 1 THEN CASE WHEN k % 3 = 0 THEN 'accept' ELSE 'skip' END END AS action FROM fv_review"""

@@ -99,9 +99,15 @@ def resolve(v):
     return decisions(v)
 
 
-@query("SELECT crg_rationale, rr_rationale, state, count(*) AS n FROM fv_decision GROUP BY 1, 2, 3")
+@query("""SELECT crg_rationale, rr_rationale, state, CAST(NULL AS VARCHAR) AS error, count(*) AS n FROM fv_decision WHERE CAST(entity_id[2:] AS BIGINT) % 31 > 1 GROUP BY 1, 2, 3
+UNION ALL SELECT NULL, NULL, NULL, CASE CAST(entity_id[2:] AS BIGINT) % 31 WHEN 0 THEN 'date_not_readable' ELSE 'candidate_without_type' END, count(*) FROM fv_decision WHERE CAST(entity_id[2:] AS BIGINT) % 31 <= 1 GROUP BY 4""")
 def batch_decide(v):
-    return decisions(v).groupBy("crg_rationale", "rr_rationale", "state").agg(F.count("*").alias("n"))
+    """All entities, some of which have candidates with broken dates or without a type."""
+    broken = v.candidate.withColumns({
+        "first_release_date": F.when(F.col("partkey") % 31 == 0, "19x5").otherwise(F.col("first_release_date")),
+        "primary_type": F.when(F.col("partkey") % 31 != 1, F.col("primary_type")),
+    })
+    return rs.batch_summary(rs.decide_batch(broken, v.release, v.rg, v.artist))
 
 
 @query("SELECT entity_id, min(CASE WHEN k = 'Album' AND NOT comp THEN date END) AS album_date, min(CASE WHEN k IN ('Single', 'EP') AND NOT comp THEN date END) AS single_ep_date, min(CASE WHEN k = 'Soundtrack' AND NOT comp THEN date END) AS soundtrack_date FROM fv_cand GROUP BY 1")
@@ -200,9 +206,20 @@ EXTRA_VIEWS |= {
 }
 
 
-@query("SELECT hit_id, source, isrc, confidence FROM fv_hit")
+@query("""SELECT 'm' || p_partkey AS hit_id, 'musicbase_isrc' AS source, 'ISRC' || (p_partkey % 500) AS isrc, CAST(NULL AS VARCHAR) AS barcode, CAST(0.95 AS DOUBLE) AS confidence FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT 'd' || p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 'discbase_barcode' ELSE 'discbase_text' END, NULL, CASE WHEN p_partkey % 6 = 0 THEN 'B' || p_partkey END, CASE WHEN p_partkey % 6 = 0 THEN 0.85 ELSE 0.65 END FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT 's' || p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'streambase_isrc' ELSE 'streambase_text' END, NULL, NULL, CASE WHEN p_partkey % 10 = 0 THEN 0.90 ELSE 0.68 END FROM part WHERE p_partkey % 5 = 0
+UNION ALL SELECT 'f' || p_partkey, 'soundbase_fingerprint', NULL, NULL, (p_partkey % 100) / 100.0 FROM part WHERE p_partkey % 7 = 0""")
 def source_union(v):
-    return v.hit.select("hit_id", "source", "isrc", "confidence")
+    p, k = v.table("part"), F.col("p_partkey")
+    hits = lambda letter, origin, modulus, match, **more: p.filter(k % modulus == 0).select(F.concat(F.lit(letter), k).alias("hit_id"), F.lit(origin).alias("origin"), match.alias("match"), *[c.alias(n) for n, c in more.items()])
+    tables = [
+        hits("m", "musicbase", 2, F.lit("isrc"), isrc=F.concat(F.lit("ISRC"), (k % 500).cast("string"))),
+        hits("d", "discbase", 3, F.when(k % 6 == 0, "barcode").otherwise("text"), barcode=F.when(k % 6 == 0, F.concat(F.lit("B"), k))),
+        hits("s", "streambase", 5, F.when(k % 10 == 0, "isrc").otherwise("text")),
+        hits("f", "soundbase", 7, F.lit("fingerprint"), score=(k % 100) / 100.0),
+    ]
+    return sc.source_union(tables).select("hit_id", "source", "isrc", "barcode", "confidence")
 
 
 @query("SELECT hit_id, tier, round(c1, 6) AS confidence FROM fv_h1")

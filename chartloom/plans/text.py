@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from chartloom.functions import ids
 from chartloom.functions import normalize as nz
 from chartloom.functions import similarity as sim
 from chartloom.operators import search, sides
+from chartloom.plans import fuzzy_sql
 from chartloom.plans.registry import EXTRA_VIEWS, query
 
 #: Texts around the parts' names that the rules should see through; %s is the name.
@@ -33,6 +36,15 @@ def texts(v):
     return v.table("part").select(F.col("p_partkey").alias("partkey"), made(ARTISTS, "p_brand").alias("artist_raw"), made(TITLES, "p_name").alias("title_raw"), made(POSITIONS, "p_name").alias("position"))
 
 
+EXTRA_VIEWS["fv_styled"] = """SELECT e.* EXCLUDE (artist_raw, title_raw), t.artist_raw, t.title_raw, a.core AS artist_core, n.core AS title_core, n.tags
+  FROM fv_entry e JOIN fv_text t USING (partkey) JOIN fv_artist_norm a USING (partkey) JOIN fv_title_norm n USING (partkey)"""
+
+
+def styled(v):
+    """Entries whose names are written in many ways: with articles, guests, editions, other signs."""
+    return v.entry.drop("artist_raw", "title_raw").join(texts(v).select("partkey", "artist_raw", "title_raw"), "partkey")
+
+
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -46,7 +58,9 @@ def sql_squeeze(x):
 
 
 def sql_plain(x):
-    x = f"replace(lower({x}), 'ß', 'ss')"
+    x = f"lower({x})"
+    for a, b in nz.FOLDS.items():
+        x = f"replace({x}, '{a}', '{b}')"
     for a, b in [("‘", "''"), ("’", "''"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "-"), ("…", "...")]:
         x = f"replace({x}, '{a}', '{b}')"
     for a, b in nz.LETTERS.items():
@@ -161,10 +175,19 @@ def redact_text(v):
     return v.table("documents").select("doc_id", F.regexp_count("text", F.lit(nz.EMAIL)).cast("long").alias("n"), F.sha2(nz.redact_emails(F.col("text")), 256).alias("digest"))
 
 
-@query("SELECT event_id, substr(CAST(json_extract(props, '$.k') AS VARCHAR), 1, 4) || '***' AS api_key, event_type AS kind FROM events")
+SHOWN = "CASE WHEN length(k) <= 4 THEN '***' ELSE substr(k, 1, 4) || '***' END"
+
+
+@query(f"""SELECT event_id, {SHOWN} AS api_key, event_type AS kind, k AS monkey, '{{"a":{{"Authorization":"' || {SHOWN} || '","list":[{{"Client_Secret":"***","n":1}},"token"],"kind":"' || event_type || '"}},"id":' || event_id || '}}' AS json
+FROM (SELECT event_id, event_type, CAST(event_id * 37 % 100000 AS VARCHAR) AS k FROM events)""")
 def redact_keys(v):
-    values = F.create_map(F.lit("api_key"), F.get_json_object("props", "$.k"), F.lit("kind"), F.col("event_type"))
-    return v.table("events").select("event_id", nz.redact_secrets(values).alias("m")).select("event_id", F.element_at("m", "api_key").alias("api_key"), F.element_at("m", "kind").alias("kind"))
+    """A map and a nested document of each event, with secrets of one to five characters."""
+    e = v.table("events").withColumn("k", (F.col("event_id") * 37 % 100000).cast("string"))
+    values = F.create_map(F.lit("api_key"), F.col("k"), F.lit("kind"), F.col("event_type"), F.lit("monkey"), F.col("k"))
+    secret = F.to_json(F.struct(F.struct(F.col("k").alias("Authorization"), F.lit("@").alias("list"), F.col("event_type").alias("kind")).alias("a"), F.col("event_id").alias("id")))
+    nested = F.replace(secret, F.lit('"@"'), F.lit('[{"Client_Secret":"a\\"b","n":1},"token"]'))
+    rows = e.select("event_id", nz.redact_secrets(values).alias("m"), nz.redact_json(nested).alias("json"))
+    return rows.select("event_id", *[F.element_at("m", c).alias(c) for c in ("api_key", "kind", "monkey")], "json")
 
 
 @query("SELECT page_id, substr(sha256(url), 1, 12) AS hash FROM pages")
@@ -177,39 +200,49 @@ def work_key(v):
     return titles(v).select("partkey", ids.work_key(nz.artist_core(F.col("artist_raw")), F.col("t.core")).alias("work_key"))
 
 
-LCS = """WITH RECURSIVE pairs AS (SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON a.p_name[1] = b.p_name[1]),
-lcs AS (SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda x: 0) AS row FROM pairs
-  UNION ALL SELECT a, b, i + 1, list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc, CASE WHEN b[j] = a[i + 1] THEN row[j] + 1 ELSE greatest(row[j + 1], acc[j]) END), [0]) FROM lcs WHERE i < length(a))
-SELECT a, b, round(CASE WHEN a = b THEN 100.0 ELSE 200.0 * row[length(b) + 1] / (length(a) + length(b)) END, 6) AS ratio FROM lcs WHERE i = length(a)"""
-
+RAW_AND_CORE = "SELECT DISTINCT lower(title_raw) AS a, core AS b FROM fv_title_norm"
+EXTRA_VIEWS["fv_own_ratio"] = fuzzy_sql.ratios(RAW_AND_CORE)
 
-def name_pairs(v):
-    names = v.table("part").select("p_name").distinct()
-    return search.blocked_pairs(names.select(F.col("p_name").alias("a")), names.select(F.col("p_name").alias("b")), F.substring("a", 1, 1), F.substring("b", 1, 1))
 
-
-@query(LCS)
+@query("SELECT partkey, round(ratio, 6) AS ratio FROM fv_title_norm JOIN fv_own_ratio ON a = lower(title_raw) AND b = core")
 def ratio(v):
-    return name_pairs(v).select("a", "b", F.round(sim.ratio("a", "b"), 6).alias("ratio"))
+    """How near each raw title is to its normalized form, once for each distinct pair."""
+    rows = titles(v).select("partkey", F.lower("title_raw").alias("a"), F.col("t.core").alias("b"))
+    scored = rows.select("a", "b").distinct().withColumn("ratio", F.round(sim.ratio("a", "b"), 6))
+    return rows.join(scored, ["a", "b"]).select("partkey", "ratio")
 
 
-@query(f"SELECT a, b FROM ({LCS}) WHERE ratio >= 80")
+@query(f"SELECT a, b FROM ({fuzzy_sql.ratios('SELECT x.p_name AS a, y.p_name AS b FROM (SELECT DISTINCT p_name FROM part) x CROSS JOIN (SELECT DISTINCT p_name FROM part) y')}) WHERE ratio >= 80")
 def fuzzy_match(v):
     names = v.table("part").select("p_name")
     return search.close_pairs(names, names, 80).select("a", "b")
 
 
-@query(None)
+@query(f"SELECT partkey, round(score, 6) AS ratio FROM fv_title_norm JOIN ({fuzzy_sql.token_sets(RAW_AND_CORE)}) ON a = lower(title_raw) AND b = core")
 def token_set_ratio(v):
-    return name_pairs(v).select("a", "b", F.round(sim.token_set_ratio("a", "b"), 6).alias("ratio"))
+    rows = titles(v).select("partkey", F.lower("title_raw").alias("a"), F.col("t.core").alias("b"))
+    scored = rows.select("a", "b").distinct().withColumn("ratio", F.round(sim.token_set_ratio(F.col("a"), F.col("b")), 6))
+    return rows.join(scored, ["a", "b"]).select("partkey", "ratio")
+
 
+SANE = r"""SELECT partkey, length(trim(core)) > 1 AND NOT regexp_full_match(trim(core), '[0-9]+') AND NOT regexp_full_match(trim(core), '[!@#$%^&*()_+\-=\[\]{}|;'':",./<>?`~\\]+')
+  AND (ratio >= 70 OR (length(trim(core)) >= 3 AND contains(lower(title_raw), lower(trim(core))))) AS sane FROM fv_title_norm JOIN fv_own_ratio ON a = lower(title_raw) AND b = core"""
 
-@query("SELECT partkey, length(trim(core)) > 1 AND NOT regexp_full_match(trim(core), '[0-9]+') AND contains(lower(title_raw), core) AND length(core) >= 3 AS sane FROM fv_title_norm WHERE contains(lower(title_raw), core)")
+
+@query(SANE)
 def is_sane(v):
-    rows = titles(v).select("partkey", "title_raw", F.col("t.core").alias("core")).filter(F.contains(F.lower("title_raw"), F.col("core")))
-    return rows.select("partkey", sim.is_sane(F.col("title_raw"), F.col("core")).alias("sane"))
+    return titles(v).select("partkey", sim.is_sane(F.col("title_raw"), F.col("t.core")).alias("sane"))
+
+
+#: Latin letters with marks and what they decompose into.
+DECOMPOSED = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x180) if unicodedata.normalize("NFD", chr(c)) != chr(c)]
+EXTRA_VIEWS["fv_nfd"] = f"""SELECT partkey, string_agg(coalesce(nfd, c), '' ORDER BY i) AS s
+  FROM (SELECT partkey, unnest(string_split(s, '')) AS c, unnest(range(1, length(s) + 1)) AS i FROM (SELECT partkey, {sql_squeeze("title_raw")} AS s FROM fv_text))
+  LEFT JOIN (VALUES {", ".join(f"('{a}', '{b}')" for a, b in DECOMPOSED)}) m(letter, nfd) ON letter = c GROUP BY 1"""
+MARKED = "(unicode(c) BETWEEN 768 AND 879 OR lower(c) IN " + in_list(nz.LETTERS) + ")"
 
 
-@query("SELECT partkey, CASE WHEN title_raw LIKE 'Ünder%' THEN '1:̈' WHEN title_raw LIKE '%É%' THEN CAST(length(trim(title_raw)) - 1 AS VARCHAR) || ':́' ELSE '' END AS signature FROM fv_text")
+@query(f"""SELECT partkey, coalesce(string_agg(i || ':' || c, ',' ORDER BY i) FILTER ({MARKED}), '') AS signature
+FROM (SELECT partkey, unnest(range(0, length(s))) AS i, s FROM fv_nfd) CROSS JOIN LATERAL (SELECT substr(s, CAST(i + 1 AS INTEGER), 1) AS c) GROUP BY 1""")
 def diacritics_signature(v):
     return texts(v).select("partkey", nz.diacritics_signature(nz.squeeze(F.col("title_raw"))).alias("signature"))

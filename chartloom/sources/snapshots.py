@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartloom.functions.normalize import squeeze
+from chartloom.functions.normalize import previous_position, squeeze, strip_notes
 
 ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")]
 
@@ -57,18 +57,57 @@ def list_items(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select("*", F.posexplode(found).alias("_p", "_h")).withColumns({"rank": F.col("_p") + 1, "title_raw": plain_text(F.col("_h"))}).filter("title_raw <> ''").drop(html, "_p", "_h")
 
 
-def table_rows(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Rows of tables: rank, [previous,] artist, title by the number of cells; header rows have none."""
-    rows = pages.select("*", F.explode(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)).alias("_r"))
-    cells = F.transform(F.regexp_extract_all("_r", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1), plain_text)
-    wide = F.size("_c") >= 4
-    return rows.withColumn("_c", cells).filter(F.size("_c") >= 3).withColumns({
-        "rank": F.regexp_extract(F.get("_c", F.lit(0)), "([0-9]+)", 1).try_cast("int"),
-        "artist_raw": F.when(wide, F.get("_c", F.lit(2))).otherwise(F.get("_c", F.lit(1))),
-        "title_raw": F.when(wide, F.get("_c", F.lit(3))).otherwise(F.get("_c", F.lit(2))),
-    }).filter("rank is not null").drop(html, "_r", "_c")
+#: Words in the class of the element that holds a field of a list page.
+FIELDS = {"rank": ["position"], "title_raw": ["title"], "artist_raw": ["artist"], "previous_position": ["previous", "vorige", "last-week", "lastweek"], "weeks_on_chart": ["weeks", "weken", "duration", "chart-weeks"]}
+#: Texts that say there was no previous position.
+NO_POSITION = ["", "-", "new", "nieuw"]
+
+
+def field_text(item: Column, words: list[str]) -> Column:
+    """Text of the first element of an item whose class has one of the words: up to the next closing tag, tags inside left out."""
+    inner = F.regexp_extract(item, r"""(?is)class\s*=\s*["'][^"']*(?:""" + "|".join(words) + r""")[^"']*["'][^>]*>((?:\s*<[^/][^>]*>)*[^<]*)""", 1)
+    return plain_text(inner)
+
+
+def digits(text: Column) -> Column:
+    """The number that the digits of a text make; null without digits."""
+    return F.regexp_replace(text, "[^0-9]", "").try_cast("int")
+
+
+def chart_items(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Items of list pages, one row each: rank, artist_raw, title_raw, previous_position and weeks_on_chart, by the classes of their elements.
 
+    Items without rank, artist or title go. A previous position that is new or nothing is null, and so are 0 positions and weeks.
+    """
+    found = F.regexp_extract_all(html, F.lit(r"""(?is)<li[^>]*class\s*=\s*["'][^"']*item[^"']*["'][^>]*>(.*?)</li>"""), 1)
+    rows = pages.select("*", F.explode(found).alias("_i")).withColumns({name: field_text(F.col("_i"), words) for name, words in FIELDS.items()})
+    previous = F.when(~F.lower("previous_position").isin(NO_POSITION), F.nullif(digits(F.col("previous_position")), F.lit(0)))
+    out = rows.withColumns({"rank": digits(F.col("rank")), "previous_position": previous, "weeks_on_chart": F.nullif(digits(F.col("weeks_on_chart")), F.lit(0))})
+    return out.filter("rank is not null and artist_raw <> '' and title_raw <> ''").drop(html, "_i")
 
+
+def table_rows(pages: DataFrame, html: str = "html", year: str | None = None) -> DataFrame:
+    """Rows of tables: rank, previous_position, artist_raw, title_raw.
+
+    A page has four columns (position, previous, artist, title) if its first row with data has, or if its year is 2010 or later; else
+    three (position, artist, title), and so have its rows with three cells. Rows without data cells, a number, an artist or a title go.
+    """
+    rows = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1), lambda r: F.rlike(r, F.lit("(?i)<td")))
+    cells = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1), lambda c: strip_notes(plain_text(c))))
+    wide = F.size(F.get("_rows", F.lit(0))) >= 4
+    if year is not None:
+        wide = wide | F.coalesce(F.col(year).cast("int") >= 2010, F.lit(False))
+    four = F.col("_wide") & (F.size("_c") >= 4)
+    out = pages.withColumn("_rows", cells).withColumn("_wide", wide).select("*", F.explode("_rows").alias("_c")).filter(F.size("_c") >= 3).withColumns({
+        "rank": digits(F.get("_c", F.lit(0))),
+        "previous_position": F.when(four, previous_position(F.get("_c", F.lit(1)))),
+        "artist_raw": F.when(four, F.get("_c", F.lit(2))).otherwise(F.get("_c", F.lit(1))),
+        "title_raw": F.when(four, F.get("_c", F.lit(3))).otherwise(F.get("_c", F.lit(2))),
+    })
+    return out.filter("rank is not null and artist_raw <> '' and title_raw <> ''").drop(html, "_rows", "_wide", "_c")
+
+
+#: Fixed value: what a line of a chart looks like.
 LINE = r"^\s*(\d+)\.?\s+(.+?)\s+[-–—]\s+(.+?)\s*$"
 
 
@@ -92,6 +131,12 @@ def first_that_works(pages: DataFrame, key: str, html: str = "html") -> DataFram
     return everything.withColumn("_best", F.min("way").over(Window.partitionBy(key))).filter("way = _best").drop("_best")
 
 
+def purge_expired(pages: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(the pages that are left, one row with the numbers of purged and kept ones)."""
+    gone = F.col("expires_at") <= now
+    return pages.filter(~gone | F.col("expires_at").isNull()), pages.agg(F.count_if(gone).alias("purged"), F.count_if(~gone | F.col("expires_at").isNull()).alias("kept"))
+
+
 def latest_valid(pages: DataFrame, now: Column) -> DataFrame:
     """The newest version of each page that hasn't run out; pages that were missing then have no data."""
     w = Window.partitionBy("url").orderBy(F.desc("cached_at"), F.desc("page_id"))
