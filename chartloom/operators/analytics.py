@@ -38,26 +38,21 @@ def song_ranks(entries: DataFrame) -> DataFrame:
     return keyed(entries).groupBy("run_id", "chart_id", "period", *KEY).agg(F.max("rank").alias("rank"))
 
 
-def _consecutive(entries: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Songs of each run beside the run that follows it, and of each run beside the one before it."""
-    ranks, order = song_ranks(entries), run_sequence(runs)
-    first = ranks.join(order.filter("next_run_id is not null").select("run_id", F.col("next_run_id").alias("run2"), F.col("next_period").alias("period2")), "run_id")
-    first = first.select("chart_id", F.col("period").alias("period1"), "period2", F.col("run_id").alias("run1"), "run2", *KEY, F.col("rank").alias("rank1"))
-    second = ranks.join(order.filter("previous_run_id is not null").select("run_id", F.col("previous_run_id").alias("run1"), F.col("previous_period").alias("period1")), "run_id")
-    second = second.select("chart_id", "period1", F.col("period").alias("period2"), "run1", F.col("run_id").alias("run2"), *KEY, F.col("rank").alias("rank2"))
-    return first, second
-
-
-PAIR = ["chart_id", "period1", "period2", "run1", "run2", *KEY]
-
-
 def compare_consecutive(entries: DataFrame, runs: DataFrame) -> DataFrame:
     """All songs of all pairs of consecutive runs of a chart: rank1 and rank2, null where the song is missing.
 
-    One full join on (pair of runs, song); it carries every form of comparison below.
+    Each song is walked once through the runs of its chart: it stands in the pair with the next run, together with its rank there if it has one, and in the
+    pair with the run before if it wasn't there. This carries every form of comparison below.
     """
-    first, second = _consecutive(entries, runs)
-    return first.join(second, PAIR, "full").drop("run1", "run2")
+    order = run_sequence(runs).withColumn("seq", F.row_number().over(Window.partitionBy("chart_id").orderBy("period")))
+    ranks = song_ranks(entries).join(order.select("run_id", "previous_period", "next_period", "seq"), "run_id")
+    w = Window.partitionBy("chart_id", *KEY).orderBy("seq")
+    there = F.when(F.lead("seq").over(w) == F.col("seq") + 1, F.lead("rank").over(w))
+    rows = ranks.withColumns({"_after": there, "_new": F.coalesce(F.lag("seq").over(w) != F.col("seq") - 1, F.lit(True))})
+    pair = lambda p1, p2, r1, r2: F.struct(p1.alias("period1"), p2.alias("period2"), r1.cast("int").alias("rank1"), r2.cast("int").alias("rank2"))
+    first = F.when(F.col("next_period").isNotNull(), pair(F.col("period"), F.col("next_period"), F.col("rank"), F.col("_after")))
+    second = F.when(F.col("previous_period").isNotNull() & F.col("_new"), pair(F.col("previous_period"), F.col("period"), F.lit(None), F.col("rank")))
+    return rows.select("chart_id", *KEY, F.explode(F.array_compact(F.array(first, second))).alias("p")).select("chart_id", "p.period1", "p.period2", *KEY, "p.rank1", "p.rank2")
 
 
 def common(compared: DataFrame) -> DataFrame:

@@ -24,14 +24,15 @@ def first_year_by_group(recording_release: DataFrame, releases: DataFrame) -> Da
 
 
 def work_siblings(seeds: DataFrame, recording_work: DataFrame, limit: int = 100, same_artist: bool = True) -> DataFrame:
-    """Recordings of a seed's work, the seed first, at most `limit` of each seed.
+    """Recordings of a seed's work, the seed first, at most `limit` of each seed, the first by id; the limit is part of the feature.
 
-    A work with very many recordings is joined with its seeds only; the limit is part of the feature.
+    Only the first `limit` recordings of a work can be among those of any seed, so a seed meets these and itself, however many there are.
     """
-    own = seeds.join(recording_work, "recording_mbid").select(F.col("recording_mbid").alias("seed"), "work_id", F.col("artist_mbid").alias("seed_artist"))
-    pairs = own.join(recording_work, "work_id")
-    if same_artist:
-        pairs = pairs.filter(F.col("artist_mbid") == F.col("seed_artist"))
+    key = ["work_id", "artist_mbid"] if same_artist else ["work_id"]
+    rows = recording_work.select("recording_mbid", *key)
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("recording_mbid"))).filter(F.col("_n") <= limit).drop("_n")
+    own = seeds.join(rows, "recording_mbid").withColumnRenamed("recording_mbid", "seed")
+    pairs = own.join(first, key).select("seed", "recording_mbid").unionByName(own.select("seed", F.col("seed").alias("recording_mbid"))).distinct()
     w = Window.partitionBy("seed").orderBy((F.col("recording_mbid") != F.col("seed")).cast("int"), "recording_mbid")
     return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).select("seed", "recording_mbid", "place")
 

@@ -13,6 +13,7 @@ from chartloom.operators import resolution as rs
 from chartloom.plans.analytics import ENTRY_SCORES, POSITIONS, WORK_SCORE
 from chartloom.plans.registry import EXTRA_VIEWS, query
 from chartloom.plans.text import styled, texts, titles
+from chartloom.sources.shared import materialize
 
 
 @query("SELECT substr(sha256(chart_id || ':' || period), 1, 16) AS run_id, substr(sha256(string_agg(x, chr(10) ORDER BY x)), 1, 16) AS source_hash, count(*) AS n_entries FROM (SELECT chart_id, period, lpad(CAST(rank AS VARCHAR), 6, '0') || '|' || artist_raw || '|' || title_raw AS x FROM fv_entry) GROUP BY chart_id, period")
@@ -115,7 +116,8 @@ def tag_merge(v):
 
 @query("SELECT entity_id, crg, rr, 'evh=' || substr(evidence_hash, 1, 8) AS tag FROM fv_decision JOIN fv_hash USING (entity_id) WHERE state = 'decided'")
 def assemble_tags(v):
-    return ig.decision_tags(v.decision, rs.evidence_hash(v.candidate))
+    decided = v.decision
+    return ig.decision_tags(decided, rs.evidence_hash(v.candidate))
 
 
 @query("SELECT partkey, coalesce(CASE WHEN partkey % 2 = 0 THEN 'kept' END, core) AS normalized FROM fv_title_norm")
@@ -196,7 +198,8 @@ DRIFT = """SELECT n.entity_id, d IS NOT NULL AS drifted, d AS state FROM (SELECT
 
 def drifted(v):
     n = F.expr("cast(substr(entity_id, 2) as bigint)")
-    new = v.decision.join(rs.evidence_hash(v.candidate), "entity_id").withColumn("ruleset_version", F.lit("2"))
+    decided = v.decision
+    new = materialize(decided.join(rs.evidence_hash(v.candidate), "entity_id").withColumn("ruleset_version", F.lit("2")))
     old = new.filter(n % 11 != 0).select(
         "entity_id", F.when(n % 5 == 0, "other").otherwise(F.col("crg")).alias("crg"), "rr",
         F.when(n % 3 == 0, "before").otherwise(F.col("evidence_hash")).alias("evidence_hash"), F.when(n % 4 == 0, "1").otherwise(F.col("ruleset_version")).alias("ruleset_version"),

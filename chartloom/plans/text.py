@@ -204,12 +204,19 @@ RAW_AND_CORE = "SELECT DISTINCT lower(title_raw) AS a, core AS b FROM fv_title_n
 EXTRA_VIEWS["fv_own_ratio"] = fuzzy_sql.ratios(RAW_AND_CORE)
 
 
+def with_own_score(v, score):
+    """(partkey, ratio): the score of each raw title with its normalized form, once for each distinct title."""
+    rows = texts(v).select("partkey", "title_raw")
+    pairs = rows.select("title_raw").distinct().select("title_raw", F.lower("title_raw").alias("a"), nz.normalize_title(F.col("title_raw"))["core"].alias("b"))
+    # A Python function can't take an expression with a fold in it, so the names are made before.
+    scored = pairs.distinct().withColumn("ratio", F.round(score(F.col("a"), F.col("b")), 6))
+    return rows.join(scored.select("title_raw", "ratio"), "title_raw").select("partkey", "ratio")
+
+
 @query("SELECT partkey, round(ratio, 6) AS ratio FROM fv_title_norm JOIN fv_own_ratio ON a = lower(title_raw) AND b = core")
 def ratio(v):
-    """How near each raw title is to its normalized form, once for each distinct pair."""
-    rows = titles(v).select("partkey", F.lower("title_raw").alias("a"), F.col("t.core").alias("b"))
-    scored = rows.select("a", "b").distinct().withColumn("ratio", F.round(sim.ratio("a", "b"), 6))
-    return rows.join(scored, ["a", "b"]).select("partkey", "ratio")
+    """How near each raw title is to its normalized form."""
+    return with_own_score(v, sim.ratio)
 
 
 @query(f"SELECT a, b FROM ({fuzzy_sql.ratios('SELECT x.p_name AS a, y.p_name AS b FROM (SELECT DISTINCT p_name FROM part) x CROSS JOIN (SELECT DISTINCT p_name FROM part) y')}) WHERE ratio >= 80")
@@ -220,9 +227,7 @@ def fuzzy_match(v):
 
 @query(f"SELECT partkey, round(score, 6) AS ratio FROM fv_title_norm JOIN ({fuzzy_sql.token_sets(RAW_AND_CORE)}) ON a = lower(title_raw) AND b = core")
 def token_set_ratio(v):
-    rows = titles(v).select("partkey", F.lower("title_raw").alias("a"), F.col("t.core").alias("b"))
-    scored = rows.select("a", "b").distinct().withColumn("ratio", F.round(sim.token_set_ratio(F.col("a"), F.col("b")), 6))
-    return rows.join(scored, ["a", "b"]).select("partkey", "ratio")
+    return with_own_score(v, sim.token_set_ratio)
 
 
 SANE = r"""SELECT partkey, length(trim(core)) > 1 AND NOT regexp_full_match(trim(core), '[0-9]+') AND NOT regexp_full_match(trim(core), '[!@#$%^&*()_+\-=\[\]{}|;'':",./<>?`~\\]+')

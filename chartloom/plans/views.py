@@ -172,6 +172,8 @@ class Views:
         """What the rules decide for the candidates, written once."""
         from chartloom.operators.resolution import resolve
 
+        # Queries on decisions use the candidates again.
+        self.candidate = materialize(self.candidate)
         return materialize(resolve(self.candidate, self.release, self.rg, self.artist))
 
     @cached_property

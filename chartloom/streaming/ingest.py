@@ -1,7 +1,7 @@
 """Incremental ingest: snapshots arrive as files, and every batch is put into the tables by key.
 
-A batch is applied to a table by writing a new version beside the old one and then naming it as current, so a batch that is run again after a
-failure leaves the same table.
+A table lies in one folder for each value of its partition columns. A batch reads and rewrites only the folders that it has rows for, so its
+cost follows the batch and not the table; a batch that is run again after a failure leaves the same table.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from chartloom.functions import ids
 from chartloom.operators.ingest import merge_upsert
+from chartloom.sources.shared import materialize
 
 ENTRY = "chart_id string, period string, rank int, artist_raw string, title_raw string"
 
@@ -25,41 +26,35 @@ def keyed_entries(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"run_id": run, "entry_id": ids.entry_id(run, F.col("rank"))})
 
 
-class VersionedTable:
-    """A Parquet table whose versions are folders named by number."""
+class PartitionedTable:
+    """A Parquet table that is changed by key, one partition at a time. The partition columns follow from the key."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        store = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        done = lambda s: store.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-        return sorted(int(s.getPath().getName()[1:]) for s in store.listStatus(root) if done(s)) if store.exists(root) else []
-
-    def before(self, version: int) -> DataFrame:
-        """The table as of the last version below a number."""
-        older = [v for v in self._versions() if v < version]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{older[-1]}") if older else self.spark.createDataFrame([], self.schema)
+    def __init__(self, spark: SparkSession, path: str, schema: str, by: tuple[str, ...] = ("chart_id", "period")):
+        self.spark, self.path, self.schema, self.by = spark, path.rstrip("/"), schema, list(by)
 
     def current(self) -> DataFrame:
-        return self.before(1 << 62)
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(root)
+        return self.spark.read.schema(self.schema).parquet(self.path) if there else self.spark.createDataFrame([], self.schema)
 
-    def write(self, rows: DataFrame, version: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+    def upsert(self, rows: DataFrame, keys: list[str]) -> None:
+        """Put rows in by key. What is written is made first in a folder of its own, as it replaces what it is made from."""
+        rows = materialize(rows)
+        touched = self.current().join(rows.select(*self.by).distinct(), self.by, "left_semi")
+        merged = materialize(merge_upsert(touched, rows, keys))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.by).parquet(self.path)
 
 
-def upsert_into(table: VersionedTable, keys: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function. The version written is the batch's number, so that a repeated batch starts from the same table."""
+def upsert_into(table: PartitionedTable, keys: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function; a repeated batch changes nothing more."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        table.write(merge_upsert(table.before(number), prepare(batch), keys), number)
+        table.upsert(prepare(batch), keys)
 
     return apply
 
 
-def ingest_stream(spark: SparkSession, source: str, table: VersionedTable, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, source: str, table: PartitionedTable, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
     """Read all JSON-lines files of a folder that are new and put their entries into the table, then stop."""
     rows = spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", files_per_batch).json(source)
     apply = upsert_into(table, ["entry_id"], keyed_entries)

@@ -17,7 +17,7 @@ from chartloom.operators import ingest as ig
 from chartloom.operators import resolution as rs
 from chartloom.operators import search, sides
 from chartloom.sources import snapshots as sn
-from chartloom.streaming.ingest import ENTRY, VersionedTable, ingest_stream, keyed_entries
+from chartloom.streaming.ingest import ENTRY, PartitionedTable, ingest_stream, keyed_entries
 
 
 def titles(spark, values):
@@ -166,7 +166,7 @@ def test_snapshot_sink_replaces_one_period(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    source, table = f"{tmp_path}/in", VersionedTable(spark, f"{tmp_path}/table", ENTRY + ", run_id string, entry_id string")
+    source, table = f"{tmp_path}/in", PartitionedTable(spark, f"{tmp_path}/table", ENTRY + ", run_id string, entry_id string")
     spark.createDataFrame(RUNS, ENTRY).coalesce(1).write.json(source)
     ingest_stream(spark, source, table, f"{tmp_path}/cp").awaitTermination()
     spark.createDataFrame([("c", "2024", 4, "The Beatles", "Let It Be"), ("c", "2024", 5, "New", "Song")], ENTRY).coalesce(1).write.mode("append").json(source)
@@ -175,6 +175,19 @@ def test_stream(spark, tmp_path):
     assert len(got) == 9 and got["2024", 4] == "Let It Be" and got["2024", 5] == "Song"
 
 
+def test_upsert_rewrites_touched_partitions_only(spark, tmp_path):
+    table = PartitionedTable(spark, f"{tmp_path}/t", "k string, v int, chart_id string, period string")
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int, chart_id string, period string")
+    table.upsert(rows(("a", 1, "c", "01"), ("b", 2, "c", "02"), ("d", 3, "e", "01")), ["k", "chart_id", "period"])
+    files = lambda: {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    before = files()
+    for _ in range(2):
+        table.upsert(rows(("a", 5, "c", "01"), ("z", 6, "c", "01")), ["k", "chart_id", "period"])
+    assert sorted(map(tuple, table.current().collect())) == [("a", 5, "c", "01"), ("b", 2, "c", "02"), ("d", 3, "e", "01"), ("z", 6, "c", "01")]
+    same = {f for f, t in files().items() if before.get(f) == t}
+    assert {f.parent.name for f in same} == {"period=02", "period=01"} and all("chart_id=c/period=01" not in str(f) for f in same)
+
+
 def test_table_layout_is_the_pages(spark):
     """Four columns if the first row with data has four or the year is late enough, for the page as a whole."""
     four = "<table><tr><th>#</th><th>was</th></tr><tr><td>1</td><td>(3)</td><td>A</td><td>X</td></tr><tr><td>1.234</td><td>(-)</td><td>B</td><td>Z</td></tr><tr><td>3</td><td>C</td><td>W</td></tr></table>"
