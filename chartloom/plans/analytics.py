@@ -26,7 +26,10 @@ def compared(v):
     return an.compare_consecutive(v.entry, v.run)
 
 
-@query("SELECT * EXCLUDE (d) FROM (SELECT chart_id, period1, period2, artist_key, title_key, rank1, rank2, rank1 - rank2 AS delta, abs(rank1 - rank2) AS d, CAST(row_number() OVER (PARTITION BY chart_id, period1, period2 ORDER BY abs(rank1 - rank2) DESC, artist_key, title_key) AS INTEGER) AS place FROM fv_compared WHERE rank1 IS NOT NULL AND rank2 IS NOT NULL AND rank1 <> rank2) WHERE place <= 10")
+@query("""SELECT * EXCLUDE (d)
+  FROM (SELECT chart_id, period1, period2, artist_key, title_key, rank1, rank2, rank1 - rank2 AS delta, abs(rank1 - rank2) AS d, CAST(row_number() OVER (PARTITION BY chart_id, period1,
+    period2 ORDER BY abs(rank1 - rank2) DESC, artist_key, title_key) AS INTEGER) AS place FROM fv_compared
+  WHERE rank1 IS NOT NULL AND rank2 IS NOT NULL AND rank1 <> rank2) WHERE place <= 10""")
 def biggest_movers(v):
     return an.movers(compared(v))
 
@@ -56,7 +59,8 @@ def dropped_entries(v):
     return an.only_in_first(compared(v)).select("chart_id", F.col("period2").alias("period"), *an.KEY, F.col("rank1").alias("last_rank"))
 
 
-@query("SELECT chart_id, period1, period2, count(*) FILTER (rank1 IS NOT NULL AND rank2 IS NOT NULL) AS n_common, count(*) AS n_union, round(count(*) FILTER (rank1 IS NOT NULL AND rank2 IS NOT NULL) * 100.0 / count(*), 6) AS overlap_pct FROM fv_compared GROUP BY 1, 2, 3")
+@query("""SELECT chart_id, period1, period2, count(*) FILTER (rank1 IS NOT NULL AND rank2 IS NOT NULL) AS n_common, count(*) AS n_union,
+    round(count(*) FILTER (rank1 IS NOT NULL AND rank2 IS NOT NULL) * 100.0 / count(*), 6) AS overlap_pct FROM fv_compared GROUP BY 1, 2, 3""")
 def overlap_pct(v):
     return an.overlap(compared(v))
 
@@ -66,28 +70,35 @@ def adjacent_period(v):
     return an.run_sequence(v.run).select("chart_id", "period", "previous_period", "next_period")
 
 
-@query("SELECT a.chart_id, a.period, max(r.period) AS previous_period FROM (SELECT DISTINCT chart_id, substr(period, 1, 4) || '-06-15' AS period FROM fv_run) a LEFT JOIN fv_run r ON r.chart_id = a.chart_id AND r.period < a.period GROUP BY 1, 2")
+@query("""SELECT a.chart_id, a.period, max(r.period) AS previous_period FROM (SELECT DISTINCT chart_id, substr(period, 1, 4) || '-06-15' AS period
+  FROM fv_run) a LEFT JOIN fv_run r ON r.chart_id = a.chart_id AND r.period < a.period GROUP BY 1, 2""")
 def period_as_of(v):
     asked = v.run.select("chart_id", F.concat(F.substring("period", 1, 4), F.lit("-06-15")).alias("period")).distinct()
     return an.period_as_of(asked, v.run)
 
 
-@query("SELECT e.run_id, e.rank, e.previous_position AS claimed, b.rank AS actual FROM fv_entry e JOIN fv_seq s USING (run_id) JOIN fv_rank b ON b.run_id = s.previous_run_id AND b.artist_key = lower(trim(e.artist_raw)) AND b.title_key = lower(trim(e.title_raw)) WHERE e.previous_position <> b.rank")
+@query("""SELECT e.run_id, e.rank, e.previous_position AS claimed, b.rank AS actual FROM fv_entry e JOIN fv_seq s USING (run_id)
+  JOIN fv_rank b ON b.run_id = s.previous_run_id AND b.artist_key = lower(trim(e.artist_raw)) AND b.title_key = lower(trim(e.title_raw))
+  WHERE e.previous_position <> b.rank""")
 def position_xref(v):
     return an.position_mismatches(v.entry, v.run).select("run_id", "rank", F.col("previous_position").alias("claimed"), "actual")
 
 
-@query("SELECT *, CASE WHEN delta IS NULL THEN 'new' WHEN delta > 0 THEN 'up' WHEN delta < 0 THEN 'down' ELSE 'same' END AS direction FROM (SELECT *, lag(rank) OVER (PARTITION BY chart_id, artist_key, title_key ORDER BY period) - rank AS delta FROM fv_rank)")
+@query("""SELECT *, CASE WHEN delta IS NULL THEN 'new' WHEN delta > 0 THEN 'up' WHEN delta < 0 THEN 'down' ELSE 'same' END AS direction
+  FROM (SELECT *, lag(rank) OVER (PARTITION BY chart_id, artist_key, title_key ORDER BY period) - rank AS delta FROM fv_rank)""")
 def history_delta(v):
     return an.derived_delta(v.entry)
 
 
-@query("SELECT entry_id, previous_position - rank AS delta, CASE WHEN previous_position IS NULL THEN 'new' WHEN previous_position > rank THEN 'up' WHEN previous_position < rank THEN 'down' ELSE 'same' END AS direction FROM fv_entry")
+@query("""SELECT entry_id, previous_position - rank AS delta,
+    CASE WHEN previous_position IS NULL THEN 'new' WHEN previous_position > rank THEN 'up' WHEN previous_position < rank THEN 'down' ELSE 'same' END AS direction
+  FROM fv_entry""")
 def history_claimed_delta(v):
     return an.claimed_delta(v.entry).select("entry_id", "delta", "direction")
 
 
-HISTORY = "SELECT s.song_id, e.chart_id, c.name AS chart_name, e.period, e.rank, e.entry_id FROM fv_song s JOIN fv_entry_song l USING (song_id) JOIN fv_entry e USING (entry_id) JOIN fv_run r USING (run_id) JOIN fv_chart c ON c.chart_id = r.chart_id"
+HISTORY = """SELECT s.song_id, e.chart_id, c.name AS chart_name, e.period, e.rank, e.entry_id FROM fv_song s JOIN fv_entry_song l USING (song_id)
+  JOIN fv_entry e USING (entry_id) JOIN fv_run r USING (run_id) JOIN fv_chart c ON c.chart_id = r.chart_id"""
 
 
 @query(HISTORY)
@@ -111,7 +122,8 @@ def unlinked_entries(v):
     return v.entry.join(v.entry_song, "entry_id", "left_anti").select("entry_id", "run_id", "rank")
 
 
-@query("SELECT e.entry_id, l.work_key, l.confidence, CASE WHEN l.confidence IS NULL THEN 'no_link' WHEN l.work_key IS NULL THEN 'bundle_unresolved' ELSE 'low_confidence' END AS reason FROM fv_entry e LEFT JOIN fv_link l USING (run_id, rank) WHERE l.work_key IS NULL OR l.confidence < 0.6")
+@query("""SELECT e.entry_id, l.work_key, l.confidence, CASE WHEN l.confidence IS NULL THEN 'no_link' WHEN l.work_key IS NULL THEN 'bundle_unresolved' ELSE 'low_confidence' END AS reason
+  FROM fv_entry e LEFT JOIN fv_link l USING (run_id, rank) WHERE l.work_key IS NULL OR l.confidence < 0.6""")
 def missing_from_chart(v):
     return joins.missing_entries(v.entry, v.link).withColumn("reason", F.when(F.col("confidence").isNull(), "no_link").when(F.col("work_key").isNull(), "bundle_unresolved").otherwise("low_confidence"))
 
@@ -153,7 +165,8 @@ def list_sorted(v):
     return joins.numbered(v.run, ["chart_id"], [F.desc("period")]).select("chart_id", "period", "place")
 
 
-COVERAGE = "SELECT e.run_id, e.chart_id, e.period, count(*) AS total, count(work_key) AS linked, count(*) - count(work_key) AS unlinked, round(count(work_key) * 100.0 / count(*), 6) AS coverage_pct FROM fv_entry e LEFT JOIN fv_link l USING (run_id, rank) GROUP BY 1, 2, 3"
+COVERAGE = """SELECT e.run_id, e.chart_id, e.period, count(*) AS total, count(work_key) AS linked, count(*) - count(work_key) AS unlinked, round(count(work_key) * 100.0 / count(*), 6) AS coverage_pct
+  FROM fv_entry e LEFT JOIN fv_link l USING (run_id, rank) GROUP BY 1, 2, 3"""
 
 
 @query(COVERAGE)
@@ -161,7 +174,8 @@ def coverage_report(v):
     return agg.coverage(v.entry, v.link)
 
 
-@query(f"SELECT chart_id, period, CAST(sum(total) AS BIGINT) AS total, CAST(sum(linked) AS BIGINT) AS linked, round(sum(linked) * 100.0 / sum(total), 6) AS coverage_pct FROM ({COVERAGE}) GROUP BY ROLLUP (chart_id, period)")
+@query(f"""SELECT chart_id, period, CAST(sum(total) AS BIGINT) AS total, CAST(sum(linked) AS BIGINT) AS linked, round(sum(linked) * 100.0 / sum(total), 6) AS coverage_pct
+  FROM ({COVERAGE}) GROUP BY ROLLUP (chart_id, period)""")
 def coverage_all_periods(v):
     return agg.coverage_totals(v.entry, v.link)
 
@@ -188,7 +202,8 @@ def entry_scores(v):
     return agg.entry_scores(styled(v))
 
 
-WORK_SCORE = f"SELECT work_key, e.chart_id, CAST(sum(score) AS BIGINT) AS score, min(rank) AS highest, count(*) AS n_entries FROM {SCORED} e JOIN fv_link l USING (run_id, rank) WHERE confidence >= 0.6 AND work_key IS NOT NULL GROUP BY 1, 2"
+WORK_SCORE = f"""SELECT work_key, e.chart_id, CAST(sum(score) AS BIGINT) AS score, min(rank) AS highest, count(*) AS n_entries FROM {SCORED} e
+  JOIN fv_link l USING (run_id, rank) WHERE confidence >= 0.6 AND work_key IS NOT NULL GROUP BY 1, 2"""
 
 
 @query(WORK_SCORE)
@@ -205,15 +220,22 @@ def work_chart_positions(v):
     return agg.work_chart_positions(v.link)
 
 
-@query("SELECT run_id, count(*) AS total, count(l.entry_id) AS linked, count(*) FILTER (recording_mbid IS NOT NULL) AS with_recording, round(count(l.entry_id) * 100.0 / count(*), 1) AS linked_pct, round(count(*) FILTER (recording_mbid IS NOT NULL) * 100.0 / count(*), 1) AS recording_pct FROM fv_entry e LEFT JOIN fv_entry_song l USING (entry_id) LEFT JOIN fv_song USING (song_id) GROUP BY 1")
+@query("""SELECT run_id, count(*) AS total, count(l.entry_id) AS linked, count(*) FILTER (recording_mbid IS NOT NULL) AS with_recording, round(count(l.entry_id) * 100.0 / count(*),
+    1) AS linked_pct, round(count(*) FILTER (recording_mbid IS NOT NULL) * 100.0 / count(*), 1) AS recording_pct FROM fv_entry e
+  LEFT JOIN fv_entry_song l USING (entry_id) LEFT JOIN fv_song USING (song_id) GROUP BY 1""")
 def linked_stats(v):
     return agg.linked_stats(v.entry, v.entry_song, v.song)
 
 
-MISSING = "SELECT chart_id, entry_id, e.run_id, e.rank, CASE WHEN l.confidence IS NULL THEN 'no_link' WHEN l.work_key IS NULL THEN 'bundle_unresolved' WHEN l.confidence < 0.6 THEN 'low_confidence' END AS reason FROM (SELECT entry_id, run_id, rank, chart_id FROM fv_entry) e LEFT JOIN (SELECT run_id, rank, work_key, confidence FROM fv_link) l USING (run_id, rank)"
+MISSING = """SELECT chart_id, entry_id, e.run_id, e.rank,
+    CASE WHEN l.confidence IS NULL THEN 'no_link' WHEN l.work_key IS NULL THEN 'bundle_unresolved' WHEN l.confidence < 0.6 THEN 'low_confidence' END AS reason
+  FROM (SELECT entry_id, run_id, rank, chart_id FROM fv_entry) e LEFT JOIN (SELECT run_id, rank, work_key, confidence
+  FROM fv_link) l USING (run_id, rank)"""
 
 
-@query(f"SELECT chart_id, reason, n, place, entry_id FROM (SELECT *, count(*) OVER (PARTITION BY chart_id, reason) AS n, CAST(row_number() OVER (PARTITION BY chart_id, reason ORDER BY run_id, rank) AS INTEGER) AS place FROM ({MISSING}) WHERE reason IS NOT NULL) WHERE place <= 10")
+@query(f"""SELECT chart_id, reason, n, place, entry_id
+  FROM (SELECT *, count(*) OVER (PARTITION BY chart_id, reason) AS n, CAST(row_number() OVER (PARTITION BY chart_id, reason ORDER BY run_id, rank) AS INTEGER) AS place
+  FROM ({MISSING}) WHERE reason IS NOT NULL) WHERE place <= 10""")
 def missing_reasons(v):
     return agg.missing_reasons(v.entry, v.link)
 
@@ -227,7 +249,9 @@ def owned(v):
     return v.table("part").filter("p_partkey % 3 = 0").select(short_hash(F.concat_ws(" // ", F.lower("p_brand"), F.lower("p_name"))).alias("work_key")).distinct()
 
 
-@query("SELECT run_id, count(*) AS total, round(count(work_key) * 100.0 / count(*), 6) AS linked_pct, round(count(o.work_key2) * 100.0 / count(*), 6) AS library_pct FROM fv_entry e LEFT JOIN fv_link l USING (run_id, rank) LEFT JOIN (SELECT work_key AS work_key2 FROM fv_owned) o ON o.work_key2 = l.work_key GROUP BY 1")
+@query("""SELECT run_id, count(*) AS total, round(count(work_key) * 100.0 / count(*), 6) AS linked_pct, round(count(o.work_key2) * 100.0 / count(*), 6) AS library_pct
+  FROM fv_entry e LEFT JOIN fv_link l USING (run_id, rank) LEFT JOIN (SELECT work_key AS work_key2 FROM fv_owned) o ON o.work_key2 = l.work_key
+  GROUP BY 1""")
 def coverage_summary(v):
     return agg.coverage_summary(v.entry, v.link, owned(v))
 
@@ -237,12 +261,16 @@ def missing_in_library(v):
     return agg.work_chart_score(v.entry, v.link).join(owned(v), "work_key", "left_anti")
 
 
-@query("SELECT run_id, count(DISTINCT rank) AS n_ranks, 40 AS expected, greatest(0, 40 - count(DISTINCT rank)) AS shortage, count(DISTINCT rank) >= 36 AND count(DISTINCT rank) > 0 AS ok FROM fv_entry GROUP BY 1")
+@query("""SELECT run_id, count(DISTINCT rank) AS n_ranks, 40 AS expected, greatest(0, 40 - count(DISTINCT rank)) AS shortage, count(DISTINCT rank) >= 36 AND count(DISTINCT rank) > 0 AS ok
+  FROM fv_entry GROUP BY 1""")
 def count_sanity(v):
     return quality.count_sanity(v.entry, 40)
 
 
-@query("SELECT r.run_id, r.chart_id, r.period, coalesce(overlap, 1.0) AS overlap, coalesce(overlap, 1.0) >= 0.5 AS ok FROM fv_run r LEFT JOIN (SELECT s.run_id, round(count(c.run_id) / count(*), 6) AS overlap FROM fv_seq s JOIN (SELECT DISTINCT run_id, artist_key, title_key FROM fv_rank) p ON p.run_id = s.previous_run_id LEFT JOIN (SELECT DISTINCT run_id, artist_key, title_key FROM fv_rank) c ON c.run_id = s.run_id AND c.artist_key = p.artist_key AND c.title_key = p.title_key GROUP BY 1) x USING (run_id)")
+@query("""SELECT r.run_id, r.chart_id, r.period, coalesce(overlap, 1.0) AS overlap, coalesce(overlap, 1.0) >= 0.5 AS ok FROM fv_run r
+  LEFT JOIN (SELECT s.run_id, round(count(c.run_id) / count(*), 6) AS overlap FROM fv_seq s JOIN (SELECT DISTINCT run_id, artist_key, title_key
+  FROM fv_rank) p ON p.run_id = s.previous_run_id LEFT JOIN (SELECT DISTINCT run_id, artist_key, title_key
+  FROM fv_rank) c ON c.run_id = s.run_id AND c.artist_key = p.artist_key AND c.title_key = p.title_key GROUP BY 1) x USING (run_id)""")
 def continuity_overlap(v):
     return an.continuity(v.entry, v.run)
 
@@ -273,7 +301,8 @@ def entry_issues(v):
     return quality.issue_counts(dirty(v))
 
 
-@query("SELECT run_id, CAST(g.rank AS INTEGER) AS rank FROM (SELECT run_id, unnest(range(1, max(rank) + 1)) AS rank FROM fv_link GROUP BY 1) g WHERE NOT EXISTS (SELECT 1 FROM fv_link e WHERE e.run_id = g.run_id AND e.rank = g.rank)")
+@query("""SELECT run_id, CAST(g.rank AS INTEGER) AS rank FROM (SELECT run_id, unnest(range(1, max(rank) + 1)) AS rank FROM fv_link GROUP BY 1) g
+  WHERE NOT EXISTS (SELECT 1 FROM fv_link e WHERE e.run_id = g.run_id AND e.rank = g.rank)""")
 def rank_gaps(v):
     return quality.rank_gaps(v.link)
 
@@ -283,7 +312,9 @@ def future_edition_guard(v):
     return quality.available_editions(v.run, "1998-12-26")
 
 
-@query("SELECT 'entry_without_song' AS problem, count(*) AS n FROM fv_entry WHERE entry_id NOT IN (SELECT entry_id FROM fv_entry_song) UNION ALL SELECT 'link_without_song', count(*) FROM fv_entry_song WHERE song_id NOT IN (SELECT song_id FROM fv_song) UNION ALL SELECT 'repeated_song_in_run', count(*) FROM (SELECT 1 FROM fv_entry GROUP BY run_id, artist_raw, title_raw HAVING count(*) > 1)")
+@query("""SELECT 'entry_without_song' AS problem, count(*) AS n FROM fv_entry WHERE entry_id NOT IN (SELECT entry_id FROM fv_entry_song)
+  UNION ALL SELECT 'link_without_song', count(*) FROM fv_entry_song WHERE song_id NOT IN (SELECT song_id FROM fv_song)
+  UNION ALL SELECT 'repeated_song_in_run', count(*) FROM (SELECT 1 FROM fv_entry GROUP BY run_id, artist_raw, title_raw HAVING count(*) > 1)""")
 def integrity_check(v):
     references = [("entry_without_song", v.entry, v.entry_song, ["entry_id"]), ("link_without_song", v.entry_song, v.song, ["song_id"])]
     return quality.integrity(references, [("repeated_song_in_run", v.entry, ["run_id", "artist_raw", "title_raw"])])

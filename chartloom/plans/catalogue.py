@@ -79,7 +79,8 @@ def sql_plain(x: str) -> str:
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
-@query(f"SELECT page_id, CAST(rank AS INTEGER) AS rank, {sql_plain('h')} AS title_raw FROM (SELECT page_id, unnest({LI}) AS h, unnest(range(1, len({LI}) + 1)) AS rank FROM pages) WHERE {sql_plain('h')} <> ''")
+@query(f"""SELECT page_id, CAST(rank AS INTEGER) AS rank, {sql_plain('h')} AS title_raw
+  FROM (SELECT page_id, unnest({LI}) AS h, unnest(range(1, len({LI}) + 1)) AS rank FROM pages) WHERE {sql_plain('h')} <> ''""")
 def pages_item_texts(v):
     return sn.list_items(v.table("pages").select("page_id", "html"))
 
@@ -101,7 +102,8 @@ def pages_list_items(v):
     return sn.chart_items(item_pages(v))
 
 
-@query("SELECT page_id, url, cached_at, expires_at, status FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY cached_at DESC, page_id DESC) AS n FROM fv_version WHERE expires_at > 1050) WHERE n = 1 AND status <> 404")
+@query("""SELECT page_id, url, cached_at, expires_at, status FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY cached_at DESC, page_id DESC) AS n
+  FROM fv_version WHERE expires_at > 1050) WHERE n = 1 AND status <> 404""")
 def pages_latest_valid(v):
     return sn.latest_valid(versions(v), F.lit(1050))
 
@@ -184,12 +186,15 @@ def pages_text_lines(v):
     return sn.text_lines(chart_pages(v))
 
 
-@query("SELECT hit_id, split_part(source, '_', 1) || '-release-' || split_part(hit_id, '-', 2) AS release_id, split_part(source, '_', 1) || '-recording-' || split_part(hit_id, '-', 2) AS recording_id, split_part(source, '_', 1) || '-artist-' || lower(artist_name) AS artist_id FROM fv_hit")
+@query("""SELECT hit_id, split_part(source, '_', 1) || '-release-' || split_part(hit_id, '-', 2) AS release_id, split_part(source, '_', 1) || '-recording-' || split_part(hit_id, '-',
+    2) AS recording_id, split_part(source, '_', 1) || '-artist-' || lower(artist_name) AS artist_id FROM fv_hit""")
 def synthetic_ids(v):
     return ct.synthetic_ids(v.hit)
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_partkey + 1 AS VARCHAR) END AS master_id, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) END AS release_id, CASE WHEN p_partkey % 5 = 0 THEN 'Q' || p_partkey END AS item_id FROM part")
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_partkey + 1 AS VARCHAR) END AS master_id,
+    CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) END AS release_id, CASE WHEN p_partkey % 5 = 0 THEN 'Q' || p_partkey END AS item_id
+  FROM part""")
 def discogs_ids_from_urls(v):
     k = F.col("p_partkey")
     rel = lambda kind, prefix, n, when: F.when(when, F.struct(F.lit(kind).alias("type"), F.concat(F.lit(prefix), n.cast("string")).alias("url")))
@@ -200,7 +205,8 @@ def discogs_ids_from_urls(v):
     return ct.ids_from_urls(v.table("part").select(k.alias("id"), rows.alias("relations")))
 
 
-@query("SELECT 'a' || s_suppkey AS artist_mbid, CASE WHEN s_suppkey % 4 = 0 THEN n_name WHEN s_suppkey % 4 = 1 THEN 'ISO-' || s_nationkey WHEN s_suppkey % 4 = 2 THEN 'P27-' || s_nationkey WHEN s_suppkey % 8 = 3 THEN 'P740-' || s_nationkey END AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+@query("""SELECT 'a' || s_suppkey AS artist_mbid, CASE WHEN s_suppkey % 4 = 0 THEN n_name WHEN s_suppkey % 4 = 1 THEN 'ISO-' || s_nationkey WHEN s_suppkey % 4 = 2 THEN 'P27-' || s_nationkey WHEN s_suppkey % 8 = 3 THEN 'P740-' || s_nationkey END AS country
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def origin_country(v):
     s = v.table("supplier").join(v.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).withColumn("artist_mbid", F.concat(F.lit("a"), "s_suppkey"))
     key = F.col("s_suppkey")
@@ -219,7 +225,8 @@ def exact_title_artist_search(v):
     return search.exact_names(asked(v), recs(v))
 
 
-@query("SELECT query_id, recording_mbid FROM fv_query q JOIN fv_rec r ON title = title_normalized AND (q.length_ms IS NULL OR r.length_ms BETWEEN CAST(trunc(q.length_ms * 0.9) AS INTEGER) AND CAST(trunc(q.length_ms * 1.1) AS INTEGER))")
+@query("""SELECT query_id, recording_mbid FROM fv_query q
+  JOIN fv_rec r ON title = title_normalized AND (q.length_ms IS NULL OR r.length_ms BETWEEN CAST(trunc(q.length_ms * 0.9) AS INTEGER) AND CAST(trunc(q.length_ms * 1.1) AS INTEGER))""")
 def length_range(v):
     return search.by_title_and_length(asked(v), recs(v))
 
@@ -276,7 +283,9 @@ def rgs_for_recordings(v):
     return ct.rgs_for_recordings(v.recording_release, v.release, v.rg)
 
 
-@query("SELECT artist_mbid, rg_mbid, first_release_date, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY artist_mbid ORDER BY first_release_date NULLS LAST, rg_mbid) AS INTEGER) AS place FROM fv_rg WHERE artist_mbid IN (SELECT artist_mbid FROM fv_artist)) WHERE place <= 100")
+@query("""SELECT artist_mbid, rg_mbid, first_release_date, place
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY artist_mbid ORDER BY first_release_date NULLS LAST, rg_mbid) AS INTEGER) AS place FROM fv_rg
+  WHERE artist_mbid IN (SELECT artist_mbid FROM fv_artist)) WHERE place <= 100""")
 def rgs_for_artists(v):
     return ct.rgs_for_artists(v.artist, v.rg)
 
@@ -296,7 +305,10 @@ def rgs_for_recording_pg(v):
     return ct.first_year_by_group(v.recording_release, v.release)
 
 
-@query("SELECT seed, recording_mbid, place FROM (SELECT s.recording_mbid AS seed, w.recording_mbid, CAST(row_number() OVER (PARTITION BY s.recording_mbid ORDER BY w.recording_mbid <> s.recording_mbid, w.recording_mbid) AS INTEGER) AS place FROM fv_work s JOIN fv_work w ON s.work_id = w.work_id AND s.artist_mbid = w.artist_mbid) WHERE place <= 100")
+@query("""SELECT seed, recording_mbid, place
+  FROM (SELECT s.recording_mbid AS seed, w.recording_mbid, CAST(row_number() OVER (PARTITION BY s.recording_mbid ORDER BY w.recording_mbid <> s.recording_mbid,
+    w.recording_mbid) AS INTEGER) AS place FROM fv_work s JOIN fv_work w ON s.work_id = w.work_id AND s.artist_mbid = w.artist_mbid)
+  WHERE place <= 100""")
 def work_siblings(v):
     work = v.recording.select("recording_mbid", F.col("title").alias("work_id"), "artist_mbid")
     return ct.work_siblings(work.select("recording_mbid"), work)
@@ -341,7 +353,8 @@ def bucketed_from_search(v):
     return rs.bucketed(candidates).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-EXTRA_VIEWS["fv_library"] = "SELECT 'f' || p_partkey AS file_id, CASE WHEN p_partkey % 6 = 0 THEN 'r' || p_partkey END AS recording_mbid, p_brand AS artist, upper(p_name) AS title FROM part WHERE p_partkey % 3 = 0"
+EXTRA_VIEWS["fv_library"] = """SELECT 'f' || p_partkey AS file_id, CASE WHEN p_partkey % 6 = 0 THEN 'r' || p_partkey END AS recording_mbid, p_brand AS artist, upper(p_name) AS title
+  FROM part WHERE p_partkey % 3 = 0"""
 
 
 def library(v):
@@ -405,7 +418,8 @@ def api_docs(v):
     return v.recording.join(nested, "recording_mbid").select(F.to_json(F.struct(F.col("recording_mbid").alias("id"), "title", F.col("length_ms").alias("length"), "isrcs", credit.alias("artist-credit"), "releases")).alias("json"))
 
 
-@query("SELECT x.recording_mbid, r.title, r.artist_mbid, l.release_mbid, l.rg_mbid, l.date, l.country, l.is_official FROM fv_recording_release x JOIN fv_recording r USING (recording_mbid) JOIN fv_release l USING (release_mbid)")
+@query("""SELECT x.recording_mbid, r.title, r.artist_mbid, l.release_mbid, l.rg_mbid, l.date, l.country, l.is_official FROM fv_recording_release x
+  JOIN fv_recording r USING (recording_mbid) JOIN fv_release l USING (release_mbid)""")
 def catalogue_from_api_docs(v):
     t = cd.flatten(api_docs(v))
     rows = t["recording_release"].join(t["recording"].select("recording_mbid", "title", "artist_mbid"), "recording_mbid").join(t["release"], "release_mbid")

@@ -16,7 +16,9 @@ from chartloom.plans.text import styled, texts, titles
 from chartloom.sources.shared import materialize
 
 
-@query("SELECT substr(sha256(chart_id || ':' || period), 1, 16) AS run_id, substr(sha256(string_agg(x, chr(10) ORDER BY x)), 1, 16) AS source_hash, count(*) AS n_entries FROM (SELECT chart_id, period, lpad(CAST(rank AS VARCHAR), 6, '0') || '|' || artist_raw || '|' || title_raw AS x FROM fv_entry) GROUP BY chart_id, period")
+@query("""SELECT substr(sha256(chart_id || ':' || period), 1, 16) AS run_id, substr(sha256(string_agg(x, chr(10) ORDER BY x)), 1, 16) AS source_hash, count(*) AS n_entries
+  FROM (SELECT chart_id, period, lpad(CAST(rank AS VARCHAR), 6, '0') || '|' || artist_raw || '|' || title_raw AS x FROM fv_entry)
+  GROUP BY chart_id, period""")
 def ingest_run(v):
     return ig.content_hash(v.entry).select(ids.run_id(F.col("chart_id"), F.col("period")).alias("run_id"), "source_hash", "n_entries")
 
@@ -26,7 +28,8 @@ def entry_id(v):
     return v.entry.select("run_id", "rank", ids.entry_id(F.col("run_id"), F.col("rank")).alias("plain"), ids.entry_id(F.col("run_id"), F.col("rank"), F.lit("A")).alias("sided"))
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name || '!' ELSE p_name END AS name, CAST(1 AS INTEGER) AS created_at FROM part UNION ALL SELECT p_partkey + 1000000, p_name, 2 FROM part WHERE p_partkey % 5 = 0")
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name || '!' ELSE p_name END AS name, CAST(1 AS INTEGER) AS created_at FROM part
+  UNION ALL SELECT p_partkey + 1000000, p_name, 2 FROM part WHERE p_partkey % 5 = 0""")
 def upsert(v):
     p = v.table("part")
     target = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit(1).alias("created_at"))
@@ -41,7 +44,8 @@ def update_song_ids(v):
     return ig.update_song_ids(v.song, new, ["recording_mbid"]).select("song_id", "recording_mbid")
 
 
-@query("SELECT DISTINCT substr(sha256(artist_core || ' // ' || title_core), 1, 16) AS song_id, artist_core AS artist_canonical, title_core AS title_canonical FROM fv_styled WHERE (artist_core, title_core) NOT IN (SELECT (artist_canonical, title_canonical) FROM fv_song WHERE artist_canonical LIKE '%1%')")
+@query("""SELECT DISTINCT substr(sha256(artist_core || ' // ' || title_core), 1, 16) AS song_id, artist_core AS artist_canonical, title_core AS title_canonical
+  FROM fv_styled WHERE (artist_core, title_core) NOT IN (SELECT (artist_canonical, title_canonical) FROM fv_song WHERE artist_canonical LIKE '%1%')""")
 def songs_get_or_create(v):
     return ig.new_songs(styled(v), v.song.filter("artist_canonical like '%1%'"))
 
@@ -56,7 +60,8 @@ def with_alias(v):
     return ig.with_aliases(names, aliases)
 
 
-@query("SELECT raw, coalesce(normalized, lower(raw)) AS core, CASE WHEN normalized IS NULL THEN 'auto' ELSE 'alias' END AS method FROM (SELECT DISTINCT p_brand AS raw FROM part) LEFT JOIN fv_alias USING (raw)")
+@query("""SELECT raw, coalesce(normalized, lower(raw)) AS core, CASE WHEN normalized IS NULL THEN 'auto' ELSE 'alias' END AS method
+  FROM (SELECT DISTINCT p_brand AS raw FROM part) LEFT JOIN fv_alias USING (raw)""")
 def alias_override(v):
     return with_alias(v)
 
@@ -78,35 +83,48 @@ def link_confidence(v):
     return titles(v).select("partkey", F.round(ig.entry_confidence(F.col("t.tags"), nz.entry_unit(F.col("t.tags"))), 6).alias("confidence"))
 
 
-@query("SELECT partkey, CASE WHEN c >= 0.6 THEN k END AS work_key, CAST(c AS DOUBLE) AS confidence FROM (SELECT partkey, k, CASE WHEN k IS NULL THEN 0.0 ELSE confidence END AS c FROM (SELECT partkey, CASE WHEN trim(a.core) <> '' AND trim(t.core) <> '' THEN substr(sha256(a.core || ' // ' || t.core), 1, 16) END AS k, confidence FROM fv_artist_norm a JOIN fv_title_norm t USING (partkey) JOIN fv_conf USING (partkey)))")
+@query("""SELECT partkey, CASE WHEN c >= 0.6 THEN k END AS work_key, CAST(c AS DOUBLE) AS confidence
+  FROM (SELECT partkey, k, CASE WHEN k IS NULL THEN 0.0 ELSE confidence END AS c
+  FROM (SELECT partkey, CASE WHEN trim(a.core) <> '' AND trim(t.core) <> '' THEN substr(sha256(a.core || ' // ' || t.core), 1, 16) END AS k, confidence
+  FROM fv_artist_norm a JOIN fv_title_norm t USING (partkey) JOIN fv_conf USING (partkey)))""")
 def link_work(v):
     return ig.link_works(texts(v)).select("partkey", "work_key", "confidence")
 
 
-@query("SELECT p_partkey AS partkey, crg AS release_anchor_id, CAST(CASE WHEN state = 'decided' THEN CASE WHEN p_partkey % 10 > 0 THEN (p_partkey % 10) / 10.0 ELSE 0.9 END WHEN state = 'indeterminate' THEN 0.5 ELSE 0.6 END AS DOUBLE) AS confidence, CASE WHEN state = 'decided' THEN 'multi_source' ELSE 'fallback' END AS link_method FROM part LEFT JOIN fv_decision ON entity_id = 'e' || p_partkey")
+@query("""SELECT p_partkey AS partkey, crg AS release_anchor_id,
+    CAST(CASE WHEN state = 'decided' THEN CASE WHEN p_partkey % 10 > 0 THEN (p_partkey % 10) / 10.0 ELSE 0.9 END WHEN state = 'indeterminate' THEN 0.5 ELSE 0.6 END AS DOUBLE) AS confidence, CASE WHEN state = 'decided' THEN 'multi_source' ELSE 'fallback' END AS link_method
+  FROM part LEFT JOIN fv_decision ON entity_id = 'e' || p_partkey""")
 def link_from_decisions(v):
     own = v.decision.withColumn("own_confidence", (F.expr("cast(substr(entity_id, 2) as bigint)") % 10) / 10.0)
     entries = v.table("part").select(F.col("p_partkey").alias("partkey"), F.concat(F.lit("e"), "p_partkey").alias("entity_id"))
     return ig.link_decisions(entries, own).select("partkey", "release_anchor_id", "confidence", "link_method")
 
 
-@query(f"SELECT chart_id, artist_core, title_core, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY chart_id ORDER BY score DESC, artist_core, title_core) AS INTEGER) AS place FROM ({ENTRY_SCORES})) WHERE place <= 20")
+@query(f"""SELECT chart_id, artist_core, title_core, score, place
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY chart_id ORDER BY score DESC, artist_core, title_core) AS INTEGER) AS place
+  FROM ({ENTRY_SCORES})) WHERE place <= 20""")
 def link_priority(v):
     return agg.top_per_group(agg.entry_scores(styled(v)), ["chart_id"], [F.desc("score"), "artist_core", "title_core"], 20)
 
 
-@query("SELECT c.chart_id, strftime(m, '%Y-%m') AS period FROM fv_chart c CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '1994-11-01', TIMESTAMP '2001-12-01', INTERVAL 1 MONTH)) AS m) WHERE NOT EXISTS (SELECT 1 FROM fv_run r WHERE r.chart_id = c.chart_id AND r.period = strftime(m, '%Y-%m'))")
+@query("""SELECT c.chart_id, strftime(m, '%Y-%m') AS period FROM fv_chart c
+  CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '1994-11-01', TIMESTAMP '2001-12-01', INTERVAL 1 MONTH)) AS m) WHERE NOT EXISTS (SELECT 1
+  FROM fv_run r WHERE r.chart_id = c.chart_id AND r.period = strftime(m, '%Y-%m'))""")
 def missing_periods(v):
     return ig.missing_months(v.run, v.chart, "1994-11-01", "2001-12-01")
 
 
-@query("SELECT c.chart_id, y || '-W' || lpad(CAST(w AS VARCHAR), 2, '0') AS period FROM fv_chart c CROSS JOIN (SELECT y, unnest(range(1, week(make_date(y, 12, 28)) + 1)) AS w FROM (SELECT CAST(unnest(range(1995, 1999)) AS INTEGER) AS y)) WHERE w % 2 = 1 OR w > 40")
+@query("""SELECT c.chart_id, y || '-W' || lpad(CAST(w AS VARCHAR), 2, '0') AS period FROM fv_chart c
+  CROSS JOIN (SELECT y, unnest(range(1, week(make_date(y, 12, 28)) + 1)) AS w FROM (SELECT CAST(unnest(range(1995, 1999)) AS INTEGER) AS y))
+  WHERE w % 2 = 1 OR w > 40""")
 def missing_weeks(v):
     have = v.chart.select("chart_id", F.explode(F.sequence(F.lit(1995), F.lit(1998))).alias("y")).select("chart_id", "y", F.explode(F.sequence(F.lit(2), F.lit(40), F.lit(2))).alias("w"))
     return ig.missing_weeks(have.select("chart_id", F.format_string("%04d-W%02d", "y", "w").alias("period")), v.chart, 1995, 1998)
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 AND p_brand <> 'Brand#0' THEN p_brand ELSE 'Brand#0' END AS artist, p_name AS title, CASE WHEN p_partkey % 2 = 0 AND p_brand <> 'Brand#0' THEN 'Brand#0' END AS original_artist, CASE WHEN p_partkey % 2 = 0 THEN 'w' || p_partkey END AS work_id, concat_ws(',', CASE WHEN p_partkey % 2 = 0 AND p_brand <> 'Brand#0' THEN 'artist' END, CASE WHEN p_partkey % 2 = 0 THEN 'work_id' END) AS written FROM part")
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 AND p_brand <> 'Brand#0' THEN p_brand ELSE 'Brand#0' END AS artist, p_name AS title,
+    CASE WHEN p_partkey % 2 = 0 AND p_brand <> 'Brand#0' THEN 'Brand#0' END AS original_artist, CASE WHEN p_partkey % 2 = 0 THEN 'w' || p_partkey END AS work_id, concat_ws(',',
+    CASE WHEN p_partkey % 2 = 0 AND p_brand <> 'Brand#0' THEN 'artist' END, CASE WHEN p_partkey % 2 = 0 THEN 'work_id' END) AS written FROM part""")
 def tag_merge(v):
     p = v.table("part")
     existing = p.select(F.col("p_partkey").alias("id"), F.lit("Brand#0").alias("artist"), F.col("p_name").alias("title"), F.lit(None).cast("string").alias("original_artist"), F.lit(None).cast("string").alias("work_id"))
@@ -125,7 +143,8 @@ def backfill_normalized(v):
     return ig.backfill_normalized(texts(v).withColumn("normalized", F.when(F.col("partkey") % 2 == 0, "kept"))).select("partkey", "normalized")
 
 
-@query("SELECT p_partkey AS partkey, coalesce(fix, p_name) AS title FROM part LEFT JOIN (SELECT DISTINCT lower(p_name) AS k, upper(p_name) AS fix FROM part WHERE p_name LIKE 'b%') ON k = lower(trim(p_name))")
+@query("""SELECT p_partkey AS partkey, coalesce(fix, p_name) AS title FROM part LEFT JOIN (SELECT DISTINCT lower(p_name) AS k, upper(p_name) AS fix FROM part
+  WHERE p_name LIKE 'b%') ON k = lower(trim(p_name))""")
 def title_corrections(v):
     p = v.table("part")
     fixes = p.filter("p_name like 'b%'").select(F.col("p_name").alias("title"), F.upper("p_name").alias("fix")).distinct()
@@ -152,7 +171,8 @@ def charts_blob_parse(v):
     return ig.parse_blob(blobs(v))
 
 
-@query("SELECT run_id, rank, part, CASE WHEN part = 0 THEN '#EXTINF:' || points % 300 || ',' || artist_raw || ' - ' || title_raw ELSE '/music/' || partkey || '.mp3' END AS line FROM fv_entry CROSS JOIN (VALUES (0), (1)) t(part) WHERE partkey % 3 = 0")
+@query("""SELECT run_id, rank, part, CASE WHEN part = 0 THEN '#EXTINF:' || points % 300 || ',' || artist_raw || ' - ' || title_raw ELSE '/music/' || partkey || '.mp3' END AS line
+  FROM fv_entry CROSS JOIN (VALUES (0), (1)) t(part) WHERE partkey % 3 = 0""")
 def playlist_rows(v):
     rows = v.entry.filter("partkey % 3 = 0").select("run_id", "rank", (F.col("points") % 300).alias("seconds"), F.col("artist_raw").alias("artist"), F.col("title_raw").alias("title"), F.concat(F.lit("/music/"), "partkey", F.lit(".mp3")).alias("path"))
     return ig.playlist_lines(rows)
@@ -174,7 +194,9 @@ def fresh(v):
 FRESH = "(SELECT entity_id AS file_id, CASE WHEN CAST(entity_id[2:] AS BIGINT) % 5 = 0 THEN 'changed' ELSE crg END AS crg, rr, state FROM fv_decision WHERE CAST(entity_id[2:] AS BIGINT) % 2 = 0)"
 
 
-@query(f"SELECT coalesce(s.file_id, n.file_id) AS file_id, CASE WHEN n.file_id IS NULL THEN s.crg ELSE n.crg END AS crg, CASE WHEN n.file_id IS NULL THEN s.rr ELSE n.rr END AS rr, CASE WHEN n.file_id IS NULL THEN s.state ELSE n.state END AS state, CAST(coalesce(s.created_at, 200) AS INTEGER) AS created_at, CAST(CASE WHEN n.file_id IS NOT NULL THEN 200 END AS INTEGER) AS updated_at FROM fv_stored s FULL JOIN {FRESH} n ON s.file_id = n.file_id")
+@query(f"""SELECT coalesce(s.file_id, n.file_id) AS file_id, CASE WHEN n.file_id IS NULL THEN s.crg ELSE n.crg END AS crg, CASE WHEN n.file_id IS NULL THEN s.rr ELSE n.rr END AS rr,
+    CASE WHEN n.file_id IS NULL THEN s.state ELSE n.state END AS state, CAST(coalesce(s.created_at, 200) AS INTEGER) AS created_at,
+    CAST(CASE WHEN n.file_id IS NOT NULL THEN 200 END AS INTEGER) AS updated_at FROM fv_stored s FULL JOIN {FRESH} n ON s.file_id = n.file_id""")
 def decision_upsert(v):
     return dc.store(stored(v), fresh(v), F.lit(200))[0]
 
@@ -212,7 +234,9 @@ def detect_drift(v):
     return drifted(v)
 
 
-@query(f"SELECT state, n, place, entity_id FROM (SELECT state, entity_id, count(*) OVER (PARTITION BY state) AS n, CAST(row_number() OVER (PARTITION BY state ORDER BY entity_id) AS INTEGER) AS place FROM ({DRIFT}) WHERE state LIKE 'STALE%') WHERE place <= 10")
+@query(f"""SELECT state, n, place, entity_id
+  FROM (SELECT state, entity_id, count(*) OVER (PARTITION BY state) AS n, CAST(row_number() OVER (PARTITION BY state ORDER BY entity_id) AS INTEGER) AS place
+  FROM ({DRIFT}) WHERE state LIKE 'STALE%') WHERE place <= 10""")
 def drift_summary(v):
     stale = drifted(v).filter("state like 'STALE%'")
     return agg.top_per_group(stale, ["state"], ["entity_id"], 10).join(stale.groupBy("state").agg(F.count("*").alias("n")), "state").select("state", "n", "place", "entity_id")
@@ -228,13 +252,15 @@ def indeterminate_list(v):
     return v.decision.filter("state = 'indeterminate'").select("entity_id", "missing_facts")
 
 
-@query("SELECT p_partkey AS partkey, CASE WHEN p_partkey % 2 = 0 THEN sha256(p_name || ':' || p_size) ELSE sha256('fallback:' || p_brand || ':' || p_size || ':' || p_partkey) END AS file_id FROM part")
+@query("""SELECT p_partkey AS partkey, CASE WHEN p_partkey % 2 = 0 THEN sha256(p_name || ':' || p_size) ELSE sha256('fallback:' || p_brand || ':' || p_size || ':' || p_partkey) END AS file_id
+  FROM part""")
 def file_id(v):
     k = F.col("p_partkey")
     return v.table("part").select(k.alias("partkey"), ids.file_id(F.when(k % 2 == 0, F.col("p_name")), F.col("p_size"), F.col("p_brand"), F.col("p_size"), k + 0.5).alias("file_id"))
 
 
-@query("SELECT scope, scope_key, coalesce(target_rg, '') AS target_rg, created_at, CAST(row_number() OVER (PARTITION BY scope ORDER BY created_at DESC, scope_key) AS INTEGER) AS place FROM fv_override WHERE NOT (scope = 'file' AND created_at = 1)")
+@query("""SELECT scope, scope_key, coalesce(target_rg, '') AS target_rg, created_at, CAST(row_number() OVER (PARTITION BY scope ORDER BY created_at DESC, scope_key) AS INTEGER) AS place
+  FROM fv_override WHERE NOT (scope = 'file' AND created_at = 1)""")
 def override_rules(v):
     from chartloom.operators.joins import numbered
     from chartloom.plans.resolution import overrides
@@ -278,12 +304,16 @@ def adjudication_outcome(v):
     return outcomes(v)
 
 
-@query("SELECT d.entity_id, CASE WHEN hit THEN o.rg_mbid ELSE crg END AS crg, CASE WHEN hit THEN 'CRG:LLM_ADJUDICATION' ELSE crg_rationale END AS crg_rationale, CASE WHEN hit THEN 'decided' ELSE state END AS state FROM (SELECT d.*, o.rg_mbid, d.state = 'indeterminate' AND coalesce(o.outcome = 'accepted', false) AS hit FROM fv_decision d LEFT JOIN fv_outcome o USING (entity_id)) d LEFT JOIN fv_outcome o USING (entity_id)")
+@query("""SELECT d.entity_id, CASE WHEN hit THEN o.rg_mbid ELSE crg END AS crg, CASE WHEN hit THEN 'CRG:LLM_ADJUDICATION' ELSE crg_rationale END AS crg_rationale,
+    CASE WHEN hit THEN 'decided' ELSE state END AS state
+  FROM (SELECT d.*, o.rg_mbid, d.state = 'indeterminate' AND coalesce(o.outcome = 'accepted', false) AS hit FROM fv_decision d
+  LEFT JOIN fv_outcome o USING (entity_id)) d LEFT JOIN fv_outcome o USING (entity_id)""")
 def adjudication_apply(v):
     return dc.apply_outcomes(v.decision, outcomes(v)).select("entity_id", "crg", "crg_rationale", "state")
 
 
-@query("SELECT CASE WHEN track_key IS NOT NULL THEN 'track' ELSE 'file' END AS scope, coalesce(track_key, entity_id) AS scope_key, rg_mbid AS target_rg FROM fv_review WHERE reviewed_at IS NULL AND k % 4 = 1 AND k % 3 = 0")
+@query("""SELECT CASE WHEN track_key IS NOT NULL THEN 'track' ELSE 'file' END AS scope, coalesce(track_key, entity_id) AS scope_key, rg_mbid AS target_rg
+  FROM fv_review WHERE reviewed_at IS NULL AND k % 4 = 1 AND k % 3 = 0""")
 def review_complete(v):
     return dc.complete_reviews(reviews(v), actions(v))[2]
 
@@ -306,26 +336,36 @@ def pending_batch(v):
 EXTRA_VIEWS["fv_reviewed"] = """SELECT coalesce(reviewed_at, CASE WHEN k % 4 = 1 THEN 90 END) IS NOT NULL AS done, source, CASE WHEN k % 4 = 1 THEN CASE WHEN k % 3 = 0 THEN 'accept' ELSE 'skip' END END AS action FROM fv_review"""
 
 
-@query("SELECT done, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS action, count(*) AS n FROM fv_reviewed GROUP BY 1 UNION ALL SELECT done, source, NULL, count(*) FROM fv_reviewed WHERE NOT done GROUP BY 1, 2 UNION ALL SELECT done, NULL, action, count(*) FROM fv_reviewed WHERE done GROUP BY 1, 3")
+@query("""SELECT done, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS action, count(*) AS n FROM fv_reviewed GROUP BY 1
+  UNION ALL SELECT done, source, NULL, count(*) FROM fv_reviewed WHERE NOT done GROUP BY 1, 2 UNION ALL SELECT done, NULL, action, count(*)
+  FROM fv_reviewed WHERE done GROUP BY 1, 3""")
 def review_stats(v):
     return dc.review_stats(dc.complete_reviews(reviews(v), actions(v))[0])
 
 
-@query("SELECT 's' || (k % 5) AS session_id, count(*) FILTER (outcome = 'accepted') AS accepted, count(*) FILTER (outcome = 'review') AS review, count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'error') AS error, count(*) AS processed, round(count(*) FILTER (outcome = 'accepted') * 100.0 / count(*), 6) AS success_pct FROM fv_outcome JOIN (SELECT entity_id, k FROM fv_answer) USING (entity_id) GROUP BY 1")
+@query("""SELECT 's' || (k % 5) AS session_id, count(*) FILTER (outcome = 'accepted') AS accepted, count(*) FILTER (outcome = 'review') AS review,
+    count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'error') AS error, count(*) AS processed,
+    round(count(*) FILTER (outcome = 'accepted') * 100.0 / count(*), 6) AS success_pct FROM fv_outcome JOIN (SELECT entity_id, k
+  FROM fv_answer) USING (entity_id) GROUP BY 1""")
 def batch_session_stats(v):
     return dc.session_stats(outcomes(v).withColumn("session_id", F.concat(F.lit("s"), F.expr("cast(substr(entity_id, 2) as bigint)") % 5)))
 
 
-SIDES = "SELECT entry_id, side, round(0.40 * (partkey % 3 / 2.0) + 0.25 * (points % 3 / 2.0) + 0.20 + 0.10 * (partkey % 2) + 0.05 * CASE WHEN side = 'A' THEN 1 ELSE 0 END, 6) AS confidence FROM fv_entry CROSS JOIN (VALUES ('A'), ('B')) t(side)"
+SIDES = """SELECT entry_id, side, round(0.40 * (partkey % 3 / 2.0) + 0.25 * (points % 3 / 2.0) + 0.20 + 0.10 * (partkey % 2) + 0.05 * CASE WHEN side = 'A' THEN 1 ELSE 0 END, 6) AS confidence
+  FROM fv_entry CROSS JOIN (VALUES ('A'), ('B')) t(side)"""
 
 
-@query(f"SELECT entry_id, side, CAST(confidence AS DOUBLE) AS confidence, CASE WHEN confidence >= 0.85 THEN 'auto' WHEN confidence >= 0.6 THEN 'review' ELSE 'reject' END AS band, best >= 0.6 AND (confidence = best OR (best >= 0.85 AND best - confidence <= 0.05 + 1e-9)) AS chosen FROM (SELECT *, max(confidence) OVER (PARTITION BY entry_id) AS best FROM ({SIDES}))")
+@query(f"""SELECT entry_id, side, CAST(confidence AS DOUBLE) AS confidence, CASE WHEN confidence >= 0.85 THEN 'auto' WHEN confidence >= 0.6 THEN 'review' ELSE 'reject' END AS band,
+    best >= 0.6 AND (confidence = best OR (best >= 0.85 AND best - confidence <= 0.05 + 1e-9)) AS chosen
+  FROM (SELECT *, max(confidence) OVER (PARTITION BY entry_id) AS best FROM ({SIDES}))""")
 def side_mapping(v):
     rows = v.entry.withColumn("side", F.explode(F.array(F.lit("A"), F.lit("B"))))
     return dc.side_scores(rows.select("entry_id", "side", (F.col("partkey") % 3 / 2.0).alias("e1"), (F.col("points") % 3 / 2.0).alias("e2"), F.lit(1.0).alias("e3"), (F.col("partkey") % 2).alias("e4"), F.when(F.col("side") == "A", 1).otherwise(0).alias("e5")))
 
 
-EXTRA_VIEWS["fv_titled"] = "SELECT release_mbid, rg_mbid, date, orderkey, CASE WHEN orderkey % 4 = 0 THEN 'X Deluxe' ELSE 'X' END AS title, CASE orderkey % 3 WHEN 0 THEN 'beta' WHEN 1 THEN 'alpha' ELSE 'gamma' END AS label, CASE WHEN orderkey % 5 > 0 THEN lpad(CAST(orderkey % 50 AS VARCHAR), 3, '0') END AS catno FROM fv_release"
+EXTRA_VIEWS["fv_titled"] = """SELECT release_mbid, rg_mbid, date, orderkey, CASE WHEN orderkey % 4 = 0 THEN 'X Deluxe' ELSE 'X' END AS title,
+    CASE orderkey % 3 WHEN 0 THEN 'beta' WHEN 1 THEN 'alpha' ELSE 'gamma' END AS label, CASE WHEN orderkey % 5 > 0 THEN lpad(CAST(orderkey % 50 AS VARCHAR), 3, '0') END AS catno
+  FROM fv_release"""
 
 
 def titled(v):
@@ -333,11 +373,15 @@ def titled(v):
     return v.release.select("release_mbid", "rg_mbid", "date", "orderkey", F.when(k % 4 == 0, "X Deluxe").otherwise("X").alias("title"), F.when(k % 3 == 0, "beta").when(k % 3 == 1, "alpha").otherwise("gamma").alias("label"), F.when(k % 5 > 0, F.lpad((k % 50).cast("string"), 3, "0")).alias("catno"))
 
 
-@query("SELECT release_mbid FROM (SELECT *, count(*) FILTER (NOT again) OVER (PARTITION BY rg_mbid) AS fresh FROM (SELECT *, regexp_matches(lower(title), 'remaster|reissue|anniversary|deluxe') OR coalesce(CAST(substr(date, 1, 4) AS INTEGER) - min(CAST(substr(date, 1, 4) AS INTEGER)) OVER (PARTITION BY rg_mbid) >= 3, false) AS again FROM fv_titled)) WHERE NOT again OR fresh = 0")
+@query("""SELECT release_mbid FROM (SELECT *, count(*) FILTER (NOT again) OVER (PARTITION BY rg_mbid) AS fresh
+  FROM (SELECT *, regexp_matches(lower(title), 'remaster|reissue|anniversary|deluxe') OR coalesce(CAST(substr(date, 1, 4) AS INTEGER) - min(CAST(substr(date, 1,
+    4) AS INTEGER)) OVER (PARTITION BY rg_mbid) >= 3, false) AS again FROM fv_titled)) WHERE NOT again OR fresh = 0""")
 def rr_reissue_guard(v):
     return dc.reissue_guard(titled(v), 3).select("release_mbid")
 
 
-@query("SELECT release_mbid FROM (SELECT *, row_number() OVER (PARTITION BY rg_mbid, date ORDER BY CASE label WHEN 'alpha' THEN 1 WHEN 'beta' THEN 2 ELSE 3 END, catno NULLS LAST, release_mbid) AS n FROM fv_titled) WHERE n = 1")
+@query("""SELECT release_mbid
+  FROM (SELECT *, row_number() OVER (PARTITION BY rg_mbid, date ORDER BY CASE label WHEN 'alpha' THEN 1 WHEN 'beta' THEN 2 ELSE 3 END, catno NULLS LAST, release_mbid) AS n
+  FROM fv_titled) WHERE n = 1""")
 def rr_tiebreak(v):
     return dc.break_ties(titled(v), ["alpha", "beta"]).select("release_mbid")

@@ -30,7 +30,8 @@ SAME = "CASE WHEN n_fair > 1 AND n_fair_album = 1 AND n_fair_single > 0 THEN rg_
 CHAIN = [("SOUNDTRACK_PREMIERE", SOUNDTRACK), ("ALBUM_LEAD_WINDOW", LEAD), ("SINGLE_TRUE_PREMIERE", SINGLE), ("LIVE_ONLY_PREMIERE", LIVE), ("EARLIEST_OFFICIAL", EARLIEST), ("ALBUM_SAME_DATE_TIEBREAKER", SAME)]
 
 EXTRA_VIEWS |= {
-    "fv_cand": "SELECT entity_id, rg_mbid, min(primary_type) AS k, bool_and(is_compilation) AS comp, min(first_release_date) AS date, min(artist_mbid) AS artist_mbid, min(title) AS title FROM fv_candidate GROUP BY 1, 2",
+    "fv_cand": """SELECT entity_id, rg_mbid, min(primary_type) AS k, bool_and(is_compilation) AS comp, min(first_release_date) AS date, min(artist_mbid) AS artist_mbid, min(title) AS title
+  FROM fv_candidate GROUP BY 1, 2""",
     "fv_facts": sql_facts(),
     "fv_crg": f"""SELECT entity_id, coalesce({", ".join(c for _, c in CHAIN)}) AS crg,
     CASE {" ".join(f"WHEN ({c}) IS NOT NULL THEN 'CRG:{n}'" for n, c in CHAIN)} ELSE 'CRG:INDETERMINATE' END AS crg_rationale,
@@ -77,7 +78,8 @@ def crg_compilation_filter(v):
     return rows.filter("not is_compilation or n = 0").select("entity_id", "rg_mbid")
 
 
-@query("SELECT entity_id, min(rg_mbid) AS rg_mbid FROM (SELECT *, min(date) OVER (PARTITION BY entity_id) AS first FROM fv_cand WHERE k IN ('Single', 'EP') AND date IS NOT NULL) WHERE date = first GROUP BY 1 HAVING count(*) = 1")
+@query("""SELECT entity_id, min(rg_mbid) AS rg_mbid FROM (SELECT *, min(date) OVER (PARTITION BY entity_id) AS first FROM fv_cand
+  WHERE k IN ('Single', 'EP') AND date IS NOT NULL) WHERE date = first GROUP BY 1 HAVING count(*) = 1""")
 def crg_intent(v):
     return rs.rule_intent(v.candidate, "single")
 
@@ -110,7 +112,8 @@ def batch_decide(v):
     return rs.batch_summary(rs.decide_batch(broken, v.release, v.rg, v.artist))
 
 
-@query("SELECT entity_id, min(CASE WHEN k = 'Album' AND NOT comp THEN date END) AS album_date, min(CASE WHEN k IN ('Single', 'EP') AND NOT comp THEN date END) AS single_ep_date, min(CASE WHEN k = 'Soundtrack' AND NOT comp THEN date END) AS soundtrack_date FROM fv_cand GROUP BY 1")
+@query("""SELECT entity_id, min(CASE WHEN k = 'Album' AND NOT comp THEN date END) AS album_date, min(CASE WHEN k IN ('Single', 'EP') AND NOT comp THEN date END) AS single_ep_date,
+    min(CASE WHEN k = 'Soundtrack' AND NOT comp THEN date END) AS soundtrack_date FROM fv_cand GROUP BY 1""")
 def timeline_facts(v):
     return rs.timeline_facts(v.candidate)
 
@@ -120,7 +123,9 @@ def evidence_hash(v):
     return rs.evidence_hash(v.candidate)
 
 
-@query("SELECT entity_id, 'evh=' || substr(evidence_hash, 1, 8) || ';crg=' || replace(crg_rationale, 'CRG:', '') || ';rr=' || replace(rr_rationale, 'RR:', '') || ';src=' || CASE WHEN CAST(entity_id[2:] AS BIGINT) % 2 = 0 THEN 'dc,mb' ELSE 'mb' END || ';cfg=lw90,rg10' AS trace FROM fv_decision JOIN fv_hash USING (entity_id)")
+@query("""SELECT entity_id, 'evh=' || substr(evidence_hash, 1, 8) || ';crg=' || replace(crg_rationale, 'CRG:', '') || ';rr=' || replace(rr_rationale, 'RR:',
+    '') || ';src=' || CASE WHEN CAST(entity_id[2:] AS BIGINT) % 2 = 0 THEN 'dc,mb' ELSE 'mb' END || ';cfg=lw90,rg10' AS trace FROM fv_decision
+  JOIN fv_hash USING (entity_id)""")
 def decision_trace(v):
     sources = v.candidate.select("entity_id", F.lit("mb").alias("source")).unionByName(v.candidate.filter("partkey % 2 = 0").select("entity_id", F.lit("dc").alias("source")))
     return rs.compact_trace(decisions(v), rs.evidence_hash(v.candidate), sources)
@@ -136,12 +141,15 @@ def bucket_sort(v):
     return rs.bucketed(v.candidate).select("entity_id", "rg_mbid", "bucket", "place")
 
 
-@query("SELECT entity_id, arg_min(bucket, o) AS bucket, arg_min(rg_mbid, o) AS rg_mbid FROM (SELECT *, list_position(['studio_album', 'ep', 'soundtrack', 'single', 'other'], bucket) AS o FROM fv_bucketed WHERE place = 1) GROUP BY 1")
+@query("""SELECT entity_id, arg_min(bucket, o) AS bucket, arg_min(rg_mbid, o) AS rg_mbid
+  FROM (SELECT *, list_position(['studio_album', 'ep', 'soundtrack', 'single', 'other'], bucket) AS o FROM fv_bucketed WHERE place = 1) GROUP BY 1""")
 def bucket_best(v):
     return rs.bucket_best(v.candidate)
 
 
-@query("SELECT entity_id, n_buckets, CASE WHEN n_buckets <= 1 THEN false WHEN album IS NOT NULL THEN coalesce(rival < album, false) ELSE true END AS needs FROM (SELECT entity_id, count(DISTINCT bucket) AS n_buckets, min(date) FILTER (bucket = 'studio_album') AS album, min(date) FILTER (bucket IN ('soundtrack', 'single', 'ep')) AS rival FROM fv_bucketed GROUP BY 1)")
+@query("""SELECT entity_id, n_buckets, CASE WHEN n_buckets <= 1 THEN false WHEN album IS NOT NULL THEN coalesce(rival < album, false) ELSE true END AS needs
+  FROM (SELECT entity_id, count(DISTINCT bucket) AS n_buckets, min(date) FILTER (bucket = 'studio_album') AS album, min(date) FILTER (bucket IN ('soundtrack', 'single', 'ep')) AS rival
+  FROM fv_bucketed GROUP BY 1)""")
 def needs_adjudication(v):
     return rs.needs_adjudication(v.candidate)
 
@@ -151,13 +159,15 @@ def local_sufficiency(v):
     return rs.sufficient_locally(v.candidate)
 
 
-@query("SELECT entity_id, rg_mbid, count(release_mbid) AS n_releases, coalesce(string_agg(release_mbid, ',' ORDER BY release_mbid), '') AS releases FROM fv_cand LEFT JOIN fv_release USING (rg_mbid) GROUP BY 1, 2")
+@query("""SELECT entity_id, rg_mbid, count(release_mbid) AS n_releases, coalesce(string_agg(release_mbid, ',' ORDER BY release_mbid), '') AS releases
+  FROM fv_cand LEFT JOIN fv_release USING (rg_mbid) GROUP BY 1, 2""")
 def evidence_bundle(v):
     rows = rs.evidence_bundle(v.candidate, v.release).select("entity_id", F.explode("rg_candidates").alias("g"))
     return rows.select("entity_id", F.col("g.rg_mbid").alias("rg_mbid"), F.size("g.releases").cast("long").alias("n_releases"), F.array_join(F.col("g.releases.release_mbid"), ",").alias("releases"))
 
 
-@query("SELECT c.entity_id, 'r' || c.entity_id[2:] AS recording_mbid, c.rg_mbid, r.release_mbid, coalesce(r.is_official, true) AS is_official FROM fv_cand c JOIN fv_release r USING (rg_mbid) JOIN fv_recording_release x ON x.release_mbid = r.release_mbid AND x.recording_mbid = 'r' || c.entity_id[2:]")
+@query("""SELECT c.entity_id, 'r' || c.entity_id[2:] AS recording_mbid, c.rg_mbid, r.release_mbid, coalesce(r.is_official, true) AS is_official FROM fv_cand c
+  JOIN fv_release r USING (rg_mbid) JOIN fv_recording_release x ON x.release_mbid = r.release_mbid AND x.recording_mbid = 'r' || c.entity_id[2:]""")
 def evidence_convert(v):
     rows = rs.distinct_candidates(v.candidate).withColumn("recording_mbid", F.concat(F.lit("r"), F.expr("substr(entity_id, 2)")))
     pairs = v.release.select("rg_mbid", "release_mbid", F.coalesce("is_official", F.lit(True)).alias("is_official"))
@@ -237,11 +247,14 @@ def label_validation(v):
     return sc.label_validation(sc.date_validation(sc.popularity_boost(v.hit))).select("hit_id", F.round("confidence", 6).alias("confidence"))
 
 
-@query("SELECT hit_id, n_sources, round(CASE WHEN n_sources >= 3 THEN least(0.99, c3 + 0.15) WHEN n_sources >= 2 THEN least(0.99, c3 + 0.10) ELSE c3 END, 6) AS confidence FROM fv_h3 JOIN (SELECT key, count(DISTINCT prefix) AS n_sources FROM fv_h1 GROUP BY 1) USING (key)")
+@query("""SELECT hit_id, n_sources, round(CASE WHEN n_sources >= 3 THEN least(0.99, c3 + 0.15) WHEN n_sources >= 2 THEN least(0.99, c3 + 0.10) ELSE c3 END, 6) AS confidence
+  FROM fv_h3 JOIN (SELECT key, count(DISTINCT prefix) AS n_sources FROM fv_h1 GROUP BY 1) USING (key)""")
 def multi_source_boost(v):
     return sc.score_hits(v.hit).select("hit_id", "n_sources", F.round("confidence", 6).alias("confidence"))
 
 
-@query("SELECT h.hit_id, h.isrc, min(r.recording_mbid) AS recording_mbid, CAST(0.95 AS DOUBLE) AS confidence FROM fv_hit h JOIN (SELECT recording_mbid, unnest(isrcs) AS isrc FROM fv_recording) r USING (isrc) WHERE h.source = 'streambase_isrc' AND h.isrc NOT IN (SELECT isrc FROM fv_hit WHERE source = 'musicbase_isrc' AND isrc IS NOT NULL) GROUP BY 1, 2")
+@query("""SELECT h.hit_id, h.isrc, min(r.recording_mbid) AS recording_mbid, CAST(0.95 AS DOUBLE) AS confidence FROM fv_hit h
+  JOIN (SELECT recording_mbid, unnest(isrcs) AS isrc FROM fv_recording) r USING (isrc)
+  WHERE h.source = 'streambase_isrc' AND h.isrc NOT IN (SELECT isrc FROM fv_hit WHERE source = 'musicbase_isrc' AND isrc IS NOT NULL) GROUP BY 1, 2""")
 def isrc_cross_link(v):
     return sc.isrc_cross_link(v.hit, v.recording)

@@ -123,7 +123,9 @@ def edition_tags(v):
 BARE = sql_compact(sql_plain("trim(g)"))
 
 
-@query(f"SELECT partkey, CASE WHEN len(split) > 1 THEN array_to_string(list_transform(split[2:], lambda g: {BARE}), ';') ELSE '' END AS artist_guests, array_to_string(list_transform(regexp_extract_all(rest, {q(nz.TITLE_GUESTS)}, 1), lambda g: {BARE}), ';') AS title_guests FROM fv_artist_norm JOIN fv_title_norm USING (partkey)")
+@query(f"""SELECT partkey, CASE WHEN len(split) > 1 THEN array_to_string(list_transform(split[2:], lambda g: {BARE}), ';') ELSE '' END AS artist_guests,
+    array_to_string(list_transform(regexp_extract_all(rest, {q(nz.TITLE_GUESTS)}, 1), lambda g: {BARE}), ';') AS title_guests FROM fv_artist_norm
+  JOIN fv_title_norm USING (partkey)""")
 def split_guests(v):
     rest = F.col("e.rest")
     rows = texts(v).select("partkey", "artist_raw", nz.edition_suffixes(nz.film_prefix(F.col("title_raw"))["rest"]).alias("e"))
@@ -141,7 +143,8 @@ def strip_diacritics(v):
     return texts(v).select("partkey", plain("artist_raw").alias("artist"), plain("title_raw").alias("title"))
 
 
-@query("SELECT partkey, len(list_filter(tags, lambda x: x LIKE 'karaoke/%' OR x LIKE '%/karaoke/%')) > 0 AS karaoke, CASE WHEN tags[1] LIKE 'medley%' THEN 'medley' WHEN tags[1] LIKE 'karaoke%' THEN 'unknown' ELSE 'recording' END AS unit FROM fv_title_norm")
+@query("""SELECT partkey, len(list_filter(tags, lambda x: x LIKE 'karaoke/%' OR x LIKE '%/karaoke/%')) > 0 AS karaoke,
+    CASE WHEN tags[1] LIKE 'medley%' THEN 'medley' WHEN tags[1] LIKE 'karaoke%' THEN 'unknown' ELSE 'recording' END AS unit FROM fv_title_norm""")
 def normalize_entry_unit(v):
     return titles(v).select("partkey", nz.has_tag(F.col("t.tags"), "karaoke").alias("karaoke"), nz.entry_unit(F.col("t.tags")).alias("unit"))
 
@@ -195,7 +198,8 @@ def hash_path(v):
     return v.table("pages").select("page_id", ids.hash_path(F.col("url")).alias("hash"))
 
 
-@query("SELECT partkey, CASE WHEN trim(core) <> '' AND trim(t) <> '' THEN substr(sha256(core || ' // ' || t), 1, 16) END AS work_key FROM fv_artist_norm JOIN (SELECT partkey, core AS t FROM fv_title_norm) USING (partkey)")
+@query("""SELECT partkey, CASE WHEN trim(core) <> '' AND trim(t) <> '' THEN substr(sha256(core || ' // ' || t), 1, 16) END AS work_key FROM fv_artist_norm
+  JOIN (SELECT partkey, core AS t FROM fv_title_norm) USING (partkey)""")
 def work_key(v):
     return titles(v).select("partkey", ids.work_key(nz.artist_core(F.col("artist_raw")), F.col("t.core")).alias("work_key"))
 
