@@ -97,8 +97,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 2048, least_share: float = 0.001) -> DataFrame:
     """The rows that stay, with all their columns; of rows equal in id and text one stays, of null and empty texts one in all.
 
-    Losers of frequent digests go where they are read, by the broadcast winners. Of the others only digests are shuffled, and
-    the losers among them are taken out by key. An empty table gives no rows.
+    Losers of frequent digests go where they are read, by the broadcast winners. Among the others the losers are found by their
+    digests and taken out by key. An empty table gives no rows.
     """
     digest = text_digest(text_col)
     rows = materialize(docs.select(F.col(id_col).alias("_id"), digest.alias("digest"), F.monotonically_increasing_id().alias("_row")))
@@ -113,4 +113,6 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     judged = materialize(per_key.withColumn("best", best["id"]).filter("n > 1 or not (id <=> best)"))
     heavy_again = rows.join(F.broadcast(heavy.select("digest", F.col("win._id").alias("id"))), "digest").filter("_id <=> id").groupBy("digest", "id").agg(F.count("*").alias("n"))
     repeated = judged.filter("id <=> best").select("id", "digest").unionByName(heavy_again.filter("n > 1").select("id", "digest"))
-    return keep_by_key(left, {"id": F.col(id_col), "digest": F.col(key)}, judged.filter("not (id <=> best)").select("id", "digest"), materialize(repeated)).select(*[F.col(f"`{n}`") for n in names])
+    # The losers grow with the table, so they are joined by sorting at every size.
+    losers = judged.filter("not (id <=> best)").select("id", "digest").hint("merge")
+    return keep_by_key(left, {"id": F.col(id_col), "digest": F.col(key)}, losers, materialize(repeated)).select(*[F.col(f"`{n}`") for n in names])
