@@ -87,14 +87,14 @@ def position_xref(v):
 @query("""SELECT *, CASE WHEN delta IS NULL THEN 'new' WHEN delta > 0 THEN 'up' WHEN delta < 0 THEN 'down' ELSE 'same' END AS direction
   FROM (SELECT *, lag(rank) OVER (PARTITION BY chart_id, artist_key, title_key ORDER BY period) - rank AS delta FROM fv_rank)""")
 def history_delta(v):
-    return an.derived_delta(v.entry)
+    return an.derived_delta(v.entry_once)
 
 
 @query("""SELECT entry_id, previous_position - rank AS delta,
     CASE WHEN previous_position IS NULL THEN 'new' WHEN previous_position > rank THEN 'up' WHEN previous_position < rank THEN 'down' ELSE 'same' END AS direction
   FROM fv_entry""")
 def history_claimed_delta(v):
-    return an.claimed_delta(v.entry).select("entry_id", "delta", "direction")
+    return an.claimed_delta(v.entry_once).select("entry_id", "delta", "direction")
 
 
 HISTORY = """SELECT s.song_id, e.chart_id, c.name AS chart_name, e.period, e.rank, e.entry_id FROM fv_song s JOIN fv_entry_song l USING (song_id)
@@ -146,7 +146,7 @@ def entries_with_songs(v):
 
 @query("SELECT * FROM fv_entry WHERE rank BETWEEN 5 AND 10")
 def rank_range(v):
-    return joins.rank_range(v.entry, 5, 10)
+    return joins.rank_range(v.entry_once, 5, 10)
 
 
 @query("SELECT chart_id || ':' || period AS ref, run_id, chart_id, period FROM fv_run UNION ALL SELECT run_id, run_id, chart_id, period FROM fv_run")
@@ -264,7 +264,7 @@ def missing_in_library(v):
 @query("""SELECT run_id, count(DISTINCT rank) AS n_ranks, 40 AS expected, greatest(0, 40 - count(DISTINCT rank)) AS shortage, count(DISTINCT rank) >= 36 AND count(DISTINCT rank) > 0 AS ok
   FROM fv_entry GROUP BY 1""")
 def count_sanity(v):
-    return quality.count_sanity(v.entry, 40)
+    return quality.count_sanity(v.entry_once, 40)
 
 
 @query("""SELECT r.run_id, r.chart_id, r.period, coalesce(overlap, 1.0) AS overlap, coalesce(overlap, 1.0) >= 0.5 AS ok FROM fv_run r

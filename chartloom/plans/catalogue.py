@@ -94,7 +94,7 @@ def item_pages(v):
     before = F.when(F.col("previous_position").isNull(), "Nieuw").otherwise(F.concat(F.lit("vorige week: "), F.col("previous_position").cast("string")))
     fields = [element("span", "position", rank), element("h2", "the-title", title), element("h3", "artist", F.col("artist_raw")), element("span", "last-week", before), element("span", "weken", F.concat((k % 4).cast("string"), F.lit(" weken")))]
     item = F.concat(F.lit("<li class='list-item'>\n"), *fields, F.lit("</li>"))
-    return by_blocks(v.entry.withColumn("_row", item), "run_id").agg(F.concat(F.lit("<ul><li>menu</li>"), F.array_join(F.collect_list("_row"), ""), F.lit("</ul>")).alias("html")).drop("block")
+    return by_blocks(v.entry_once.withColumn("_row", item), "run_id").agg(F.concat(F.lit("<ul><li>menu</li>"), F.array_join(F.collect_list("_row"), ""), F.lit("</ul>")).alias("html")).drop("block")
 
 
 @query("SELECT run_id, rank, artist_raw, title_raw, previous_position, CAST(nullif(partkey % 4, 0) AS INTEGER) AS weeks_on_chart FROM fv_entry WHERE partkey % 10 < 8")
@@ -141,7 +141,7 @@ def src_pivoted_years_json(v):
 
 @query("SELECT run_id, rank, artist_raw, title_raw FROM fv_entry")
 def src_entries_json(v):
-    docs = by_blocks(v.entry, "run_id").agg(F.to_json(F.collect_list(F.array(F.col("rank").cast("string"), "artist_raw", "title_raw"))).alias("json")).drop("block")
+    docs = by_blocks(v.entry_once, "run_id").agg(F.to_json(F.collect_list(F.array(F.col("rank").cast("string"), "artist_raw", "title_raw"))).alias("json")).drop("block")
     return sn.entries_json(docs)
 
 
@@ -149,7 +149,7 @@ def src_entries_json(v):
 def src_positions_json(v):
     position = F.struct(F.when(F.col("rank") != 7, F.col("rank").cast("string")).otherwise("x").alias("current"), F.col("previous_position").alias("previous"))
     item = F.struct(position.alias("position"), F.struct(F.col("artist_raw").alias("artist"), F.col("title_raw").alias("title")).alias("track"))
-    docs = by_blocks(v.entry, "run_id").agg(F.to_json(F.struct(F.collect_list(item).alias("positions"))).alias("json")).drop("block")
+    docs = by_blocks(v.entry_once, "run_id").agg(F.to_json(F.struct(F.collect_list(item).alias("positions"))).alias("json")).drop("block")
     return sn.positions_json(docs)
 
 
@@ -404,7 +404,7 @@ def wiki_link_enrich(v):
 @query("SELECT chart_id, period, count(*) AS n, min(rank) AS first_rank FROM fv_entry GROUP BY 1, 2")
 def sink_snapshot(v):
     path = shared_folder(v.spark)
-    sn.write_snapshots(v.entry.select("chart_id", "period", "rank", "artist_raw", "title_raw"), path)
+    sn.write_snapshots(v.entry_once.select("chart_id", "period", "rank", "artist_raw", "title_raw"), path)
     back = v.spark.read.schema("rank int, artist_raw string, title_raw string, chart_id string, period string").parquet(path)
     return back.groupBy("chart_id", "period").agg(F.count("*").alias("n"), F.min("rank").alias("first_rank"))
 

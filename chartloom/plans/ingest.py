@@ -20,12 +20,12 @@ from chartloom.sources.shared import materialize
   FROM (SELECT chart_id, period, lpad(CAST(rank AS VARCHAR), 6, '0') || '|' || artist_raw || '|' || title_raw AS x FROM fv_entry)
   GROUP BY chart_id, period""")
 def ingest_run(v):
-    return ig.content_hash(v.entry).select(ids.run_id(F.col("chart_id"), F.col("period")).alias("run_id"), "source_hash", "n_entries")
+    return ig.content_hash(v.entry_once).select(ids.run_id(F.col("chart_id"), F.col("period")).alias("run_id"), "source_hash", "n_entries")
 
 
 @query("SELECT run_id, rank, substr(sha256(run_id || ':' || rank), 1, 16) AS plain, substr(sha256(run_id || ':' || rank || ':A'), 1, 16) AS sided FROM fv_entry")
 def entry_id(v):
-    return v.entry.select("run_id", "rank", ids.entry_id(F.col("run_id"), F.col("rank")).alias("plain"), ids.entry_id(F.col("run_id"), F.col("rank"), F.lit("A")).alias("sided"))
+    return v.entry_once.select("run_id", "rank", ids.entry_id(F.col("run_id"), F.col("rank")).alias("plain"), ids.entry_id(F.col("run_id"), F.col("rank"), F.lit("A")).alias("sided"))
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name || '!' ELSE p_name END AS name, CAST(1 AS INTEGER) AS created_at FROM part
@@ -174,7 +174,7 @@ def charts_blob_parse(v):
 @query("""SELECT run_id, rank, part, CASE WHEN part = 0 THEN '#EXTINF:' || points % 300 || ',' || artist_raw || ' - ' || title_raw ELSE '/music/' || partkey || '.mp3' END AS line
   FROM fv_entry CROSS JOIN (VALUES (0), (1)) t(part) WHERE partkey % 3 = 0""")
 def playlist_rows(v):
-    rows = v.entry.filter("partkey % 3 = 0").select("run_id", "rank", (F.col("points") % 300).alias("seconds"), F.col("artist_raw").alias("artist"), F.col("title_raw").alias("title"), F.concat(F.lit("/music/"), "partkey", F.lit(".mp3")).alias("path"))
+    rows = v.entry_once.filter("partkey % 3 = 0").select("run_id", "rank", (F.col("points") % 300).alias("seconds"), F.col("artist_raw").alias("artist"), F.col("title_raw").alias("title"), F.concat(F.lit("/music/"), "partkey", F.lit(".mp3")).alias("path"))
     return ig.playlist_lines(rows)
 
 
@@ -359,7 +359,7 @@ SIDES = """SELECT entry_id, side, round(0.40 * (partkey % 3 / 2.0) + 0.25 * (poi
     best >= 0.6 AND (confidence = best OR (best >= 0.85 AND best - confidence <= 0.05 + 1e-9)) AS chosen
   FROM (SELECT *, max(confidence) OVER (PARTITION BY entry_id) AS best FROM ({SIDES}))""")
 def side_mapping(v):
-    rows = v.entry.withColumn("side", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    rows = v.entry_once.withColumn("side", F.explode(F.array(F.lit("A"), F.lit("B"))))
     return dc.side_scores(rows.select("entry_id", "side", (F.col("partkey") % 3 / 2.0).alias("e1"), (F.col("points") % 3 / 2.0).alias("e2"), F.lit(1.0).alias("e3"), (F.col("partkey") % 2).alias("e4"), F.when(F.col("side") == "A", 1).otherwise(0).alias("e5")))
 
 
