@@ -18,6 +18,7 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     from chartloom.plans import registry
+    from chartloom.sources.shared import release
 
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
@@ -35,6 +36,7 @@ def main() -> None:
         registry.queries()[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
     print(json.dumps({"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir).removeprefix("sf")}))
+    release(spark)
     spark.stop()
 
 

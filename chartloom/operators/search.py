@@ -7,6 +7,8 @@ reaches a threshold share one of their rarest characters, so that both joins fin
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,9 +51,30 @@ def containing_texts(asked: DataFrame, texts: DataFrame) -> DataFrame:
     return rarest.join(right, "_t").filter(F.contains("b", "a")).select("a", "b")
 
 
-def containing(queries: DataFrame, recordings: DataFrame, tolerance: float = 0.1, limit: int = 50) -> DataFrame:
+@dataclass
+class NameMatches:
+    """Pairs of distinct names of queries and recordings, so that several searches compare them once."""
+
+    contained: DataFrame
+    titles: DataFrame
+    artists: DataFrame
+
+    @classmethod
+    def of(cls, queries: DataFrame, recordings: DataFrame, title_at_least: float = 80.0, artist_at_least: float = 80.0) -> NameMatches:
+        titles, artists = recordings.select("title_normalized"), recordings.select("artist_normalized")
+        return cls(
+            containing_texts(queries.select("title"), titles).toDF("title", "title_normalized"),
+            close_pairs(queries.select("title"), titles, title_at_least).toDF("title", "title_normalized", "_r"),
+            close_pairs(queries.select("artist"), artists, artist_at_least).toDF("artist", "artist_normalized", "_a"),
+        )
+
+    def written(self) -> NameMatches:
+        return NameMatches(materialize(self.contained), materialize(self.titles), materialize(self.artists))
+
+
+def containing(queries: DataFrame, recordings: DataFrame, tolerance: float = 0.1, limit: int = 50, matches: NameMatches | None = None) -> DataFrame:
     """(query_id, recording_mbid): recordings whose title and artist contain the query's, of a fitting length; the first by id."""
-    named = queries.join(containing_texts(queries.select("title"), recordings.select("title_normalized")).toDF("title", "title_normalized"), "title")
+    named = queries.join((matches or NameMatches.of(queries, recordings)).contained, "title")
     hits = named.join(recordings.withColumnRenamed("length_ms", "rec_ms"), "title_normalized").filter(F.contains("artist_normalized", "artist") & length_fits(F.col("length_ms"), F.col("rec_ms"), tolerance))
     return dedupe_to(hits, "query_id", ["recording_mbid"], limit).select("query_id", "recording_mbid")
 
@@ -85,13 +108,13 @@ def close_pairs(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame
     return pairs.withColumn("ratio", sim.ratio("a", "b")).filter(F.col("ratio") >= at_least)
 
 
-def similar(queries: DataFrame, recordings: DataFrame, title_at_least: float = 80.0, artist_at_least: float = 80.0, limit: int = 50, tolerance: float | None = None) -> DataFrame:
+def similar(queries: DataFrame, recordings: DataFrame, title_at_least: float = 80.0, artist_at_least: float = 80.0, limit: int = 50, tolerance: float | None = None, matches: NameMatches | None = None) -> DataFrame:
     """(query_id, recording_mbid, score): the smaller of both ratios, best first; with a tolerance, only of a fitting length.
 
     Names are compared once for each distinct pair.
     """
-    titles = close_pairs(queries.select("title"), recordings.select("title_normalized"), title_at_least).toDF("title", "title_normalized", "_r")
-    artists = close_pairs(queries.select("artist"), recordings.select("artist_normalized"), artist_at_least).toDF("artist", "artist_normalized", "_a")
+    matches = matches or NameMatches.of(queries, recordings, title_at_least, artist_at_least)
+    titles, artists = matches.titles.filter(F.col("_r") >= title_at_least), matches.artists.filter(F.col("_a") >= artist_at_least)
     names = recordings.select("artist_normalized", "title_normalized").distinct()
     scored = queries.select("artist", "title").distinct().join(titles, "title").join(names, "title_normalized").join(artists, ["artist", "artist_normalized"])
     scored = scored.select("artist", "title", "artist_normalized", "title_normalized", F.least("_a", "_r").alias("score"))
@@ -101,13 +124,13 @@ def similar(queries: DataFrame, recordings: DataFrame, title_at_least: float = 8
     return dedupe_to(hits, "query_id", [F.desc("score"), "recording_mbid"], limit).select("query_id", "recording_mbid", "score")
 
 
-def search_fuzzy(queries: DataFrame, recordings: DataFrame, tolerance: float = 0.1, limit: int = 50) -> DataFrame:
+def search_fuzzy(queries: DataFrame, recordings: DataFrame, tolerance: float = 0.1, limit: int = 50, matches: NameMatches | None = None) -> DataFrame:
     """(query_id, recording_mbid, score, tier): recordings that contain the query; for queries without any, similar ones with a score of 80 or
     more. Both tiers keep to the length that is asked, if one is.
     """
-    first = containing(queries, recordings, tolerance, limit)
+    first = containing(queries, recordings, tolerance, limit, matches)
     rest = queries.join(first.select("query_id").distinct(), "query_id", "left_anti")
-    second = similar(rest, recordings, limit=limit, tolerance=tolerance)
+    second = similar(rest, recordings, limit=limit, tolerance=tolerance, matches=matches)
     return first.withColumns({"score": F.lit(100.0), "tier": F.lit(1)}).unionByName(second.withColumn("tier", F.lit(2)))
 
 
@@ -122,14 +145,15 @@ def search_stages(queries: DataFrame, recordings: DataFrame, browse: tuple[DataF
     the catalogue of the artist (artists, groups and their recordings, see artist_browse), stage 4 takes the recordings that fingerprints
     (query_id, recording_mbid) name. Each later stage runs only for the queries that still lack results.
     """
-    found = materialize(search_fuzzy(queries, recordings, 0.1, 100).select("query_id", "recording_mbid", F.lit(1).alias("stage")))
+    matches = NameMatches.of(queries, recordings).written()
+    found = materialize(search_fuzzy(queries, recordings, 0.1, 100, matches).select("query_id", "recording_mbid", F.lit(1).alias("stage")))
 
     def lacking() -> DataFrame:
         counts = found.groupBy("query_id").agg(F.count_distinct("recording_mbid").alias("n"))
         return queries.join(counts.filter(F.col("n") >= enough), "query_id", "left_anti")
 
     names = recordings.select("recording_mbid", "artist_normalized", "title_normalized")
-    wider = search_fuzzy(lacking(), recordings, 0.2, 100).join(queries.select("query_id", "artist", "title"), "query_id").join(names, "recording_mbid")
+    wider = search_fuzzy(lacking(), recordings, 0.2, 100, matches).join(queries.select("query_id", "artist", "title"), "query_id").join(names, "recording_mbid")
     close = (alike(F.col("title"), F.col("title_normalized"), 70.0)) & (alike(F.col("artist"), F.col("artist_normalized"), 60.0))
     found = materialize(found.unionByName(wider.filter(close).select("query_id", "recording_mbid", F.lit(2).alias("stage"))))
     if browse is not None:
