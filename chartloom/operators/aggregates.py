@@ -48,10 +48,12 @@ def _points(entries: DataFrame) -> DataFrame:
 def entry_scores(entries: DataFrame) -> DataFrame:
     """Sum of n - rank + 1 of each song, told apart by its normalized names, over all runs of a chart; blank names are left out.
 
-    Raw names are summed first, so that each is normalized once for a chart.
+    Raw names are summed first, and each distinct artist and title is normalized once.
     """
     raw = _points(entries).groupBy("chart_id", "artist_raw", "title_raw").agg(F.sum("score").alias("score"))
-    cores = raw.withColumns({"artist_core": artist_core(F.col("artist_raw")), "title_core": normalize_title(F.col("title_raw"))["core"]}).filter("artist_core <> '' and title_core <> ''")
+    artists = entries.select("artist_raw").distinct().withColumn("artist_core", artist_core(F.col("artist_raw"))).filter("artist_core <> ''")
+    titles = entries.select("title_raw").distinct().withColumn("title_core", normalize_title(F.col("title_raw"))["core"]).filter("title_core <> ''")
+    cores = raw.join(artists, "artist_raw").join(titles, "title_raw")
     return cores.groupBy("chart_id", "artist_core", "title_core").agg(F.sum("score").alias("score"))
 
 
