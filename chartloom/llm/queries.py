@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import exact_dedup, language_id, licenses, mixing, pieces, quality_classifier, quality_rules, records, simhash, toxicity
+from chartloom.llm import exact_dedup, fim, language_id, licenses, mixing, pieces, quality_classifier, quality_rules, records, simhash, toxicity
 from chartloom.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,10 +89,11 @@ def queries() -> dict:
         op8_exact_dedup,
         op9_token_records,
         op10_toxicity,
+        op11_fill_in_middle,
         pipeline,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict:
-    return {"op7_license_scan": licenses.oracle_sql(), "op8_exact_dedup": OP8_SQL}
+    return {"op7_license_scan": licenses.oracle_sql(), "op8_exact_dedup": OP8_SQL, "op11_fill_in_middle": fim.ORACLE_SQL}
