@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import exact_dedup, fim, language_id, licenses, mixing, pieces, quality_classifier, quality_rules, records, simhash, toxicity
+from chartloom.llm import alignment, exact_dedup, fim, language_id, licenses, mixing, pieces, quality_classifier, quality_rules, records, simhash, toxicity
 from chartloom.llm.common import table
 
 
@@ -57,6 +57,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fim_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.alignment_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,6 +96,7 @@ def queries() -> dict:
         op9_token_records,
         op10_toxicity,
         op11_fill_in_middle,
+        op13_token_alignment,
         pipeline,
     )
     return {f.__name__: f for f in named}
