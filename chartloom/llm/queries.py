@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import alignment, exact_dedup, fim, language_id, licenses, mixing, pieces, quality_classifier, quality_rules, records, simhash, toxicity
+from chartloom.llm import alignment, exact_dedup, fim, language_id, licenses, mixing, neighbours, pieces, quality_classifier, quality_rules, records, simhash, toxicity
 from chartloom.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fim_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_of_every(table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -96,6 +100,7 @@ def queries() -> dict:
         op9_token_records,
         op10_toxicity,
         op11_fill_in_middle,
+        op12_nearest_neighbours,
         op13_token_alignment,
         pipeline,
     )
