@@ -2,7 +2,7 @@
 
 Queries are rows (query_id, artist, title, length_ms), normalized; recordings are rows (recording_mbid, artist_normalized, title_normalized,
 length_ms). No plan compares all with all: a text that contains a query holds the query's rarest trigram, and names whose ratio
-reaches a threshold share one of their rarest characters, so that both joins find all matches.
+reaches a threshold meet at keys of their rarest characters (close_names.py), so that both joins find all matches.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartloom.functions import similarity as sim
+from chartloom.operators.close_names import CloseNames
 from chartloom.sources.shared import materialize
 
 
@@ -84,28 +85,9 @@ def dedupe_to(hits: DataFrame, by: str, order: list, limit: int) -> DataFrame:
     return hits.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_n") <= limit).drop("_n")
 
 
-#: Characters from frequent to rare; others count as rarer than all of these. Any order gives the same pairs, this one gives fewer candidates.
-FREQUENT = " etaoinshrdlcumwfgypbvkjxqz"
-
-
-def rare_characters(text: Column, at_least: float) -> Column:
-    """The rarest characters of a text, numbered where they recur: two texts whose ratio is at_least or more share one of these.
-
-    Such texts have a common subsequence of at least n * at_least / (200 - at_least) characters, n being the length of either; so of
-    their characters in a fixed order, all but as many and one more hold a common one. An empty text has a mark of its own.
-    """
-    chars = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(1)))
-    numbered = F.transform(chars, lambda c, i: F.struct((-F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c))).alias("n"), F.when(F.instr(F.lit(FREQUENT), c) == 0, -99).otherwise(-F.instr(F.lit(FREQUENT), c)).alias("o"), c.alias("c")))
-    common = F.greatest(F.lit(1), F.ceil(F.length(text) * at_least / (200.0 - at_least) - 1e-9)).cast("int")
-    empty = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("o"), F.lit("").alias("c")))
-    return F.when(F.length(text) == 0, empty).otherwise(F.slice(F.array_sort(numbered), F.lit(1), F.length(text) - common + 1))
-
-
 def close_pairs(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:
     """(a, b, ratio): all pairs of a name a of left and a name b of right whose ratio is at_least or more; both have one column."""
-    names = lambda df, name: df.toDF(name).distinct().withColumn("_c", F.explode(rare_characters(F.col(name), at_least)))
-    pairs = names(left, "a").join(names(right, "b"), "_c").filter(sim.can_reach(F.col("a"), F.col("b"), at_least)).select("a", "b").distinct()
-    return pairs.withColumn("ratio", sim.ratio("a", "b")).filter(F.col("ratio") >= at_least)
+    return CloseNames(at_least).pairs(left, right)
 
 
 def similar(queries: DataFrame, recordings: DataFrame, title_at_least: float = 80.0, artist_at_least: float = 80.0, limit: int = 50, tolerance: float | None = None, matches: NameMatches | None = None) -> DataFrame:
@@ -175,14 +157,24 @@ def stage_summary(hits: DataFrame, stages: DataFrame) -> DataFrame:
 def song_lookup(queries: DataFrame, songs: DataFrame, least: float = 0.7) -> DataFrame:
     """(query_id, song_id, score): the song of exactly these names, else the best of 0.4 artist + 0.6 title, if that is enough.
 
-    With an equal artist the title must still reach (least - 0.4) / 0.6, so only titles that close are joined.
+    Where the sum reaches `least`, the title or the artist does so alone. So songs come from titles that reach it and, for lower titles, from
+    artists that do; there, a pair is compared only if the title that the lengths allow, below `least`, and the known artist can reach the sum. No names are joined at a
+    lower threshold.
     """
     exact = queries.join(songs.select(F.col("artist_canonical").alias("artist"), F.col("title_canonical").alias("title"), "song_id"), ["artist", "title"])
-    rest = queries.join(exact.select("query_id"), "query_id", "left_anti")
-    titles = close_pairs(rest.select("title"), songs.select("title_canonical"), 100 * (least - 0.4) / 0.6 - 1e-3).toDF("title", "title_canonical", "_r").withColumn("_r", F.col("_r") / 100)
-    pairs = rest.join(titles, "title").join(songs, "title_canonical").select("query_id", "artist", "title", "song_id", "artist_canonical", "title_canonical", "_r")
-    artists = pairs.select("artist", "artist_canonical").distinct().withColumn("_a", sim.ratio("artist", "artist_canonical") / 100)
-    scored = pairs.join(artists, ["artist", "artist_canonical"]).withColumn("score", F.round(0.4 * F.col("_a") + 0.6 * F.col("_r"), 6)).filter(F.col("score") >= least)
+    rest = materialize(queries.join(exact.select("query_id"), "query_id", "left_anti").select("query_id", "artist", "title"))
+    at, named = 100 * least - 1e-3, ["query_id", "artist", "title", "song_id", "artist_canonical", "title_canonical"]
+    titles = close_pairs(rest.select("title"), songs.select("title_canonical"), at).toDF("title", "title_canonical", "_r")
+    by_title = rest.join(titles, "title").join(songs, "title_canonical").select(*named, "_r")
+    ratios = by_title.select("artist", "artist_canonical").distinct().withColumn("_a", sim.ratio("artist", "artist_canonical"))
+    by_title = by_title.join(ratios, ["artist", "artist_canonical"]).select(*named, "_a", "_r")
+    artists = close_pairs(rest.select("artist"), songs.select("artist_canonical"), at).toDF("artist", "artist_canonical", "_a")
+    both = F.length("title") + F.length("title_canonical")
+    possible = F.when(both == 0, 100.0).otherwise(200.0 * F.least(F.length("title"), F.length("title_canonical")) / both)
+    pairs = rest.join(artists, "artist").join(songs, "artist_canonical").filter(0.4 * F.col("_a") + 0.6 * F.least(possible, F.lit(at)) >= at)
+    lower = pairs.select("title", "title_canonical").distinct().withColumn("_r", sim.ratio("title", "title_canonical")).filter(F.col("_r") < at)
+    by_artist = pairs.join(lower, ["title", "title_canonical"]).select(*named, "_a", "_r")
+    scored = by_title.unionByName(by_artist).withColumn("score", F.round(0.4 * F.col("_a") / 100 + 0.6 * F.col("_r") / 100, 6)).filter(F.col("score") >= least)
     best = dedupe_first(scored, ["query_id"], [F.desc("score"), "song_id"])
     return exact.select("query_id", "song_id", F.lit(1.0).alias("score")).unionByName(best.select("query_id", "song_id", "score"))
 

@@ -4,6 +4,7 @@ import random
 
 from chartloom.functions import similarity as sim
 from chartloom.operators import search
+from chartloom.operators.close_names import CloseNames
 from chartloom.plans import registry
 
 TITLES = ["love", "lave", "lov", "a", "b", "", "hello", "hallo", "yellow moon", "yelow mon", "mellow moon", "cold bolt", "old bolt", "new widget", "red widget", "song song", "gnos gnos"]
@@ -20,6 +21,27 @@ def test_close_pairs(spark):
         assert got == {(a, b) for a in names for b in names if sim.indel_ratio(a, b) >= least}
 
 
+WORDS = "love night heart you the me my day time way baby man girl dance world home fire rain blue dream light moon sun river road song rock roll star sweet".split()
+
+
+def test_close_pairs_prune(spark):
+    """Names of two to four common words: all pairs that reach the threshold, from few rows, also where crowded keys grow longer."""
+    draw, names = random.Random(7), set()
+    while len(names) < 700:
+        names.add(" ".join(draw.choice(WORDS) for _ in range(draw.randint(2, 4))))
+    names = sorted(names | {"ab" * 60, "ba" * 60, "ab" * 59, "abba" * 31, "日本語の歌", "日本語の", "", "x"})
+    frame = spark.createDataFrame([(n,) for n in names] + [(None,)], "n string").repartition(4)
+    want = {(a, b) for a in names for b in names if sim.indel_ratio(a, b) >= 80}
+    for crowd in (1, 32):
+        join = CloseNames(80.0, crowd)
+        joined = [tuple(r) for r in join.candidates(frame, frame).collect()]
+        assert len(joined) == len(set(joined)) < 0.05 * len(names) ** 2 and want <= set(joined)
+        assert {(r.a, r.b) for r in join.pairs(frame, frame).collect()} == want
+    few, none = frame.filter("n like 'a%'"), frame.limit(0)
+    assert {(r.a, r.b) for r in CloseNames(60.0).pairs(few, frame).collect()} == {(a, b) for a in names if a[:1] == "a" for b in names if sim.indel_ratio(a, b) >= 60}
+    assert CloseNames(80.0).pairs(none, frame).count() == 0 and CloseNames(80.0).pairs(frame, none).count() == 0
+
+
 def test_similar(spark):
     names = [(a, t) for a in ARTISTS for t in TITLES]
     asked = [(f"q{i}", a, t, None) for i, (a, t) in enumerate(names)]
