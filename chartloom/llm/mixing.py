@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from chartloom.llm.common import free_names, materialize, n_words, unit_hash
 
@@ -81,18 +82,30 @@ def mix(
     whole number of blocks nearest its target in the sense of Sainte-Lague, and no document is taken
     more than max_repeats times. Reruns agree: only the seed and the rows decide.
     Null ids and repeated rows are documents like others; rows equal in id, source and text share what is taken of them evenly, in whole
-    words. A null source is a source. An empty table gives none.
+    words that add up to it. A null source is a source. An empty table gives none.
     """
-    rows = _sized(docs, id_col, text_col, source_col)
-    items = _mixed_items(rows, block_words, max_repeats, docs_per_shard, seed)
-    same = F.col("r.id").eqNullSafe(F.col("i.id")) & F.col("r.source").eqNullSafe(F.col("i.source")) & (F.col("r.h") == F.col("i.h"))
-    share = F.when(F.col("n") == 1, F.col("taken")).otherwise(F.floor(F.col("taken") / F.greatest("words", F.lit(1)) * F.col("size"))).cast("long")
-    return rows.alias("r").join(items.alias("i"), same).select(F.col("r.id").alias(id_col), "size", "source_size", "target", share.alias("taken"))
+    items = _mixed_items(_sized(docs, id_col, text_col, source_col), block_words, max_repeats, docs_per_shard, seed)
+    # Rows of an item are equal in all that is returned but their share, so they are made from it, those of many in parts.
+    parts = items.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PART))))
+    spread = parts.repartition("id", "h", "part").withColumn("i", F.explode(F.sequence(F.col("part") * PART, F.least("n", (F.col("part") + 1) * PART) - 1)))
+    return spread.select(F.col("id").alias(id_col), F.floor(F.col("words") / F.col("n")).alias("size"), "source_size", "target", _share("taken", "i", F.col("i") + 1, "n").alias("taken"))
+
+
+#: Rows or copies of one item that a task makes at once.
+PART = 4096
+
 
+def _share(total: str, begin: str, end: Column, n: str) -> Column:
+    """What the places from begin to end of n equal ones have of a total: whole numbers that add up to it."""
+    whole, rest = F.floor(F.col(total) / F.col(n)), F.col(total) % F.col(n)
+    upto = lambda at: whole * at + F.floor(rest * at / F.col(n))
+    return (upto(end) - upto(F.col(begin))).cast("long")
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, h, size) of each document, written once; h is a hash of the text."""
-    return materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("h"), n_words(F.col(text_col)).alias("size")))
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, row_hash: Column | None = None) -> DataFrame:
+    """(id, source, h, size) of each document, written once; h is a hash of the text. With row_hash also row, a hash of the other columns."""
+    more = [] if row_hash is None else [row_hash.alias("row")]
+    return materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("h"), n_words(F.col(text_col)).alias("size"), *more))
 
 
 def _mixed_items(rows: DataFrame, block_words: int, max_repeats: int, docs_per_shard: int, seed: int) -> DataFrame:
@@ -143,14 +156,48 @@ def mixed_documents(
     """The mix as rows: a document appears as often as it was taken, a part of it by a seeded draw.
 
     All columns of docs stay; documents of which nothing is taken go, those without words among them. Rows are told apart by id, source and
-    text, any of which may be null; rows equal in all three are drawn alike. An empty table gives no rows.
+    text, any of which may be null; of rows equal in all three, as many copies as the mix takes of them together stay, spread over them
+    in the order of a hash of their other columns. An empty table gives no rows.
     """
     names = docs.columns
-    items = _mixed_items(_sized(docs, id_col, text_col, source_col), block_words, max_repeats, docs_per_shard, seed)
-    exact = F.col("taken") / F.col("words")
+    other = [F.map_entries(f.name) if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`") for f in docs.schema if f.name not in (id_col, text_col, source_col)]
+    row_hash = F.xxhash64(*other) if other else F.lit(0).cast("long")
+    sized = _sized(docs, id_col, text_col, source_col, row_hash)
+    items = _mixed_items(sized, block_words, max_repeats, docs_per_shard, seed).filter("words > 0 and taken > 0")
+    exact = F.col("taken") / F.col("words") * F.col("n")
     drawn = (unit_hash(F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("-")), F.col("h").cast("string")), seed + 9) < exact - F.floor(exact)).cast("int")
-    ident, source, h, copies = free_names(names, "_id", "_source", "_h", "_copies")
-    plan = items.filter("words > 0").select(F.col("id").alias(ident), F.col("source").alias(source), F.col("h").alias(h), (F.floor(exact) + drawn).cast("int").alias(copies)).filter(F.col(copies) > 0)
-    same = F.col(id_col).eqNullSafe(F.col(ident)) & F.col(source_col).eqNullSafe(F.col(source)) & (F.xxhash64(F.col(text_col)) == F.col(h))
-    (turn,) = free_names([*names, ident, source, h, copies], "_turn")
-    return docs.join(plan, same).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{n}`") for n in names])
+    wanted = items.withColumn("wanted", (F.floor(exact) + drawn).cast("long")).filter("wanted > 0").select("id", "source", "h", "n", "wanted")
+    plan = _spread_over_rows(sized, wanted)
+    keys = free_names(names, "_id", "_source", "_h", "_row", "_copies", "_repeats")
+    plan = materialize(plan.toDF(*keys))
+    ident, source, h, row, copies, repeats = keys
+    part, own, own_row = free_names([*names, *keys], "_part", "_own", "_own_row")
+    keyed = docs.withColumns({own: F.xxhash64(F.col(text_col)), own_row: row_hash})
+    same = F.col(id_col).eqNullSafe(F.col(ident)) & F.col(source_col).eqNullSafe(F.col(source)) & (F.col(own) == F.col(h)) & (F.col(own_row) == F.col(row))
+    several = F.col(repeats) > 1
+    out = keyed.join(plan.filter(~several), same).withColumn(part, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    if not plan.filter(several).isEmpty():
+        # Of rows that are equal throughout one is copied, in parts, so that many copies are no burden for a task.
+        one = keyed.join(plan.filter(several), same).dropDuplicates([ident, source, h, row])
+        parts = one.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / PART)))).repartition(F.col(own), F.col(part))
+        made = parts.withColumn(part, F.explode(F.sequence(F.col(part) * PART + 1, F.least(F.col(copies), (F.col(part) + 1) * PART))))
+        out = out.unionByName(made)
+    return out.select(*[F.col(f"`{n}`") for n in names])
+
+
+def _spread_over_rows(sized: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, source, h, row, copies, repeats): what each kind of equal rows has of the copies of its item.
+
+    The places of an item's rows are running sums over the kinds by hash, first over 1,024 ranges of it, then within each.
+    """
+    item = ["id", "source", "h"]
+    kinds = sized.groupBy(*item, "row").agg(F.count("*").alias("repeats")).withColumn("span", F.shiftright("row", 54))
+    spans = kinds.groupBy(*item, "span").agg(F.sum("repeats").alias("in_span"))
+    before = Window.partitionBy(*item).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("base", F.coalesce(F.sum("in_span").over(before), F.lit(0)))
+    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
+    within = Window.partitionBy(*item, "span").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = kinds.withColumn("inner", F.coalesce(F.sum("repeats").over(within), F.lit(0))).alias("k").join(spans.alias("s"), same("k", "s") & (F.col("k.span") == F.col("s.span")))
+    placed = placed.select("k.id", "k.source", "k.h", "row", "repeats", (F.col("base") + F.col("inner")).alias("begin"))
+    shared = placed.alias("p").join(wanted.alias("w"), same("p", "w"))
+    return shared.select("p.id", "p.source", "p.h", "row", _share("wanted", "begin", F.col("begin") + F.col("repeats"), "n").alias("copies"), "repeats").filter("copies > 0")
