@@ -63,11 +63,27 @@ def work_chart_score(entries: DataFrame, links: DataFrame, least: float = 0.60)
     return _points(entries).join(good, ["run_id", "rank"]).groupBy("work_key", "chart_id").agg(F.sum("score").alias("score"), F.min("rank").alias("highest"), F.count("*").alias("n_entries"))
 
 
-def work_chart_positions(links: DataFrame, least: float = 0.60) -> DataFrame:
-    """Per work and chart the map period -> rank as sorted JSON text; of several ranks in a period the last, largest one counts."""
-    good = links.filter((F.col("confidence") >= least) & F.col("work_key").isNotNull()).groupBy("work_key", "chart_id", "period").agg(F.max("rank").alias("rank"))
-    pairs = F.transform(F.array_sort(F.collect_list(F.struct("period", "rank"))), lambda x: F.concat(F.lit('"'), x["period"], F.lit('":'), x["rank"].cast("string")))
-    return good.groupBy("work_key", "chart_id").agg(F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("positions"))
+def work_chart_positions(links: DataFrame, least: float = 0.60, charts: DataFrame | None = None) -> DataFrame:
+    """Per work and chart its positions as sorted JSON text; of several ranks in a period the last, largest one counts.
+
+    charts (chart_id, frequency) tells how: yearly (y, and charts that it lacks) {year: rank}, weekly (w) {year: {week: rank}} with the week as the period
+    YYYY-Www writes it, others {period: rank}. Periods of a weekly chart that are no weeks are left out. Without charts all are {period: rank}.
+    """
+    good = links.filter((F.col("confidence") >= least) & F.col("work_key").isNotNull()).select("work_key", "chart_id", "period", "rank")
+    if charts is None:
+        good = good.withColumn("frequency", F.lit("m"))
+    else:
+        good = good.join(charts.select("chart_id", "frequency"), "chart_id", "left").withColumn("frequency", F.coalesce("frequency", F.lit("y")))
+    weekly, week = F.col("frequency") == "w", F.split("period", "-W")
+    good = good.filter(~weekly | F.contains("period", F.lit("-W")))
+    outer = F.when(weekly, week[0]).when(F.col("frequency") == "y", F.split("period", "-")[0]).otherwise(F.col("period"))
+    # Of a year's periods the last one counts, of a period's ranks the largest.
+    ranks = good.withColumns({"outer": outer, "inner": F.when(weekly, week[1])}).groupBy("work_key", "chart_id", "outer", "inner").agg(F.max(F.struct("period", "rank"))["rank"].alias("rank"))
+    pair = lambda k, value: F.concat(F.lit('"'), k, F.lit('":'), value)
+    listed = lambda pairs: F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    inner = listed(F.transform(F.array_sort(F.collect_list(F.struct("inner", "rank"))), lambda x: pair(x["inner"], x["rank"].cast("string"))))
+    years = ranks.groupBy("work_key", "chart_id", "outer").agg(F.when(F.first("inner").isNull(), F.max("rank").cast("string")).otherwise(inner).alias("value"))
+    return years.groupBy("work_key", "chart_id").agg(listed(F.transform(F.array_sort(F.collect_list(F.struct("outer", "value"))), lambda x: pair(x["outer"], x["value"]))).alias("positions"))
 
 
 def linked_stats(entries: DataFrame, entry_songs: DataFrame, songs: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chartloom.functions.ids import short_hash
+
 
 def store(current: DataFrame, new: DataFrame, now: Column, key: str = "file_id") -> tuple[DataFrame, DataFrame]:
     """(current, archived): new decisions take the place of old ones, which go to the history; created_at stays, updated_at is now."""
@@ -41,17 +43,36 @@ def outcome(answers: DataFrame, candidates: DataFrame, releases: DataFrame, acce
     return rows.select("entity_id", "rg_mbid", "release_mbid", "confidence", state.alias("outcome"))
 
 
+def best_answers(outcomes: DataFrame, which: str) -> DataFrame:
+    """One answer with that outcome per entity: the surest; of equally sure ones the one with the least ids."""
+    order = F.struct((-F.col("confidence")).alias("c"), "rg_mbid", "release_mbid")
+    rows = outcomes.filter(F.col("outcome") == which).groupBy("entity_id").agg(F.min(order).alias("_best"))
+    return rows.select("entity_id", "_best.rg_mbid", "_best.release_mbid", (-F.col("_best.c")).alias("confidence"))
+
+
 def apply_outcomes(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Accepted answers decide what the rules left open."""
-    accepted = outcomes.filter("outcome = 'accepted'").select("entity_id", F.col("rg_mbid").alias("a_rg"), F.col("release_mbid").alias("a_rel"), F.lit(True).alias("_a"))
+    """Accepted answers decide what the rules left open, the surest one for each entity; both rationales say so."""
+    accepted = best_answers(outcomes, "accepted").select("entity_id", F.col("rg_mbid").alias("a_rg"), F.col("release_mbid").alias("a_rel"), F.lit(True).alias("_a"))
     rows = decisions.join(accepted, "entity_id", "left")
     hit = (F.col("state") == "indeterminate") & F.coalesce("_a", F.lit(False))
     return rows.withColumns({
         "crg": F.when(hit, F.col("a_rg")).otherwise(F.col("crg")), "rr": F.when(hit, F.col("a_rel")).otherwise(F.col("rr")),
-        "crg_rationale": F.when(hit, "CRG:LLM_ADJUDICATION").otherwise(F.col("crg_rationale")), "state": F.when(hit, "decided").otherwise(F.col("state")),
+        "crg_rationale": F.when(hit, "CRG:LLM_ADJUDICATION").otherwise(F.col("crg_rationale")), "rr_rationale": F.when(hit, "RR:LLM_ADJUDICATION").otherwise(F.col("rr_rationale")),
+        "state": F.when(hit, "decided").otherwise(F.col("state")),
     }).drop("a_rg", "a_rel", "_a")
 
 
+def review_items(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Queue items for what stays open after all answers: entities that the rules left open, that no answer decides and for which one waits for review.
+
+    The id is a hash of entity and suggestion, so that an item that is made again is the same one.
+    """
+    waiting = best_answers(outcomes, "review").join(best_answers(outcomes, "accepted").select("entity_id"), "entity_id", "left_anti")
+    rows = decisions.filter("state = 'indeterminate'").select("entity_id").join(waiting, "entity_id")
+    text = F.concat_ws(":", F.lit("llm"), "entity_id", F.coalesce("rg_mbid", F.lit("")), F.coalesce("release_mbid", F.lit("")))
+    return rows.select(short_hash(text).alias("review_id"), "entity_id", F.lit("llm_review").alias("source"), "rg_mbid", "release_mbid", "confidence")
+
+
 def complete_reviews(pending: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(queue, history, overrides) after actions (review_id, action, at): only open items are completed, by the earliest action on them;
     accepting one makes an override of its track, else its file.
@@ -65,8 +86,14 @@ def complete_reviews(pending: DataFrame, actions: DataFrame) -> tuple[DataFrame,
 
 
 def pin(decisions: DataFrame, changes: DataFrame, key: str = "file_id") -> DataFrame:
-    """Decisions with the state that changes (key, new_state, pinned) give them, where they give one, and whether they are pinned."""
-    return decisions.join(changes, key).withColumn("state", F.coalesce("new_state", "state")).drop("new_state")
+    """Decisions with the state that changes (key, new_state, pinned) give them, where they give one, and whether they are pinned.
+
+    A decision without a change stays as it is, unpinned if it says nothing else; of several changes of a key the largest by (pinned, new_state) counts.
+    """
+    one = changes.groupBy(key).agg(F.max(F.struct("pinned", "new_state")).alias("_change"))
+    before = F.col("pinned") if "pinned" in decisions.columns else F.lit(False)
+    rows = decisions.join(one, key, "left")
+    return rows.withColumns({"state": F.coalesce("_change.new_state", "state"), "pinned": F.coalesce("_change.pinned", before, F.lit(False))}).drop("_change")
 
 
 def pending_batch(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -80,10 +80,41 @@ def decision_tags(decisions: DataFrame, hashes: DataFrame) -> DataFrame:
     return decisions.filter("state = 'decided'").join(hashes, "entity_id").select("entity_id", "crg", "rr", tag.alias("tag"))
 
 
-def content_hash(entries: DataFrame) -> DataFrame:
-    """Per run the digest of its entries in order of rank, which tells a changed snapshot from a repeated one."""
-    line = F.concat_ws("|", F.lpad(F.col("rank").cast("string"), 6, "0"), "artist_raw", "title_raw")
-    return entries.groupBy("chart_id", "period").agg(ids.short_hash(F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("source_hash"), F.count("*").alias("n_entries"))
+#: Ranks of a run that make one block of its digest.
+BLOCK_RANKS = 1000
+
+
+def block_digests(entries: DataFrame, block_ranks: int = BLOCK_RANKS) -> DataFrame:
+    """(chart_id, period, block, block_hash, n): the digest of the entries of each range of ranks, in order of rank.
+
+    A name stands with its length before it, a missing one as a dash, so that different entries are never one text. Runs of any length are
+    digested by many tasks. Entries without a rank are a block of their own.
+    """
+    field = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
+    line = F.concat_ws("|", F.coalesce(F.col("rank").cast("string"), F.lit("-")), field("artist_raw"), field("title_raw"))
+    block = F.floor((F.col("rank") - 1) / block_ranks)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"])
+    return entries.groupBy("chart_id", "period", block.alias("block")).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("block_hash"), F.count("*").alias("n"))
+
+
+def content_hash(entries: DataFrame, block_ranks: int = BLOCK_RANKS) -> DataFrame:
+    """Per run the digest of the digests of its blocks in order, which tells a changed snapshot from a repeated one."""
+    blocks = block_digests(entries, block_ranks)
+    line = F.concat_ws(":", F.coalesce(F.col("block").cast("string"), F.lit("-")), "block_hash")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("block", line.alias("line")))), lambda x: x["line"])
+    return blocks.groupBy("chart_id", "period").agg(ids.short_hash(F.array_join(lines, "\n")).alias("source_hash"), F.sum("n").alias("n_entries"))
+
+
+def changed_blocks(old: DataFrame, new: DataFrame, block_ranks: int = BLOCK_RANKS) -> DataFrame:
+    """(chart_id, period, block, change): the ranges of ranks in which two snapshots differ: added, removed or changed."""
+    a, b = (block_digests(x, block_ranks).alias(n) for x, n in ((old, "a"), (new, "b")))
+    same = F.lit(True)
+    for c in ("chart_id", "period", "block"):
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    change = F.when(F.col("a.block_hash").isNull(), "added").when(F.col("b.block_hash").isNull(), "removed").when(F.col("a.block_hash") != F.col("b.block_hash"), "changed")
+    rows = a.join(b, same, "full").withColumn("change", change).filter("change is not null")
+    here = F.col("b.block_hash").isNotNull()
+    return rows.select(*[F.when(here, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in ("chart_id", "period", "block")], "change")
 
 
 def with_aliases(names: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -116,17 +147,32 @@ def link_decisions(entries: DataFrame, decisions: DataFrame) -> DataFrame:
     return joined.withColumn("confidence", confidence).withColumn("link_method", F.when(F.col("state") == "decided", "multi_source").otherwise("fallback"))
 
 
-def missing_weeks(runs: DataFrame, charts: DataFrame, first_year: int, last_year: int) -> DataFrame:
-    """Weekly periods YYYY-Www that a chart lacks. The last week of a year is the one of 28 December."""
-    years = charts.select("chart_id", F.explode(F.sequence(F.lit(first_year), F.lit(last_year))).alias("y"))
-    weeks = F.weekofyear(F.make_date("y", F.lit(12), F.lit(28)))
-    wanted = years.select("chart_id", "y", F.explode(F.sequence(F.lit(1), weeks)).alias("w")).select("chart_id", F.format_string("%04d-W%02d", "y", "w").alias("period"))
+def missing_weeks(runs: DataFrame, charts: DataFrame, first_year: int, last_year: int, today: str | None = None) -> DataFrame:
+    """Weekly periods YYYY-Www that a chart lacks, up to the ISO week of today if that is given. The last week of a year is the one of 28 December."""
+    year, last = F.col("y"), F.weekofyear(F.make_date("y", F.lit(12), F.lit(28)))
+    if today is not None:
+        day = F.to_date(F.lit(today))
+        iso_year = F.year(F.date_add(day, 3 - F.weekday(day)))
+        last = F.when(year == iso_year, F.least(last, F.weekofyear(day))).when(year < iso_year, last).otherwise(0)
+    years = charts.select("chart_id", F.explode(F.sequence(F.lit(first_year), F.lit(last_year))).alias("y")).withColumn("last", last).filter("last > 0")
+    wanted = years.select("chart_id", "y", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("w")).select("chart_id", F.format_string("%04d-W%02d", "y", "w").alias("period"))
+    return wanted.join(runs, ["chart_id", "period"], "left_anti")
+
+
+def missing_years(runs: DataFrame, charts: DataFrame, first_year: int, last_year: int, today: str | None = None) -> DataFrame:
+    """Yearly periods YYYY that a chart lacks, up to the ISO year of today if that is given."""
+    day = F.to_date(F.lit(today))
+    last = F.lit(last_year) if today is None else F.least(F.lit(last_year), F.year(F.date_add(day, 3 - F.weekday(day))))
+    years = charts.withColumn("last", last).filter(F.col("last") >= first_year)
+    wanted = years.select("chart_id", F.explode(F.sequence(F.lit(first_year), F.col("last"))).alias("y")).select("chart_id", F.format_string("%04d", "y").alias("period"))
     return wanted.join(runs, ["chart_id", "period"], "left_anti")
 
 
-def missing_months(runs: DataFrame, charts: DataFrame, first: str, last: str) -> DataFrame:
-    """Monthly periods YYYY-MM that a chart lacks."""
-    months = F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)), F.expr("interval 1 month")))
+def missing_months(runs: DataFrame, charts: DataFrame, first: str, last: str, today: str | None = None) -> DataFrame:
+    """Monthly periods YYYY-MM that a chart lacks, up to the month of today if that is given."""
+    until = F.to_date(F.lit(last)) if today is None else F.least(F.to_date(F.lit(last)), F.to_date(F.lit(today)))
+    begin = F.to_date(F.lit(first))
+    months = F.explode(F.when(until >= begin, F.sequence(begin, until, F.expr("interval 1 month"))))
     wanted = charts.select("chart_id", months.alias("m")).select("chart_id", F.date_format("m", "yyyy-MM").alias("period"))
     return wanted.join(runs, ["chart_id", "period"], "left_anti")
 

@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 NUMERIC_TITLES = ["1999", "1979", "505"]
 
 
-def count_sanity(entries: DataFrame, expected: int, least: float = 0.9) -> DataFrame:
-    """Per run whether it has nearly as many ranks as expected, and how many are short."""
-    n = F.count_distinct("rank")
-    return entries.groupBy("run_id").agg(n.alias("n_ranks")).select(
-        "run_id", "n_ranks", F.lit(expected).alias("expected"), F.greatest(F.lit(0), F.lit(expected) - F.col("n_ranks")).alias("shortage"), ((F.col("n_ranks") >= int(expected * least)) & (F.col("n_ranks") > 0)).alias("ok")
-    )
+def count_sanity(entries: DataFrame, expected: DataFrame, least: float = 0.9) -> DataFrame:
+    """Per run whether it has nearly as many ranks as its chart should have, and how many are short; of a chart that expected (chart_id, expected) lacks, any."""
+    n = entries.groupBy("run_id", "chart_id").agg(F.count_distinct("rank").alias("n_ranks")).join(expected, "chart_id", "left")
+    enough = F.col("expected").isNull() | (F.col("n_ranks") >= F.floor(F.col("expected") * least))
+    return n.select("run_id", "n_ranks", "expected", F.when(F.col("expected").isNotNull(), F.greatest(F.lit(0), F.col("expected") - F.col("n_ranks"))).alias("shortage"), (enough & (F.col("n_ranks") > 0)).alias("ok"))
 
 
 def entry_issues(entries: DataFrame) -> DataFrame:
@@ -45,6 +44,11 @@ def rank_gaps(entries: DataFrame) -> DataFrame:
     return wanted.join(entries.select("run_id", "rank"), ["run_id", "rank"], "left_anti")
 
 
+def repeated_ranks(entries: DataFrame) -> DataFrame:
+    """(run_id, rank, n): ranks that several entries of a run have."""
+    return entries.groupBy("run_id", "rank").agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def available_editions(runs: DataFrame, today: str) -> DataFrame:
     """Yearly editions that are out: from 25 December of their year."""
     return runs.filter(F.make_date(F.substring("period", 1, 4).cast("int"), F.lit(12), F.lit(25)) <= F.to_date(F.lit(today)))

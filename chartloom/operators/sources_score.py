@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chartloom.sources.shared import materialize
+
 TOP = 0.99
 #: Popularity from which a tier begins, and what it adds.
 TIERS = [(70, "very_popular", 0.05), (50, "popular", 0.03), (30, "moderate", 0.01)]
@@ -55,41 +57,84 @@ def popularity_boost(hits: DataFrame) -> DataFrame:
     return hits.withColumns({"tier": tier, "confidence": confidence.otherwise(F.col("confidence"))})
 
 
-def date_validation(hits: DataFrame) -> DataFrame:
-    """Years of a song's hits that lie within one year of each other confirm them; wider ones count against all."""
-    w = Window.partitionBy("song_key")
+def _label() -> Column:
+    label = F.lower("label")
+    for ending in LABEL_ENDINGS:
+        label = F.replace(label, F.lit(ending), F.lit(""))
+    return F.trim(label)
+
+
+def song_facts(hits: DataFrame) -> DataFrame:
+    """One row per song: number of hits, first and last year, sources, and whether two sources or more have labels and agree on them.
+
+    Everything is added up where the hits are read before it is shuffled. Hits without artist and title are no song. Of a source the last hit's label counts.
+    """
     year = F.regexp_extract(F.col("year"), r"^([0-9]+)(-|$)", 1).try_cast("int")
-    rows = hits.withColumn("song_key", song_key()).withColumns({"_n": F.count("*").over(w), "_y1": F.min(year).over(w), "_y2": F.max(year).over(w)})
-    judged = (F.col("_n") >= 2) & F.col("_y1").isNotNull() & (F.col("song_key") != "|")
+    named = hits.withColumn("song_key", song_key()).filter("song_key <> '|'").withColumns({"_source": F.split("source", "_")[0], "_label": _label()})
+    of_source = named.groupBy("song_key", "_source").agg(
+        F.count("*").alias("n"), F.min(year).alias("y1"), F.max(year).alias("y2"), F.max_by(F.col("_label"), F.when(F.col("_label").isNotNull(), F.col("hit_id"))).alias("last_label")
+    )
+    return of_source.groupBy("song_key").agg(
+        F.sum("n").alias("_n"), F.min("y1").alias("_y1"), F.max("y2").alias("_y2"), F.count("_source").alias("_sources"),
+        ((F.count("last_label") >= 2) & (F.min("last_label") == F.max("last_label"))).alias("_agree"),
+    )
+
+
+def with_facts(hits: DataFrame, least_share: float = 0.001) -> DataFrame:
+    """hits with song_key and the facts of their song; null for hits of no song.
+
+    Songs with least_share of the hits or more, at most 1 / least_share of them, are broadcast, so that their hits stay where they are; the
+    others meet their facts in a shuffle.
+    """
+    facts = materialize(song_facts(hits))
+    bound = (facts.agg(F.sum("_n")).first()[0] or 0) * least_share
+    rows = hits.withColumn("song_key", song_key())
+    heavy = facts.filter(F.col("_n") >= bound)
+    frequent = rows.join(F.broadcast(heavy), "song_key")
+    rest = rows.join(F.broadcast(heavy.select("song_key")), "song_key", "left_anti")
+    unnamed = rest.filter("song_key = '|'").select(*rest.columns, *[F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in facts.columns[1:]])
+    return frequent.unionByName(rest.filter("song_key <> '|'").join(facts.filter(F.col("_n") < bound), "song_key", "left")).unionByName(unnamed)
+
+
+FACTS = ["_n", "_y1", "_y2", "_sources", "_agree"]
+
+
+def _dated(rows: DataFrame) -> DataFrame:
+    judged = F.coalesce((F.col("_n") >= 2) & F.col("_y1").isNotNull(), F.lit(False))
     close = F.col("_y2") - F.col("_y1") <= 1
     return rows.withColumns({
         "confidence": F.when(judged & close, _raise(0.05)).when(judged, F.greatest(F.lit(0.0), F.col("confidence") - 0.10)).otherwise(F.col("confidence")),
         "date_range": F.when(judged & ~close, F.concat_ws("-", F.col("_y1").cast("string"), F.col("_y2").cast("string"))),
-    }).drop("_n", "_y1", "_y2")
+    })
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("confidence", F.when(F.col("_agree") & F.col("label").isNotNull(), _raise(0.03)).otherwise(F.col("confidence")))
+
+
+def _by_sources(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("n_sources", F.col("_sources"))
+    return rows.withColumn("confidence", F.when(F.col("n_sources") >= 3, _raise(0.15)).when(F.col("n_sources") >= 2, _raise(0.10)).otherwise(F.col("confidence")))
+
+
+def date_validation(hits: DataFrame) -> DataFrame:
+    """Years of a song's hits that lie within one year of each other confirm them; wider ones count against all. Hits of no song stay."""
+    return _dated(with_facts(hits)).drop(*FACTS)
 
 
 def label_validation(hits: DataFrame) -> DataFrame:
-    """Labels that two sources or more agree on confirm the hits that have one; of a source the last hit's label counts."""
-    label = F.lower("label")
-    for ending in LABEL_ENDINGS:
-        label = F.replace(label, F.lit(ending), F.lit(""))
-    rows = hits.withColumn("song_key", song_key()).withColumn("_label", F.trim(label))
-    last = rows.filter("_label is not null").groupBy("song_key", F.split("source", "_")[0].alias("_prefix")).agg(F.max_by("_label", "hit_id").alias("_last"))
-    agreed = last.groupBy("song_key").agg(F.count("*").alias("_n"), F.count_distinct("_last").alias("_kinds")).filter("_n >= 2 and _kinds = 1 and song_key <> '|'").select("song_key", F.lit(True).alias("_agree"))
-    joined = rows.join(agreed, "song_key", "left")
-    return joined.withColumn("confidence", F.when(F.col("_agree") & F.col("_label").isNotNull(), _raise(0.03)).otherwise(F.col("confidence"))).drop("_label", "_agree")
+    """Labels that two sources or more agree on confirm the hits that have one; of a source the last hit's label counts. Hits of no song stay."""
+    return _labelled(with_facts(hits)).drop(*FACTS)
 
 
 def multi_source_boost(hits: DataFrame) -> DataFrame:
-    """More sources for one song raise all its hits."""
-    w = Window.partitionBy("song_key")
-    n = F.size(F.collect_set(F.split("source", "_")[0]).over(w))
-    rows = hits.withColumn("song_key", song_key()).withColumn("n_sources", n.cast("long"))
-    return rows.withColumn("confidence", F.when(F.col("n_sources") >= 3, _raise(0.15)).when(F.col("n_sources") >= 2, _raise(0.10)).otherwise(F.col("confidence")))
+    """More sources for one song raise all its hits. Hits without artist and title are of no song: n_sources is null and they stay."""
+    return _by_sources(with_facts(hits)).drop(*FACTS)
 
 
 def score_hits(hits: DataFrame) -> DataFrame:
-    return multi_source_boost(label_validation(date_validation(popularity_boost(hits))))
+    """All steps in their order; as none changes what a song's facts are made of, these are made once."""
+    return _by_sources(_labelled(_dated(with_facts(popularity_boost(hits))))).drop(*FACTS)
 
 
 def isrc_cross_link(hits: DataFrame, recordings: DataFrame, source: str = "streambase_isrc", primary: str = "musicbase_isrc") -> DataFrame:

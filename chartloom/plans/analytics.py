@@ -220,6 +220,34 @@ def work_chart_positions(v):
     return agg.work_chart_positions(v.link)
 
 
+#: The links as those of weekly, yearly and monthly charts, and a few periods of the weekly ones that are no weeks.
+EXTRA_VIEWS["fv_frequency"] = "SELECT chart_id, CASE WHEN length(chart_id) % 3 = 0 THEN 'w' WHEN length(chart_id) % 3 = 1 THEN 'y' ELSE 'm' END AS frequency FROM fv_chart WHERE chart_id <> 'building'"
+EXTRA_VIEWS["fv_weekly"] = """SELECT work_key, chart_id, CASE WHEN length(chart_id) % 3 = 0 AND partkey % 23 <> 0 THEN period[1:4] || '-W' || lpad(CAST(4 * CAST(period[6:7] AS INTEGER) + partkey % 4 AS VARCHAR), 2, '0') ELSE period END AS period,
+    rank, confidence FROM fv_link"""
+
+
+def frequencies(v):
+    kind = F.length("chart_id") % 3
+    return v.chart.filter("chart_id <> 'building'").select("chart_id", F.when(kind == 0, "w").when(kind == 1, "y").otherwise("m").alias("frequency"))
+
+
+def weekly(v):
+    week = F.format_string("%s-W%02d", F.substring("period", 1, 4), (4 * F.substring("period", 6, 2).cast("int") + F.col("partkey") % 4).cast("int"))
+    return v.link.select("work_key", "chart_id", F.when((F.length("chart_id") % 3 == 0) & (F.col("partkey") % 23 != 0), week).otherwise(F.col("period")).alias("period"), "rank", "confidence")
+
+
+NESTED = """SELECT work_key, chart_id, '{' || string_agg('"' || outer_key || '":' || value, ',' ORDER BY outer_key) || '}' AS positions FROM (
+  SELECT work_key, chart_id, outer_key, CASE WHEN any_value(week) IS NULL THEN CAST(max(rank) AS VARCHAR) ELSE '{' || string_agg('"' || week || '":' || rank, ',' ORDER BY week) || '}' END AS value FROM (
+    SELECT work_key, chart_id, outer_key, week, rank FROM (SELECT *, row_number() OVER (PARTITION BY work_key, chart_id, outer_key, week ORDER BY period DESC, rank DESC) AS n FROM (
+      SELECT l.*, CASE WHEN f.frequency = 'w' THEN split_part(period, '-W', 1) WHEN coalesce(f.frequency, 'y') = 'y' THEN split_part(period, '-', 1) ELSE period END AS outer_key, CASE WHEN f.frequency = 'w' THEN split_part(period, '-W', 2) END AS week
+      FROM fv_weekly l LEFT JOIN fv_frequency f USING (chart_id) WHERE confidence >= 0.6 AND work_key IS NOT NULL AND (coalesce(f.frequency, 'y') <> 'w' OR contains(period, '-W')))) WHERE n = 1) GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+
+
+@query(NESTED)
+def work_chart_positions_nested(v):
+    return agg.work_chart_positions(weekly(v), charts=frequencies(v))
+
+
 @query("""SELECT run_id, count(*) AS total, count(l.entry_id) AS linked, count(*) FILTER (recording_mbid IS NOT NULL) AS with_recording, round(count(l.entry_id) * 100.0 / count(*),
     1) AS linked_pct, round(count(*) FILTER (recording_mbid IS NOT NULL) * 100.0 / count(*), 1) AS recording_pct FROM fv_entry e
   LEFT JOIN fv_entry_song l USING (entry_id) LEFT JOIN fv_song USING (song_id) GROUP BY 1""")
@@ -261,10 +289,14 @@ def missing_in_library(v):
     return agg.work_chart_score(v.entry, v.link).join(owned(v), "work_key", "left_anti")
 
 
-@query("""SELECT run_id, count(DISTINCT rank) AS n_ranks, 40 AS expected, greatest(0, 40 - count(DISTINCT rank)) AS shortage, count(DISTINCT rank) >= 36 AND count(DISTINCT rank) > 0 AS ok
-  FROM fv_entry GROUP BY 1""")
+EXTRA_VIEWS["fv_expected"] = "SELECT chart_id, 20 * length(chart_id) AS expected FROM fv_chart WHERE chart_id <> 'building'"
+
+
+@query("""SELECT run_id, n_ranks, CAST(expected AS INTEGER) AS expected, CASE WHEN expected IS NOT NULL THEN greatest(0, expected - n_ranks) END AS shortage, n_ranks > 0 AND (expected IS NULL OR n_ranks >= CAST(trunc(expected * 0.9) AS INTEGER)) AS ok
+  FROM (SELECT run_id, chart_id, count(DISTINCT rank) AS n_ranks FROM fv_entry GROUP BY 1, 2) LEFT JOIN fv_expected USING (chart_id)""")
 def count_sanity(v):
-    return quality.count_sanity(v.entry_once, 40)
+    expected = v.chart.filter("chart_id <> 'building'").select("chart_id", (20 * F.length("chart_id")).alias("expected"))
+    return quality.count_sanity(v.entry_once, expected)
 
 
 @query("""SELECT r.run_id, r.chart_id, r.period, coalesce(overlap, 1.0) AS overlap, coalesce(overlap, 1.0) >= 0.5 AS ok FROM fv_run r
@@ -307,6 +339,11 @@ def rank_gaps(v):
     return quality.rank_gaps(v.link)
 
 
+@query("SELECT run_id, CAST(CASE WHEN partkey % 19 = 0 THEN rank + 1 ELSE rank END AS INTEGER) AS rank, count(*) AS n FROM fv_link GROUP BY 1, 2 HAVING count(*) > 1")
+def repeated_ranks(v):
+    return quality.repeated_ranks(v.link.withColumn("rank", F.when(F.col("partkey") % 19 == 0, F.col("rank") + 1).otherwise(F.col("rank"))))
+
+
 @query("SELECT run_id, chart_id, period FROM fv_run WHERE make_date(CAST(substr(period, 1, 4) AS INTEGER), 12, 25) <= DATE '1998-12-26'")
 def future_edition_guard(v):
     return quality.available_editions(v.run, "1998-12-26")

@@ -10,19 +10,31 @@ from chartloom.operators import aggregates as agg
 from chartloom.operators import decisions as dc
 from chartloom.operators import ingest as ig
 from chartloom.operators import resolution as rs
-from chartloom.plans.analytics import ENTRY_SCORES, POSITIONS, WORK_SCORE
+from chartloom.plans.analytics import ENTRY_SCORES, POSITIONS, WORK_SCORE, weekly
 from chartloom.plans.registry import EXTRA_VIEWS, query
 from chartloom.plans.text import styled, texts, titles
 from chartloom.sources.shared import materialize
 
 
-@query("""SELECT substr(sha256(chart_id || ':' || period), 1, 16) AS run_id, substr(sha256(string_agg(x, chr(10) ORDER BY x)), 1, 16) AS source_hash, count(*) AS n_entries
-  FROM (SELECT chart_id, period, lpad(CAST(rank AS VARCHAR), 6, '0') || '|' || artist_raw || '|' || title_raw AS x FROM fv_entry)
-  GROUP BY chart_id, period""")
+EXTRA_VIEWS["fv_block"] = """SELECT chart_id, period, (rank - 1) // 1000 AS block, count(*) AS n,
+    sha256(string_agg(rank || '|' || coalesce(length(artist_raw) || ':' || artist_raw, '-') || '|' || coalesce(length(title_raw) || ':' || title_raw, '-'), chr(10) ORDER BY rank)) AS block_hash
+  FROM fv_entry GROUP BY 1, 2, 3"""
+EXTRA_VIEWS["fv_block_later"] = EXTRA_VIEWS["fv_block"].replace("fv_entry", "(SELECT chart_id, period, rank, CASE WHEN partkey % 211 = 0 THEN NULL ELSE artist_raw END AS artist_raw, title_raw FROM fv_entry WHERE NOT (period = '1995-02' AND rank > 5))")
+
+
+@query("""SELECT substr(sha256(chart_id || ':' || period), 1, 16) AS run_id, substr(sha256(string_agg(block || ':' || block_hash, chr(10) ORDER BY block)), 1, 16) AS source_hash, CAST(sum(n) AS BIGINT) AS n_entries
+  FROM fv_block GROUP BY chart_id, period""")
 def ingest_run(v):
     return ig.content_hash(v.entry_once).select(ids.run_id(F.col("chart_id"), F.col("period")).alias("run_id"), "source_hash", "n_entries")
 
 
+@query("""SELECT chart_id, period, block, CASE WHEN a.block_hash IS NULL THEN 'added' WHEN b.block_hash IS NULL THEN 'removed' ELSE 'changed' END AS change
+  FROM fv_block a FULL JOIN fv_block_later b USING (chart_id, period, block) WHERE a.block_hash IS DISTINCT FROM b.block_hash""")
+def changed_blocks(v):
+    later = v.entry.filter("not (period = '1995-02' and rank > 5)").withColumn("artist_raw", F.when(F.col("partkey") % 211 != 0, F.col("artist_raw")))
+    return ig.changed_blocks(v.entry, later)
+
+
 @query("SELECT run_id, rank, substr(sha256(run_id || ':' || rank), 1, 16) AS plain, substr(sha256(run_id || ':' || rank || ':A'), 1, 16) AS sided FROM fv_entry")
 def entry_id(v):
     return v.entry_once.select("run_id", "rank", ids.entry_id(F.col("run_id"), F.col("rank")).alias("plain"), ids.entry_id(F.col("run_id"), F.col("rank"), F.lit("A")).alias("sided"))
@@ -115,11 +127,17 @@ def missing_periods(v):
 
 
 @query("""SELECT c.chart_id, y || '-W' || lpad(CAST(w AS VARCHAR), 2, '0') AS period FROM fv_chart c
-  CROSS JOIN (SELECT y, unnest(range(1, week(make_date(y, 12, 28)) + 1)) AS w FROM (SELECT CAST(unnest(range(1995, 1999)) AS INTEGER) AS y))
-  WHERE w % 2 = 1 OR w > 40""")
+  CROSS JOIN (SELECT y, unnest(range(1, least(CASE WHEN y = 1998 THEN week(DATE '1998-09-10') ELSE 53 END, week(make_date(y, 12, 28))) + 1)) AS w FROM (SELECT CAST(unnest(range(1995, 1999)) AS INTEGER) AS y))
+  WHERE NOT EXISTS (SELECT 1 FROM fv_weekly r WHERE r.chart_id = c.chart_id AND r.period = y || '-W' || lpad(CAST(w AS VARCHAR), 2, '0'))""")
 def missing_weeks(v):
-    have = v.chart.select("chart_id", F.explode(F.sequence(F.lit(1995), F.lit(1998))).alias("y")).select("chart_id", "y", F.explode(F.sequence(F.lit(2), F.lit(40), F.lit(2))).alias("w"))
-    return ig.missing_weeks(have.select("chart_id", F.format_string("%04d-W%02d", "y", "w").alias("period")), v.chart, 1995, 1998)
+    return ig.missing_weeks(weekly(v).select("chart_id", "period").distinct(), v.chart, 1995, 2001, "1998-09-10")
+
+
+@query("""SELECT c.chart_id, CAST(y AS VARCHAR) AS period FROM fv_chart c CROSS JOIN (SELECT unnest(range(1990, 1999)) AS y)
+  WHERE NOT EXISTS (SELECT 1 FROM fv_run r WHERE r.chart_id = c.chart_id AND r.period[1:4] = CAST(y AS VARCHAR))""")
+def missing_years(v):
+    yearly = v.run.select("chart_id", F.substring("period", 1, 4).alias("period")).distinct()
+    return ig.missing_years(yearly, v.chart, 1990, 2005, "1998-12-31")
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 AND p_brand <> 'Brand#0' THEN p_brand ELSE 'Brand#0' END AS artist, p_name AS title,
@@ -206,10 +224,12 @@ def decision_history(v):
     return dc.store(stored(v), fresh(v), F.lit(200))[1]
 
 
-@query("SELECT file_id, CASE WHEN CAST(file_id[2:] AS BIGINT) % 4 = 1 THEN 'stale_rules' ELSE state END AS state, CAST(file_id[2:] AS BIGINT) % 7 = 1 AS pinned FROM fv_stored")
+@query("""SELECT file_id, CASE WHEN k % 3 <> 0 AND k % 4 = 1 THEN 'stale_rules' ELSE state END AS state, k % 3 <> 0 AND k % 7 = 1 AS pinned
+  FROM (SELECT *, CAST(file_id[2:] AS BIGINT) AS k FROM fv_stored)""")
 def pin_decision(v):
     n = F.expr("cast(substr(file_id, 2) as bigint)")
-    changes = stored(v).select("file_id", F.when(n % 4 == 1, "stale_rules").alias("new_state"), (n % 7 == 1).alias("pinned"))
+    changes = stored(v).filter(n % 3 != 0).select("file_id", F.when(n % 4 == 1, "stale_rules").alias("new_state"), (n % 7 == 1).alias("pinned"))
+    changes = changes.unionByName(changes.filter("pinned").withColumn("pinned", F.lit(False)))
     return dc.pin(stored(v), changes).select("file_id", "state", "pinned")
 
 
@@ -271,16 +291,20 @@ def override_rules(v):
 
 EXTRA_VIEWS |= {
     "fv_answer": """SELECT entity_id, CASE WHEN k % 10 = 0 THEN 'g-unknown' ELSE rg END AS rg_mbid, CASE WHEN k % 4 = 0 THEN 'l-unknown' END AS release_mbid, (k % 100) / 100.0 AS confidence, k
-  FROM (SELECT entity_id, max(rg_mbid) AS rg, CAST(entity_id[2:] AS BIGINT) AS k FROM fv_candidate GROUP BY 1)""",
+  FROM (SELECT entity_id, max(rg_mbid) AS rg, CAST(entity_id[2:] AS BIGINT) AS k FROM fv_candidate GROUP BY 1)
+  UNION ALL SELECT entity_id, min(rg_mbid), NULL, 0.86 + (CAST(entity_id[2:] AS BIGINT) % 20) / 100.0, CAST(entity_id[2:] AS BIGINT) FROM fv_candidate WHERE CAST(entity_id[2:] AS BIGINT) % 9 = 0 GROUP BY 1""",
     "fv_outcome": """SELECT entity_id, rg_mbid, release_mbid, confidence, CASE WHEN rg_mbid = 'g-unknown' OR release_mbid IS NOT NULL THEN 'error' WHEN confidence >= 0.85 THEN 'accepted' WHEN confidence >= 0.6 THEN 'review' ELSE 'rejected' END AS outcome FROM fv_answer""",
-    "fv_review": """SELECT entity_id AS review_id, entity_id, rg_mbid, CASE WHEN k % 2 = 0 THEN 't' || k END AS track_key, CASE WHEN k % 3 = 0 THEN 'llm' ELSE 'rules' END AS source, CAST(CASE WHEN k % 5 = 0 THEN 50 END AS INTEGER) AS reviewed_at, k FROM fv_answer""",
+    "fv_review": """SELECT entity_id AS review_id, entity_id, rg_mbid, CASE WHEN k % 2 = 0 THEN 't' || k END AS track_key, CASE WHEN k % 3 = 0 THEN 'llm' ELSE 'rules' END AS source, CAST(CASE WHEN k % 5 = 0 THEN 50 END AS INTEGER) AS reviewed_at, k FROM (SELECT entity_id, min(rg_mbid) AS rg_mbid, min(k) AS k FROM fv_answer GROUP BY 1)""",
 }
 
 
 def answers(v):
+    """One answer per entity, and on some a surer one for another group."""
     k = F.expr("cast(substr(entity_id, 2) as bigint)")
-    rows = v.candidate.groupBy("entity_id").agg(F.max("rg_mbid").alias("rg"))
-    return rows.select("entity_id", F.when(k % 10 == 0, "g-unknown").otherwise(F.col("rg")).alias("rg_mbid"), F.when(k % 4 == 0, "l-unknown").alias("release_mbid"), ((k % 100) / 100.0).alias("confidence"), k.alias("k"))
+    rows = v.candidate.groupBy("entity_id").agg(F.max("rg_mbid").alias("rg"), F.min("rg_mbid").alias("other"))
+    one = rows.select("entity_id", F.when(k % 10 == 0, "g-unknown").otherwise(F.col("rg")).alias("rg_mbid"), F.when(k % 4 == 0, "l-unknown").alias("release_mbid"), ((k % 100) / 100.0).alias("confidence"), k.alias("k"))
+    more = rows.filter(k % 9 == 0).select("entity_id", F.col("other").alias("rg_mbid"), F.lit(None).cast("string").alias("release_mbid"), (0.86 + (k % 20) / 100.0).alias("confidence"), k.alias("k"))
+    return one.unionByName(more)
 
 
 def outcomes(v):
@@ -289,7 +313,8 @@ def outcomes(v):
 
 def reviews(v):
     k = F.col("k")
-    return answers(v).select(F.col("entity_id").alias("review_id"), "entity_id", "rg_mbid", F.when(k % 2 == 0, F.concat(F.lit("t"), k)).alias("track_key"), F.when(k % 3 == 0, "llm").otherwise("rules").alias("source"), F.when(k % 5 == 0, 50).alias("reviewed_at"), "k")
+    one = answers(v).groupBy("entity_id").agg(F.min("rg_mbid").alias("rg_mbid"), F.min("k").alias("k"))
+    return one.select(F.col("entity_id").alias("review_id"), "entity_id", "rg_mbid", F.when(k % 2 == 0, F.concat(F.lit("t"), k)).alias("track_key"), F.when(k % 3 == 0, "llm").otherwise("rules").alias("source"), F.when(k % 5 == 0, 50).alias("reviewed_at"), "k")
 
 
 def actions(v):
@@ -304,12 +329,21 @@ def adjudication_outcome(v):
     return outcomes(v)
 
 
-@query("""SELECT d.entity_id, CASE WHEN hit THEN o.rg_mbid ELSE crg END AS crg, CASE WHEN hit THEN 'CRG:LLM_ADJUDICATION' ELSE crg_rationale END AS crg_rationale,
-    CASE WHEN hit THEN 'decided' ELSE state END AS state
-  FROM (SELECT d.*, o.rg_mbid, d.state = 'indeterminate' AND coalesce(o.outcome = 'accepted', false) AS hit FROM fv_decision d
-  LEFT JOIN fv_outcome o USING (entity_id)) d LEFT JOIN fv_outcome o USING (entity_id)""")
+EXTRA_VIEWS["fv_best_answer"] = "SELECT entity_id, outcome, rg_mbid, release_mbid, confidence FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, outcome ORDER BY confidence DESC, rg_mbid NULLS FIRST, release_mbid NULLS FIRST) AS n FROM fv_outcome) WHERE n = 1"
+
+
+@query("""SELECT d.entity_id, CASE WHEN hit THEN a_rg ELSE crg END AS crg, CASE WHEN hit THEN a_rel ELSE rr END AS rr, CASE WHEN hit THEN 'CRG:LLM_ADJUDICATION' ELSE crg_rationale END AS crg_rationale,
+    CASE WHEN hit THEN 'RR:LLM_ADJUDICATION' ELSE rr_rationale END AS rr_rationale, CASE WHEN hit THEN 'decided' ELSE state END AS state
+  FROM (SELECT d.*, o.rg_mbid AS a_rg, o.release_mbid AS a_rel, d.state = 'indeterminate' AND o.entity_id IS NOT NULL AS hit FROM fv_decision d
+  LEFT JOIN (SELECT * FROM fv_best_answer WHERE outcome = 'accepted') o USING (entity_id)) d""")
 def adjudication_apply(v):
-    return dc.apply_outcomes(v.decision, outcomes(v)).select("entity_id", "crg", "crg_rationale", "state")
+    return dc.apply_outcomes(v.decision, outcomes(v)).select("entity_id", "crg", "rr", "crg_rationale", "rr_rationale", "state")
+
+
+@query("""SELECT substr(sha256('llm:' || entity_id || ':' || coalesce(rg_mbid, '') || ':' || coalesce(release_mbid, '')), 1, 16) AS review_id, entity_id, 'llm_review' AS source, rg_mbid, release_mbid, confidence
+  FROM fv_best_answer WHERE outcome = 'review' AND entity_id NOT IN (SELECT entity_id FROM fv_best_answer WHERE outcome = 'accepted') AND entity_id IN (SELECT entity_id FROM fv_decision WHERE state = 'indeterminate')""")
+def adjudication_reviews(v):
+    return dc.review_items(v.decision, outcomes(v))
 
 
 @query("""SELECT CASE WHEN track_key IS NOT NULL THEN 'track' ELSE 'file' END AS scope, coalesce(track_key, entity_id) AS scope_key, rg_mbid AS target_rg
@@ -345,8 +379,7 @@ def review_stats(v):
 
 @query("""SELECT 's' || (k % 5) AS session_id, count(*) FILTER (outcome = 'accepted') AS accepted, count(*) FILTER (outcome = 'review') AS review,
     count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'error') AS error, count(*) AS processed,
-    round(count(*) FILTER (outcome = 'accepted') * 100.0 / count(*), 6) AS success_pct FROM fv_outcome JOIN (SELECT entity_id, k
-  FROM fv_answer) USING (entity_id) GROUP BY 1""")
+    round(count(*) FILTER (outcome = 'accepted') * 100.0 / count(*), 6) AS success_pct FROM (SELECT *, CAST(entity_id[2:] AS BIGINT) AS k FROM fv_outcome) GROUP BY 1""")
 def batch_session_stats(v):
     return dc.session_stats(outcomes(v).withColumn("session_id", F.concat(F.lit("s"), F.expr("cast(substr(entity_id, 2) as bigint)") % 5)))
 

@@ -209,9 +209,9 @@ EXTRA_VIEWS |= {
     "fv_h1": """SELECT *, CASE WHEN popularity >= 70 THEN least(0.99, confidence + 0.05) WHEN popularity >= 50 THEN least(0.99, confidence + 0.03) WHEN popularity >= 30 THEN least(0.99, confidence + 0.01) ELSE confidence END AS c1,
     CASE WHEN popularity >= 70 THEN 'very_popular' WHEN popularity >= 50 THEN 'popular' WHEN popularity >= 30 THEN 'moderate' END AS tier, lower(trim(artist_name)) || '|' || lower(trim(title)) AS key, split_part(source, '_', 1) AS prefix,
     trim(replace(replace(replace(replace(replace(lower(label), ' records', ''), ' music', ''), ' entertainment', ''), ' inc.', ''), ' ltd.', '')) AS lab FROM fv_hit""",
-    "fv_h2": """SELECT *, CASE WHEN n < 2 OR y1 IS NULL THEN c1 WHEN y2 - y1 <= 1 THEN least(0.99, c1 + 0.05) ELSE greatest(0.0, c1 - 0.10) END AS c2, CASE WHEN n >= 2 AND y2 - y1 > 1 THEN y1 || '-' || y2 END AS date_range
+    "fv_h2": """SELECT *, CASE WHEN key = '|' OR n < 2 OR y1 IS NULL THEN c1 WHEN y2 - y1 <= 1 THEN least(0.99, c1 + 0.05) ELSE greatest(0.0, c1 - 0.10) END AS c2, CASE WHEN key <> '|' AND n >= 2 AND y2 - y1 > 1 THEN y1 || '-' || y2 END AS date_range
   FROM (SELECT *, count(*) OVER w AS n, min(CAST(year AS INTEGER)) OVER w AS y1, max(CAST(year AS INTEGER)) OVER w AS y2 FROM fv_h1 WINDOW w AS (PARTITION BY key))""",
-    "fv_h3": """SELECT h.*, CASE WHEN lab IS NOT NULL AND n_src >= 2 AND n_lab = 1 THEN least(0.99, c2 + 0.03) ELSE c2 END AS c3
+    "fv_h3": """SELECT h.*, CASE WHEN key <> '|' AND lab IS NOT NULL AND n_src >= 2 AND n_lab = 1 THEN least(0.99, c2 + 0.03) ELSE c2 END AS c3
   FROM fv_h2 h LEFT JOIN (SELECT key, count(*) AS n_src, count(DISTINCT last_label) AS n_lab FROM (SELECT key, prefix, arg_max(lab, hit_id) AS last_label FROM fv_h2 WHERE lab IS NOT NULL GROUP BY 1, 2) GROUP BY 1) USING (key)""",
 }
 
@@ -247,7 +247,7 @@ def label_validation(v):
     return sc.label_validation(sc.date_validation(sc.popularity_boost(v.hit))).select("hit_id", F.round("confidence", 6).alias("confidence"))
 
 
-@query("""SELECT hit_id, n_sources, round(CASE WHEN n_sources >= 3 THEN least(0.99, c3 + 0.15) WHEN n_sources >= 2 THEN least(0.99, c3 + 0.10) ELSE c3 END, 6) AS confidence
+@query("""SELECT hit_id, CASE WHEN key <> '|' THEN n_sources END AS n_sources, round(CASE WHEN key = '|' THEN c3 WHEN n_sources >= 3 THEN least(0.99, c3 + 0.15) WHEN n_sources >= 2 THEN least(0.99, c3 + 0.10) ELSE c3 END, 6) AS confidence
   FROM fv_h3 JOIN (SELECT key, count(DISTINCT prefix) AS n_sources FROM fv_h1 GROUP BY 1) USING (key)""")
 def multi_source_boost(v):
     return sc.score_hits(v.hit).select("hit_id", "n_sources", F.round("confidence", 6).alias("confidence"))

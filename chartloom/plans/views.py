@@ -179,7 +179,7 @@ class Views:
 
     @cached_property
     def hit(self) -> DataFrame:
-        """Search hits of three sources for the parts that they know."""
+        """Search hits of three sources for the parts that they know, some without names."""
         p = self.table("part")
         year = lambda shift: F.when(F.col("p_partkey") % 13 != 0, (1980 + (F.col("p_partkey") + shift) % 40).cast("string"))
         label = F.concat(F.initcap("p_type"), F.when(F.col("p_partkey") % 2 == 0, " Records").otherwise(" Ltd"))
@@ -188,8 +188,8 @@ class Views:
             return p.filter(F.col("p_partkey") % modulus == 0).select(
                 F.concat_ws("-", F.lit(name), F.col("p_partkey").cast("string")).alias("hit_id"),
                 F.lit(name).alias("source"),
-                F.col("p_name").alias("title"),
-                F.col("p_brand").alias("artist_name"),
+                F.when(F.col("p_partkey") % 17 == 0, " ").otherwise(F.col("p_name")).alias("title"),
+                F.when(F.col("p_partkey") % 17 == 0, "").otherwise(F.col("p_brand")).alias("artist_name"),
                 isrc.alias("isrc"),
                 label.alias("label"),
                 year(shift).alias("year"),
@@ -225,7 +225,7 @@ def _date(d: str, key: str) -> str:
 
 
 def _hits(name: str, modulus: int, base: float, shift: int, isrc: str, popularity: str) -> str:
-    return f"""SELECT '{name}-' || p_partkey AS hit_id, '{name}' AS source, p_name AS title, p_brand AS artist_name, {isrc} AS isrc,
+    return f"""SELECT '{name}-' || p_partkey AS hit_id, '{name}' AS source, CASE WHEN p_partkey % 17 = 0 THEN ' ' ELSE p_name END AS title, CASE WHEN p_partkey % 17 = 0 THEN '' ELSE p_brand END AS artist_name, {isrc} AS isrc,
     upper(p_type[1]) || lower(p_type[2:]) || CASE WHEN p_partkey % 2 = 0 THEN ' Records' ELSE ' Ltd' END AS label,
     CASE WHEN p_partkey % 13 <> 0 THEN CAST(1980 + (p_partkey + {shift}) % 40 AS VARCHAR) END AS year,
     CAST({popularity} AS INTEGER) AS popularity, CAST({base} AS DOUBLE) AS confidence
