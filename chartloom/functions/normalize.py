@@ -44,18 +44,27 @@ MAX_PASSES = 5
 FOLDS = {"ß": "ss", "ς": "σ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ŉ": "ʼn"}
 
 
-def _plain_letters() -> tuple[str, str]:
-    """Lower-case letters with marks, and the letters without: those that decompose into one letter and marks."""
-    marked, plain = [], []
-    for code in range(0xC0, 0x2000):
-        parts = [c for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c) != "Mn"]
-        if len(parts) == 1 and parts[0] != chr(code) and chr(code) not in LETTERS:
+#: Syllables of Hangul, and what they are made of by arithmetic: leading, vowel and trailing letters, 19 * 21 * 28 combinations.
+HANGUL, LEADS, VOWELS, TRAILS = "가-힣", "".join(map(chr, range(0x1100, 0x1113))), "".join(map(chr, range(0x1161, 0x1176))), "".join(map(chr, range(0x11A8, 0x11C3)))
+
+
+def _plain_letters() -> tuple[str, str, dict[str, str]]:
+    """Letters with marks, and the letters without, for those that decompose into one letter and marks; and those that decompose into several letters, but Hangul."""
+    marked, plain, several = [], [], {}
+    for code in range(0xC0, 0x110000):
+        if 0xD800 <= code < 0xE000 or 0xAC00 <= code <= 0xD7A3 or chr(code) in LETTERS:
+            continue
+        whole = unicodedata.normalize("NFD", chr(code))
+        parts = [c for c in whole if unicodedata.category(c) != "Mn"]
+        if len(parts) == 1 and parts[0] != chr(code):
             marked.append(chr(code))
             plain.append(parts[0])
-    return "".join(marked), "".join(plain)
+        elif len(parts) > 1:
+            several[chr(code)] = "".join(parts)
+    return "".join(marked), "".join(plain), several
 
 
-MARKED, PLAIN = _plain_letters()
+MARKED, PLAIN, SEVERAL = _plain_letters()
 
 
 def squeeze(text: Column) -> Column:
@@ -81,7 +90,18 @@ def strip_diacritics(text: Column) -> Column:
             text = F.replace(text, F.lit(letter), F.lit(to))
     singles = [k for k, to in LETTERS.items() if len(to) == 1]
     text = F.translate(text, MARKED + "".join(singles), PLAIN + "".join(LETTERS[k] for k in singles))
-    return F.regexp_replace(text, r"\p{Mn}", "")
+    text = F.regexp_replace(text, r"\p{Mn}", "")
+    # Texts with syllables, or with vowels of several letters, go letter by letter.
+    several = F.create_map(*[F.lit(x) for pair in SEVERAL.items() for x in pair])
+    letters = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(f"[{HANGUL}]"), _syllable(F.ascii(c) - 0xAC00)).otherwise(F.coalesce(F.try_element_at(several, c), c)))
+    return F.when(text.rlike(f"[{HANGUL}{''.join(SEVERAL)}]"), F.array_join(letters, "")).otherwise(text)
+
+
+def _syllable(n: Column) -> Column:
+    """The letters of the syllable of Hangul with this number."""
+    at = lambda letters, i: F.substr(F.lit(letters), i.cast("int"), F.lit(1))
+    trail = F.when(n % 28 == 0, "").otherwise(at(TRAILS, n % 28))
+    return F.concat(at(LEADS, F.floor(n / 588) + 1), at(VOWELS, F.floor(n % 588 / 28) + 1), trail)
 
 
 def compact(text: Column) -> Column:

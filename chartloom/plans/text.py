@@ -18,7 +18,7 @@ TITLES = [
     "%s", "%s (Radio Edit)", "%s - Remastered 2011", "%s (Live at Paris) [Remastered 2009]", "From \"Film\" %s", "  %s (feat. Ann É) ", "%s (Karaoke Version)",
     "%s [Medley]", "%s (Club Mix)", "Ünder %s…", "%s (12\" Mix)", "%s - Live at Rome", "the (Live)", "%s (Taylor's Version)", "%s / Other %s", "%s ((note)) [x]", "%s - Single Version",
 ]
-ARTISTS = ["%s", "The %s", "%s feat. Guest Ö", "%s & Friend", "P!nk", "The The", "%s; Second", "%s Featuring A ft. B", "Æ %s", "de dijk", "  %s  Band "]
+ARTISTS = ["%s", "The %s", "%s feat. Guest Ö", "%s & Friend", "P!nk", "The The", "%s; Second", "%s Featuring A ft. B", "Æ %s", "がガバ Ệ %s", "de dijk", "  %s  Band "]
 POSITIONS = ["(12)", "7", "-", "re", "nieuw", " ", "0", "(3"]
 
 

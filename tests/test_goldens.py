@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -261,3 +262,13 @@ def test_one_action_completes_a_review(spark):
     done, history, overrides = dc.complete_reviews(queue, actions)
     assert sorted((r.review_id, r.reviewed_at) for r in done.collect()) == [("v1", 10), ("v2", 5)]
     assert [tuple(r) for r in history.collect()] == [("v1", "accept", 10)] and [tuple(r) for r in overrides.collect()] == [("track", "t1", "g1")]
+
+
+def test_marks_are_split_off_over_all_letters(spark):
+    """Every letter that decomposes, Hangul and vowels of several letters among them, against the standard's decomposition."""
+    letters = [chr(c) for c in range(0xC0, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFD", chr(c)) != chr(c) and chr(c) not in nz.LETTERS]
+    words = ["".join(letters[i : i + 40]) for i in range(0, len(letters), 40)] + ["が ガ バ", "한국어 노래", "각 가 힣", "Việt Nam", "plain"]
+    got = spark.createDataFrame([(w,) for w in words], "t string").select("t", nz.strip_diacritics(F.col("t")).alias("p")).collect()
+    assert len(got) == len(words)
+    for r in got:
+        assert r.p == "".join(c for c in unicodedata.normalize("NFD", r.t) if unicodedata.category(c) != "Mn"), r.t
