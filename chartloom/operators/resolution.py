@@ -1,7 +1,7 @@
 """Canonical release group and representative release of every entity, by rules over whole tables.
 
 Candidates are one row per (entity, release group). Each rule is a count and a choice among the rows at some earliest date, so
-all rules together need one window pass for the dates and one aggregation for what stands at them. Dates are texts of mixed precision
+all rules together need one aggregate that merges (earliest()), and no window. Dates are texts of mixed precision
 and compare as texts; only the lead window pads them.
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartloom.sources.shared import materialize
+
 #: Which kind of release group is looked at first.
 BUCKETS = ["studio_album", "ep", "soundtrack", "single", "other"]
 
@@ -33,31 +35,41 @@ def timeline_facts(candidates: DataFrame) -> DataFrame:
     return distinct_candidates(candidates).groupBy("entity_id").agg(first("Album").alias("album_date"), first("Single", "EP").alias("single_ep_date"), first("Soundtrack").alias("soundtrack_date"))
 
 
+def earliest(rows: DataFrame, by: list[str], kinds: dict[str, Column], key: str, counts: dict[str, Column] | None = None) -> DataFrame:
+    """For each kind of rows (name -> condition) of a group the earliest date d_, the number of rows n_ at that date and their least key rg_.
+
+    The triple is an aggregate that merges: rows are added up by group and date, then of the dates the first one that a kind has is
+    taken, both where the rows are read before anything is shuffled. No window, and no group in one place. counts are further sums.
+    """
+    counts = counts or {}
+    dated = {k: F.coalesce(c, F.lit(False)) & F.col("date").isNotNull() for k, c in kinds.items()}
+    at_date = [x for k, c in dated.items() for x in (F.count_if(c).alias(f"n_{k}"), F.min(F.when(c, F.col(key))).alias(f"rg_{k}"))]
+    days = rows.groupBy(*by, "date").agg(*at_date, *[F.sum(c).alias(f"sum_{k}") for k, c in counts.items()])
+    when = {k: F.when(F.col(f"n_{k}") > 0, F.col("date")) for k in kinds}
+    first = [x for k, d in when.items() for x in (F.min(d).alias(f"d_{k}"), F.coalesce(F.min_by(f"n_{k}", d), F.lit(0)).alias(f"n_{k}"), F.min_by(f"rg_{k}", d).alias(f"rg_{k}"))]
+    return days.groupBy(*by).agg(*first, *[F.sum(f"sum_{k}").alias(k) for k in counts])
+
+
 def rule_facts(candidates: DataFrame) -> DataFrame:
-    """One row per entity with all dates, counts and choices that the rules use."""
-    w = Window.partitionBy("entity_id")
-    kind, comp, date = F.col("primary_type"), F.col("is_compilation"), F.col("date")
-    allowed = ~comp | (F.count_if(~comp).over(w) == 0)
-    groups = {
-        "all": F.lit(True),
-        "soundtrack": kind == "Soundtrack",
-        "album": (kind == "Album") & ~comp,
-        "single": kind.isin("Single", "EP") & ~comp,
-        "live": kind == "Live",
-        "nonlive": kind != "Live",
-        "fair": F.col("allowed"),
-    }
-    rows = distinct_candidates(candidates).withColumn("allowed", allowed)
-    rows = rows.withColumns({f"d_{g}": F.min(F.when(c, date)).over(w) for g, c in groups.items()})
-    at = lambda g, extra=None: groups[g] & (date == F.col(f"d_{g}")) & (F.lit(True) if extra is None else extra)
-    picks = {g: at(g) for g in ("soundtrack", "album", "single", "live", "fair")} | {
-        "fair_album": at("fair", kind == "Album"),
-        "fair_single": at("fair", kind.isin("Single", "EP")),
-    }
-    out = [F.first(f"d_{g}").alias(f"d_{g}") for g in groups]
-    for g, c in picks.items():
-        out += [F.count_if(c).alias(f"n_{g}"), F.min(F.when(c, F.col("rg_mbid"))).alias(f"rg_{g}")]
-    return rows.groupBy("entity_id").agg(F.count("*").alias("n_rgs"), *out)
+    """One row per entity with all dates, counts and choices that the rules use; see earliest().
+
+    Fair are the groups that are no compilations, or all if there are only compilations.
+    """
+    kind, comp = F.col("primary_type"), F.col("is_compilation")
+    album, single = kind == "Album", kind.isin("Single", "EP")
+    kinds = {
+        "all": F.lit(True), "soundtrack": kind == "Soundtrack", "album": album & ~comp, "single": single & ~comp, "live": kind == "Live", "nonlive": kind != "Live",
+        "own": ~comp, "all_album": album, "all_single": single,
+    }
+    one = F.lit(1).cast("long")
+    facts = earliest(distinct_candidates(candidates), ["entity_id"], kinds, "rg_mbid", {"n_rgs": one, "own_rgs": F.when(~comp, one).otherwise(0)})
+    own = F.col("own_rgs") > 0
+    either = lambda mine, other: F.when(own, mine).otherwise(other)
+    # Kinds at the fair date: their own earliest date is no earlier than it, so they stand at it if it is the same.
+    at_fair = lambda k, a: F.when(F.col(f"d_{k}") == F.col("d_fair"), F.col(f"{a}_{k}"))
+    facts = facts.withColumns({f"{a}_fair": either(F.col(f"{a}_own"), F.col(f"{a}_all")) for a in ("d", "n", "rg")})
+    of = lambda mine, other, a: either(at_fair(mine, a), at_fair(other, a))
+    return facts.withColumns({"n_fair_album": F.coalesce(of("album", "all_album", "n"), F.lit(0)), "rg_fair_album": of("album", "all_album", "rg"), "n_fair_single": F.coalesce(of("single", "all_single", "n"), F.lit(0))})
 
 
 def delta_days() -> Column:
@@ -96,9 +108,7 @@ def rule_same_date() -> Column:
 def rule_intent(candidates: DataFrame, wanted: str) -> DataFrame:
     """The earliest group that fits a file's intent, `single` or `remix`, alone at its date. Off in the chain of rules unless asked for."""
     kinds = F.col("primary_type").isin("Single", "EP") if wanted == "single" else F.col("primary_type").isin("Remix", "DJ-mix")
-    w = Window.partitionBy("entity_id")
-    fit = distinct_candidates(candidates).filter(kinds & F.col("date").isNotNull()).withColumn("first", F.min("date").over(w)).filter("date = first")
-    return fit.groupBy("entity_id").agg(F.count("*").alias("n"), F.min("rg_mbid").alias("rg_mbid")).filter("n = 1").select("entity_id", "rg_mbid")
+    return earliest(distinct_candidates(candidates), ["entity_id"], {"fit": kinds}, "rg_mbid").filter("n_fit = 1").select("entity_id", F.col("rg_fit").alias("rg_mbid"))
 
 
 def select_crg(candidates: DataFrame, lead_days: int = 90) -> DataFrame:
@@ -123,16 +133,20 @@ def select_rr(chosen: DataFrame, releases: DataFrame) -> DataFrame:
 
     Official releases, else promotional ones; of these the earliest of the artist's country, else of the world; a tie decides nothing.
     """
-    w = Window.partitionBy("entity_id")
-    rows = chosen.select("entity_id", "crg", F.col("country").alias("origin")).join(releases.select(F.col("rg_mbid").alias("crg"), "release_mbid", "date", "country", "is_official", "is_promo"), "crg", "left")
-    rows = rows.withColumn("official", F.max(F.coalesce("is_official", F.lit(False))).over(w)).withColumn("usable", F.coalesce(F.when(F.col("official"), F.col("is_official")).otherwise(F.col("is_promo")), F.lit(False)))
-    local = F.col("usable") & (F.col("country") == F.col("origin"))
-    rows = rows.withColumns({"d_local": F.min(F.when(local, F.col("date"))).over(w), "d_world": F.min(F.when(F.col("usable"), F.col("date"))).over(w)})
-    at_local, at_world = local & (F.col("date") == F.col("d_local")), F.col("usable") & (F.col("date") == F.col("d_world"))
-    facts = rows.groupBy("entity_id").agg(
-        F.count("release_mbid").alias("n"), F.count_if("usable").alias("n_usable"), F.first("d_local").alias("d_local"), F.first("d_world").alias("d_world"),
-        F.count_if(at_local).alias("n_local"), F.min(F.when(at_local, F.col("release_mbid"))).alias("rr_local"), F.count_if(at_world).alias("n_world"), F.min(F.when(at_world, F.col("release_mbid"))).alias("rr_world"),
-    )
+    rows = releases.select(F.col("rg_mbid").alias("group"), "release_mbid", "date", "country", "is_official", "is_promo")
+    rows = rows.join(chosen.select(F.col("crg").alias("group")).distinct(), "group", "left_semi")
+    kinds = {"official": F.col("is_official"), "promo": F.col("is_promo")}
+    one = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    counts = {"n": F.lit(1).cast("long"), "all_official": one(F.col("is_official")), "all_promo": one(F.col("is_promo"))}
+    # Once for each group, and each group and country; entities meet these few rows, never the releases.
+    world, local = earliest(rows, ["group"], kinds, "release_mbid", counts), earliest(rows.filter("country is not null"), ["group", "country"], kinds, "release_mbid")
+    official = F.col("all_official") > 0
+    usable = lambda a: F.when(official, F.col(f"{a}_official")).otherwise(F.col(f"{a}_promo"))
+    names = {"d": "d", "n": "n", "rg": "rr"}
+    of_world = world.select(F.col("group").alias("crg"), "n", official.alias("has_official"), usable("all").alias("n_usable"), *[usable(a).alias(f"{to}_world") for a, to in names.items()])
+    of_local = local.select(F.col("group").alias("crg"), F.col("country").alias("origin"), *[f"{a}_{k}" for a in names for k in kinds])
+    met = chosen.select("entity_id", "crg", F.col("country").alias("origin")).join(of_world, "crg", "left").join(of_local, ["crg", "origin"], "left")
+    facts = met.withColumns({"n": F.coalesce("n", F.lit(0)), "n_usable": F.coalesce("n_usable", F.lit(0))} | {f"{to}_local": F.when(F.col("has_official"), F.col(f"{a}_official")).otherwise(F.col(f"{a}_promo")) for a, to in names.items()})
     has_local = F.col("d_local").isNotNull()
     rr = F.when(has_local, F.when(F.col("n_local") == 1, F.col("rr_local"))).when(F.col("n_world") == 1, F.col("rr_world"))
     name = F.when(rr.isNull(), "RR:INDETERMINATE").when(has_local, "RR:ORIGIN_COUNTRY_EARLIEST").otherwise("RR:WORLD_EARLIEST")
@@ -146,7 +160,7 @@ def select_rr(chosen: DataFrame, releases: DataFrame) -> DataFrame:
 
 def resolve(candidates: DataFrame, releases: DataFrame, groups: DataFrame, artists: DataFrame, lead_days: int = 90) -> DataFrame:
     """Release group, release, rationales, state and what is missing, one row per entity."""
-    crg = select_crg(candidates, lead_days)
+    crg = materialize(select_crg(candidates, lead_days))
     origin = groups.select(F.col("rg_mbid").alias("crg"), "artist_mbid").join(artists.select("artist_mbid", "country"), "artist_mbid", "left").select("crg", "country")
     rr = select_rr(crg.filter("crg is not null").join(origin, "crg", "left"), releases)
     state = F.when(F.col("rr").isNotNull(), "decided").otherwise("indeterminate")
