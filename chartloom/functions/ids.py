@@ -12,7 +12,9 @@ def short_hash(text: Column, length: int = 16) -> Column:
 
 
 def run_id(chart_id: Column, period: Column) -> Column:
-    return short_hash(F.concat_ws(":", chart_id, period))
+    """chart:period; a missing one is told from an empty one."""
+    part = lambda c: F.coalesce(c, F.lit("\0"))
+    return short_hash(F.concat(part(chart_id), F.lit(":"), part(period)))
 
 
 def entry_id(run: Column, rank: Column, side: Column | None = None) -> Column:

@@ -18,7 +18,7 @@ from chartloom.operators import ingest as ig
 from chartloom.operators import resolution as rs
 from chartloom.operators import search, sides
 from chartloom.sources import snapshots as sn
-from chartloom.streaming.ingest import ENTRY, PartitionedTable, ingest_stream, keyed_entries
+from chartloom.streaming.ingest import ENTRY, CommittedTables, Table, chart_tables, ingest_stream, keyed_entries
 
 
 def titles(spark, values):
@@ -167,26 +167,68 @@ def test_snapshot_sink_replaces_one_period(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    source, table = f"{tmp_path}/in", PartitionedTable(spark, f"{tmp_path}/table", ENTRY + ", run_id string, entry_id string")
+    """Entries, songs and links of all batches, and what a job from all rows at once makes of them."""
+    source, tables = f"{tmp_path}/in", CommittedTables(spark, f"{tmp_path}/tables")
     spark.createDataFrame(RUNS, ENTRY).coalesce(1).write.json(source)
-    ingest_stream(spark, source, table, f"{tmp_path}/cp").awaitTermination()
-    spark.createDataFrame([("c", "2024", 4, "The Beatles", "Let It Be"), ("c", "2024", 5, "New", "Song")], ENTRY).coalesce(1).write.mode("append").json(source)
-    ingest_stream(spark, source, table, f"{tmp_path}/cp").awaitTermination()
-    got = {(r.period, r.rank): r.title_raw for r in table.current().collect()}
-    assert len(got) == 9 and got["2024", 4] == "Let It Be" and got["2024", 5] == "Song"
-
-
-def test_upsert_rewrites_touched_partitions_only(spark, tmp_path):
-    table = PartitionedTable(spark, f"{tmp_path}/t", "k string, v int, chart_id string, period string")
-    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int, chart_id string, period string")
-    table.upsert(rows(("a", 1, "c", "01"), ("b", 2, "c", "02"), ("d", 3, "e", "01")), ["k", "chart_id", "period"])
-    files = lambda: {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    ingest_stream(spark, source, tables, f"{tmp_path}/cp").awaitTermination()
+    later = [("c", "2024", 4, "The Beatles", "Let It Be"), ("c", "2024", 5, "New", "Song (Live)"), ("c", "2024", 6, "X", "Song (Karaoke Version)")]
+    spark.createDataFrame(later, ENTRY).coalesce(1).write.mode("append").json(source)
+    ingest_stream(spark, source, tables, f"{tmp_path}/cp").awaitTermination()
+    got = {(r.period, r.rank): r.title_raw for r in tables.current("entries").collect()}
+    assert len(got) == 10 and got["2024", 4] == "Let It Be" and got["2024", 5] == "Song (Live)"
+    entries = tables.current("entries")
+    linked = {tuple(r) for r in ig.link_entries(entries).select("entry_id", "song_id").collect()}
+    assert {tuple(r) for r in tables.current("links").select("entry_id", "song_id").collect()} >= linked and len(linked) == 9
+    songs = tables.current("songs")
+    assert songs.count() == songs.select("song_id").distinct().count() and {s for _, s in linked} <= {r.song_id for r in songs.collect()}
+
+
+TWO = {"t": Table("k string, v int, chart_id string, period string", ("k", "chart_id", "period"), ("chart_id", "period")), "u": Table("k string, n int, b int", ("k",), ("b",))}
+
+
+def test_commits_change_touched_parts_only(spark, tmp_path):
+    tables = CommittedTables(spark, f"{tmp_path}/t", TWO)
+    rows = lambda *r: spark.createDataFrame(list(r), TWO["t"].schema)
+    other = lambda *r: spark.createDataFrame(list(r), TWO["u"].schema)
+    assert tables.commit({"t": rows(("a", 1, "c", "01"), ("b", 2, "c", "02"), ("d", 3, "e", "01")), "u": other(("x", 1, 0))}, 0)
+    files = lambda: {str(f) for f in tmp_path.rglob("*.parquet")}
     before = files()
-    for _ in range(2):
-        table.upsert(rows(("a", 5, "c", "01"), ("z", 6, "c", "01")), ["k", "chart_id", "period"])
-    assert sorted(map(tuple, table.current().collect())) == [("a", 5, "c", "01"), ("b", 2, "c", "02"), ("d", 3, "e", "01"), ("z", 6, "c", "01")]
-    same = {f for f, t in files().items() if before.get(f) == t}
-    assert {f.parent.name for f in same} == {"period=02", "period=01"} and all("chart_id=c/period=01" not in str(f) for f in same)
+    assert tables.commit({"t": rows(("a", 5, "c", "01"), ("z", 6, "c", "01")), "u": other(("x", 2, 0), ("y", 3, 1))}, 1)
+    want = [("a", 5, "c", "01"), ("b", 2, "c", "02"), ("d", 3, "e", "01"), ("z", 6, "c", "01")]
+    assert sorted(map(tuple, tables.current("t").collect())) == want and before <= files()
+    # The same batch again, and an earlier one: nothing changes.
+    assert not tables.commit({"t": rows(("a", 9, "c", "01"))}, 1) and not tables.commit({"t": rows(("a", 9, "c", "01"))}, 0)
+    assert sorted(map(tuple, tables.current("t").collect())) == want
+    # What no kept version names goes, so that folders don't grow with the number of batches.
+    for n in range(2, 9):
+        tables.commit({"t": rows(("a", n, "c", "01"))}, n)
+    assert len(files()) <= 9 and len(tables.manifests()) == 2 and sorted(map(tuple, tables.current("u").collect())) == [("x", 2, 0), ("y", 3, 1)]
+    assert tables.commit({"t": rows()}, 9) and tables.current("t").count() == 4
+
+
+def test_null_and_empty_partition_values(spark, tmp_path):
+    tables = CommittedTables(spark, f"{tmp_path}/t")
+    for n, rank in enumerate((1, 2)):
+        batch = spark.createDataFrame([(c, p, rank, "A", f"T{rank}") for c in ("", None, "x") for p in ("", None, "2024")], ENTRY)
+        tables.commit(chart_tables(batch), n, "s")
+    got = [(r.chart_id, r.period, r["rank"]) for r in tables.current("entries").collect()]
+    assert sorted(got, key=str) == sorted([(c, p, k) for c in ("", None, "x") for p in ("", None, "2024") for k in (1, 2)], key=str)
+    assert tables.current("links").count() == 18 and tables.current("songs").count() == 2
+
+
+def test_failed_batches_leave_the_tables(spark, tmp_path):
+    """A batch that fails between two tables, and a manifest that was cut off, change nothing; the next attempt does, and clears what they left."""
+    tables = CommittedTables(spark, f"{tmp_path}/t", TWO)
+    rows, other = (lambda v: spark.createDataFrame([("a", v, "c", "01")], TWO["t"].schema)), (lambda n: spark.createDataFrame([("x", n, 0)], TWO["u"].schema))
+    tables.commit({"t": rows(1), "u": other(1)}, 0)
+    bad = other(2).withColumn("n", F.raise_error(F.lit("broken")).cast("int"))
+    with pytest.raises(Exception, match="broken"):
+        tables.commit({"t": rows(2), "u": bad}, 1)
+    (tmp_path / "t/log/000000000002-cut.json").write_text('{"version": 2, "bat')
+    assert [r.v for r in tables.current("t").collect()] == [1] and [r.n for r in tables.current("u").collect()] == [1]
+    assert tables.commit({"t": rows(2), "u": other(2)}, 1)
+    assert [r.v for r in tables.current("t").collect()] == [2] and [r.n for r in tables.current("u").collect()] == [2]
+    assert len(list(tmp_path.rglob("*.parquet"))) == 4
 
 
 def test_table_layout_is_the_pages(spark):
