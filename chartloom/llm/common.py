@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from chartloom.sources.shared import materialize, shared_folder  # noqa: F401
 
@@ -40,14 +41,14 @@ def unit_hash(key: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def sample_rows(df: DataFrame, key: str, by: str, per_class: int, seed: int) -> DataFrame:
-    """About per_class rows of each value of `by`, chosen by a hash of the key.
+def sample_rows(df: DataFrame, key: str, by: str, per_class: int, seed: int, max_classes: int = 256) -> DataFrame:
+    """About per_class rows of each value of `by`, chosen by a hash of the key; of more than max_classes values the most frequent, ties by value.
 
-    The counts of the classes are small; the rows are kept or not where they are read.
+    The counts of the classes are few; the rows are kept or not where they are read.
     Null keys and null classes are left out.
     """
     df = df.filter(F.col(key).isNotNull() & F.col(by).isNotNull())
-    sizes = df.groupBy(by).count().collect()
+    sizes = df.groupBy(by).count().orderBy(F.desc("count"), by).limit(max_classes).collect()
     keep = F.lit(False)
     for r in sizes:
         keep = keep | ((F.col(by) == F.lit(r[by])) & (unit_hash(F.col(key), seed) < F.lit(per_class / r["count"])))
@@ -104,7 +105,8 @@ def keep_by_key(docs: DataFrame, keys: dict[str, Column], losers: DataFrame, rep
     """docs without the rows whose keys are among the losers, and with one row of each repeated key; all columns of docs stay.
 
     keys are expressions over docs; losers and repeated have them as columns of the same names. Null equals null. Rows are sent only
-    to where Spark's join needs them: it broadcasts losers whose size is below its bound, and then nothing else moves.
+    to where Spark's join needs them: it broadcasts losers whose size is below its bound, and then nothing else moves. Of the rows of a repeated
+    key the one with the least hash of all columns is kept (rows of one hash are equal but for a chance of 2**-64), so reruns agree.
     """
     names = docs.columns
     own = free_names(names, *[f"_key_{k}" for k in keys])
@@ -118,6 +120,10 @@ def keep_by_key(docs: DataFrame, keys: dict[str, Column], losers: DataFrame, rep
 
     kept = keyed.join(losers, equal(losers), "left_anti")
     if not repeated.isEmpty():
-        again = kept.join(repeated, equal(repeated), "left_semi").dropDuplicates(own)
+        row, order = free_names([*names, *own], "_row", "_order")
+        hashed = [F.map_entries(f.name) if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`") for f in docs.schema]
+        several = kept.join(repeated, equal(repeated), "left_semi").withColumn(order, F.xxhash64(*hashed))
+        least = several.groupBy(*own).agg(F.min_by(F.struct(*[F.col(f"`{n}`") for n in names]), F.col(order)).alias(row))
+        again = least.select(*own, *[F.col(row)[n].alias(n) for n in names]).select(*kept.columns)
         kept = kept.join(repeated, equal(repeated), "left_anti").unionByName(again)
     return kept.select(*[F.col(f"`{n}`") for n in names])

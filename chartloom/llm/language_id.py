@@ -80,17 +80,18 @@ def predict(texts: list[str | None], names: list[str], table: np.ndarray) -> tup
     return [names[b] if k else "und" for b, k in zip(best, known, strict=True)], score
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 1000, bits: int = 16, seed: int = 11) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 1000, bits: int = 16, seed: int = 11, max_languages: int = 256) -> DataFrame:
     """(id, held_out, lang_pred, score), one row per input row.
 
     The model learns from about sample_per_language rows of each language, chosen by a hash of the id among rows that
-    aren't held out and have a language; the rest of the work covers every row and whole text. A null text and one without
+    aren't held out and have a language, and of more than max_languages languages from the most frequent ones only, so that the model is bounded
+    (65,536 buckets times 256 languages are 67 MB) whatever stands in the column; the rest of the work covers every row and whole text. A null text and one without
     letters are `und` with score 0, and so is every text if no row teaches. Languages and the number of
     buckets bound what is broadcast.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    teach = sample_rows(rows.filter(~held_out(F.col("id")) & F.col("text").isNotNull()), "id", "lang", sample_per_language, seed).select("text", "lang").toArrow()
+    teach = sample_rows(rows.filter(~held_out(F.col("id")) & F.col("text").isNotNull()), "id", "lang", sample_per_language, seed, max_languages).select("text", "lang").toArrow()
     names, table = fit(teach.column("text").to_pylist(), teach.column("lang").to_pylist(), bits)
     model = spark.sparkContext.broadcast((names, table))
 

@@ -66,9 +66,9 @@ The copyright notices in the Software and this entire statement, including the a
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 
 
-def _bsd(title: str, *clauses: str) -> list[str]:
+def _bsd(title: str, *clauses: str, disclaimer: str = BSD_DISCLAIMER) -> list[str]:
     """A BSD licence with numbered clauses or bulleted ones, with and without titles."""
-    bodies = [f"{BSD_GRANT}\n\n" + "\n\n".join(mark.format(i + 1) + c for i, c in enumerate(clauses)) + f"\n\n{BSD_DISCLAIMER}" for mark in ("{0}. ", "* ")]
+    bodies = [f"{BSD_GRANT}\n\n" + "\n\n".join(mark.format(i + 1) + c for i, c in enumerate(clauses)) + f"\n\n{disclaimer}" for mark in ("{0}. ", "* ")]
     heads = ["", f"BSD {title} License\n\n", f"The {title} BSD License\n\n"]
     return [head + body for body in bodies for head in heads]
 
@@ -82,6 +82,7 @@ KNOWN = [
     ("0BSD", "text", f"{ISC_GRANT}.\n\n{ISC_DISCLAIMER}"),
     *[("BSD-2-Clause", "text", body) for body in _bsd("2-Clause", BSD_1, BSD_2)],
     *[("BSD-3-Clause", "text", body) for body in _bsd("3-Clause", BSD_1, BSD_2, BSD_3)],
+    *[("BSD-3-Clause", "text", body) for body in _bsd("3-Clause", BSD_1, BSD_2, BSD_3.replace("copyright holder", "University"), disclaimer=BSD_DISCLAIMER.replace("COPYRIGHT HOLDERS", "REGENTS").replace("COPYRIGHT HOLDER", "REGENTS"))],
     *[("Zlib", "text", head + ZLIB) for head in ("", "zlib License\n\n", "The zlib/libpng License\n\n")],
     ("Apache-2.0", "text", APACHE_HEADER),
     *[("Unlicense", "text", UNLICENSE + end) for end in ("", "\n\nFor more information, please refer to <https://unlicense.org/>", "\n\nFor more information, please refer to <https://unlicense.org>")],

@@ -282,18 +282,18 @@ def fit(texts: list[str], labels: list[int], network: Network | None = None, ste
     return net
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1000, threshold: float = 0.3, seed: int = 23, label_id_col: str = "doc_id") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1000, threshold: float = 0.3, seed: int = 23, label_id_col: str = "doc_id", max_taught_bytes: int = 200_000) -> DataFrame:
     """(id, held_out, score, predicted), one row per input row.
 
     The network learns from about per_label rows of each label, chosen by a hash of the id among labelled rows that aren't
-    held out; every window of every whole text is scored. Null and empty texts are one window without words and get the score
+    held out, but from no text of over max_taught_bytes, so that the sample is bounded in bytes too; every window of every whole text is scored. Null and empty texts are one window without words and get the score
     that the network gives it. Of several labels of an id the largest counts; a null id teaches nothing. Without both labels all scores are 0. An empty table gives no rows.
     """
     spark = docs.sparkSession
     marks = one_label(labels.filter(F.col(label_col).isin(0, 1)), label_col, label_id_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     # The sample has a fixed size, so it can be broadcast whatever the corpus is.
-    taught = rows.filter(F.col("text").isNotNull()).join(F.broadcast(sample_rows(marks, "id", "label", per_label, seed)), "id").select("id", "text", "label").orderBy("id").toArrow()
+    taught = rows.filter(F.col("text").isNotNull() & (F.octet_length("text") <= max_taught_bytes)).join(F.broadcast(sample_rows(marks, "id", "label", per_label, seed)), "id").select("id", "text", "label").orderBy("id").toArrow()
     answers = taught.column("label").to_pylist()
     model = spark.sparkContext.broadcast(fit(taught.column("text").to_pylist(), answers) if len(set(answers)) == 2 else None)
 

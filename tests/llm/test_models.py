@@ -337,7 +337,7 @@ def test_licenses(spark):
 def test_long_licenses(spark, tmp_path):
     """Whole texts of long licences, set in other cases, lines, dashes and spellings, by digest and from a folder of files."""
     folder = pathlib.Path("/usr/share/common-licenses")
-    names = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    names = {"BSD": "BSD-3-Clause", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
     if not all((folder / n).exists() for n in names):
         pytest.skip("no licence texts here")
     texts = {n: (folder / n).read_text() for n in names}
@@ -425,3 +425,19 @@ def test_pieces_of_documents(spark, model):
         d = digests[r.doc_id]
         assert d.lossless and d.n_pieces == len(r.piece_ids) and d.ids_crc32 == zlib.crc32(np.array(r.piece_ids, "<i4").tobytes())
     assert pieces.encode_documents(spark.createDataFrame([], SCHEMA), path).count() == 0
+
+
+def test_samples_are_bounded_in_classes_and_bytes(spark):
+    """Of ten thousand values of a class the most frequent teach; a text of many bytes teaches nothing, and is scored."""
+    from chartloom.llm.common import sample_rows
+
+    rows = [(i, f"junk {i}") for i in range(2000)] + [(5000 + i, "en") for i in range(50)] + [(6000 + i, "fr") for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, lang string")
+    assert {r.lang for r in sample_rows(table, "doc_id", "lang", 1000, 3, max_classes=2).collect()} == {"en", "fr"}
+    docs = spark.createDataFrame([(i, "the cat sat on a mat " * 3 if g == "en" else "le chat est sur la table " * 3 if g == "fr" else "x", g) for i, g in rows], "doc_id long, text string, lang string")
+    got = {r.lang_pred for r in language_id.identify(docs, max_languages=2).collect()}
+    assert got == {"en", "fr"}
+    marks = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    texts = spark.createDataFrame([(i, ("vile filthy words here " if i % 2 else "kind gentle words here ") * (2000 if i < 8 else 3)) for i in range(80)], "doc_id long, text string")
+    few = toxicity.score_toxicity(texts, marks, max_taught_bytes=1000)
+    assert few.count() == 80 and {r.predicted for r in few.filter("doc_id < 8").collect()} == {0, 1}
