@@ -28,9 +28,14 @@ def run_sequence(runs: DataFrame) -> DataFrame:
 
 
 def period_as_of(asked: DataFrame, runs: DataFrame) -> DataFrame:
-    """(chart_id, asked period) -> the last stored period before it, null if none; asked need not be stored."""
-    joined = asked.join(runs.select("chart_id", F.col("period").alias("stored")), "chart_id", "left")
-    return joined.groupBy("chart_id", "period").agg(F.max(F.when(F.col("stored") < F.col("period"), F.col("stored"))).alias("previous_period"))
+    """(chart_id, asked period) -> the last stored period before it, null if none; asked need not be stored.
+
+    Asked and stored periods of a chart are merged in order, and the last stored one is carried along.
+    """
+    questions = asked.select("chart_id", "period").distinct().withColumns({"_stored": F.lit(None).cast("string"), "_place": F.lit(0)})
+    rows = questions.unionByName(runs.select("chart_id", "period", F.col("period").alias("_stored"), F.lit(1).alias("_place")))
+    before = Window.partitionBy("chart_id").orderBy("period", "_place").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("previous_period", F.last("_stored", ignorenulls=True).over(before)).filter("_place = 0").select("chart_id", "period", "previous_period")
 
 
 def song_ranks(entries: DataFrame) -> DataFrame:

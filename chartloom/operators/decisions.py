@@ -101,6 +101,11 @@ def pending_batch(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
     return decisions.filter("state = 'indeterminate'").join(outcomes.filter("outcome = 'review'"), "entity_id", "left_anti").select("entity_id")
 
 
+def pending_in_session(decisions: DataFrame, results: DataFrame, session: str) -> DataFrame:
+    """Entities that the rules left open and that a session (results: session_id, entity_id) hasn't processed yet, whatever came of it."""
+    return decisions.filter("state = 'indeterminate'").join(results.filter(F.col("session_id") == session), "entity_id", "left_anti").select("entity_id")
+
+
 def pending_reviews(queue: DataFrame, source: str | None = None, prefix: str = "") -> DataFrame:
     """Open items of the queue, of one source if one is named, whose id begins with a prefix."""
     rows = queue.filter(F.col("reviewed_at").isNull() & F.col("review_id").startswith(prefix))

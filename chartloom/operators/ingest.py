@@ -179,13 +179,19 @@ def missing_months(runs: DataFrame, charts: DataFrame, first: str, last: str, to
 
 def merge_tags(existing: DataFrame, new: DataFrame, key: str, core: list[str], extra: list[str], authoritative: bool) -> DataFrame:
     """Tag rows after writing: in authoritative mode new core values replace old ones, which are stashed once under original_…; else
-    only the extra fields are added. `written` names the fields that changed.
+    only the extra fields are added. `written` names the fields that changed, `skipped` the core fields of new tags that aren't taken, as the
+    mode leaves them out or they have no value, `stashed` those whose old value was put aside by this.
     """
     joined = existing.join(new.select(key, *[F.col(c).alias(f"new_{c}") for c in core + extra]), key, "left")
     replaced = {c: F.col(f"new_{c}").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"new_{c}")) if authoritative or c in extra else F.lit(False) for c in core + extra}
     stash = {f"original_{c}": F.coalesce(f"original_{c}", F.when(replaced[c], F.col(c))) for c in core if f"original_{c}" in existing.columns}
     written = F.array_join(F.array_compact(F.array(*[F.when(r, F.lit(c)) for c, r in replaced.items()])), ",")
-    out = joined.withColumns(stash | {"written": written})
+    told = new.select(key).distinct().withColumn("_told", F.lit(True))
+    left_out = [F.when(F.col("_told") & (F.lit(not authoritative) | F.col(f"new_{c}").isNull()), F.lit(c)) for c in core]
+    aside = [F.when(replaced[c] & F.col(f"original_{c}").isNull() & F.col(c).isNotNull(), F.lit(c)) for c in core if f"original_{c}" in existing.columns]
+    names = lambda marks: F.array_join(F.array_compact(F.array(*marks)), ",") if marks else F.lit("")
+    joined = joined.join(told, key, "left")
+    out = joined.withColumns(stash | {"written": written, "skipped": names(left_out), "stashed": names(aside)}).drop("_told")
     return out.withColumns({c: F.when(r, F.col(f"new_{c}")).otherwise(F.col(c)) for c, r in replaced.items()}).drop(*[f"new_{c}" for c in core + extra])
 
 

@@ -33,6 +33,14 @@ def exact_names(queries: DataFrame, recordings: DataFrame) -> DataFrame:
     return hits.filter(F.contains("artist_normalized", "artist")).select("query_id", "recording_mbid")
 
 
+def loose_names(queries: DataFrame, recordings: DataFrame, limit: int = 25) -> DataFrame:
+    """(query_id, recording_mbid): recordings whose title and artist contain the query's, the first `limit` of each query by id; names are compared once for
+    each distinct pair of titles."""
+    titles = containing_texts(queries.select("title"), recordings.select("title_normalized")).toDF("title", "title_normalized")
+    hits = queries.select("query_id", "artist", "title").join(titles, "title").join(recordings, "title_normalized").filter(F.contains("artist_normalized", "artist"))
+    return dedupe_to(hits, "query_id", ["recording_mbid"], limit).select("query_id", "recording_mbid")
+
+
 def by_title_and_length(queries: DataFrame, recordings: DataFrame, tolerance: float = 0.1) -> DataFrame:
     """(query_id, recording_mbid): recordings of the query's title and of a fitting length."""
     hits = queries.join(recordings.select("recording_mbid", F.col("title_normalized").alias("title"), F.col("length_ms").alias("rec_ms")), "title")

@@ -225,6 +225,12 @@ def exact_title_artist_search(v):
     return search.exact_names(asked(v), recs(v))
 
 
+@query("""SELECT query_id, recording_mbid FROM (SELECT query_id, recording_mbid, row_number() OVER (PARTITION BY query_id ORDER BY recording_mbid) AS n
+  FROM fv_query JOIN fv_rec ON contains(title_normalized, title) AND contains(artist_normalized, artist)) WHERE n <= 25""")
+def loose_title_artist_search(v):
+    return search.loose_names(asked(v), recs(v))
+
+
 @query("""SELECT query_id, recording_mbid FROM fv_query q
   JOIN fv_rec r ON title = title_normalized AND (q.length_ms IS NULL OR r.length_ms BETWEEN CAST(trunc(q.length_ms * 0.9) AS INTEGER) AND CAST(trunc(q.length_ms * 1.1) AS INTEGER))""")
 def length_range(v):

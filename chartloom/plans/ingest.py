@@ -142,7 +142,8 @@ def missing_years(v):
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 AND p_brand <> 'Brand#0' THEN p_brand ELSE 'Brand#0' END AS artist, p_name AS title,
     CASE WHEN p_partkey % 2 = 0 AND p_brand <> 'Brand#0' THEN 'Brand#0' END AS original_artist, CASE WHEN p_partkey % 2 = 0 THEN 'w' || p_partkey END AS work_id, concat_ws(',',
-    CASE WHEN p_partkey % 2 = 0 AND p_brand <> 'Brand#0' THEN 'artist' END, CASE WHEN p_partkey % 2 = 0 THEN 'work_id' END) AS written FROM part""")
+    CASE WHEN p_partkey % 2 = 0 AND p_brand <> 'Brand#0' THEN 'artist' END, CASE WHEN p_partkey % 2 = 0 THEN 'work_id' END) AS written,
+    CASE WHEN p_partkey % 2 = 0 THEN 'title' ELSE '' END AS skipped, CASE WHEN p_partkey % 2 = 0 AND p_brand <> 'Brand#0' THEN 'artist' ELSE '' END AS stashed FROM part""")
 def tag_merge(v):
     p = v.table("part")
     existing = p.select(F.col("p_partkey").alias("id"), F.lit("Brand#0").alias("artist"), F.col("p_name").alias("title"), F.lit(None).cast("string").alias("original_artist"), F.lit(None).cast("string").alias("work_id"))
@@ -150,6 +151,15 @@ def tag_merge(v):
     return ig.merge_tags(existing, new, "id", ["artist", "title"], ["work_id"], True)
 
 
+@query("""SELECT p_partkey AS id, 'Brand#0' AS artist, p_name AS title, CAST(NULL AS VARCHAR) AS original_artist, CASE WHEN p_partkey % 2 = 0 THEN 'w' || p_partkey END AS work_id,
+    CASE WHEN p_partkey % 2 = 0 THEN 'work_id' ELSE '' END AS written, CASE WHEN p_partkey % 2 = 0 THEN 'artist,title' ELSE '' END AS skipped, '' AS stashed FROM part""")
+def tag_augment(v):
+    p = v.table("part")
+    existing = p.select(F.col("p_partkey").alias("id"), F.lit("Brand#0").alias("artist"), F.col("p_name").alias("title"), F.lit(None).cast("string").alias("original_artist"), F.lit(None).cast("string").alias("work_id"))
+    new = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("artist"), F.lit(None).cast("string").alias("title"), F.concat(F.lit("w"), "p_partkey").alias("work_id"))
+    return ig.merge_tags(existing, new, "id", ["artist", "title"], ["work_id"], False)
+
+
 @query("SELECT entity_id, crg, rr, 'evh=' || substr(evidence_hash, 1, 8) AS tag FROM fv_decision JOIN fv_hash USING (entity_id) WHERE state = 'decided'")
 def assemble_tags(v):
     decided = v.decision
@@ -367,6 +377,12 @@ def pending_batch(v):
     return dc.pending_batch(v.decision, outcomes(v))
 
 
+@query("SELECT entity_id FROM fv_decision WHERE state = 'indeterminate' AND entity_id NOT IN (SELECT entity_id FROM fv_outcome WHERE CAST(entity_id[2:] AS BIGINT) % 5 = 1)")
+def pending_in_session(v):
+    results = outcomes(v).select(F.concat(F.lit("s"), F.expr("cast(substr(entity_id, 2) as bigint)") % 5).alias("session_id"), "entity_id")
+    return dc.pending_in_session(v.decision, results, "s1")
+
+
 EXTRA_VIEWS["fv_reviewed"] = """SELECT coalesce(reviewed_at, CASE WHEN k % 4 = 1 THEN 90 END) IS NOT NULL AS done, source, CASE WHEN k % 4 = 1 THEN CASE WHEN k % 3 = 0 THEN 'accept' ELSE 'skip' END END AS action FROM fv_review"""
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chartloom.functions.canonical import canonical_hash
 from chartloom.operators import resolution as rs
 from chartloom.operators import sources_score as sc
 from chartloom.plans.registry import EXTRA_VIEWS, query
@@ -216,6 +217,27 @@ EXTRA_VIEWS |= {
 }
 
 
+def _canonical(artist: str, provenance: str, recordings: str) -> str:
+    parts = [f'{{"artist":{{{artist}}},"provenance":{{{provenance}"sources":["b","a"]}},"recordings":[{recordings}],"title":"\' || p_name || \'"}}']
+    return "sha256('" + parts[0] + "')"
+
+
+_CREATED, _NAME, _AGES = """"created_at":' || p_partkey || ',""", """"name":"' || p_brand || '\"""", """"cache_age_s":' || p_size || ',"""
+
+
+@query(f"""SELECT p_partkey AS partkey, {_canonical(_CREATED + _NAME, _AGES + '"fetched_at_utc":"t' + "' || p_partkey || '" + '",', '{"mbid":"r1"},{"fetched_at":' + "' || p_partkey || '" + ',"mbid":"r2"}')} AS bundle,
+    {_canonical(_CREATED + _NAME, '"cache_age":1,', '{"fetched_at":' + "' || p_partkey || '" + ',"mbid":"r2"},{"mbid":"r1"}')} AS resolver,
+    {_canonical(_NAME, '"cache_age":1,' + _AGES, '{"mbid":"r2"},{"mbid":"r1"}')} AS drift FROM part""")
+def evidence_hash_kinds(v):
+    """The three digests of bundles, whose keys stand in another order and whose volatile fields stand at several depths."""
+    k = F.col("p_partkey")
+    recordings = F.array(F.struct(F.lit("r2").alias("mbid"), k.alias("fetched_at")), F.struct(F.lit("r1").alias("mbid"), F.lit(None).cast("bigint").alias("fetched_at")))
+    provenance = F.struct(F.concat(F.lit("t"), k).alias("fetched_at_utc"), F.array(F.lit("b"), F.lit("a")).alias("sources"), F.col("p_size").alias("cache_age_s"), F.lit(1).alias("cache_age"))
+    bundle = F.struct(F.col("p_name").alias("title"), recordings.alias("recordings"), provenance.alias("provenance"), F.struct(F.col("p_brand").alias("name"), k.alias("created_at")).alias("artist"))
+    rows = v.table("part").select(k.alias("partkey"), F.to_json(bundle).alias("document"))
+    return rows.select("partkey", *[canonical_hash("document", kind).alias(kind) for kind in ("bundle", "resolver", "drift")])
+
+
 @query("""SELECT 'm' || p_partkey AS hit_id, 'musicbase_isrc' AS source, 'ISRC' || (p_partkey % 500) AS isrc, CAST(NULL AS VARCHAR) AS barcode, CAST(0.95 AS DOUBLE) AS confidence FROM part WHERE p_partkey % 2 = 0
 UNION ALL SELECT 'd' || p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 'discbase_barcode' ELSE 'discbase_text' END, NULL, CASE WHEN p_partkey % 6 = 0 THEN 'B' || p_partkey END, CASE WHEN p_partkey % 6 = 0 THEN 0.85 ELSE 0.65 END FROM part WHERE p_partkey % 3 = 0
 UNION ALL SELECT 's' || p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'streambase_isrc' ELSE 'streambase_text' END, NULL, NULL, CASE WHEN p_partkey % 10 = 0 THEN 0.90 ELSE 0.68 END FROM part WHERE p_partkey % 5 = 0

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chartloom.functions import normalize as nz
+from chartloom.functions.canonical import KINDS, canonical_text
 from chartloom.functions import similarity as sim
 from chartloom.operators import analytics as an
 from chartloom.operators import decisions as dc
@@ -314,3 +315,28 @@ def test_marks_are_split_off_over_all_letters(spark):
     assert len(got) == len(words)
     for r in got:
         assert r.p == "".join(c for c in unicodedata.normalize("NFD", r.t) if unicodedata.category(c) != "Mn"), r.t
+
+
+JSON = st.recursive(st.none() | st.booleans() | st.integers(-1000, 1000) | st.text(max_size=5), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.sampled_from(["mbid", "a", "fetched_at", "provenance", "cache_age", "updated_at", "é"]), x, max_size=4), max_leaves=20)
+
+
+@given(st.dictionaries(st.sampled_from(["recordings", "provenance", "artist", "created_at", "x"]), JSON, max_size=4), st.randoms())
+@settings(max_examples=150, deadline=None)
+def test_canonical_documents(document, rng):
+    """Keys in any order and volatile fields added at any depth leave the text as it is; another value changes it."""
+
+    def shuffled(value, add):
+        if isinstance(value, dict):
+            items = [(k, shuffled(v, add)) for k, v in value.items()]
+            rng.shuffle(items)
+            return dict(items) | ({"fetched_at": rng.random(), "fetched_at_utc": "x"} if add else {})
+        return [shuffled(v, add) for v in value] if isinstance(value, list) else value
+
+    for kind in KINDS:
+        assert canonical_text(json.dumps(document), kind) == canonical_text(json.dumps(shuffled(document, False), indent=1), kind)
+        assert canonical_text(json.dumps(document | {"x": [1]}), kind) != canonical_text(json.dumps(document | {"x": [2]}), kind)
+    assert canonical_text(json.dumps(document), "drift") == canonical_text(json.dumps(shuffled(document, True)), "drift")
+    sure = {"recordings": [{"mbid": "b"}, {"mbid": "a"}], "provenance": {"cache_age": 1, "cache_age_s": 2, "fetched_at_utc": 3}, "n": "é"}
+    assert canonical_text(json.dumps(sure), "bundle") == '{"n":"\\u00e9","provenance":{"cache_age_s":2,"fetched_at_utc":3},"recordings":[{"mbid":"a"},{"mbid":"b"}]}'
+    assert canonical_text(json.dumps(sure), "resolver") == '{"n":"\\u00e9","provenance":{"cache_age":1},"recordings":[{"mbid":"b"},{"mbid":"a"}]}'
+    assert canonical_text("no json", "drift") is None and canonical_text(None, "drift") is None
