@@ -7,7 +7,7 @@ reaches a threshold meet at keys of their rarest characters (close_names.py), so
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,30 +60,28 @@ def containing_texts(asked: DataFrame, texts: DataFrame) -> DataFrame:
     return rarest.join(right, "_t").filter(F.contains("b", "a")).select("a", "b")
 
 
-@dataclass
 class NameMatches:
-    """Pairs of distinct names of queries and recordings, so that several searches compare them once."""
+    """Pairs of distinct names of queries and recordings, each kind made when it is first asked for, so that several searches compare them once."""
 
-    contained: DataFrame
-    titles: DataFrame
-    artists: DataFrame
+    def __init__(self, queries: DataFrame, recordings: DataFrame, title_at_least: float = 80.0, artist_at_least: float = 80.0):
+        self.queries, self.recordings, self.at_least = queries, recordings, (title_at_least, artist_at_least)
 
-    @classmethod
-    def of(cls, queries: DataFrame, recordings: DataFrame, title_at_least: float = 80.0, artist_at_least: float = 80.0) -> NameMatches:
-        titles, artists = recordings.select("title_normalized"), recordings.select("artist_normalized")
-        return cls(
-            containing_texts(queries.select("title"), titles).toDF("title", "title_normalized"),
-            close_pairs(queries.select("title"), titles, title_at_least).toDF("title", "title_normalized", "_r"),
-            close_pairs(queries.select("artist"), artists, artist_at_least).toDF("artist", "artist_normalized", "_a"),
-        )
+    @cached_property
+    def contained(self) -> DataFrame:
+        return materialize(containing_texts(self.queries.select("title"), self.recordings.select("title_normalized")).toDF("title", "title_normalized"))
 
-    def written(self) -> NameMatches:
-        return NameMatches(materialize(self.contained), materialize(self.titles), materialize(self.artists))
+    @cached_property
+    def titles(self) -> DataFrame:
+        return materialize(close_pairs(self.queries.select("title"), self.recordings.select("title_normalized"), self.at_least[0]).toDF("title", "title_normalized", "_r"))
+
+    @cached_property
+    def artists(self) -> DataFrame:
+        return materialize(close_pairs(self.queries.select("artist"), self.recordings.select("artist_normalized"), self.at_least[1]).toDF("artist", "artist_normalized", "_a"))
 
 
 def containing(queries: DataFrame, recordings: DataFrame, tolerance: float = 0.1, limit: int = 50, matches: NameMatches | None = None) -> DataFrame:
     """(query_id, recording_mbid): recordings whose title and artist contain the query's, of a fitting length; the first by id."""
-    named = queries.join((matches or NameMatches.of(queries, recordings)).contained, "title")
+    named = queries.join((matches or NameMatches(queries, recordings)).contained, "title")
     hits = named.join(recordings.withColumnRenamed("length_ms", "rec_ms"), "title_normalized").filter(F.contains("artist_normalized", "artist") & length_fits(F.col("length_ms"), F.col("rec_ms"), tolerance))
     return dedupe_to(hits, "query_id", ["recording_mbid"], limit).select("query_id", "recording_mbid")
 
@@ -103,7 +101,7 @@ def similar(queries: DataFrame, recordings: DataFrame, title_at_least: float = 8
 
     Names are compared once for each distinct pair.
     """
-    matches = matches or NameMatches.of(queries, recordings, title_at_least, artist_at_least)
+    matches = matches or NameMatches(queries, recordings, title_at_least, artist_at_least)
     titles, artists = matches.titles.filter(F.col("_r") >= title_at_least), matches.artists.filter(F.col("_a") >= artist_at_least)
     names = recordings.select("artist_normalized", "title_normalized").distinct()
     scored = queries.select("artist", "title").distinct().join(titles, "title").join(names, "title_normalized").join(artists, ["artist", "artist_normalized"])
@@ -118,6 +116,7 @@ def search_fuzzy(queries: DataFrame, recordings: DataFrame, tolerance: float = 0
     """(query_id, recording_mbid, score, tier): recordings that contain the query; for queries without any, similar ones with a score of 80 or
     more. Both tiers keep to the length that is asked, if one is.
     """
+    matches = matches or NameMatches(queries, recordings)
     first = containing(queries, recordings, tolerance, limit, matches)
     rest = queries.join(first.select("query_id").distinct(), "query_id", "left_anti")
     second = similar(rest, recordings, limit=limit, tolerance=tolerance, matches=matches)
@@ -135,7 +134,7 @@ def search_stages(queries: DataFrame, recordings: DataFrame, browse: tuple[DataF
     the catalogue of the artist (artists, groups and their recordings, see artist_browse), stage 4 takes the recordings that fingerprints
     (query_id, recording_mbid) name. Each later stage runs only for the queries that still lack results.
     """
-    matches = NameMatches.of(queries, recordings).written()
+    matches = NameMatches(queries, recordings)
     found = materialize(search_fuzzy(queries, recordings, 0.1, 100, matches).select("query_id", "recording_mbid", F.lit(1).alias("stage")))
 
     def lacking() -> DataFrame:
