@@ -27,7 +27,7 @@ WORDS = "love night heart you the me my day time way baby man girl dance world h
 def test_close_pairs_prune(spark):
     """Names of two to four common words: all pairs that reach the threshold, from few rows, also where crowded keys grow longer."""
     draw, names = random.Random(7), set()
-    while len(names) < 700:
+    while len(names) < 450:
         names.add(" ".join(draw.choice(WORDS) for _ in range(draw.randint(2, 4))))
     names = sorted(names | {"ab" * 60, "ba" * 60, "ab" * 59, "abba" * 31, "日本語の歌", "日本語の", "", "x"})
     frame = spark.createDataFrame([(n,) for n in names] + [(None,)], "n string").repartition(4)
