@@ -37,6 +37,21 @@ def work_siblings(seeds: DataFrame, recording_work: DataFrame, limit: int = 100,
     return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).select("seed", "recording_mbid", "place")
 
 
+def filtered_covers(seeds: DataFrame, recording_work: DataFrame) -> DataFrame:
+    """(seed, n_filtered): how many recordings of a seed's work are by another artist than its own, one that isn't known included, and so no siblings of it."""
+    rows = recording_work.select("recording_mbid", "work_id", "artist_mbid")
+    counts = rows.groupBy("work_id", "artist_mbid").agg(F.count("*").alias("n_own"))
+    of_work = counts.groupBy("work_id").agg(F.sum("n_own").alias("n_all"))
+    own = seeds.join(rows, "recording_mbid").withColumnRenamed("recording_mbid", "seed").alias("s").join(counts.alias("c"), (F.col("s.work_id") == F.col("c.work_id")) & F.col("s.artist_mbid").eqNullSafe(F.col("c.artist_mbid")))
+    return own.select("seed", F.col("s.work_id").alias("work_id"), "n_own").join(of_work, "work_id").groupBy("seed").agg(F.sum(F.col("n_all") - F.col("n_own")).alias("n_filtered"))
+
+
+def once_over_seeds(siblings: DataFrame) -> DataFrame:
+    """(recording_mbid, seed, place): each recording once, with the first seed by id that has it among its siblings."""
+    first = siblings.groupBy("recording_mbid").agg(F.min(F.struct("seed", "place")).alias("_first"))
+    return first.select("recording_mbid", "_first.seed", "_first.place")
+
+
 def by_isrc(codes: DataFrame, recordings: DataFrame) -> DataFrame:
     """(isrc) -> recordings whose list holds it: exploded first, so that the join hashes."""
     return codes.join(recordings.select("recording_mbid", F.explode("isrcs").alias("isrc")), "isrc").select("isrc", "recording_mbid").distinct()

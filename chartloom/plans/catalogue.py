@@ -320,6 +320,20 @@ def work_siblings(v):
     return ct.work_siblings(work.select("recording_mbid"), work)
 
 
+@query("SELECT s.recording_mbid AS seed, count(w.recording_mbid) FILTER (w.artist_mbid IS DISTINCT FROM s.artist_mbid) AS n_filtered FROM fv_work s JOIN fv_work w USING (work_id) GROUP BY 1")
+def filtered_covers(v):
+    work = v.recording.select("recording_mbid", F.col("title").alias("work_id"), "artist_mbid")
+    return ct.filtered_covers(work.select("recording_mbid"), work)
+
+
+@query("""SELECT recording_mbid, seed, place FROM (SELECT *, row_number() OVER (PARTITION BY recording_mbid ORDER BY seed, place) AS n FROM (
+  SELECT s.recording_mbid AS seed, w.recording_mbid, CAST(row_number() OVER (PARTITION BY s.recording_mbid ORDER BY w.recording_mbid <> s.recording_mbid, w.recording_mbid) AS INTEGER) AS place
+  FROM fv_work s JOIN fv_work w ON s.work_id = w.work_id AND s.artist_mbid = w.artist_mbid) WHERE place <= 100) WHERE n = 1""")
+def siblings_once(v):
+    work = v.recording.select("recording_mbid", F.col("title").alias("work_id"), "artist_mbid")
+    return ct.once_over_seeds(ct.work_siblings(work.select("recording_mbid"), work))
+
+
 CODES = "SELECT DISTINCT 'ISRC' || (p_partkey % 500) AS isrc FROM part"
 
 
