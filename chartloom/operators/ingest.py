@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import ids
 from chartloom.functions.normalize import artist_core, has_tag, normalize_title
+from chartloom.operators.catalogue import library_match
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
@@ -227,7 +228,17 @@ def parse_blob(blobs: DataFrame) -> DataFrame:
     )
 
 
+def playlist(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """Lines of the entries that the library has a file for, by `library_match`.
+
+    entries: (entry_id, run_id, rank, recording_mbid, artist, title); files: (file_id, recording_mbid, artist, title, seconds, path). Entries keep their own names.
+    """
+    owned = library_match(entries, files).select("entry_id", "file_id").join(files.select("file_id", "seconds", "path"), "file_id")
+    return playlist_lines(entries.select("entry_id", "run_id", "rank", "artist", "title").join(owned, "entry_id"))
+
+
 def playlist_lines(matched: DataFrame) -> DataFrame:
-    """Matched entries as two lines each, in order of rank: a comment with seconds and names, and the path."""
-    note = F.concat(F.lit("#EXTINF:"), F.col("seconds").cast("string"), F.lit(","), F.col("artist"), F.lit(" - "), F.col("title"))
+    """Matched entries as two lines each, in order of rank: a comment with seconds (-1 if they are 0 or unknown) and names, and the path."""
+    seconds = F.when(F.col("seconds") != 0, F.col("seconds")).otherwise(-1)
+    note = F.concat(F.lit("#EXTINF:"), seconds.cast("string"), F.lit(","), F.col("artist"), F.lit(" - "), F.col("title"))
     return matched.select("run_id", "rank", F.posexplode(F.array(note, F.col("path"))).alias("part", "line"))

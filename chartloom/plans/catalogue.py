@@ -382,9 +382,11 @@ def library(v):
     return v.table("part").filter(k % 3 == 0).select(F.concat(F.lit("f"), k).alias("file_id"), F.when(k % 6 == 0, F.concat(F.lit("r"), k)).alias("recording_mbid"), F.col("p_brand").alias("artist"), F.upper("p_name").alias("title"))
 
 
-@query("""SELECT entry_id, arg_min(file_id, way) AS file_id, min(way) AS way FROM (
-  SELECT entry_id, l.file_id, 1 AS way FROM fv_entry JOIN fv_library l ON l.recording_mbid = 'r' || partkey
-  UNION ALL SELECT entry_id, min(l.file_id), 2 FROM fv_entry JOIN fv_library l ON lower(artist) = lower(artist_raw) AND lower(title) = lower(title_raw) GROUP BY 1) GROUP BY 1""")
+EXTRA_VIEWS["fv_owned"] = """SELECT entry_id, l.file_id, 1 AS way FROM fv_entry JOIN fv_library l ON l.recording_mbid = 'r' || partkey
+  UNION ALL SELECT entry_id, min(l.file_id), 2 FROM fv_entry JOIN fv_library l ON lower(artist) = lower(artist_raw) AND lower(title) = lower(title_raw) GROUP BY 1"""
+
+
+@query("SELECT entry_id, arg_min(file_id, way) AS file_id, min(way) AS way FROM fv_owned GROUP BY 1")
 def library_match(v):
     entries = v.entry.select("entry_id", F.concat(F.lit("r"), "partkey").alias("recording_mbid"), F.col("artist_raw").alias("artist"), F.col("title_raw").alias("title"))
     return ct.library_match(entries, library(v))
@@ -396,19 +398,19 @@ def wikidata_qid_from_urls(v):
 
 
 def year_pages(v):
-    """One page per chart, block of ranks and year asked for: a table with a column for every year, a row for every place in January."""
-    january = v.entry.filter("period like '%-01'").withColumn("year", F.substring("period", 1, 4))
+    """One page per chart, month, block of ranks and year asked for: a table with a column for every year, a row for every place in that month."""
+    dated = v.entry.withColumns({"year": F.substring("period", 1, 4), "month": F.substring("period", 6, 2)})
     years = F.array_sort(F.collect_set("year"))
     cell = F.struct("year", F.concat(F.lit("<td><a href='x'>"), F.col("rank").cast("string"), F.lit(". </a>"), "artist_raw", F.lit(" - "), "title_raw", F.lit("</td>")).alias("html"))
-    head = january.groupBy("chart_id").agg(years.alias("years"))
-    rows = january.groupBy("chart_id", "rank").agg(F.map_from_entries(F.collect_list(cell)).alias("cells")).join(head, "chart_id")
-    lines = rows.select("chart_id", "years", "rank", F.concat(F.lit("<tr>"), F.array_join(F.transform("years", lambda y: F.coalesce(F.try_element_at("cells", y), F.lit("<td></td>"))), ""), F.lit("</tr>")).alias("line"))
-    tables = by_blocks(lines, "chart_id", "years").agg(F.array_join(F.collect_list("line"), "").alias("body"))
+    head = dated.groupBy("chart_id", "month").agg(years.alias("years"))
+    rows = dated.groupBy("chart_id", "month", "rank").agg(F.map_from_entries(F.collect_list(cell)).alias("cells")).join(head, ["chart_id", "month"])
+    lines = rows.select("chart_id", "month", "years", "rank", F.concat(F.lit("<tr>"), F.array_join(F.transform("years", lambda y: F.coalesce(F.try_element_at("cells", y), F.lit("<td></td>"))), ""), F.lit("</tr>")).alias("line"))
+    tables = by_blocks(lines, "chart_id", "month", "years").agg(F.array_join(F.collect_list("line"), "").alias("body"))
     html = F.concat(F.lit("<table><tr>"), F.array_join(F.transform("years", lambda y: F.concat(F.lit("<th>List "), y, F.lit("</th>"))), ""), F.lit("</tr>"), "body", F.lit("</table>"))
-    return tables.select("chart_id", html.alias("html"), F.explode("years").alias("year"))
+    return tables.select("chart_id", "month", html.alias("html"), F.explode("years").alias("year"))
 
 
-@query("SELECT chart_id, substr(period, 1, 4) AS year, rank, artist_raw, title_raw FROM fv_entry WHERE period LIKE '%-01'")
+@query("SELECT chart_id, substr(period, 1, 4) AS year, substr(period, 6, 2) AS month, rank, artist_raw, title_raw FROM fv_entry")
 def pages_year_column(v):
     return sn.year_column(year_pages(v))
 

@@ -11,6 +11,7 @@ from chartloom.operators import decisions as dc
 from chartloom.operators import ingest as ig
 from chartloom.operators import resolution as rs
 from chartloom.plans.analytics import ENTRY_SCORES, POSITIONS, WORK_SCORE, weekly
+from chartloom.plans.catalogue import library
 from chartloom.plans.registry import EXTRA_VIEWS, query
 from chartloom.plans.text import styled, texts, titles
 from chartloom.sources.shared import materialize
@@ -199,11 +200,13 @@ def charts_blob_parse(v):
     return ig.parse_blob(blobs(v))
 
 
-@query("""SELECT run_id, rank, part, CASE WHEN part = 0 THEN '#EXTINF:' || points % 300 || ',' || artist_raw || ' - ' || title_raw ELSE '/music/' || partkey || '.mp3' END AS line
-  FROM fv_entry CROSS JOIN (VALUES (0), (1)) t(part) WHERE partkey % 3 = 0""")
+@query("""SELECT run_id, rank, part, CASE WHEN part = 0 THEN '#EXTINF:' || CASE WHEN n % 300 > 0 THEN n % 300 ELSE -1 END || ',' || artist_raw || ' - ' || title_raw ELSE '/music/' || n || '.mp3' END AS line
+  FROM (SELECT run_id, rank, artist_raw, title_raw, CAST(arg_min(file_id, way)[2:] AS BIGINT) AS n FROM fv_entry JOIN fv_owned USING (entry_id) GROUP BY ALL) CROSS JOIN (VALUES (0), (1)) t(part)""")
 def playlist_rows(v):
-    rows = v.entry_once.filter("partkey % 3 = 0").select("run_id", "rank", (F.col("points") % 300).alias("seconds"), F.col("artist_raw").alias("artist"), F.col("title_raw").alias("title"), F.concat(F.lit("/music/"), "partkey", F.lit(".mp3")).alias("path"))
-    return ig.playlist_lines(rows)
+    k = F.col("p_partkey")
+    keys = v.table("part").filter(k % 3 == 0).select(F.concat(F.lit("f"), k).alias("file_id"), (k % 300).alias("seconds"), F.concat(F.lit("/music/"), k, F.lit(".mp3")).alias("path"))
+    entries = v.entry.select("entry_id", "run_id", "rank", F.concat(F.lit("r"), "partkey").alias("recording_mbid"), F.col("artist_raw").alias("artist"), F.col("title_raw").alias("title"))
+    return ig.playlist(entries, library(v).join(keys, "file_id"))
 
 
 EXTRA_VIEWS["fv_stored"] = "SELECT entity_id AS file_id, crg, rr, state, CAST(100 AS INTEGER) AS created_at FROM fv_decision WHERE CAST(entity_id[2:] AS BIGINT) % 3 <> 0"

@@ -86,8 +86,8 @@ def chart_items(pages: DataFrame, html: str = "html") -> DataFrame:
     return out.filter("rank is not null and artist_raw <> '' and title_raw <> ''").drop(html, "_i")
 
 
-def table_rows(pages: DataFrame, html: str = "html", year: str | None = None) -> DataFrame:
-    """Rows of tables: rank, previous_position, artist_raw, title_raw.
+def table_entries(pages: DataFrame, html: str = "html", year: str | None = None) -> DataFrame:
+    """pages with the entries of their tables as an array _table of (rank, previous_position, artist_raw, title_raw).
 
     A page has four columns (position, previous, artist, title) if its first row with data has, or if its year is 2010 or later; else
     three (position, artist, title), and so have its rows with three cells. Rows without data cells, a number, an artist or a title go.
@@ -97,38 +97,53 @@ def table_rows(pages: DataFrame, html: str = "html", year: str | None = None) ->
     wide = F.size(F.get("_rows", F.lit(0))) >= 4
     if year is not None:
         wide = wide | F.coalesce(F.col(year).cast("int") >= 2010, F.lit(False))
-    four = F.col("_wide") & (F.size("_c") >= 4)
-    out = pages.withColumn("_rows", cells).withColumn("_wide", wide).select("*", F.explode("_rows").alias("_c")).filter(F.size("_c") >= 3).withColumns({
-        "rank": digits(F.get("_c", F.lit(0))),
-        "previous_position": F.when(four, previous_position(F.get("_c", F.lit(1)))),
-        "artist_raw": F.when(four, F.get("_c", F.lit(2))).otherwise(F.get("_c", F.lit(1))),
-        "title_raw": F.when(four, F.get("_c", F.lit(3))).otherwise(F.get("_c", F.lit(2))),
-    })
-    return out.filter("rank is not null and artist_raw <> '' and title_raw <> ''").drop(html, "_rows", "_wide", "_c")
+
+    def entry(c: Column) -> Column:
+        four, at = F.col("_wide") & (F.size(c) >= 4), lambda i: F.get(c, F.lit(i))
+        artist, title = F.when(four, at(2)).otherwise(at(1)), F.when(four, at(3)).otherwise(at(2))
+        return F.struct(digits(at(0)).alias("rank"), F.when(four, previous_position(at(1))).alias("previous_position"), artist.alias("artist_raw"), title.alias("title_raw"))
+
+    entries = F.transform(F.filter("_rows", lambda c: F.size(c) >= 3), entry)
+    whole = F.filter(entries, lambda e: e["rank"].isNotNull() & (e["artist_raw"] != "") & (e["title_raw"] != ""))
+    return pages.withColumn("_rows", cells).withColumn("_wide", wide).withColumn("_table", whole).drop("_rows", "_wide")
+
+
+def table_rows(pages: DataFrame, html: str = "html", year: str | None = None) -> DataFrame:
+    """Rows of tables, one each: rank, previous_position, artist_raw, title_raw, as `table_entries` finds them."""
+    columns = [c for c in pages.columns if c != html]
+    return table_entries(pages, html, year).select(*columns, F.explode("_table").alias("_e")).select(*columns, "_e.*")
 
 
 #: Fixed value: what a line of a chart looks like.
 LINE = r"^\s*(\d+)\.?\s+(.+?)\s+[-–—]\s+(.+?)\s*$"
 
 
-def text_lines(pages: DataFrame, text: str = "html") -> DataFrame:
-    """Lines `12. artist - title`; others go."""
-    rows = pages.select("*", F.explode(F.split(text, "\n")).alias("_l")).filter(F.col("_l").rlike(LINE))
-    return rows.withColumns({"rank": F.regexp_extract("_l", LINE, 1).cast("int"), "artist_raw": F.regexp_extract("_l", LINE, 2), "title_raw": F.regexp_extract("_l", LINE, 3)}).drop(text, "_l")
+def line_entries(lines: Column) -> Column:
+    """Of an array of lines those that read `12. artist - title`, as (rank, artist_raw, title_raw); others, and ranks beyond an int, go."""
+    part = lambda x, i: F.regexp_extract(x, LINE, i)
+    found = F.transform(F.filter(lines, lambda x: F.rlike(x, F.lit(LINE))), lambda x: F.struct(part(x, 1).try_cast("int").alias("rank"), part(x, 2).alias("artist_raw"), part(x, 3).alias("title_raw")))
+    return F.filter(found, lambda e: e["rank"].isNotNull())
 
 
-def listed_lines(pages: DataFrame, html: str = "html") -> DataFrame:
-    """List items that read `12. artist - title`."""
-    return text_lines(list_items(pages, html).drop("rank").withColumnRenamed("title_raw", "_text"), "_text")
+def text_lines(pages: DataFrame, text: str = "html") -> DataFrame:
+    """Lines `12. artist - title`; others go."""
+    columns = [c for c in pages.columns if c != text]
+    return pages.select(*columns, F.explode(line_entries(F.split(text, "\n"))).alias("_e")).select(*columns, "_e.*")
 
 
 def first_that_works(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """Per page the entries of tables, else of list items, else of text lines."""
-    columns = [key, "rank", "artist_raw", "title_raw"]
-    ways = [table_rows(pages, html), listed_lines(pages, html), text_lines(pages, html)]
-    tagged = [w.select(*columns, F.lit(i).alias("way")) for i, w in enumerate(ways)]
-    everything = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
-    return everything.withColumn("_best", F.min("way").over(Window.partitionBy(key))).filter("way = _best").drop("_best")
+    """Per page the entries of its tables, else of its list items that read `12. artist - title`, else of such text lines.
+
+    A page is read once, in one pass without a shuffle; the later ways are tried only on pages where the earlier find nothing.
+    """
+    items = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<li[^>]*>(.*?)</li>"), 1), plain_text)
+    tables = table_entries(pages.select(key, html), html)
+    listed = tables.withColumn("_listed", F.when(F.size("_table") == 0, line_entries(items)))
+    lines = listed.withColumn("_lines", F.when(F.size("_listed") == 0, line_entries(F.split(html, "\n"))))
+    three = F.transform("_table", lambda e: F.struct(e["rank"].alias("rank"), e["artist_raw"].alias("artist_raw"), e["title_raw"].alias("title_raw")))
+    found = F.when(F.size("_table") > 0, three).when(F.size("_listed") > 0, F.col("_listed")).otherwise(F.col("_lines"))
+    way = F.when(F.size("_table") > 0, 0).when(F.size("_listed") > 0, 1).otherwise(2)
+    return lines.select(key, way.alias("way"), F.explode(found).alias("_e")).select(key, "_e.*", "way")
 
 
 def purge_expired(pages: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
