@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartloom.functions.normalize import artist_core, normalize_title
+
 
 def rgs_for_recordings(recording_release: DataFrame, releases: DataFrame, groups: DataFrame) -> DataFrame:
     """Distinct (recording, release group)."""
@@ -73,7 +75,81 @@ def synthetic_ids(hits: DataFrame) -> DataFrame:
     """Ids for things that only a secondary source has, made of the source's name and key."""
     key = F.regexp_extract("hit_id", r"-(.+)$", 1)
     made = lambda kind, tail: F.concat_ws("-", F.split("source", "_")[0], F.lit(kind), tail)
-    return hits.select("hit_id", made("release", key).alias("release_id"), made("recording", key).alias("recording_id"), made("artist", F.regexp_replace(F.lower("artist_name"), r"\s+", "-")).alias("artist_id"))
+    return hits.select("hit_id", made("release", key).alias("release_id"), made("recording", key).alias("recording_id"), made("artist", name_key("artist_name")).alias("artist_id"))
+
+
+def name_key(name: str) -> Column:
+    """A name as a part of an id: lower case, each blank a hyphen, & spelled out; without a name, unknown."""
+    return F.replace(F.replace(F.lower(F.coalesce(F.nullif(name, F.lit("")), F.lit("Unknown"))), F.lit(" "), F.lit("-")), F.lit("&"), F.lit("and"))
+
+
+#: Columns of the five catalogue tables.
+CATALOGUE = {
+    "artist": ["artist_mbid", "name", "name_normalized"],
+    "recording": ["recording_mbid", "title", "title_normalized", "artist_mbid", "length_ms", "isrcs"],
+    "release_group": ["rg_mbid", "title", "artist_mbid", "first_release_date"],
+    "release": ["release_mbid", "title", "rg_mbid", "artist_mbid", "date", "country"],
+    "recording_release": ["recording_mbid", "release_mbid"],
+}
+
+
+def release_catalogue(items: DataFrame, source: str) -> dict[str, DataFrame]:
+    """Catalogue tables of releases that only a secondary source has, one recording each, as such a source knows no tracks.
+
+    items: (release_id, master_id, title, artist_name, year, country). A release without a master has no group; year 0 is none. Rows without an id go.
+    """
+    made = lambda kind, tail: F.concat(F.lit(f"{source}-{kind}-"), tail)
+    date = F.when(F.col("year") != 0, F.col("year").cast("string"))
+    name = F.coalesce(F.nullif("artist_name", F.lit("")), F.lit("Unknown"))
+    rows = items.filter("release_id is not null").select(
+        made("recording", F.col("release_id")).alias("recording_mbid"), made("release", F.col("release_id")).alias("release_mbid"), made("master", F.col("master_id")).alias("rg_mbid"), made("artist", name_key("artist_name")).alias("artist_mbid"),
+        name.alias("name"), "title", date.alias("date"), date.alias("first_release_date"), "country", F.lit(None).cast("int").alias("length_ms"), F.lit(None).cast("array<string>").alias("isrcs"),
+    )
+    return _tables(rows, F.col("release_mbid").isNotNull(), F.col("rg_mbid").isNotNull())
+
+
+def track_catalogue(items: DataFrame, source: str) -> dict[str, DataFrame]:
+    """Catalogue tables of tracks that only a secondary source has; an album is release and group at once.
+
+    items: (track_id, album_id, album_name, title, artist_name, length_ms, isrc). An album without a name has no row, but tracks keep their link to it. Rows without an id go.
+    """
+    made = lambda kind, tail: F.concat(F.lit(f"{source}-{kind}-"), tail)
+    album = made("album", F.nullif("album_id", F.lit("")))
+    name, none = F.coalesce(F.nullif("artist_name", F.lit("")), F.lit("Unknown")), F.lit(None).cast("string")
+    rows = items.filter("track_id is not null").select(
+        made("track", F.col("track_id")).alias("recording_mbid"), album.alias("release_mbid"), album.alias("rg_mbid"), made("artist", name_key("artist_name")).alias("artist_mbid"), name.alias("name"),
+        "title", F.nullif("album_name", F.lit("")).alias("album"), none.alias("date"), none.alias("first_release_date"), none.alias("country"), "length_ms", F.when(F.col("isrc") != "", F.array("isrc")).alias("isrcs"),
+    )
+    named = F.col("release_mbid").isNotNull() & F.col("album").isNotNull()
+    return _tables(rows, named, named, "album")
+
+
+def _tables(rows: DataFrame, has_release: Column, has_group: Column, title: str = "title") -> dict[str, DataFrame]:
+    """The five tables of wide rows, once per key: of several rows with a key the last by its columns."""
+    def once(df: DataFrame, table: str) -> DataFrame:
+        key, *rest = CATALOGUE[table]
+        return df.select(*CATALOGUE[table]).groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, "_r.*")
+
+    own = rows.withColumns({"name_normalized": artist_core(F.col("name")), "title_normalized": normalize_title(F.col("title"))["core"]})
+    titled = rows.withColumn("title", F.col(title))
+    return {
+        "artist": once(own, "artist"),
+        "recording": once(own, "recording"),
+        "release_group": once(titled.filter(has_group), "release_group"),
+        "release": once(titled.filter(has_release), "release"),
+        "recording_release": rows.filter("release_mbid is not null").select("recording_mbid", "release_mbid").distinct(),
+    }
+
+
+def with_secondary(catalogue: dict[str, DataFrame], *more: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The catalogue with the tables of secondary sources put in. Made ids begin with their source, so no key is in two of them and nothing needs to be joined."""
+    out = {}
+    for table, columns in CATALOGUE.items():
+        rows = catalogue[table].select(*[c for c in columns if c in catalogue[table].columns])
+        for other in more:
+            rows = rows.unionByName(other[table], allowMissingColumns=True)
+        out[table] = rows
+    return out
 
 
 def ids_from_urls(relations: DataFrame) -> DataFrame:
@@ -90,6 +166,29 @@ def origin_country(artists: DataFrame, claims: DataFrame) -> DataFrame:
     return artists.join(claimed, "artist_mbid", "left").select("artist_mbid", F.coalesce("area_country", F.get("iso_codes", F.lit(0)), "claimed").alias("country"))
 
 
+FINGERPRINT = "struct<status:string,error:struct<message:string>,results:array<struct<score:double,recordings:array<struct<id:string,duration:double>>>>>"
+
+
+def fingerprint_hits(docs: DataFrame, column: str = "json", least: float = 0.5, seconds: int = 2) -> DataFrame:
+    """Answers of a fingerprint service, one document per file, as its hits: (file_id, recording_mbid, score, duration_ms, place).
+
+    docs: (file_id, file_duration, json). Recordings without an id go, then `fingerprint_filter` is applied; a result without a score has 0, a duration of 0 is
+    unknown. place counts a file's hits, best score first, ties by id. Files whose answer is no success have no hits, but a row in `fingerprint_errors`.
+    """
+    d = docs.withColumn("_d", F.from_json(column, FINGERPRINT)).filter("_d.status = 'ok'")
+    rows = d.select("file_id", "file_duration", F.explode("_d.results").alias("_r")).select("file_id", "file_duration", F.coalesce("_r.score", F.lit(0.0)).alias("score"), F.explode("_r.recordings").alias("_c"))
+    found = rows.filter("_c.id <> ''").select("file_id", "file_duration", "score", F.col("_c.id").alias("recording_mbid"), (F.col("_c.duration") * 1000).cast("long").alias("duration_ms"))
+    kept = fingerprint_filter(found.withColumn("duration", F.nullif("duration_ms", F.lit(0)) / 1000), least, seconds)
+    w = Window.partitionBy("file_id").orderBy(F.desc("score"), "recording_mbid", "duration_ms")
+    return kept.select("file_id", "recording_mbid", "score", "duration_ms", F.row_number().over(w).alias("place"))
+
+
+def fingerprint_errors(docs: DataFrame, column: str = "json") -> DataFrame:
+    """(file_id, error): files whose answer is no success, or can't be read."""
+    d = F.from_json(column, FINGERPRINT)
+    return docs.select("file_id", d["status"].alias("_s"), F.coalesce(d["error"]["message"], F.lit("Unknown error")).alias("error")).filter("_s is distinct from 'ok'").drop("_s")
+
+
 def fingerprint_filter(hits: DataFrame, least: float = 0.5, seconds: int = 2) -> DataFrame:
     """Hits with a high score whose duration is within the limit of the file's; an unknown duration passes."""
     close = F.col("duration").isNull() | F.col("file_duration").isNull() | (F.abs(F.col("duration") - F.col("file_duration")) <= seconds)

@@ -75,10 +75,22 @@ def backfill_normalized(rows: DataFrame, raw: str = "title_raw", column: str = "
     return rows.withColumn(column, F.coalesce(column, normalize_title(F.col(raw))["core"]))
 
 
-def decision_tags(decisions: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Tags to write for decided entities: both choices and the beginning of the evidence's hash."""
+#: Ids of other services that a file's tags can hold.
+EXTERNAL_IDS = ["mb_recording_id", "discogs_master_id", "discogs_release_id", "spotify_track_id", "spotify_album_id", "wikidata_qid"]
+
+
+def decision_tags(decisions: DataFrame, hashes: DataFrame, blobs: DataFrame | None = None, external: DataFrame | None = None) -> DataFrame:
+    """Tags to write for decided entities: both choices, the beginning of the evidence's hash, the charts blob and ids of other services.
+
+    blobs: (entity_id, charts_blob), external: (entity_id, and any of EXTERNAL_IDS), one row per entity at most; what isn't given is null, and so is an empty blob.
+    """
     tag = F.concat(F.lit("evh="), F.substring("evidence_hash", 1, 8))
-    return decisions.filter("state = 'decided'").join(hashes, "entity_id").select("entity_id", "crg", "rr", tag.alias("tag"))
+    out = decisions.filter("state = 'decided'").join(hashes, "entity_id").select("entity_id", "crg", "rr", tag.alias("tag"))
+    out = out.withColumn("charts_blob", F.lit(None).cast("string")) if blobs is None else out.join(blobs.select("entity_id", F.nullif("charts_blob", F.lit("")).alias("charts_blob")), "entity_id", "left")
+    given = [] if external is None else [c for c in EXTERNAL_IDS if c in external.columns]
+    if given:
+        out = out.join(external.select("entity_id", *given), "entity_id", "left")
+    return out.withColumns({c: F.lit(None).cast("string") for c in EXTERNAL_IDS if c not in given})
 
 
 #: Ranks of a run that make one block of its digest.
@@ -148,6 +160,22 @@ def link_decisions(entries: DataFrame, decisions: DataFrame) -> DataFrame:
     return joined.withColumn("confidence", confidence).withColumn("link_method", F.when(F.col("state") == "decided", "multi_source").otherwise("fallback"))
 
 
+def link_top_hits(entries: DataFrame, hits: DataFrame) -> DataFrame:
+    """entries (artist, title, …) with the surest hit of a search by names, for entries that no rules have judged: (…, hit_id, source, confidence, link_method).
+
+    hits: (artist, title, hit_id, source, confidence), any number for each pair of names; a hit that says nothing of its confidence has 0.7, ties go to the smallest id. Entries
+    without a hit get 0.5. Hits are reduced to one for each pair of names before they meet entries.
+    """
+    sure = F.coalesce("confidence", F.lit(0.7))
+    top = hits.filter("artist is not null and title is not null").groupBy("artist", "title").agg(F.min(F.struct((-sure).alias("c"), "hit_id", "source")).alias("_top"))
+    joined = entries.join(top, ["artist", "title"], "left")
+    found = F.col("_top").isNotNull()
+    return joined.withColumns({
+        "hit_id": F.col("_top.hit_id"), "source": F.when(found, F.coalesce("_top.source", F.lit("unknown"))),
+        "confidence": F.when(found, -F.col("_top.c")).otherwise(0.5), "link_method": F.when(found, "multi_source").otherwise("title_artist_year"),
+    }).drop("_top")
+
+
 def missing_weeks(runs: DataFrame, charts: DataFrame, first_year: int, last_year: int, today: str | None = None) -> DataFrame:
     """Weekly periods YYYY-Www that a chart lacks, up to the ISO week of today if that is given. The last week of a year is the one of 28 December."""
     year, last = F.col("y"), F.weekofyear(F.make_date("y", F.lit(12), F.lit(28)))

@@ -243,11 +243,28 @@ def sufficient_locally(candidates: DataFrame, least: int = 3) -> DataFrame:
     return candidates.groupBy("entity_id").agg(F.count_distinct("rg_mbid").alias("n_rgs")).withColumn("sufficient", F.col("n_rgs") >= least)
 
 
-def evidence_bundle(candidates: DataFrame, releases: DataFrame) -> DataFrame:
-    """One nested document per entity: its groups in order of id, each with its releases in order of id."""
+def evidence_bundle(candidates: DataFrame, releases: DataFrame, artists: DataFrame | None = None, recordings: DataFrame | None = None) -> DataFrame:
+    """One nested document per entity: its groups in order of id, each with its releases in order of id, and if the tables are given, its artist and recordings.
+
+    The artist is that of the first group by id that has one, null if the table doesn't know it. Recordings (candidates need recording_mbid) stand in order of id; one that the table
+    doesn't know has the title and artist of its candidates, the first by value, and no length or codes.
+    """
     nested = releases.groupBy("rg_mbid").agg(F.array_sort(F.collect_list(F.struct("release_mbid", "date", "country", F.coalesce("is_official", F.lit(True)).alias("is_official")))).alias("releases"))
-    rows = distinct_candidates(candidates).join(nested, "rg_mbid", "left")
-    return rows.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("rg_mbid", "title", "primary_type", "date", F.coalesce("releases", F.array().cast(nested.schema["releases"].dataType)).alias("releases")))).alias("rg_candidates"))
+    groups = distinct_candidates(candidates)
+    rows = groups.join(nested, "rg_mbid", "left")
+    out = rows.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("rg_mbid", "title", "primary_type", "date", F.coalesce("releases", F.array().cast(nested.schema["releases"].dataType)).alias("releases")))).alias("rg_candidates"))
+    if artists is not None:
+        first = groups.filter("artist_mbid is not null").groupBy("entity_id").agg(F.min_by("artist_mbid", "rg_mbid").alias("artist_mbid"))
+        known = first.join(artists, "artist_mbid").select("entity_id", F.struct("artist_mbid", "name", "country").alias("artist"))
+        out = out.join(known, "entity_id", "left")
+    if recordings is not None:
+        own = candidates.filter("recording_mbid is not null").groupBy("entity_id", "recording_mbid").agg(F.min("title").alias("_title"), F.min("artist_mbid").alias("_artist"))
+        rec = recordings.select("recording_mbid", F.lit(True).alias("_known"), F.col("title").alias("_t"), F.col("artist_mbid").alias("_a"), "length_ms", "isrcs")
+        value = lambda table, candidate: F.when(F.col("_known"), F.col(table)).otherwise(F.col(candidate))
+        one = F.struct("recording_mbid", value("_t", "_title").alias("title"), value("_a", "_artist").alias("artist_mbid"), "length_ms", F.coalesce("isrcs", F.array().cast("array<string>")).alias("isrcs"))
+        lists = own.join(rec, "recording_mbid", "left").groupBy("entity_id").agg(F.array_sort(F.collect_list(one)).alias("recordings"))
+        out = out.join(lists, "entity_id", "left")
+    return out
 
 
 def apply_overrides(decisions: DataFrame, rules: DataFrame) -> DataFrame:

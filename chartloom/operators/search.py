@@ -22,6 +22,20 @@ def like(rows: DataFrame, column: str, text: str, key: str, limit: int = 10) ->
     return rows.filter(F.contains(F.lower(column), F.lit(text.lower()))).orderBy(column, key).limit(limit)
 
 
+def like_batch(queries: DataFrame, rows: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, key, name): for each query the rows whose name contains its text in any case, the first `limit` by name and key.
+
+    queries: (query_id, text); rows: (key, name). If queries have an `artist` and rows an `artist_name`, that must be contained too; a null artist asks for nothing. Names are
+    searched once for each distinct text, at its rarest trigram, so many queries are one job.
+    """
+    asked = queries.withColumn("_a", F.lower("text"))
+    pairs = containing_texts(asked.filter("_a is not null").select("_a"), rows.filter("name is not null").select(F.lower("name"))).toDF("_a", "_b")
+    hits = asked.join(pairs, "_a").join(rows.withColumn("_b", F.lower("name")), "_b")
+    if "artist" in queries.columns and "artist_name" in rows.columns:
+        hits = hits.filter(F.col("artist").isNull() | F.contains(F.lower("artist_name"), F.lower("artist")))
+    return dedupe_to(hits, "query_id", ["name", "key"], limit).select("query_id", "key", "name")
+
+
 def length_fits(asked: Column, length: Column, tolerance: float) -> Column:
     """Within a share of the asked length, bounds cut to whole numbers; no length asked fits all, an unknown one never does."""
     return asked.isNull() | length.between((asked * (1 - tolerance)).cast("int"), (asked * (1 + tolerance)).cast("int"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from chartloom.operators import catalogue as ct
@@ -187,11 +189,49 @@ def pages_text_lines(v):
 
 
 @query("""SELECT hit_id, split_part(source, '_', 1) || '-release-' || split_part(hit_id, '-', 2) AS release_id, split_part(source, '_', 1) || '-recording-' || split_part(hit_id, '-',
-    2) AS recording_id, split_part(source, '_', 1) || '-artist-' || lower(artist_name) AS artist_id FROM fv_hit""")
+    2) AS recording_id, split_part(source, '_', 1) || '-artist-' || CASE WHEN artist_name = '' THEN 'unknown' ELSE lower(artist_name) END AS artist_id FROM fv_hit""")
 def synthetic_ids(v):
     return ct.synthetic_ids(v.hit)
 
 
+def only_elsewhere(v):
+    """Parts as releases of one secondary source and as tracks of another, some without artist, year, master, album or code."""
+    p, k = v.table("part"), F.col("p_partkey")
+    text = lambda n: n.cast("string")
+    artist = F.when(k % 10 != 0, F.concat("p_brand", F.lit(" & Co"))).otherwise("")
+    releases = p.filter(k % 3 == 0).select(text(k).alias("release_id"), F.when(k % 4 != 0, text(F.floor(k / 12))).alias("master_id"), F.col("p_name").alias("title"), artist.alias("artist_name"), (k % 50 * 40).alias("year"), F.lit("NL").alias("country"))
+    tracks = p.filter(k % 5 == 0).select(text(k).alias("track_id"), F.when(k % 4 != 0, text(F.floor(k / 20))).alias("album_id"), F.when(k % 3 != 0, F.concat(F.lit("Album "), F.floor(k / 20))).alias("album_name"), F.col("p_name").alias("title"), artist.alias("artist_name"), (F.col("p_size") * 1000).alias("length_ms"), F.when(k % 7 != 0, F.concat(F.lit("ISRC"), k % 500)).alias("isrc"))
+    return ct.release_catalogue(releases, "discbase"), ct.track_catalogue(tracks, "streambase")
+
+
+ELSEWHERE = "CASE WHEN p_partkey % 10 <> 0 THEN replace(lower(p_brand), ' ', '-') || '-and-co' ELSE 'unknown' END"
+ELSEWHERE_NAME = "CASE WHEN p_partkey % 10 <> 0 THEN p_brand || ' & Co' ELSE 'Unknown' END"
+ELSEWHERE_YEAR = "CASE WHEN p_partkey % 50 > 0 THEN CAST(p_partkey % 50 * 40 AS VARCHAR) END"
+
+
+@query(f"""SELECT 'artist' AS kind, artist_mbid AS id, name AS text, CAST(NULL AS VARCHAR) AS owner FROM fv_artist
+  UNION ALL SELECT 'recording', recording_mbid, title, artist_mbid FROM fv_recording UNION ALL SELECT 'release_group', rg_mbid, first_release_date, artist_mbid FROM fv_rg
+  UNION ALL SELECT 'release', release_mbid, date, rg_mbid FROM fv_release UNION ALL SELECT 'recording_release', recording_mbid, NULL, release_mbid FROM fv_recording_release
+  UNION ALL SELECT DISTINCT 'artist', 'discbase-artist-' || {ELSEWHERE}, {ELSEWHERE_NAME}, NULL FROM part WHERE p_partkey % 3 = 0
+  UNION ALL SELECT 'recording', 'discbase-recording-' || p_partkey, p_name, 'discbase-artist-' || {ELSEWHERE} FROM part WHERE p_partkey % 3 = 0
+  UNION ALL SELECT 'release_group', rg, r.d, r.a FROM (SELECT rg, max({{'title': title, 'a': a, 'd': d}}) AS r FROM (SELECT 'discbase-master-' || p_partkey // 12 AS rg, p_name AS title, 'discbase-artist-' || {ELSEWHERE} AS a, {ELSEWHERE_YEAR} AS d FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 4 <> 0) GROUP BY 1)
+  UNION ALL SELECT 'release', 'discbase-release-' || p_partkey, {ELSEWHERE_YEAR}, CASE WHEN p_partkey % 4 <> 0 THEN 'discbase-master-' || p_partkey // 12 END FROM part WHERE p_partkey % 3 = 0
+  UNION ALL SELECT 'recording_release', 'discbase-recording-' || p_partkey, NULL, 'discbase-release-' || p_partkey FROM part WHERE p_partkey % 3 = 0
+  UNION ALL SELECT DISTINCT 'artist', 'streambase-artist-' || {ELSEWHERE}, {ELSEWHERE_NAME}, NULL FROM part WHERE p_partkey % 5 = 0
+  UNION ALL SELECT 'recording', 'streambase-track-' || p_partkey, p_name, 'streambase-artist-' || {ELSEWHERE} FROM part WHERE p_partkey % 5 = 0
+  UNION ALL SELECT 'release_group', rg, NULL, a FROM (SELECT 'streambase-album-' || p_partkey // 20 AS rg, max('streambase-artist-' || {ELSEWHERE}) AS a FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 4 <> 0 AND p_partkey % 3 <> 0 GROUP BY 1)
+  UNION ALL SELECT DISTINCT 'release', 'streambase-album-' || p_partkey // 20, NULL, 'streambase-album-' || p_partkey // 20 FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 4 <> 0 AND p_partkey % 3 <> 0
+  UNION ALL SELECT 'recording_release', 'streambase-track-' || p_partkey, NULL, 'streambase-album-' || p_partkey // 20 FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 4 <> 0""")
+def synthetic_catalogue(v):
+    main = {"artist": v.artist, "recording": v.recording, "release_group": v.rg, "release": v.release, "recording_release": v.recording_release}
+    t = ct.with_secondary(main, *only_elsewhere(v))
+    none = F.lit(None).cast("string")
+    shape = {"artist": ("artist_mbid", "name", none), "recording": ("recording_mbid", "title", "artist_mbid"), "release_group": ("rg_mbid", "first_release_date", "artist_mbid"), "release": ("release_mbid", "date", "rg_mbid"), "recording_release": ("recording_mbid", none, "release_mbid")}
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    parts = [t[kind].select(F.lit(kind).alias("kind"), column(a).alias("id"), column(b).alias("text"), column(c).alias("owner")) for kind, (a, b, c) in shape.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_partkey + 1 AS VARCHAR) END AS master_id,
     CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) END AS release_id, CASE WHEN p_partkey % 5 = 0 THEN 'Q' || p_partkey END AS item_id
   FROM part""")
@@ -220,6 +260,16 @@ def like_search(v):
     return search.like(v.artist, "name", "00001", "artist_mbid").select("artist_mbid", "name")
 
 
+@query("""SELECT query_id, key, name FROM (SELECT s_suppkey AS query_id, rg_mbid AS key, title AS name, row_number() OVER (PARTITION BY s_suppkey ORDER BY title, rg_mbid) AS n
+  FROM supplier JOIN fv_rg g ON contains(lower(title), lower(s_name[-3:])) LEFT JOIN fv_artist a USING (artist_mbid)
+  WHERE s_suppkey % 2 = 0 OR contains(lower(a.name), '#0000000' || lpad(CAST(s_suppkey % 100 AS VARCHAR), 2, '0'))) WHERE n <= 10""")
+def like_groups(v):
+    k = F.col("s_suppkey")
+    queries = v.table("supplier").select(k.alias("query_id"), F.substring("s_name", -3, 3).alias("text"), F.when(k % 2 == 1, F.concat(F.lit("#0000000"), F.lpad((k % 100).cast("string"), 2, "0"))).alias("artist"))
+    groups = v.rg.join(v.artist.select("artist_mbid", F.col("name").alias("artist_name")), "artist_mbid", "left").select(F.col("rg_mbid").alias("key"), F.col("title").alias("name"), "artist_name")
+    return search.like_batch(queries, groups)
+
+
 @query("SELECT query_id, recording_mbid FROM fv_query JOIN fv_rec ON title = title_normalized AND contains(artist_normalized, artist)")
 def exact_title_artist_search(v):
     return search.exact_names(asked(v), recs(v))
@@ -281,6 +331,31 @@ def fingerprint_filter(v):
     return ct.fingerprint_filter(rows, 0.1).select("event_id", "score")
 
 
+EXTRA_VIEWS["fv_answered"] = """SELECT event_id, value / 1000 AS score, event_id % 60 AS seconds, 'm' || event_id AS recording_mbid, CAST(CASE event_id % 3 WHEN 1 THEN 0 WHEN 2 THEN (user_id % 60) * 1000 + 500 END AS BIGINT) AS duration_ms FROM events
+  UNION ALL SELECT event_id, value / 1000, event_id % 60, CASE WHEN event_id % 4 > 0 THEN 'n' || event_id END, CAST((event_id % 63) * 1000 AS BIGINT) FROM events"""
+
+
+def answers(v):
+    """An answer of a fingerprint service for each event; some are errors, some recordings lack an id or a duration."""
+    k = F.col("event_id")
+    one = F.struct(F.concat(F.lit("m"), k).alias("id"), F.when(k % 3 == 1, 0.0).when(k % 3 == 2, F.col("user_id") % 60 + 0.5).alias("duration"))
+    two = F.struct(F.when(k % 4 > 0, F.concat(F.lit("n"), k)).alias("id"), (k % 63).cast("double").alias("duration"))
+    good = F.to_json(F.struct(F.lit("ok").alias("status"), F.array(F.struct((F.col("value") / 1000).alias("score"), F.array(one, two).alias("recordings"))).alias("results")))
+    bad = F.when(k % 22 == 0, '{"status": "error", "error": {"message": "invalid fingerprint"}}').otherwise("{")
+    return v.table("events").select(k.alias("file_id"), (k % 60).alias("file_duration"), F.when(k % 11 == 0, bad).otherwise(good).alias("json"))
+
+
+@query("""SELECT event_id AS file_id, recording_mbid, score, duration_ms, CAST(row_number() OVER (PARTITION BY event_id ORDER BY score DESC, recording_mbid, duration_ms NULLS FIRST) AS INTEGER) AS place FROM fv_answered
+  WHERE event_id % 11 > 0 AND recording_mbid IS NOT NULL AND score >= 0.1 AND (coalesce(duration_ms, 0) = 0 OR abs(duration_ms / 1000 - seconds) <= 2)""")
+def fingerprint_hits(v):
+    return ct.fingerprint_hits(answers(v), least=0.1)
+
+
+@query("SELECT event_id AS file_id, CASE WHEN event_id % 22 = 0 THEN 'invalid fingerprint' ELSE 'Unknown error' END AS error FROM events WHERE event_id % 11 = 0")
+def fingerprint_errors(v):
+    return ct.fingerprint_errors(answers(v))
+
+
 RGS = "SELECT DISTINCT recording_mbid, rg_mbid FROM fv_recording_release JOIN fv_release USING (release_mbid) JOIN fv_rg USING (rg_mbid)"
 
 

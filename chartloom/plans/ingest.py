@@ -11,7 +11,7 @@ from chartloom.operators import decisions as dc
 from chartloom.operators import ingest as ig
 from chartloom.operators import resolution as rs
 from chartloom.plans.analytics import ENTRY_SCORES, POSITIONS, WORK_SCORE, weekly
-from chartloom.plans.catalogue import library
+from chartloom.plans.catalogue import discogs_ids_from_urls, library
 from chartloom.plans.registry import EXTRA_VIEWS, query
 from chartloom.plans.text import styled, texts, titles
 from chartloom.sources.shared import materialize
@@ -113,6 +113,14 @@ def link_from_decisions(v):
     return ig.link_decisions(entries, own).select("partkey", "release_anchor_id", "confidence", "link_method")
 
 
+@query("""SELECT p_partkey AS partkey, r.h AS hit_id, r.s AS source, CAST(CASE WHEN r IS NULL THEN 0.5 ELSE -r.c END AS DOUBLE) AS confidence, CASE WHEN r IS NULL THEN 'title_artist_year' ELSE 'multi_source' END AS link_method
+  FROM part LEFT JOIN (SELECT artist_name, title, min({'c': -CASE WHEN source = 'streambase_isrc' THEN 0.7 ELSE confidence END, 'h': hit_id, 's': source}) AS r FROM fv_hit GROUP BY 1, 2) ON artist_name = p_brand AND title = p_name""")
+def link_from_hits(v):
+    entries = v.table("part").select(F.col("p_partkey").alias("partkey"), F.col("p_brand").alias("artist"), F.col("p_name").alias("title"))
+    hits = v.hit.select(F.col("artist_name").alias("artist"), "title", "hit_id", "source", F.when(F.col("source") != "streambase_isrc", F.col("confidence")).alias("confidence"))
+    return ig.link_top_hits(entries, hits).select("partkey", "hit_id", "source", "confidence", "link_method")
+
+
 @query(f"""SELECT chart_id, artist_core, title_core, score, place
   FROM (SELECT *, CAST(row_number() OVER (PARTITION BY chart_id ORDER BY score DESC, artist_core, title_core) AS INTEGER) AS place
   FROM ({ENTRY_SCORES})) WHERE place <= 20""")
@@ -161,10 +169,6 @@ def tag_augment(v):
     return ig.merge_tags(existing, new, "id", ["artist", "title"], ["work_id"], False)
 
 
-@query("SELECT entity_id, crg, rr, 'evh=' || substr(evidence_hash, 1, 8) AS tag FROM fv_decision JOIN fv_hash USING (entity_id) WHERE state = 'decided'")
-def assemble_tags(v):
-    decided = v.decision
-    return ig.decision_tags(decided, rs.evidence_hash(v.candidate))
 
 
 @query("SELECT partkey, coalesce(CASE WHEN partkey % 2 = 0 THEN 'kept' END, core) AS normalized FROM fv_title_norm")
@@ -195,6 +199,18 @@ def charts_blob(v):
     return blobs(v)
 
 
+@query(f"""SELECT entity_id, crg, rr, 'evh=' || substr(evidence_hash, 1, 8) AS tag, blob AS charts_blob, 'r' || p_partkey AS mb_recording_id, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_partkey + 1 AS VARCHAR) END AS discogs_master_id,
+    CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) END AS discogs_release_id, CAST(NULL AS VARCHAR) AS spotify_track_id, CAST(NULL AS VARCHAR) AS spotify_album_id, CASE WHEN p_partkey % 5 = 0 THEN 'Q' || p_partkey END AS wikidata_qid
+  FROM fv_decision JOIN fv_hash USING (entity_id) JOIN part ON entity_id = 'e' || p_partkey LEFT JOIN ({BLOB}) ON work_key = substr(sha256(lower(p_brand) || ' // ' || lower(p_name)), 1, 16) WHERE state = 'decided'""")
+def assemble_tags(v):
+    decided = v.decision
+    entity = F.concat(F.lit("e"), "p_partkey").alias("entity_id")
+    work = ids.short_hash(F.concat_ws(" // ", F.lower("p_brand"), F.lower("p_name"))).alias("work_key")
+    held = v.table("part").select(entity, work).join(blobs(v), "work_key").select("entity_id", F.col("blob").alias("charts_blob"))
+    external = discogs_ids_from_urls(v).select(F.concat(F.lit("e"), "id").alias("entity_id"), F.concat(F.lit("r"), "id").alias("mb_recording_id"), F.col("master_id").alias("discogs_master_id"), F.col("release_id").alias("discogs_release_id"), F.col("item_id").alias("wikidata_qid"))
+    return ig.decision_tags(decided, rs.evidence_hash(v.candidate), held, external)
+
+
 @query(f"""SELECT p.work_key, p.chart_id, p.score, p.highest, 'm' AS frequency, CASE WHEN contains(blob, ',"m",{{') THEN p.positions END AS positions FROM ({BLOB_PARTS}) p JOIN ({BLOB}) USING (work_key)""")
 def charts_blob_parse(v):
     return ig.parse_blob(blobs(v))

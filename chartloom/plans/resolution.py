@@ -105,12 +105,22 @@ def resolve(v):
 @query("""SELECT crg_rationale, rr_rationale, state, CAST(NULL AS VARCHAR) AS error, count(*) AS n FROM fv_decision WHERE CAST(entity_id[2:] AS BIGINT) % 31 > 1 GROUP BY 1, 2, 3
 UNION ALL SELECT NULL, NULL, NULL, CASE CAST(entity_id[2:] AS BIGINT) % 31 WHEN 0 THEN 'date_not_readable' ELSE 'candidate_without_type' END, count(*) FROM fv_decision WHERE CAST(entity_id[2:] AS BIGINT) % 31 <= 1 GROUP BY 4""")
 def batch_decide(v):
+    return rs.batch_summary(batch(v))
+
+
+@query("""SELECT entity_id, CASE WHEN e IS NULL THEN crg END AS crg, CASE WHEN e IS NULL THEN rr END AS rr, CASE WHEN e IS NULL THEN state END AS state, e AS error
+  FROM (SELECT *, CASE CAST(entity_id[2:] AS BIGINT) % 31 WHEN 0 THEN 'date_not_readable' WHEN 1 THEN 'candidate_without_type' END AS e FROM fv_decision)""")
+def batch_decisions(v):
+    return batch(v).select("entity_id", "crg", "rr", "state", "error")
+
+
+def batch(v):
     """All entities, some of which have candidates with broken dates or without a type."""
     broken = v.candidate.withColumns({
         "first_release_date": F.when(F.col("partkey") % 31 == 0, "19x5").otherwise(F.col("first_release_date")),
         "primary_type": F.when(F.col("partkey") % 31 != 1, F.col("primary_type")),
     })
-    return rs.batch_summary(rs.decide_batch(broken, v.release, v.rg, v.artist))
+    return rs.decide_batch(broken, v.release, v.rg, v.artist)
 
 
 @query("""SELECT entity_id, min(CASE WHEN k = 'Album' AND NOT comp THEN date END) AS album_date, min(CASE WHEN k IN ('Single', 'EP') AND NOT comp THEN date END) AS single_ep_date,
@@ -167,6 +177,17 @@ def evidence_bundle(v):
     return rows.select("entity_id", F.col("g.rg_mbid").alias("rg_mbid"), F.size("g.releases").cast("long").alias("n_releases"), F.array_join(F.col("g.releases.release_mbid"), ",").alias("releases"))
 
 
+@query("""SELECT entity_id, f.artist_mbid, a.name, a.country, x.recording_mbid, coalesce(r.title, x.title) AS title, CASE WHEN r.recording_mbid IS NULL THEN x.artist_mbid ELSE r.artist_mbid END AS recording_artist, r.length_ms, CAST(coalesce(len(r.isrcs), 0) AS INTEGER) AS n_isrcs
+  FROM (SELECT entity_id, CASE WHEN k % 19 = 0 THEN 'x' ELSE 'r' END || k AS recording_mbid, min(title) AS title, min(artist_mbid) AS artist_mbid FROM (SELECT *, CAST(entity_id[2:] AS BIGINT) AS k FROM fv_candidate) GROUP BY ALL) x
+  LEFT JOIN (SELECT entity_id, arg_min(artist_mbid, rg_mbid) AS artist_mbid FROM fv_cand GROUP BY 1) f0 USING (entity_id) LEFT JOIN fv_artist a ON a.artist_mbid = f0.artist_mbid
+  LEFT JOIN (SELECT artist_mbid FROM fv_artist) f ON f.artist_mbid = f0.artist_mbid LEFT JOIN fv_recording r ON r.recording_mbid = x.recording_mbid""")
+def evidence_subjects(v):
+    """Artist and recordings of the bundles; some recordings aren't in the catalogue."""
+    candidates = v.candidate.withColumn("recording_mbid", F.concat(F.when(F.col("partkey") % 19 == 0, "x").otherwise("r"), "partkey"))
+    rows = rs.evidence_bundle(candidates, v.release, v.artist, v.recording).select("entity_id", "artist", F.explode("recordings").alias("r"))
+    return rows.select("entity_id", "artist.*", "r.recording_mbid", "r.title", F.col("r.artist_mbid").alias("recording_artist"), "r.length_ms", F.size("r.isrcs").alias("n_isrcs"))
+
+
 @query("""SELECT c.entity_id, 'r' || c.entity_id[2:] AS recording_mbid, c.rg_mbid, r.release_mbid, coalesce(r.is_official, true) AS is_official FROM fv_cand c
   JOIN fv_release r USING (rg_mbid) JOIN fv_recording_release x ON x.release_mbid = r.release_mbid AND x.recording_mbid = 'r' || c.entity_id[2:]""")
 def evidence_convert(v):
