@@ -126,15 +126,14 @@ def track_catalogue(items: DataFrame, source: str) -> dict[str, DataFrame]:
 
 def _tables(rows: DataFrame, has_release: Column, has_group: Column, title: str = "title") -> dict[str, DataFrame]:
     """The five tables of wide rows, once per key: of several rows with a key the last by its columns."""
-    def once(df: DataFrame, table: str) -> DataFrame:
-        key, *rest = CATALOGUE[table]
-        return df.select(*CATALOGUE[table]).groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, "_r.*")
+    def once(df: DataFrame, table: str, made: dict[str, Column] | None = None) -> DataFrame:
+        key, *rest = [c for c in CATALOGUE[table] if c not in (made or {})]
+        return df.groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, "_r.*").withColumns(made or {}).select(*CATALOGUE[table])
 
-    own = rows.withColumns({"name_normalized": artist_core(F.col("name")), "title_normalized": normalize_title(F.col("title"))["core"]})
     titled = rows.withColumn("title", F.col(title))
     return {
-        "artist": once(own, "artist"),
-        "recording": once(own, "recording"),
+        "artist": once(rows, "artist", {"name_normalized": artist_core(F.col("name"))}),
+        "recording": once(rows, "recording", {"title_normalized": normalize_title(F.col("title"))["core"]}),
         "release_group": once(titled.filter(has_group), "release_group"),
         "release": once(titled.filter(has_release), "release"),
         "recording_release": rows.filter("release_mbid is not null").select("recording_mbid", "release_mbid").distinct(),
