@@ -76,7 +76,7 @@ LI = "regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)"
 
 def sql_plain(x: str) -> str:
     out = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
-    for entity, to in sn.ENTITIES:
+    for entity, to in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]:
         out = f"replace({out}, '{entity}', '{to.replace(chr(39), chr(39) * 2)}')"
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartloom.functions.normalize import previous_position, squeeze, strip_notes
 
-ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")]
-
-
 def entries_json(docs: DataFrame, column: str = "json") -> DataFrame:
     """Documents of the form [[rank, artist, title], …]; rows with fewer parts raise an error when they are read."""
     rows = docs.withColumn("_row", F.explode(F.from_json(column, "array<array<string>>")))
@@ -43,17 +44,64 @@ def pivoted_json(docs: DataFrame, column: str = "json") -> DataFrame:
     return unpivot_years(songs.select(*[c for c in docs.columns if c != column], F.col("_s.artist").alias("artist_raw"), F.col("_s.title").alias("title_raw"), F.col("_s.years").alias("years")))
 
 
+#: What stands in a tag after its name: a > within a quoted value doesn't end it. Possessive, so that no page makes it go back.
+INSIDE = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+"""
+TAG = rf"</?+[A-Za-z]{INSIDE}>|<![^>]*+>|<\?[^>]*+>"
+
+
+def elements(html: Column, names: str) -> Column:
+    """The insides of all elements with one of the names (a pattern), up to the next closing tag; names are whole, so <link> is no <li>."""
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{names})(?![A-Za-z0-9]){INSIDE}>(.*?)</(?:{names})\s*>"), 1)
+
+
+def without_comments(html: Column) -> Column:
+    """A page without its comments and scripts, so that nothing is found in these."""
+    return F.regexp_replace(html, r"(?is)<!--.*?-->|<script(?![A-Za-z0-9])[^>]*>.*?</script\s*>|<style(?![A-Za-z0-9])[^>]*>.*?</style\s*>", "")
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often use names it; within functions of arrays nothing else sees to that."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Characters by name, as HTML 4 has them, and those of the numbers 128 to 159, which pages take from a Windows code page.
+NAMED = {"apos": "'"} | {name: chr(code) for name, code in name2codepoint.items()}
+WINDOWS = {str(code): bytes([code]).decode("cp1252", "ignore") or chr(code) for code in range(128, 160)}
+
+
+def decode_entities(text: Column) -> Column:
+    """Named and numeric entities as characters, once from left to right (&amp;lt; is &lt;); names that HTML 4 lacks, and those without a semicolon, stay.
+
+    Numbers that are no characters become the replacement character. A missing text is null.
+    """
+    constant = lambda values: F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+
+    def character(name: Column) -> Column:
+        number = F.when(F.rlike(name, F.lit("^#[xX]")), F.conv(F.substr(name, F.lit(3)), 16, 10)).when(F.startswith(name, F.lit("#")), F.substr(name, F.lit(2))).try_cast("int")
+        odd = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+        letter = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        code = F.when(odd, "\ufffd").when(number.between(128, 159), F.try_element_at(constant(WINDOWS), number.cast("string"))).otherwise(letter)
+        return F.when(F.startswith(name, F.lit("#")), code).otherwise(F.try_element_at(constant(NAMED), name))
+
+    def piece(x: Column) -> Column:
+        name = F.regexp_extract(x, r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+        return once(name, lambda n: F.coalesce(F.concat(F.when(n != "", character(n)), F.substr(x, F.length(n) + 2)), F.concat(F.lit("&"), x)))
+
+    def pieces(parts: Column) -> Column:
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece), ""))
+
+    return once(text, lambda t: F.when(F.contains(t, F.lit("&")), once(F.split(t, "&"), pieces)).otherwise(t))
+
+
 def plain_text(html: Column) -> Column:
-    """Text of a piece of a page: no tags, the common entities, white space squeezed."""
-    text = F.regexp_replace(html, "<[^>]*>", " ")
-    for entity, to in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(to))
-    return squeeze(text)
+    """Text of a piece of a page: no tags or comments, entities as characters, white space squeezed, hard spaces included. A < that begins no tag is text."""
+    bare = once(html, lambda h: F.when(F.contains(h, F.lit("<")), F.regexp_replace(without_comments(h), TAG, " ")).otherwise(h))
+    return squeeze(decode_entities(bare))
 
 
 def list_items(pages: DataFrame, html: str = "html") -> DataFrame:
     """List items of pages in order: (page columns, rank = place, title = text); empty items count but are left out."""
-    found = F.regexp_extract_all(html, F.lit(r"(?is)<li[^>]*>(.*?)</li>"), 1)
+    found = elements(without_comments(F.col(html)), "li")
     return pages.select("*", F.posexplode(found).alias("_p", "_h")).withColumns({"rank": F.col("_p") + 1, "title_raw": plain_text(F.col("_h"))}).filter("title_raw <> ''").drop(html, "_p", "_h")
 
 
@@ -79,7 +127,7 @@ def chart_items(pages: DataFrame, html: str = "html") -> DataFrame:
 
     Items without rank, artist or title go. A previous position that is new or nothing is null, and so are 0 positions and weeks.
     """
-    found = F.regexp_extract_all(html, F.lit(r"""(?is)<li[^>]*class\s*=\s*["'][^"']*item[^"']*["'][^>]*>(.*?)</li>"""), 1)
+    found = F.regexp_extract_all(without_comments(F.col(html)), F.lit(r"""(?is)<li(?![A-Za-z0-9])[^>]*class\s*=\s*["'][^"']*item[^"']*["'][^>]*>(.*?)</li>"""), 1)
     rows = pages.select("*", F.explode(found).alias("_i")).withColumns({name: field_text(F.col("_i"), words) for name, words in FIELDS.items()})
     previous = F.when(~F.lower("previous_position").isin(NO_POSITION), F.nullif(digits(F.col("previous_position")), F.lit(0)))
     out = rows.withColumns({"rank": digits(F.col("rank")), "previous_position": previous, "weeks_on_chart": F.nullif(digits(F.col("weeks_on_chart")), F.lit(0))})
@@ -92,8 +140,8 @@ def table_entries(pages: DataFrame, html: str = "html", year: str | None = None)
     A page has four columns (position, previous, artist, title) if its first row with data has, or if its year is 2010 or later; else
     three (position, artist, title), and so have its rows with three cells. Rows without data cells, a number, an artist or a title go.
     """
-    rows = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1), lambda r: F.rlike(r, F.lit("(?i)<td")))
-    cells = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1), lambda c: strip_notes(plain_text(c))))
+    rows = F.filter(elements(without_comments(F.col(html)), "tr"), lambda r: F.rlike(r, F.lit("(?i)<td(?![A-Za-z0-9])")))
+    cells = F.transform(rows, lambda r: F.transform(elements(r, "t[dh]"), lambda c: strip_notes(plain_text(c))))
     wide = F.size(F.get("_rows", F.lit(0))) >= 4
     if year is not None:
         wide = wide | F.coalesce(F.col(year).cast("int") >= 2010, F.lit(False))
@@ -136,7 +184,7 @@ def first_that_works(pages: DataFrame, key: str, html: str = "html") -> DataFram
 
     A page is read once, in one pass without a shuffle; the later ways are tried only on pages where the earlier find nothing.
     """
-    items = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<li[^>]*>(.*?)</li>"), 1), plain_text)
+    items = F.transform(elements(without_comments(F.col(html)), "li"), plain_text)
     tables = table_entries(pages.select(key, html), html)
     listed = tables.withColumn("_listed", F.when(F.size("_table") == 0, line_entries(items)))
     lines = listed.withColumn("_lines", F.when(F.size("_listed") == 0, line_entries(F.split(html, "\n"))))
@@ -165,19 +213,19 @@ def write_snapshots(entries: DataFrame, path: str) -> None:
 
 def year_column(pages: DataFrame, html: str = "html", year: str = "year") -> DataFrame:
     """Entries `12. artist - title` of the column whose header names the page's year, in tables with a column per year."""
-    rows = pages.withColumn("_rows", F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1))
-    heads = F.transform(F.regexp_extract_all(F.get("_rows", F.lit(0)), F.lit(r"(?is)<th[^>]*>(.*?)</th>"), 1), plain_text)
+    rows = pages.withColumn("_rows", elements(without_comments(F.col(html)), "tr"))
+    heads = F.transform(elements(F.get("_rows", F.lit(0)), "th"), plain_text)
     place = F.array_position(F.transform(heads, lambda h: F.contains(h, F.col(year))), F.lit(True))
     cells = rows.withColumn("_at", place.cast("int")).filter("_at > 0").withColumn("_row", F.explode("_rows"))
-    cell = F.get(F.transform(F.regexp_extract_all("_row", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1), plain_text), F.col("_at") - 1)
+    cell = plain_text(F.get(elements(F.col("_row"), "td"), F.col("_at") - 1))
     return text_lines(cells.withColumn("_text", cell).filter("_text is not null").drop(html, "_rows", "_at", "_row"), "_text")
 
 
 def wiki_links(pages: DataFrame, html: str = "html", last_rank: int = 2000) -> DataFrame:
     """Rows of a ranked table with the first two encyclopedia links, which name the artist's and the title's page."""
-    rows = pages.select("*", F.explode(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)).alias("_r"))
+    rows = pages.select("*", F.explode(elements(without_comments(F.col(html)), "tr")).alias("_r"))
     links = F.regexp_extract_all("_r", F.lit(r'href="([^"]*/wiki/[^"]*)"'), 1)
-    rank = F.regexp_extract(plain_text(F.get(F.regexp_extract_all("_r", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1), F.lit(0))), r"^(\d+)", 1).try_cast("int")
+    rank = F.regexp_extract(plain_text(F.get(elements(F.col("_r"), "td"), F.lit(0))), r"^(\d+)", 1).try_cast("int")
     return rows.withColumns({"rank": rank, "artist_url": F.get(links, F.lit(0)), "title_url": F.get(links, F.lit(1))}).filter(F.col("rank").between(1, last_rank)).drop(html, "_r")
 
 
