@@ -218,7 +218,7 @@ def year_column(pages: DataFrame, html: str = "html", year: str = "year") -> Dat
     place = F.array_position(F.transform(heads, lambda h: F.contains(h, F.col(year))), F.lit(True))
     cells = rows.withColumn("_at", place.cast("int")).filter("_at > 0").withColumn("_row", F.explode("_rows"))
     cell = plain_text(F.get(elements(F.col("_row"), "td"), F.col("_at") - 1))
-    return text_lines(cells.withColumn("_text", cell).filter("_text is not null").drop(html, "_rows", "_at", "_row"), "_text")
+    return text_lines(cells.withColumn("_text", cell).drop(html, "_rows", "_at", "_row"), "_text")
 
 
 def wiki_links(pages: DataFrame, html: str = "html", last_rank: int = 2000) -> DataFrame:
