@@ -64,6 +64,11 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def exploded(rows: DataFrame, columns: list, array: Column) -> DataFrame:
+    """The columns and _e, one row per item of the array. The outer form, as for the inner one Spark makes a filter that works the array out a second time."""
+    return rows.select(*columns, F.explode_outer(array).alias("_e")).filter("_e is not null")
+
+
 #: Characters by name, as HTML 4 has them, and those of the numbers 128 to 159, which pages take from a Windows code page.
 NAMED = {"apos": "'"} | {name: chr(code) for name, code in name2codepoint.items()}
 WINDOWS = {str(code): bytes([code]).decode("cp1252", "ignore") or chr(code) for code in range(128, 160)}
@@ -128,10 +133,20 @@ def chart_items(pages: DataFrame, html: str = "html") -> DataFrame:
     Items without rank, artist or title go. A previous position that is new or nothing is null, and so are 0 positions and weeks.
     """
     found = F.regexp_extract_all(without_comments(F.col(html)), F.lit(r"""(?is)<li(?![A-Za-z0-9])[^>]*class\s*=\s*["'][^"']*item[^"']*["'][^>]*>(.*?)</li>"""), 1)
-    rows = pages.select("*", F.explode(found).alias("_i")).withColumns({name: field_text(F.col("_i"), words) for name, words in FIELDS.items()})
-    previous = F.when(~F.lower("previous_position").isin(NO_POSITION), F.nullif(digits(F.col("previous_position")), F.lit(0)))
-    out = rows.withColumns({"rank": digits(F.col("rank")), "previous_position": previous, "weeks_on_chart": F.nullif(digits(F.col("weeks_on_chart")), F.lit(0))})
-    return out.filter("rank is not null and artist_raw <> '' and title_raw <> ''").drop(html, "_i")
+
+    def entry(item: Column) -> Column:
+        text = {name: field_text(item, words) for name, words in FIELDS.items()}
+        known = lambda t: ~F.lower(t).isin(NO_POSITION)
+        previous = once(text["previous_position"], lambda t: F.when(known(t), F.nullif(digits(t), F.lit(0))))
+        return F.struct(digits(text["rank"]).alias("rank"), text["artist_raw"].alias("artist_raw"), text["title_raw"].alias("title_raw"), previous.alias("previous_position"), F.nullif(digits(text["weeks_on_chart"]), F.lit(0)).alias("weeks_on_chart"))
+
+    columns = [c for c in pages.columns if c != html]
+    return exploded(pages, columns, F.filter(F.transform(found, entry), whole)).select(*columns, "_e.*")
+
+
+def whole(entry: Column) -> Column:
+    """An entry with rank, artist and title."""
+    return entry["rank"].isNotNull() & (entry["artist_raw"] != "") & (entry["title_raw"] != "")
 
 
 def table_entries(pages: DataFrame, html: str = "html", year: str | None = None) -> DataFrame:
@@ -152,14 +167,13 @@ def table_entries(pages: DataFrame, html: str = "html", year: str | None = None)
         return F.struct(digits(at(0)).alias("rank"), F.when(four, previous_position(at(1))).alias("previous_position"), artist.alias("artist_raw"), title.alias("title_raw"))
 
     entries = F.transform(F.filter("_rows", lambda c: F.size(c) >= 3), entry)
-    whole = F.filter(entries, lambda e: e["rank"].isNotNull() & (e["artist_raw"] != "") & (e["title_raw"] != ""))
-    return pages.withColumn("_rows", cells).withColumn("_wide", wide).withColumn("_table", whole).drop("_rows", "_wide")
+    return pages.withColumn("_rows", cells).withColumn("_wide", wide).withColumn("_table", F.filter(entries, whole)).drop("_rows", "_wide")
 
 
 def table_rows(pages: DataFrame, html: str = "html", year: str | None = None) -> DataFrame:
     """Rows of tables, one each: rank, previous_position, artist_raw, title_raw, as `table_entries` finds them."""
     columns = [c for c in pages.columns if c != html]
-    return table_entries(pages, html, year).select(*columns, F.explode("_table").alias("_e")).select(*columns, "_e.*")
+    return exploded(table_entries(pages, html, year), columns, F.col("_table")).select(*columns, "_e.*")
 
 
 #: Fixed value: what a line of a chart looks like.
@@ -176,7 +190,7 @@ def line_entries(lines: Column) -> Column:
 def text_lines(pages: DataFrame, text: str = "html") -> DataFrame:
     """Lines `12. artist - title`; others go."""
     columns = [c for c in pages.columns if c != text]
-    return pages.select(*columns, F.explode(line_entries(F.split(text, "\n"))).alias("_e")).select(*columns, "_e.*")
+    return exploded(pages, columns, line_entries(F.split(text, "\n"))).select(*columns, "_e.*")
 
 
 def first_that_works(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
@@ -191,7 +205,7 @@ def first_that_works(pages: DataFrame, key: str, html: str = "html") -> DataFram
     three = F.transform("_table", lambda e: F.struct(e["rank"].alias("rank"), e["artist_raw"].alias("artist_raw"), e["title_raw"].alias("title_raw")))
     found = F.when(F.size("_table") > 0, three).when(F.size("_listed") > 0, F.col("_listed")).otherwise(F.col("_lines"))
     way = F.when(F.size("_table") > 0, 0).when(F.size("_listed") > 0, 1).otherwise(2)
-    return lines.select(key, way.alias("way"), F.explode(found).alias("_e")).select(key, "_e.*", "way")
+    return exploded(lines, [F.col(key), way.alias("way")], found).select(key, "_e.*", "way")
 
 
 def purge_expired(pages: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
