@@ -285,7 +285,7 @@ def coverage_summary(v):
     return agg.coverage_summary(v.entry, v.link, owned(v))
 
 
-@query(f"SELECT * FROM ({WORK_SCORE}) WHERE work_key NOT IN (SELECT work_key FROM fv_owned)")
+@query(f"SELECT * FROM ({WORK_SCORE}) WHERE work_key NOT IN (SELECT work_key FROM fv_owned)", views=OWNED)
 def missing_in_library(v):
     return agg.work_chart_score(v.entry, v.link).join(owned(v), "work_key", "left_anti")
 

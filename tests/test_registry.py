@@ -24,3 +24,12 @@ def test_coverage_summary(spark, duck):
     got = registry.queries()["coverage_summary"](spark, SF)
     assert 0 < got.filter("library_pct > 0").count() < got.filter("linked_pct > 0").count()
     assert rows(map(tuple, got.collect()), got.columns) == rows(want.fetchall(), want.columns)
+
+
+def test_missing_in_library(spark, duck):
+    """Works of some parts are owned and those of others aren't, so that some scored works are missing and not all."""
+    want = duck.sql(registry.oracle_sql()["missing_in_library"])
+    got = registry.queries()["missing_in_library"](spark, SF)
+    scored = duck.sql(registry.oracle_sql()["work_chart_score"]).fetchall()
+    assert 0 < len(want) < len(scored)
+    assert rows(map(tuple, got.collect()), got.columns) == rows(want.fetchall(), want.columns)
