@@ -6,7 +6,7 @@ thresholds. It gives the expected grade and the probability of a grade at or abo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.common import held_out, one_label, sample_rows, slices, spans, unit_hash
+from chartloom.llm.common import held_out, materialize, one_label, slices, spans, unit_hash
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,71 +73,159 @@ class CumulativeLink:
         return self.grades[0] + (tails * steps).sum(axis=1)
 
 
-def fit(texts: list[str], grades: list, bits: int = 15, steps: int = 150, rate: float = 0.5, ridge: float = 1e-5) -> CumulativeLink | None:
-    """Maximum likelihood by Adam over all given rows; each grade counts alike. None with fewer than two grades."""
-    names = sorted(set(grades))
-    if len(names) < 2:
-        return None
-    rows, columns, weights = [], [], []
-    for part in spans(texts):
-        column, weight, begin = hashed_text(texts[part], bits)
-        row = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(column))))
-        # Equal columns of a row become one entry.
-        key, where = np.unique((row << bits) | column, return_inverse=True)
-        rows.append((part.start + (key >> bits)).astype(np.int32))
-        columns.append((key & ((1 << bits) - 1)).astype(np.int32))
-        weights.append(np.bincount(where, weight).astype(np.float32))
-    row, column, weight = np.concatenate(rows), np.concatenate(columns), np.concatenate(weights)
-    del rows, columns, weights
-    begin = np.searchsorted(row, np.arange(len(texts)))
-    y = np.array([names.index(g) for g in grades])
-    share = 1.0 / (np.bincount(y)[y] * len(names))
+def entries(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hashed_text with equal columns of a row as one entry, by column; begin has one number more than there are rows."""
+    column, weight, begin = hashed_text(texts, bits)
+    row = np.repeat(np.arange(len(texts)), np.diff(np.append(begin, len(column))))
+    key, where = np.unique((row << bits) | column, return_inverse=True)
+    weights = np.bincount(where, weight, minlength=len(key)).astype(np.float32)
+    return (key & ((1 << bits) - 1)).astype(np.uint32), weights, np.searchsorted(key >> bits, np.arange(len(texts) + 1))
+
+
+def sums(column: np.ndarray, weight: np.ndarray, begin: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The value of each row of entries; 0 for a row without any."""
+    f, some = np.zeros(len(begin) - 1), np.flatnonzero(np.diff(begin))
+    if len(some):
+        f[some] = np.add.reduceat(weight * weights[column], begin[some], dtype=np.float64)
+    return f
+
+
+#: Slopes are whole multiples of 1 / UNIT, so that their sums are exact: a fit is the same however its rows are cut and dealt.
+UNIT = 2.0**50
+
+
+def slopes(column: np.ndarray, weight: np.ndarray, begin: np.ndarray, y: np.ndarray, share: np.ndarray, weights: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    """Slopes of the loss of some rows by all weights and thresholds, in units; share is what a row of each grade counts, 1 in all."""
+    k, f = len(thresholds), sums(column, weight, begin, weights)
+    below = lambda at: 1 / (1 + np.exp(-np.clip(thresholds[np.clip(at, 0, k - 1)] - f, -40, 40)))
+    upper, lower = np.where(y < k, below(y), 1.0), np.where(y > 0, below(y - 1), 0.0)
+    p, up, low = np.maximum(upper - lower, 1e-12), upper * (1 - upper), lower * (1 - lower)
+    to_f = share[y] * ((up - low) / p) * UNIT
+    out = np.zeros(len(weights) + k, np.int64)
+    # At most 2 in all, so doubles add up the units of a weight exactly.
+    out[: len(weights)] = np.bincount(column, np.rint(weight * np.repeat(to_f, np.diff(begin))), minlength=len(weights))
+    for side, sign, at in ((up, -1, y), (low, 1, y - 1)):
+        on = (at >= 0) & (at < k)
+        np.add.at(out, len(weights) + at[on], np.rint(sign * share[y[on]] * np.minimum(side[on] / p[on], 4096) * UNIT).astype(np.int64))
+    return out
+
+
+def climb(slopes_at: Callable[[np.ndarray, np.ndarray], np.ndarray], grades: list, bits: int, steps: int, rate: float, ridge: float) -> CumulativeLink:
+    """Maximum likelihood by Adam; slopes_at(weights, thresholds) adds up the slopes of all rows, in units."""
     w = np.zeros(1 << bits, np.float32)
-    first, gaps = 0.0, np.zeros(len(names) - 2)
-    m, v = np.zeros(len(w) + len(names) - 1), np.zeros(len(w) + len(names) - 1)
+    first, gaps = 0.0, np.zeros(len(grades) - 2)
+    m, v = np.zeros(len(w) + len(grades) - 1), np.zeros(len(w) + len(grades) - 1)
     for t in range(1, steps + 1):
-        f = np.add.reduceat(weight * w[column], begin)
-        theta = first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-        below = 1 / (1 + np.exp(-np.clip(theta[None, :] - f[:, None], -40, 40)))
-        padded = np.column_stack([np.zeros(len(f)), below, np.ones(len(f))])
-        at = np.arange(len(f))
-        p = np.maximum(padded[at, y + 1] - padded[at, y], 1e-12)
-        slope = padded * (1 - padded)
-        to_f = share * (slope[at, y + 1] - slope[at, y]) / p
-        d_theta = np.zeros(len(theta))
-        for k in range(len(theta)):
-            d_theta[k] = -(share * slope[:, k + 1] * ((y == k).astype(float) - (y == k + 1)) / p).sum()
-        g = np.concatenate([np.bincount(column, weight * to_f[row], minlength=len(w)) + ridge * w, [d_theta.sum()], [np.exp(gap) * d_theta[k + 1 :].sum() for k, gap in enumerate(gaps)]])
+        slope = slopes_at(w, first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))) / UNIT
+        d_theta = slope[len(w) :]
+        g = np.concatenate([slope[: len(w)] + ridge * w, [d_theta.sum()], [np.exp(gap) * d_theta[k + 1 :].sum() for k, gap in enumerate(gaps)]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
         w -= step[: len(w)].astype(np.float32)
         first -= 0.1 * step[len(w)]
         gaps -= 0.1 * step[len(w) + 1 :]
-    return CumulativeLink(names, w, first + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
+    return CumulativeLink(grades, w, first + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
+
+
+def shares(counts: np.ndarray) -> np.ndarray:
+    """What a row of each grade counts: each grade counts alike."""
+    return 1.0 / (counts * len(counts))
+
+
+def fit(texts: list[str], grades: list, bits: int = 15, steps: int = 150, rate: float = 0.5, ridge: float = 1e-5) -> CumulativeLink | None:
+    """Maximum likelihood by Adam over all given rows; each grade counts alike. None with fewer than two grades."""
+    names = sorted(set(grades))
+    if len(names) < 2:
+        return None
+    y = np.array([names.index(g) for g in grades])
+    share, parts = shares(np.bincount(y)), [(*entries(texts[part], bits), y[part]) for part in spans(texts)]
+    return climb(lambda w, theta: sum(slopes(*part, share, w, theta) for part in parts), names, bits, steps, rate, ridge)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_col: str, level: int, per_grade: int, per_grade_cut: int, keep_good: float, seed: int, label_id_col: str) -> CumulativeLink | None:
-    """Fit on about per_grade rows of each grade and set the cut on about per_grade_cut others, all chosen by hashes of the id among rows
-    that aren't held out. The fit runs on the driver; the rows for the cut are scored where they lie, and only counts come back.
+#: The fit's passes run in so many tasks at most, each of which sends the driver one row of slopes, whatever the number of texts.
+MOST_TASKS = 64
+
+
+def table_of_entries(rows: DataFrame, bits: int = 15) -> DataFrame:
+    """(grade, aside, columns, weights) of rows (grade, aside, text), written once: each text's entries as 16-bit columns and 32-bit weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 1_000_000):
+            texts = b.column("text").to_pylist()
+            for part in spans(texts):
+                column, weight, begin = entries(texts[part], bits)
+                n = len(begin) - 1
+                packed = [pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((begin * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (column.astype(np.uint16), weight)]
+                yield pa.RecordBatch.from_arrays([b.column("grade").slice(part.start, n), b.column("aside").slice(part.start, n), *packed], ["grade", "aside", "columns", "weights"])
+
+    return materialize(rows.select(F.col("grade").cast("double").alias("grade"), "aside", "text").mapInArrow(run, "grade double, aside boolean, columns binary, weights binary"))
+
+
+def unpack(b: pa.RecordBatch, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(column, weight, begin, grade) of a batch's rows, by slices of about `most` entries."""
+    if not b.num_rows:
+        return
+    ends, flat = [], []
+    for name, kind in (("columns", np.uint16), ("weights", np.float32)):
+        x = b.column(name)
+        at = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1] // np.dtype(kind).itemsize
+        ends.append(at)
+        flat.append(np.frombuffer(x.buffers()[2] or b"", kind, count=at[-1]))
+    grade, start = np.asarray(b.column("grade")), 0
+    while start < b.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends[0], ends[0][start] + most, side="right")) - 1)
+        yield *(x[at[start] : at[stop]] for x, at in zip(flat, ends, strict=True)), ends[0][start : stop + 1] - ends[0][start], grade[start:stop]
+        start = stop
+
+
+def fit_all(taught: DataFrame, bits: int = 15, steps: int = 150, rate: float = 0.5, ridge: float = 1e-5) -> CumulativeLink | None:
+    """fit over a table of entries: each step adds up the slopes of all rows in one pass."""
+    counts = {r["grade"]: r["count"] for r in taught.groupBy("grade").count().collect()}
+    names = sorted(counts)
+    if len(names) < 2:
+        return None
+    share, known, context = shares(np.array([counts[g] for g in names])), np.array(names), taught.sparkSession.sparkContext
+    rows = taught.select("grade", "columns", "weights").coalesce(MOST_TASKS)
+
+    def slopes_at(w: np.ndarray, theta: np.ndarray) -> np.ndarray:
+        at = context.broadcast((w, theta))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                for column, weight, begin, grade in unpack(b):
+                    part = slopes(column, weight, begin, np.searchsorted(known, grade), share, *at.value)
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["slopes"])
+
+        out = sum(np.frombuffer(r["slopes"], np.int64) for r in rows.mapInArrow(run, "slopes binary").collect())
+        at.destroy()
+        return out
+
+    return climb(slopes_at, names, bits, steps, rate, ridge)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_col: str, level: int, keep_good: float, seed: int, label_id_col: str) -> CumulativeLink | None:
+    """Fit on four fifths of the labelled rows that aren't held out and set the cut on all others, parted by a hash of the id. Texts meet their labels
+    once, and what the fit needs of them is written; each step of the fit is a pass over that, and the driver gets only sums and counts.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(~held_out(F.col("id")))
     marks = one_label(labels, grade_col, label_id_col).withColumnRenamed("label", "grade")
     # Every fifth row never teaches, so that there are rows for the cut however few labels there are.
-    aside = unit_hash(F.col("id"), seed + 1) < 0.2
-    # The samples have a fixed size, so they can be broadcast whatever the corpus is.
-    taught = rows.join(F.broadcast(sample_rows(marks.filter(~aside), "id", "grade", per_grade, seed)), "id").select("id", "text", "grade").orderBy("id", "text").toArrow()
-    link = fit(taught.column("text").to_pylist(), taught.column("grade").to_pylist())
+    known = table_of_entries(rows.join(marks, "id").select("grade", (unit_hash(F.col("id"), seed + 1) < 0.2).alias("aside"), "text"))
+    link = fit_all(known.filter(~F.col("aside")))
     if link is None:
         return None
-    judged = rows.join(F.broadcast(sample_rows(marks.filter(aside), "id", "grade", per_grade_cut, seed)), "id").select("text", F.col("grade").cast("double").alias("grade"))
     model = docs.sparkSession.sparkContext.broadcast(link)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 1_000_000):
-            tail = _tail(model.value, b.column("text").to_pylist(), level)
-            yield pa.RecordBatch.from_arrays([pa.array(np.floor(tail * BINS).astype(np.int32)), pa.array(np.asarray(b.column("grade")) >= level)], ["bin", "good"])
+        for b in batches:
+            for column, weight, begin, grade in unpack(b):
+                tail = _at(model.value, model.value.tails(sums(column, weight, begin, model.value.weights)), level)
+                yield pa.RecordBatch.from_arrays([pa.array(np.floor(tail * BINS).astype(np.int32)), pa.array(grade >= level)], ["bin", "good"])
 
-    counts = judged.mapInArrow(score, "bin int, good boolean").groupBy("bin", "good").count().collect()
+    counts = known.filter("aside").select("grade", "columns", "weights").mapInArrow(score, "bin int, good boolean").groupBy("bin", "good").count().collect()
     link.cut = best_cut({r["bin"]: r["count"] for r in counts if r["good"]}, {r["bin"]: r["count"] for r in counts if not r["good"]}, keep_good)
     return link
 
@@ -164,17 +252,17 @@ def best_cut(good: dict[int, int], bad: dict[int, int], keep_good: float) -> flo
 
 
 def rate_quality(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", level: int = 1, per_grade: int = 1200,
-    per_grade_cut: int = 5000, keep_good: float = 0.998, seed: int = 17, label_id_col: str = "doc_id",
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", level: int = 1,
+    keep_good: float = 0.998, seed: int = 17, label_id_col: str = "doc_id",
 ) -> DataFrame:
     """(id, held_out, expected_grade, tail_prob, kept), one row per input row.
 
     tail_prob is the probability of a grade of `level` or more; kept: it is at least the cut, which parts good and bad rows best, up to a
-    half, while keep_good of the good ones stay, among labelled rows that the fit doesn't see. Only the fit and the
-    cut use samples (see train); all rows are scored. A null text is rated like an empty one; of several labels of an id the largest counts; a null
+    half, while keep_good of the good ones stay, among labelled rows that the fit doesn't see. Fit and cut use all labelled
+    rows that aren't held out (see train); all rows are scored. A null text is rated like an empty one; of several labels of an id the largest counts; a null
     id has no label. If fewer than two grades are known, expected_grade and tail_prob are null and all rows are kept. An empty table gives no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, grade_col, level, per_grade, per_grade_cut, keep_good, seed, label_id_col))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, grade_col, level, keep_good, seed, label_id_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         link = model.value
@@ -192,11 +280,11 @@ def rate_quality(
 
 
 def drop_low_quality(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", level: int = 1, per_grade: int = 1200,
-    per_grade_cut: int = 5000, keep_good: float = 0.998, seed: int = 17, label_id_col: str = "doc_id",
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", level: int = 1,
+    keep_good: float = 0.998, seed: int = 17, label_id_col: str = "doc_id",
 ) -> DataFrame:
-    """The documents that rate_quality keeps, with all their columns, rows without an id and repeats among them; nothing is shuffled."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, grade_col, level, per_grade, per_grade_cut, keep_good, seed, label_id_col))
+    """The documents that rate_quality keeps, with all their columns, rows without an id and repeats among them; only texts that may teach are shuffled."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, grade_col, level, keep_good, seed, label_id_col))
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
