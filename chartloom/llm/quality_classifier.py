@@ -94,37 +94,90 @@ def sums(column: np.ndarray, weight: np.ndarray, begin: np.ndarray, weights: np.
 UNIT = 2.0**50
 
 
-def slopes(column: np.ndarray, weight: np.ndarray, begin: np.ndarray, y: np.ndarray, share: np.ndarray, weights: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
-    """Slopes of the loss of some rows by all weights and thresholds, in units; share is what a row of each grade counts, 1 in all."""
-    k, f = len(thresholds), sums(column, weight, begin, weights)
+def sides(f: np.ndarray, y: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(grade <= y) and P(grade < y) of rows of value f and grade number y."""
+    k = len(thresholds)
     below = lambda at: 1 / (1 + np.exp(-np.clip(thresholds[np.clip(at, 0, k - 1)] - f, -40, 40)))
-    upper, lower = np.where(y < k, below(y), 1.0), np.where(y > 0, below(y - 1), 0.0)
+    return np.where(y < k, below(y), 1.0), np.where(y > 0, below(y - 1), 0.0)
+
+
+def slopes(column: np.ndarray, weight: np.ndarray, begin: np.ndarray, y: np.ndarray, share: np.ndarray, weights: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    """Slopes of the loss of some rows by all weights and thresholds, and the loss, in units; share is what a row of each grade counts, 1 in all."""
+    k = len(thresholds)
+    upper, lower = sides(sums(column, weight, begin, weights), y, thresholds)
     p, up, low = np.maximum(upper - lower, 1e-12), upper * (1 - upper), lower * (1 - lower)
     to_f = share[y] * ((up - low) / p) * UNIT
-    out = np.zeros(len(weights) + k, np.int64)
+    out = np.zeros(len(weights) + k + 1, np.int64)
     # At most 2 in all, so doubles add up the units of a weight exactly.
     out[: len(weights)] = np.bincount(column, np.rint(weight * np.repeat(to_f, np.diff(begin))), minlength=len(weights))
     for side, sign, at in ((up, -1, y), (low, 1, y - 1)):
         on = (at >= 0) & (at < k)
         np.add.at(out, len(weights) + at[on], np.rint(sign * share[y[on]] * np.minimum(side[on] / p[on], 4096) * UNIT).astype(np.int64))
+    out[-1] = np.rint(share[y] * -np.log(p) * UNIT).astype(np.int64).sum()
     return out
 
 
-def climb(slopes_at: Callable[[np.ndarray, np.ndarray], np.ndarray], grades: list, bits: int, steps: int, rate: float, ridge: float) -> CumulativeLink:
-    """Maximum likelihood by Adam; slopes_at(weights, thresholds) adds up the slopes of all rows, in units."""
-    w = np.zeros(1 << bits, np.float32)
-    first, gaps = 0.0, np.zeros(len(grades) - 2)
-    m, v = np.zeros(len(w) + len(grades) - 1), np.zeros(len(w) + len(grades) - 1)
-    for t in range(1, steps + 1):
-        slope = slopes_at(w, first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))) / UNIT
-        d_theta = slope[len(w) :]
-        g = np.concatenate([slope[: len(w)] + ridge * w, [d_theta.sum()], [np.exp(gap) * d_theta[k + 1 :].sum() for k, gap in enumerate(gaps)]])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
-        w -= step[: len(w)].astype(np.float32)
-        first -= 0.1 * step[len(w)]
-        gaps -= 0.1 * step[len(w) + 1 :]
-    return CumulativeLink(grades, w, first + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
+def bends(column: np.ndarray, weight: np.ndarray, begin: np.ndarray, y: np.ndarray, share: np.ndarray, size: int, thresholds: np.ndarray) -> np.ndarray:
+    """How the loss of some rows bends by each of `size` weights where all are 0, and by the value of all rows at once, in units."""
+    upper, lower = sides(np.zeros(len(y)), y, thresholds)
+    bend = share[y] * (upper * (1 - upper) + lower * (1 - lower)) * UNIT
+    by_weight = np.bincount(column, np.rint(weight.astype(float) ** 2 * np.repeat(bend, np.diff(begin))), minlength=size)
+    return np.append(by_weight.astype(np.int64), np.rint(bend).astype(np.int64).sum())
+
+
+#: The fit remembers so many steps, and ends when so many together lower the loss by less than this part of it.
+REMEMBERED, LOOK_BACK, LEAST_GAIN = 20, 10, 1e-4
+
+
+def climb(over_all: Callable[..., np.ndarray], grades: list, bits: int, steps: int, rate: float, ridge: float) -> CumulativeLink:
+    """Maximum likelihood by L-BFGS, scaled by how the loss bends; over_all(slopes or bends, ...) adds these up over all rows, in units.
+
+    `steps` is the most passes for slopes, and the first one tries `rate` of a Newton step by each weight alone. Passes end where the loss does.
+    """
+    n, z = 1 << bits, np.zeros((1 << bits) + len(grades) - 1)
+
+    def thresholds(z: np.ndarray) -> np.ndarray:
+        return z[n] + np.concatenate(([0.0], np.cumsum(np.exp(z[n + 1 :]))))
+
+    def at(z: np.ndarray) -> tuple[float, np.ndarray]:
+        out = over_all(slopes, z[:n].astype(np.float32), thresholds(z)) / UNIT
+        theta = out[n:-1]
+        by_gap = [np.exp(gap) * theta[k + 1 :].sum() for k, gap in enumerate(z[n + 1 :])]
+        return out[-1] + ridge / 2 * (z[:n] ** 2).sum(), np.concatenate([out[:n] + ridge * z[:n], [theta.sum()], by_gap])
+
+    bend = over_all(bends, n, thresholds(z)) / UNIT
+    scale = np.concatenate([bend[:n] + ridge, np.full(len(grades) - 1, bend[n])])
+    (loss, slope), past, losses, passes, first = at(z), [], [], 1, rate
+    while passes < steps:
+        way, parts = -slope, []
+        for moved, turned, r in reversed(past):
+            parts.append(r * (moved * way).sum())
+            way -= parts[-1] * turned
+        if past:
+            moved, turned, r = past[-1]
+            way /= r * (turned**2 / scale).sum()
+        way /= scale
+        for (moved, turned, r), part in zip(past, reversed(parts), strict=True):
+            way += (part - r * (turned * way).sum()) * moved
+        down, far = (slope * way).sum(), first
+        while passes < steps and far > 1e-9:
+            there = z + far * way
+            there[:n] = there[:n].astype(np.float32)
+            loss_there, slope_there = at(there)
+            passes += 1
+            if loss_there <= loss + 1e-4 * far * down:
+                break
+            far = min(far / 2, max(far / 10, -down * far**2 / (2 * (loss_there - loss - far * down))))
+        else:
+            break
+        moved, turned = there - z, slope_there - slope
+        if (moved * turned).sum() > 0:
+            past = [*past, (moved, turned, 1 / (moved * turned).sum())][-REMEMBERED:]
+        losses.append(loss)
+        z, loss, slope, first = there, loss_there, slope_there, 1.0
+        if len(losses) >= LOOK_BACK and losses[-LOOK_BACK] - loss <= LEAST_GAIN * loss:
+            break
+    return CumulativeLink(grades, z[:n].astype(np.float32), thresholds(z))
 
 
 def shares(counts: np.ndarray) -> np.ndarray:
@@ -133,13 +186,13 @@ def shares(counts: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], grades: list, bits: int = 15, steps: int = 150, rate: float = 0.5, ridge: float = 1e-5) -> CumulativeLink | None:
-    """Maximum likelihood by Adam over all given rows; each grade counts alike. None with fewer than two grades."""
+    """Maximum likelihood over all given rows; each grade counts alike. None with fewer than two grades."""
     names = sorted(set(grades))
     if len(names) < 2:
         return None
     y = np.array([names.index(g) for g in grades])
     share, parts = shares(np.bincount(y)), [(*entries(texts[part], bits), y[part]) for part in spans(texts)]
-    return climb(lambda w, theta: sum(slopes(*part, share, w, theta) for part in parts), names, bits, steps, rate, ridge)
+    return climb(lambda measure, *point: sum(measure(*part, share, *point) for part in parts), names, bits, steps, rate, ridge)
 
 
 #: The fit's passes run in so many tasks at most, each of which sends the driver one row of slopes, whatever the number of texts.
@@ -187,14 +240,14 @@ def fit_all(taught: DataFrame, bits: int = 15, steps: int = 150, rate: float = 0
     share, known, context = shares(np.array([counts[g] for g in names])), np.array(names), taught.sparkSession.sparkContext
     rows = taught.select("grade", "columns", "weights").coalesce(MOST_TASKS)
 
-    def slopes_at(w: np.ndarray, theta: np.ndarray) -> np.ndarray:
-        at = context.broadcast((w, theta))
+    def over_all(measure: Callable[..., np.ndarray], *point) -> np.ndarray:
+        at = context.broadcast(point)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for b in batches:
                 for column, weight, begin, grade in unpack(b):
-                    part = slopes(column, weight, begin, np.searchsorted(known, grade), share, *at.value)
+                    part = measure(column, weight, begin, np.searchsorted(known, grade), share, *at.value)
                     total = part if total is None else total + part
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["slopes"])
@@ -203,7 +256,7 @@ def fit_all(taught: DataFrame, bits: int = 15, steps: int = 150, rate: float = 0
         at.destroy()
         return out
 
-    return climb(slopes_at, names, bits, steps, rate, ridge)
+    return climb(over_all, names, bits, steps, rate, ridge)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_col: str, level: int, keep_good: float, seed: int, label_id_col: str) -> CumulativeLink | None:
@@ -213,7 +266,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(~held_out(F.col("id")))
     marks = one_label(labels, grade_col, label_id_col).withColumnRenamed("label", "grade")
     # Every fifth row never teaches, so that there are rows for the cut however few labels there are.
-    known = table_of_entries(rows.join(marks, "id").select("grade", (unit_hash(F.col("id"), seed + 1) < 0.2).alias("aside"), "text"))
+    # Merged at every size: labels are not sent through the driver while they are few, and each text is shuffled once however many they are.
+    known = table_of_entries(rows.join(marks.hint("merge"), "id").select("grade", (unit_hash(F.col("id"), seed + 1) < 0.2).alias("aside"), "text"))
     link = fit_all(known.filter(~F.col("aside")))
     if link is None:
         return None

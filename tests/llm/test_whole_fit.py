@@ -45,3 +45,28 @@ def test_fit_is_the_same_however_rows_are_dealt(spark):
     links.append(quality_classifier.fit([r[2] for r in rows], [r[0] for r in rows], steps=4))
     assert [link.grades for link in links] == [[0.0, 1.0, 2.0]] * 3
     assert all((link.weights == links[0].weights).all() and (link.thresholds == links[0].thresholds).all() for link in links)
+
+
+def test_fit_ends_at_the_maximum_in_fewer_passes(monkeypatch):
+    rows, passes, slopes = labelled(600), [], quality_classifier.slopes
+    texts, grades = [t for _, t, _ in rows], [q for *_, q in rows]
+    monkeypatch.setattr(quality_classifier, "slopes", lambda *a: passes.append(1) or slopes(*a))
+    link = quality_classifier.fit(texts, grades, bits=12)
+    assert len(passes) < 120
+    y, n = np.array(grades), np.bincount(grades)
+
+    def loss(link):
+        tails = link.tails(link.value(texts))[:, 0]
+        return -(np.log(np.where(y == 1, tails, 1 - tails)) / (2 * n[y])).sum() + 1e-5 / 2 * (link.weights.astype(float) ** 2).sum()
+
+    monkeypatch.setattr(quality_classifier, "LEAST_GAIN", 1e-9, raising=False)
+    assert loss(link) < 1.001 * loss(quality_classifier.fit(texts, grades, bits=12, steps=1500))
+
+
+def test_labels_are_not_broadcast_while_they_are_few(spark, tmp_path, monkeypatch):
+    rows, plans = labelled(50), []
+    spark.createDataFrame(rows, "doc_id long, text string, quality int").write.parquet(f"{tmp_path}/rows")
+    both, made = spark.read.parquet(f"{tmp_path}/rows"), quality_classifier.table_of_entries
+    monkeypatch.setattr(quality_classifier, "table_of_entries", lambda frame: plans.append(frame._jdf.queryExecution().executedPlan().toString()) or made(frame))
+    assert quality_classifier.rate_quality(both.select("doc_id", "text"), both.select("doc_id", "quality")).count() == 50
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
