@@ -195,8 +195,8 @@ def fit(texts: list[str], grades: list, bits: int = 15, steps: int = 150, rate:
     return climb(lambda measure, *point: sum(measure(*part, share, *point) for part in parts), names, bits, steps, rate, ridge)
 
 
-#: The fit's passes run in so many tasks at most, each of which sends the driver one row of slopes, whatever the number of texts.
-MOST_TASKS = 64
+#: The fit's passes run in a task for so many entries, and in so many tasks at most; each sends the driver one row of slopes, whatever the number of texts.
+ENTRIES_OF_TASK, MOST_TASKS = 1 << 20, 64
 
 
 def table_of_entries(rows: DataFrame, bits: int = 15) -> DataFrame:
@@ -233,12 +233,13 @@ def unpack(b: pa.RecordBatch, most: int = 1 << 18) -> Iterator[tuple[np.ndarray,
 
 def fit_all(taught: DataFrame, bits: int = 15, steps: int = 150, rate: float = 0.5, ridge: float = 1e-5) -> CumulativeLink | None:
     """fit over a table of entries: each step adds up the slopes of all rows in one pass."""
-    counts = {r["grade"]: r["count"] for r in taught.groupBy("grade").count().collect()}
-    names = sorted(counts)
+    found = {r["grade"]: r for r in taught.groupBy("grade").agg(F.count("*").alias("rows"), F.sum(F.octet_length("columns")).alias("bytes")).collect()}
+    names = sorted(found)
     if len(names) < 2:
         return None
-    share, known, context = shares(np.array([counts[g] for g in names])), np.array(names), taught.sparkSession.sparkContext
-    rows = taught.select("grade", "columns", "weights").coalesce(MOST_TASKS)
+    share, known, context = shares(np.array([found[g]["rows"] for g in names])), np.array(names), taught.sparkSession.sparkContext
+    tasks = sum(r["bytes"] for r in found.values()) // 2 // ENTRIES_OF_TASK
+    rows = taught.select("grade", "columns", "weights").coalesce(max(1, min(MOST_TASKS, tasks)))
 
     def over_all(measure: Callable[..., np.ndarray], *point) -> np.ndarray:
         at = context.broadcast(point)

@@ -70,3 +70,16 @@ def test_labels_are_not_broadcast_while_they_are_few(spark, tmp_path, monkeypatc
     monkeypatch.setattr(quality_classifier, "table_of_entries", lambda frame: plans.append(frame._jdf.queryExecution().executedPlan().toString()) or made(frame))
     assert quality_classifier.rate_quality(both.select("doc_id", "text"), both.select("doc_id", "quality")).count() == 50
     assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
+def test_few_entries_take_few_tasks(spark, monkeypatch):
+    """Each task of a pass sends the driver a row of slopes, so their number follows the entries, not the files that hold them."""
+    frame, asked = spark.createDataFrame([(float(q), False, t) for _, t, q in labelled(300)], "grade double, aside boolean, text string"), []
+    taught, coalesce = quality_classifier.table_of_entries(frame.repartition(20)), type(frame).coalesce
+    want = quality_classifier.fit_all(taught, steps=3)
+    monkeypatch.setattr(type(frame), "coalesce", lambda self, n: asked.append(n) or coalesce(self, n))
+    quality_classifier.fit_all(taught, steps=3)
+    monkeypatch.setattr(quality_classifier, "ENTRIES_OF_TASK", 1000)
+    many = quality_classifier.fit_all(taught, steps=3)
+    assert asked[0] == 1 < asked[1] <= quality_classifier.MOST_TASKS
+    assert (many.weights == want.weights).all() and (many.thresholds == want.thresholds).all()
