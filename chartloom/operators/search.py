@@ -100,7 +100,7 @@ def containing(queries: DataFrame, recordings: DataFrame, tolerance: float = 0.1
     return dedupe_to(hits, "query_id", ["recording_mbid"], limit).select("query_id", "recording_mbid")
 
 
-def dedupe_to(hits: DataFrame, by: str, order: list, limit: int) -> DataFrame:
+def dedupe_to(hits: DataFrame, by: str | list[str], order: list, limit: int) -> DataFrame:
     """The first `limit` rows of each group."""
     return hits.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_n") <= limit).drop("_n")
 
@@ -219,7 +219,14 @@ def artist_browse(queries: DataFrame, artists: DataFrame, groups: DataFrame, tra
         known = materialize(known)
         known = known.unionByName(named(queries.join(known.select("query_id"), "query_id", "left_anti"), "artist_raw"))
     chosen = known.filter(alike(F.col("artist"), F.col("name_lower"), artist_at_least))
-    found = chosen.join(groups.select("artist_mbid", "rg_mbid"), "artist_mbid").join(tracks.select("rg_mbid", "recording_mbid", "title_normalized"), "rg_mbid").select("query_id", "title", "recording_mbid", "title_normalized").distinct()
-    pairs = found.select("title", "title_normalized").distinct().withColumn("title_score", F.round(sim.token_set_ratio(F.col("title"), F.col("title_normalized")), 6))
-    kept = found.join(pairs.filter(F.col("title_score") >= title_at_least), ["title", "title_normalized"])
-    return dedupe_to(kept, "query_id", ["recording_mbid"], limit).select("query_id", "recording_mbid", "title_normalized", "title_score")
+    # A title that is asked of an artist is looked up once, by that artist's distinct titles; of the tracks of an artist and title only the first `limit` by id can be among a query's.
+    shelf = groups.select("artist_mbid", "rg_mbid").join(tracks.select("rg_mbid", "recording_mbid", "title_normalized"), "rg_mbid").select("artist_mbid", "title_normalized", "recording_mbid").distinct()
+    shelf = materialize(dedupe_to(shelf, ["artist_mbid", "title_normalized"], ["recording_mbid"], limit))
+    chosen = materialize(chosen.select("query_id", "title", "artist_mbid").distinct())
+    asked = chosen.select("artist_mbid", "title").distinct().join(shelf.select("artist_mbid", "title_normalized").distinct(), "artist_mbid")
+    pairs = asked.select("title", "title_normalized").distinct().withColumn("title_score", F.round(sim.token_set_ratio(F.col("title"), F.col("title_normalized")), 6))
+    found = asked.join(pairs.filter(F.col("title_score") >= title_at_least), ["title", "title_normalized"]).join(shelf, ["artist_mbid", "title_normalized"])
+    order = ["recording_mbid", "title_normalized"]
+    found = dedupe_to(found, ["artist_mbid", "title"], order, limit)
+    kept = chosen.join(found, ["artist_mbid", "title"]).select("query_id", "recording_mbid", "title_normalized", "title_score").distinct()
+    return dedupe_to(kept, "query_id", order, limit).select("query_id", "recording_mbid", "title_normalized", "title_score")
