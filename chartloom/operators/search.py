@@ -95,8 +95,10 @@ class NameMatches:
 
 def containing(queries: DataFrame, recordings: DataFrame, tolerance: float = 0.1, limit: int = 50, matches: NameMatches | None = None) -> DataFrame:
     """(query_id, recording_mbid): recordings whose title and artist contain the query's, of a fitting length; the first by id."""
-    named = queries.join((matches or NameMatches(queries, recordings)).contained, "title")
-    hits = named.join(recordings.withColumnRenamed("length_ms", "rec_ms"), "title_normalized").filter(F.contains("artist_normalized", "artist") & length_fits(F.col("length_ms"), F.col("rec_ms"), tolerance))
+    titles, names = (matches or NameMatches(queries, recordings)).contained, recordings.select("artist_normalized", "title_normalized").distinct()
+    # Names meet first, so that no recording of another artist is paired with a query.
+    named = queries.select("artist", "title").distinct().join(titles, "title").join(names, "title_normalized").filter(F.contains("artist_normalized", "artist"))
+    hits = queries.join(named, ["artist", "title"]).join(recordings.withColumnRenamed("length_ms", "rec_ms"), ["artist_normalized", "title_normalized"]).filter(length_fits(F.col("length_ms"), F.col("rec_ms"), tolerance))
     return dedupe_to(hits, "query_id", ["recording_mbid"], limit).select("query_id", "recording_mbid")
 
 
@@ -148,6 +150,7 @@ def search_stages(queries: DataFrame, recordings: DataFrame, browse: tuple[DataF
     the catalogue of the artist (artists, groups and their recordings, see artist_browse), stage 4 takes the recordings that fingerprints
     (query_id, recording_mbid) name. Each later stage runs only for the queries that still lack results.
     """
+    queries = materialize(queries)
     matches = NameMatches(queries, recordings)
     found = materialize(search_fuzzy(queries, recordings, 0.1, 100, matches).select("query_id", "recording_mbid", F.lit(1).alias("stage")))
 

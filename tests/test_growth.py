@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from chartloom.operators import search
 from chartloom.plans import registry
@@ -39,6 +40,21 @@ def test_artist_browse_does_not_pair_queries_with_tracks(spark):
     assert rows < 30_000
 
 
+def test_search_stages_computes_queries_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(key):
+        seen.add(1)
+        return key
+
+    asked = spark.createDataFrame([(f"q{i}", "abba", f"song {i}", None) for i in range(4)], "query_id string, artist string, title string, length_ms int")
+    recordings = spark.createDataFrame([("r1", "abba", "song 1", 1000), ("r2", "other", "song 1", 1000), ("r3", "abba", "my song 2", 1000)], "recording_mbid string, artist_normalized string, title_normalized string, length_ms int")
+    queries = asked.withColumn("query_id", F.udf(count, "string")("query_id"))
+    got = search.search_stages(queries, recordings).select("query_id", "recording_mbid").collect()
+    assert {("q1", "r1"), ("q2", "r3")} <= set(map(tuple, got)) and "r2" not in {r.recording_mbid for r in got}
+    assert seen.value == 4
+
+
 @pytest.fixture(scope="module")
 def long_run(tmp_path_factory):
     """Tables of one run of 2,100 parts, some of which have keys of over a million."""
