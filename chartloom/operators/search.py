@@ -26,14 +26,17 @@ def like_batch(queries: DataFrame, rows: DataFrame, limit: int = 10) -> DataFram
     """(query_id, key, name): for each query the rows whose name contains its text in any case, the first `limit` by name and key.
 
     queries: (query_id, text); rows: (key, name). If queries have an `artist` and rows an `artist_name`, that must be contained too; a null artist asks for nothing. Names are
-    searched once for each distinct text, at its rarest trigram, so many queries are one job.
+    searched once for each distinct text, at its rarest trigram, so many queries are one job, and equal queries one search. Of rows alike in name and artist only the
+    first `limit` by key can be among a query's.
     """
-    asked = queries.withColumn("_a", F.lower("text"))
-    pairs = containing_texts(asked.filter("_a is not null").select("_a"), rows.filter("name is not null").select(F.lower("name"))).toDF("_a", "_b")
-    hits = asked.join(pairs, "_a").join(rows.withColumn("_b", F.lower("name")), "_b")
-    if "artist" in queries.columns and "artist_name" in rows.columns:
-        hits = hits.filter(F.col("artist").isNull() | F.contains(F.lower("artist_name"), F.lower("artist")))
-    return dedupe_to(hits, "query_id", ["name", "key"], limit).select("query_id", "key", "name")
+    by_artist = "artist" in queries.columns and "artist_name" in rows.columns
+    asked = queries.select("query_id", F.lower("text").alias("_a"), (F.lower("artist") if by_artist else F.lit(None).cast("string")).alias("_by")).filter("_a is not null")
+    wanted = asked.select("_a", "_by").distinct()
+    named = rows.filter("name is not null").select("key", "name", F.lower("name").alias("_b"), (F.lower("artist_name") if by_artist else F.lit(None).cast("string")).alias("_artist"))
+    pairs = containing_texts(wanted.select("_a"), named.select("_b")).toDF("_a", "_b")
+    hits = wanted.join(pairs, "_a").join(dedupe_to(named, ["name", "_artist"], ["key"], limit), "_b").filter(F.col("_by").isNull() | F.contains("_artist", "_by"))
+    first = dedupe_to(hits, ["_a", "_by"], ["name", "key"], limit).select(F.col("_a").alias("_text"), F.col("_by").alias("_of"), "key", "name")
+    return asked.join(first, (F.col("_a") == F.col("_text")) & F.col("_by").eqNullSafe(F.col("_of"))).select("query_id", "key", "name")
 
 
 def length_fits(asked: Column, length: Column, tolerance: float) -> Column:

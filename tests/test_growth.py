@@ -40,6 +40,39 @@ def test_artist_browse_does_not_pair_queries_with_tracks(spark):
     assert rows < 30_000
 
 
+def test_like_batch_searches_equal_queries_once(spark):
+    """All queries ask for the same two things, all rows have one of four names."""
+    queries = spark.createDataFrame([(i, "A", "x" if i % 2 else None) for i in range(500)], "query_id int, text string, artist string")
+    data = [(f"k{i:04}", f"a{i % 4}", "X" if i % 8 < 4 else "y") for i in range(1000)]
+    # So that hits are counted before the first ones are chosen.
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "-1")
+    try:
+        rows, _, got = shuffled(spark, lambda: search.like_batch(queries, spark.createDataFrame(data, "key string, name string, artist_name string"), 3).collect())
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    first = lambda artist: sorted((n, k) for k, n, a in data if artist is None or a == "X")[:3]
+    assert sorted((r.query_id, r.name, r.key) for r in got) == sorted((i, *x) for i in range(500) for x in first("x" if i % 2 else None))
+    assert rows < 5_000
+
+
+#: Rows and bytes that queries may shuffle over sf0.001, which has 6,000 rows of lineitem.
+SHUFFLED = {
+    "evidence_bundle": (25_000, 500_000), "evidence_convert": (60_000, 900_000), "decision_trace": (50_000, 1_000_000), "catalogue_from_api_docs": (40_000, 1_000_000),
+    "songs_get_or_create": (31_000, 400_000),
+}
+
+
+@pytest.mark.parametrize("name", SHUFFLED)
+def test_shuffled(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n, size, _ = shuffled(spark, lambda: registry.queries()[name](spark, SF).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert n < SHUFFLED[name][0] and size < SHUFFLED[name][1]
+
+
 def test_search_stages_computes_queries_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
