@@ -519,8 +519,10 @@ def api_docs(v):
   JOIN fv_recording r USING (recording_mbid) JOIN fv_release l USING (release_mbid)""")
 def catalogue_from_api_docs(v):
     t = cd.flatten(api_docs(v))
-    rows = t["recording_release"].join(t["recording"].select("recording_mbid", "title", "artist_mbid"), "recording_mbid").join(t["release"], "release_mbid")
-    return rows.join(t["release_group"].select("rg_mbid"), "rg_mbid").join(t["artist"].select("artist_mbid"), "artist_mbid").select("recording_mbid", "title", "artist_mbid", "release_mbid", "rg_mbid", "date", "country", "is_official")
+    # Groups and artists meet releases and recordings, which are fewer than the pairs of these.
+    recordings = t["recording"].select("recording_mbid", "title", "artist_mbid").join(t["artist"].select("artist_mbid"), "artist_mbid")
+    releases = t["release"].join(t["release_group"].select("rg_mbid"), "rg_mbid")
+    return t["recording_release"].join(recordings, "recording_mbid").join(releases, "release_mbid").select("recording_mbid", "title", "artist_mbid", "release_mbid", "rg_mbid", "date", "country", "is_official")
 
 
 @query(fuzzy_sql.browse("fv_query"))

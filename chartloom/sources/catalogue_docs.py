@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartloom.sources.shared import materialize
+
 ARTIST = "struct<id:string,name:string,`sort-name`:string>"
 GROUP = "struct<id:string,title:string,`primary-type`:string,`first-release-date`:string>"
 RELEASE = f"struct<id:string,title:string,date:string,country:string,status:string,`release-group`:{GROUP}>"
@@ -14,9 +16,9 @@ RECORDING = f"struct<id:string,title:string,length:int,`isrc-list`:array<string>
 def flatten(docs: DataFrame, column: str = "json") -> dict[str, DataFrame]:
     """artist, recording, release_group, release and recording_release of recording documents, one row per key.
 
-    Only the first credit counts. Codes stand under either of two names.
+    Only the first credit counts. Codes stand under either of two names. Documents are made and read once, and written as read.
     """
-    d = docs.select(F.from_json(column, RECORDING).alias("d")).filter("d.id is not null")
+    d = materialize(docs.select(F.from_json(column, RECORDING).alias("d")).filter("d.id is not null"))
     credit = F.get("d.artist-credit", F.lit(0))["artist"]
     releases = d.select(F.col("d.id").alias("recording_mbid"), credit["id"].alias("artist_mbid"), F.explode("d.releases").alias("r"))
     once = lambda df, key: df.filter(f"{key} is not null").groupBy(key).agg(*[F.min(c).alias(c) for c in df.columns if c != key])
@@ -25,7 +27,7 @@ def flatten(docs: DataFrame, column: str = "json") -> dict[str, DataFrame]:
         "recording": once(d.select(F.col("d.id").alias("recording_mbid"), F.col("d.title").alias("title"), F.col("d.length").alias("length_ms"), credit["id"].alias("artist_mbid"), F.coalesce("d.isrc-list", "d.isrcs").alias("isrcs")), "recording_mbid"),
         "release_group": once(releases.select(F.col("r.release-group.id").alias("rg_mbid"), F.col("r.release-group.title").alias("title"), F.col("r.release-group.primary-type").alias("type"), F.col("r.release-group.first-release-date").alias("first_release_date")), "rg_mbid"),
         "release": once(releases.select(F.col("r.id").alias("release_mbid"), F.col("r.release-group.id").alias("rg_mbid"), F.col("r.date").alias("date"), F.col("r.country").alias("country"), (F.col("r.status") == "Official").alias("is_official")), "release_mbid"),
-        "recording_release": releases.select("recording_mbid", F.col("r.id").alias("release_mbid")).distinct(),
+        "recording_release": releases.select("recording_mbid", F.col("r.id").alias("release_mbid")).repartition("recording_mbid").distinct(),
     }
 
 
